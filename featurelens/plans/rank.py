@@ -43,6 +43,12 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def max_group_rows(df: DataFrame, keys: list) -> int:
+    """Rows of the largest group (one small aggregate job)."""
+    r = df.groupBy(*keys).count().agg(F.max("count")).collect()[0][0]
+    return int(r or 0)
+
+
 def cumulate(df: DataFrame, keys: list, value: str, weights: list,
              bucket_rows: int = 2_000_000) -> DataFrame:
     """Running sums ``cum_<w>`` (inclusive) and totals ``tot_<w>`` per ``keys``.
@@ -51,11 +57,7 @@ def cumulate(df: DataFrame, keys: list, value: str, weights: list,
     ``_b`` (bucket) is returned and can be used by ``quantiles``.
     """
     spark = df.sparkSession
-    stats = (df.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_rows"),
-                  F.percentile_approx(F.col(value), _GRID, 10000).alias("_grid"))
-             .collect())
-    max_rows = max((r["_rows"] for r in stats), default=0)
+    max_rows = max_group_rows(df, keys)
     n_buckets = 1
     while n_buckets < MAX_BUCKETS and n_buckets * bucket_rows < max_rows:
         n_buckets *= 2
@@ -69,6 +71,9 @@ def cumulate(df: DataFrame, keys: list, value: str, weights: list,
                      .withColumn(f"tot_{w}", F.sum(w).over(w_all))
         return out
 
+    stats = (df.groupBy(*keys)
+             .agg(F.percentile_approx(F.col(value), _GRID, 10000).alias("_grid"))
+             .collect())
     step = MAX_BUCKETS // n_buckets
     key_fields = [f for f in df.schema.fields if f.name in keys]
     split_rows = [tuple(r[k] for k in keys) + ([float(x) for x in r["_grid"][step - 1::step]][: n_buckets - 1],)
@@ -141,3 +146,35 @@ def quantile_columns(qdf: DataFrame, keys: list, probs: dict, value: str = "quan
     aggs = [F.max(F.when(F.abs(F.col("q") - float(q)) < 1e-12, F.col(value))).alias(name)
             for name, q in probs.items()]
     return qdf.groupBy(*keys).agg(*aggs)
+
+
+def group_quantiles(df: DataFrame, keys: list, value: str, weights: list, probs: list,
+                    bucket_rows: int, max_rows: int | None = None, rk: DataFrame | None = None) -> DataFrame:
+    """Exact quantiles of ``value`` weighted by each of ``weights`` per ``keys``.
+
+    Returns ``keys, w, q, quantile`` (``w`` = index of the weight column).
+    When every group has at most ``bucket_rows`` distinct values (checked),
+    the exact ``percentile`` aggregate holds a bounded buffer per group and
+    runs as one aggregate; otherwise the two-level rank path is used.
+    """
+    if max_rows is None:
+        max_rows = max_group_rows(df, keys)
+    parts = []
+    if max_rows <= bucket_rows:
+        arr = F.array(*[F.lit(float(q)) for q in probs])
+        aggs = [F.percentile(F.col(value), arr, F.col(w)).alias(f"_p{i}") for i, w in enumerate(weights)]
+        tots = [F.sum(w).alias(f"_t{i}") for i, w in enumerate(weights)]
+        a = df.groupBy(*keys).agg(*aggs, *tots)
+        for i, _ in enumerate(weights):
+            parts.append(a.where(F.col(f"_t{i}") > 0)
+                         .select(*keys, F.lit(i).alias("w"), F.posexplode(F.col(f"_p{i}")).alias("_k", "quantile"))
+                         .select(*keys, "w", F.element_at(arr, F.col("_k") + 1).alias("q"), "quantile"))
+    else:
+        if rk is None:
+            rk = cumulate(df, keys, value, weights, bucket_rows)
+        for i, w in enumerate(weights):
+            parts.append(quantiles(rk, keys, value, w, probs).withColumn("w", F.lit(i)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -15,9 +15,12 @@ from .rank import cumulate
 
 
 def unpivot(df: DataFrame, id_col: str, features: list, ds: int | None = None) -> DataFrame:
-    """Wide -> long ``(id, feature, value)`` with non-null values only."""
-    cols = [F.col(id_col)] + [F.col(f).cast("double").alias(f) for f in features]
-    out = df.select(*cols).unpivot([id_col], features, "feature", "value").where(F.col("value").isNotNull())
+    """Wide -> long ``(id, feature, value)`` with non-null values only.
+
+    The key column is renamed ``id`` whatever its input name.
+    """
+    cols = [F.col(id_col).alias("id")] + [F.col(f).cast("double").alias(f) for f in features]
+    out = df.select(*cols).unpivot(["id"], features, "feature", "value").where(F.col("value").isNotNull())
     if ds is not None:
         out = out.withColumn("ds", F.lit(ds))
     return out

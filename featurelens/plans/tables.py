@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..sources.loader import Prepared
 from ..spec import RunSpec
 from . import shape
-from .rank import quantiles
+from .rank import group_quantiles, max_group_rows
 
 PCTS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 # numpy.linspace(0.01, 0.99, 100): probabilities of the quantile-correlation grid
@@ -55,6 +55,10 @@ class Tables:
     def vc(self) -> DataFrame:
         return self._keep(shape.value_counts(self.long))
 
+    @cached_property
+    def vc_max_rows(self) -> int:
+        return max_group_rows(self.vc, ["feature"])
+
     @cached_property
     def rk(self) -> DataFrame:
         return self._keep(shape.ranked(self.vc, self.spec.rank_bucket_rows))
@@ -75,9 +79,10 @@ class Tables:
 
     def quantiles(self, probs: list) -> DataFrame:
         """(ds, feature, q, quantile) exact, for both datasets."""
-        q1 = quantiles(self.rk, ["feature"], "value", "n1", probs).withColumn("ds", F.lit(1))
-        q2 = quantiles(self.rk, ["feature"], "value", "n2", probs).withColumn("ds", F.lit(2))
-        return q1.unionByName(q2)
+        big = self.vc_max_rows > self.spec.rank_bucket_rows
+        q = group_quantiles(self.vc, ["feature"], "value", ["n1", "n2"], probs, self.spec.rank_bucket_rows,
+                            self.vc_max_rows, self.rk if big else None)
+        return q.select("feature", (F.col("w") + 1).alias("ds"), "q", "quantile")
 
     @cached_property
     def percentiles(self) -> DataFrame:

@@ -31,18 +31,18 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _make(fx: str, op):
+def _make(fx: str, op, on_prepared: bool = False):
     def run(spark, sf_dir: str) -> DataFrame:
         d1, d2, spec = FIXTURES[fx](spark, sf_dir)
-        t = Tables(prepare(d1, d2, spec))
-        return rounded(op(t))
+        p = prepare(d1, d2, spec)
+        return rounded(op(p) if on_prepared else op(Tables(p)))
     run.__name__ = f"{op.__name__}_{fx}"
     run.__doc__ = op.__doc__
     return run
 
 
-def register(name: str, fx: str, op, oracle=None):
-    QUERIES[name] = _make(fx, op)
+def register(name: str, fx: str, op, oracle=None, on_prepared: bool = False):
+    QUERIES[name] = _make(fx, op, on_prepared)
     if oracle is not None:
         ORACLES[name] = lambda: oracle(fx)
 
@@ -50,8 +50,23 @@ def register(name: str, fx: str, op, oracle=None):
 def _register_all():
     from oracle import sql as O
 
-    from .operators import compare
-
+    from .operators import compare, distribution, profile
+
+    for fx in ("f2", "f3", "f9"):
+        register(f"missingness_{fx}", fx, profile.missingness, O.missingness, on_prepared=True)
+        register(f"feature_summary_{fx}", fx, profile.feature_summary, O.feature_summary, on_prepared=True)
+        register(f"overview_{fx}", fx, profile.overview, O.overview, on_prepared=True)
+    for fx in ("f2", "f9"):
+        register(f"missingness_correlation_{fx}", fx, profile.missingness_correlation,
+                 O.missingness_correlation, on_prepared=True)
+        register(f"missingness_patterns_{fx}", fx, profile.missingness_patterns, O.missingness_patterns,
+                 on_prepared=True)
+    for fx in ("f1", "f2", "f8", "f9"):
+        register(f"distribution_stats_{fx}", fx, distribution.distribution_stats, O.distribution_stats)
+    for fx in ("f1", "f4", "f8", "f9"):
+        register(f"plausibility_{fx}", fx, distribution.plausibility, O.plausibility)
+    for fx in ("f1", "f2", "f8"):
+        register(f"extremes_{fx}", fx, distribution.extremes, O.extremes)
     for fx in ("f1", "f2", "f7", "f8", "f9"):
         register(f"comparison_stats_{fx}", fx, compare.comparison_stats, O.comparison_stats)
         register(f"similarity_stats_{fx}", fx, compare.similarity_stats, O.similarity_stats)

@@ -27,7 +27,7 @@ def SIG(e: str, digits: int = 10) -> str:
 
 
 def SIGCOLS(cols: list, inner: str, other: list = (), order: str = "") -> str:
-    sel = ", ".join([f"{SIG(c)} AS {c}" for c in cols] + list(other))
+    sel = ", ".join([f"{SIG(c)} AS {c}" for c in cols] + list(other))  # c may be a quoted identifier
     return f"SELECT {sel} FROM ({inner}) _r {order}"
 
 
@@ -123,3 +123,163 @@ qc AS (SELECT feature, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN co
     return base(fx) + _stats_ctes() + qc + " " + SIGCOLS(
         ["KS_Statistic", "Cohens_d", "JS_Divergence", "Quantile_Correlation", "Similarity_Score"], inner,
         ["Feature"])
+
+
+# ----------------------------------------------------------------- profiles
+FIXTURE_NAMES = {"f1": ("F", "O"), "f2": ("en", "other"), "f3": ("customer", "supplier"),
+                 "f4": ("orders", "lines"), "f5": ("exact", "rounded"), "f6": ("stored", "measured"),
+                 "f7": ("low", "high"), "f8": ("view", "purchase"), "f9": ("F", "O")}
+FIXTURE_STRINGS = {"f3": {"name"}}
+FIXTURE_PAIRED = {"f4", "f5", "f6"}
+
+
+def _q(c: str) -> str:
+    return f'"{c}"'
+
+
+def missingness(fx: str) -> str:
+    parts = []
+    for d, name in zip(("d1", "d2"), FIXTURE_NAMES[fx]):
+        for c in FIXTURE_COLUMNS[fx]:
+            parts.append(f"SELECT '{name}' AS Dataset, '{c}' AS Feature, count(*) - count({_q(c)}) AS Missing_Count, "
+                         f"(count(*) - count({_q(c)})) / count(*) * 100 AS Missing_Percent FROM {d}")
+    return base(fx) + " " + SIGCOLS(["Missing_Percent"], " UNION ALL ".join(parts),
+                                     ["Dataset", "Feature", "Missing_Count"])
+
+
+def _col_flags(fx: str, d: str, c: str) -> str:
+    qc = _q(c)
+    modal = f"(SELECT max(k) FROM (SELECT count(*) AS k FROM {d} WHERE {qc} IS NOT NULL GROUP BY {qc}))"
+    const = f"(count(DISTINCT {qc}) <= 1)"
+    near = f"((NOT {const}) AND coalesce({modal} / count({qc}), 0) >= 0.99)"
+    return const, near, f"(count({qc}) = 0)"
+
+
+def _dtype(fx: str, c: str) -> str:
+    if c in FIXTURE_STRINGS.get(fx, set()):
+        return "'object'"
+    qc = _q(c)
+    return (f"CASE WHEN any_value(typeof({qc})) IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') "
+            f"THEN CASE WHEN count(*) > count({qc}) THEN 'float64' ELSE 'int64' END ELSE 'float64' END")
+
+
+def feature_summary(fx: str) -> str:
+    parts = []
+    for d, name in zip(("d1", "d2"), FIXTURE_NAMES[fx]):
+        for c in FIXTURE_COLUMNS[fx]:
+            const, near, allm = _col_flags(fx, d, c)
+            parts.append(f"SELECT '{name}' AS Dataset, '{c}' AS Feature, {_dtype(fx, c)} AS DataType, "
+                         f"count(*) - count({_q(c)}) AS Missing_Count, "
+                         f"(count(*) - count({_q(c)})) / count(*) * 100 AS Missing_Percent, "
+                         f"{const} AS Is_Constant, {near} AS Is_Near_Constant, {allm} AS Is_All_Missing FROM {d}")
+    return base(fx) + " " + SIGCOLS(["Missing_Percent"], " UNION ALL ".join(parts),
+                                     ["Dataset", "Feature", "DataType", "Missing_Count", "Is_Constant",
+                                      "Is_Near_Constant", "Is_All_Missing"])
+
+
+def overview(fx: str) -> str:
+    parts = []
+    cols = FIXTURE_COLUMNS[fx]
+    strings = FIXTURE_STRINGS.get(fx, set())
+    for d, r, name in zip(("d1", "d2"), ("r1", "r2"), FIXTURE_NAMES[fx]):
+        width = " + ".join(f"coalesce(strlen(CAST({_q(c)} AS VARCHAR)), 0)" if c in strings else "8"
+                           for c in cols)
+        flags = []
+        for c in cols:
+            const, near, allm = _col_flags(fx, d, c)
+            flags.append(f"SELECT {const} AS c, {near} AS n, {allm} AS a FROM {d}")
+        fl = " UNION ALL ".join(flags)
+        parts.append(
+            f"SELECT '{name}' AS Dataset, (SELECT count(*) FROM {d}) AS Total_ECGs, {len(cols)} AS Total_Features, "
+            f"(SELECT round(sum({width}) / (1024.0 * 1024.0), 2) FROM {d}) AS Memory_Usage_MB, "
+            f"(SELECT count(*) - count(DISTINCT id) - max(CASE WHEN id IS NULL THEN 1 ELSE 0 END) FROM {d}) "
+            f"AS Duplicate_IDs, "
+            f"(SELECT count(*) FROM {r}) - (SELECT count(*) FROM {d}) AS Duplicate_Rows, "
+            f"(SELECT count(*) FILTER (WHERE c) FROM ({fl})) AS Constant_Columns, "
+            f"(SELECT count(*) FILTER (WHERE n) FROM ({fl})) AS Near_Constant_Columns, "
+            f"(SELECT count(*) FILTER (WHERE a) FROM ({fl})) AS All_Missing_Columns")
+    return base(fx) + " " + " UNION ALL ".join(parts)
+
+
+# ------------------------------------------------------------ distributions
+_PCT = [("p01", 0.01), ("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99)]
+
+
+def distribution_stats(fx: str) -> str:
+    n1, n2 = FIXTURE_NAMES[fx]
+    pc = ", ".join(f"quantile_cont(value, {q}) AS {k}" for k, q in _PCT)
+    ctes = f""",
+st AS (SELECT ds, feature, avg(value) AS mean, stddev_pop(value) AS sd, var_pop(value) AS var,
+  min(value) AS mn, max(value) AS mx, {pc} FROM L GROUP BY ds, feature),
+cm AS (SELECT L.ds, L.feature, avg(power(value - st.mean, 2)) AS m2, avg(power(value - st.mean, 3)) AS m3,
+  avg(power(value - st.mean, 4)) AS m4, quantile_cont(abs(value - st.p50), 0.5) AS mad
+  FROM L JOIN st ON L.ds = st.ds AND L.feature = st.feature GROUP BY L.ds, L.feature)"""
+    inner = (f"SELECT CASE WHEN st.ds = 1 THEN '{n1}' ELSE '{n2}' END AS Dataset, st.feature AS Feature, "
+             "mean AS Mean, p50 AS Median, sd AS SD, mn AS Min, mx AS Max, p75 - p25 AS IQR, mad AS MAD, "
+             "var AS Variance, CASE WHEN m2 = 0 THEN NULL ELSE m3 / power(m2, 1.5) END AS Skewness, "
+             "CASE WHEN m2 = 0 THEN NULL ELSE m4 / (m2 * m2) - 3 END AS Kurtosis, "
+             + ", ".join(k for k, _ in _PCT) +
+             " FROM st JOIN cm ON st.ds = cm.ds AND st.feature = cm.feature")
+    num = ["Mean", "Median", "SD", "Min", "Max", "IQR", "MAD", "Variance", "Skewness", "Kurtosis"] + [k for k, _ in _PCT]
+    return base(fx) + ctes + " " + SIGCOLS(num, inner, ["Dataset", "Feature"])
+
+
+def plausibility(fx: str) -> str:
+    n1, n2 = FIXTURE_NAMES[fx]
+    paired = fx in FIXTURE_PAIRED
+    ref_ds, tgt_ds, ref = (1, 2, n1) if paired else (2, 1, n2)
+    ctes = f""",
+b AS (SELECT feature, quantile_cont(value, 0.01) AS lower, quantile_cont(value, 0.99) AS upper
+  FROM L WHERE ds = {ref_ds} GROUP BY feature),
+t AS (SELECT L.feature, L.id, (L.value < b.lower OR L.value > b.upper) AS o FROM L JOIN b ON L.feature = b.feature
+  WHERE L.ds = {tgt_ds}),
+c AS (SELECT feature, count(*) FILTER (WHERE o) AS n_out, count(*) AS n_valid FROM t GROUP BY feature),
+e AS (SELECT feature, list(CAST(id AS VARCHAR) ORDER BY id) AS ex FROM
+  (SELECT feature, id, row_number() OVER (PARTITION BY feature ORDER BY id) AS rn FROM t WHERE o AND id IS NOT NULL)
+  WHERE rn <= 5 GROUP BY feature)"""
+    inner = (f'SELECT b.feature AS Feature, b.lower AS "Lower_Bound_{ref}", b.upper AS "Upper_Bound_{ref}", '
+             "coalesce(c.n_out, 0) AS Num_Outside_Range, "
+             "CASE WHEN c.n_valid > 0 THEN round_even(coalesce(c.n_out, 0) / c.n_valid * 100, 2) ELSE 0.0 END "
+             "AS Pct_Outside_Range, coalesce(e.ex, []::VARCHAR[]) AS Extreme_ECG_ID_Examples, "
+             f"'Bounds from {ref}' AS Note FROM b LEFT JOIN c ON b.feature = c.feature "
+             "LEFT JOIN e ON b.feature = e.feature")
+    return base(fx) + ctes + " " + SIGCOLS(
+        [f'"Lower_Bound_{ref}"', f'"Upper_Bound_{ref}"', "Pct_Outside_Range"], inner,
+        ["Feature", "Num_Outside_Range", "Extreme_ECG_ID_Examples", "Note"])
+
+
+def extremes(fx: str, n: int = 20) -> str:
+    n1, n2 = FIXTURE_NAMES[fx]
+    parts = []
+    for label, order in ((f"Top {n}", "value DESC, id ASC"), (f"Bottom {n}", "value ASC, id ASC")):
+        parts.append(
+            f"SELECT CASE WHEN ds = 1 THEN '{n1}' ELSE '{n2}' END AS Dataset, feature AS Feature, "
+            f"'{label}' AS Extreme_Type, list(round_even(value, 4) ORDER BY rn) AS \"Values\", "
+            f"list(id ORDER BY rn) AS ECG_IDs FROM (SELECT ds, feature, value, id, "
+            f"row_number() OVER (PARTITION BY ds, feature ORDER BY {order}) AS rn FROM L) WHERE rn <= {n} "
+            f"GROUP BY ds, feature")
+    return base(fx) + " " + " UNION ALL ".join(parts)
+
+
+def missingness_correlation(fx: str) -> str:
+    parts = []
+    cols = FIXTURE_COLUMNS[fx]
+    for d, name in zip(("d1", "d2"), FIXTURE_NAMES[fx]):
+        for i, a in enumerate(cols):
+            for b in cols[i + 1:]:
+                x = f"CAST({_q(a)} IS NULL AS DOUBLE)"
+                y = f"CAST({_q(b)} IS NULL AS DOUBLE)"
+                parts.append(f"SELECT '{name}' AS Dataset, '{a}' AS Feature_1, '{b}' AS Feature_2, "
+                             f"CASE WHEN var_pop({x}) > 0 AND var_pop({y}) > 0 "
+                             f"THEN covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})) END AS Correlation FROM {d}")
+    inner = "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE Correlation IS NOT NULL"
+    return base(fx) + " " + SIGCOLS(["Correlation"], inner, ["Dataset", "Feature_1", "Feature_2"])
+
+
+def missingness_patterns(fx: str) -> str:
+    parts = []
+    cols = FIXTURE_COLUMNS[fx]
+    pat = " || ".join(f"CASE WHEN {_q(c)} IS NULL THEN '1' ELSE '0' END" for c in cols)
+    for d, name in zip(("d1", "d2"), FIXTURE_NAMES[fx]):
+        parts.append(f"SELECT '{name}' AS Dataset, {pat} AS Pattern, count(*) AS Rows FROM {d} GROUP BY 2")
+    return base(fx) + " " + " UNION ALL ".join(parts)
