@@ -50,7 +50,7 @@ def register(name: str, fx: str, op, oracle=None, on_prepared: bool = False):
 def _register_all():
     from oracle import sql as O
 
-    from .operators import compare, distribution, profile
+    from .operators import compare, distribution, outliers, paired, profile
 
     for fx in ("f2", "f3", "f9"):
         register(f"missingness_{fx}", fx, profile.missingness, O.missingness, on_prepared=True)
@@ -67,6 +67,14 @@ def _register_all():
         register(f"plausibility_{fx}", fx, distribution.plausibility, O.plausibility)
     for fx in ("f1", "f2", "f8"):
         register(f"extremes_{fx}", fx, distribution.extremes, O.extremes)
+    for fx in ("f1", "f2", "f8", "f9"):
+        register(f"univariate_outliers_{fx}", fx, outliers.univariate_outliers, O.univariate_outliers)
+    for fx in ("f4", "f5", "f6"):
+        register(f"record_matching_{fx}", fx, paired.record_matching, O.record_matching, on_prepared=True)
+        register(f"paired_stats_{fx}", fx, paired.paired_stats, O.paired_stats)
+        register(f"paired_report_{fx}", fx, paired.paired_report)
+        register(f"paired_summary_{fx}", fx, paired.paired_summary)
+    register("bland_altman_density_f5", "f5", paired.bland_altman_density)
     for fx in ("f1", "f2", "f7", "f8", "f9"):
         register(f"comparison_stats_{fx}", fx, compare.comparison_stats, O.comparison_stats)
         register(f"similarity_stats_{fx}", fx, compare.similarity_stats, O.similarity_stats)

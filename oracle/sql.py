@@ -283,3 +283,105 @@ def missingness_patterns(fx: str) -> str:
     for d, name in zip(("d1", "d2"), FIXTURE_NAMES[fx]):
         parts.append(f"SELECT '{name}' AS Dataset, {pat} AS Pattern, count(*) AS Rows FROM {d} GROUP BY 2")
     return base(fx) + " " + " UNION ALL ".join(parts)
+
+
+# ----------------------------------------------------------------- outliers
+def univariate_outliers(fx: str) -> str:
+    n1, n2 = FIXTURE_NAMES[fx]
+    feats = FIXTURE_FEATURES[fx]
+    grid = " UNION ALL ".join(f"SELECT {d} AS ds, '{f}' AS feature" for d in (1, 2) for f in feats)
+    ctes = f""",
+grid AS ({grid}),
+rows_ AS (SELECT 1 AS ds, count(*) AS rows FROM d1 UNION ALL SELECT 2 AS ds, count(*) AS rows FROM d2),
+st AS (SELECT ds, feature, avg(value) AS mean, stddev_pop(value) AS sd, quantile_cont(value, 0.25) AS q1,
+  quantile_cont(value, 0.75) AS q3, quantile_cont(value, 0.5) AS med FROM L GROUP BY ds, feature),
+md AS (SELECT L.ds, L.feature, quantile_cont(abs(L.value - st.med), 0.5) AS mad FROM L JOIN st
+  ON L.ds = st.ds AND L.feature = st.feature GROUP BY L.ds, L.feature),
+cnt AS (SELECT L.ds, L.feature,
+  count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n_iqr,
+  count(*) FILTER (WHERE sd > 0 AND abs((value - mean) / sd) > 3.0) AS n_z,
+  count(*) FILTER (WHERE mad > 0 AND abs(0.6745 * (value - med) / mad) > 3.5) AS n_mad
+  FROM L JOIN st ON L.ds = st.ds AND L.feature = st.feature JOIN md ON L.ds = md.ds AND L.feature = md.feature
+  GROUP BY L.ds, L.feature),
+g AS (SELECT grid.ds, grid.feature, rows_.rows, cnt.n_iqr, cnt.n_z, cnt.n_mad FROM grid
+  JOIN rows_ ON grid.ds = rows_.ds LEFT JOIN cnt ON grid.ds = cnt.ds AND grid.feature = cnt.feature
+  WHERE rows_.rows >= 50)"""
+    parts = []
+    for col, method in (("n_iqr", "IQR"), ("n_z", "Z-Score"), ("n_mad", "MAD")):
+        parts.append(f"SELECT CASE WHEN ds = 1 THEN '{n1}' ELSE '{n2}' END AS Dataset, 'Univariate' AS Analysis_Type, "
+                     f"feature AS Feature_or_Method, '{method}' AS Method, "
+                     f"round_even(coalesce({col}, 0) / rows * 100, 2) AS Pct_Outliers FROM g")
+    return base(fx) + ctes + " " + SIGCOLS(["Pct_Outliers"], " UNION ALL ".join(parts),
+                                           ["Dataset", "Analysis_Type", "Feature_or_Method", "Method"])
+
+
+# ------------------------------------------------------------------- paired
+def record_matching(fx: str) -> str:
+    n1, n2 = FIXTURE_NAMES[fx]
+    ctes = """,
+i1 AS (SELECT DISTINCT id FROM r1 WHERE id IS NOT NULL), i2 AS (SELECT DISTINCT id FROM r2 WHERE id IS NOT NULL),
+m AS (SELECT (SELECT count(*) FROM i1 JOIN i2 ON i1.id = i2.id) AS matched,
+  (SELECT count(*) FROM i1 WHERE id NOT IN (SELECT id FROM i2)) AS only1,
+  (SELECT count(*) FROM i2 WHERE id NOT IN (SELECT id FROM i1)) AS only2,
+  (SELECT count(*) FROM i1) AS ids1,
+  (SELECT count(*) FROM r1) AS n1, (SELECT count(*) FROM r2) AS n2,
+  (SELECT count(*) - count(DISTINCT id) - max(CASE WHEN id IS NULL THEN 1 ELSE 0 END) FROM r1) AS dup1,
+  (SELECT count(*) - count(DISTINCT id) - max(CASE WHEN id IS NULL THEN 1 ELSE 0 END) FROM r2) AS dup2)"""
+    items = [(f"Records in {n1}", "n1"), (f"Records in {n2}", "n2"), ("Successfully matched", "matched"),
+             (f"Present only in {n1}", "only1"), (f"Present only in {n2}", "only2"),
+             (f"Duplicate IDs in {n1}", "dup1"), (f"Duplicate IDs in {n2}", "dup2"),
+             ("Match percentage (%)", "CASE WHEN ids1 > 0 THEN round_even(matched / ids1 * 100, 2) ELSE 0.0 END")]
+    inner = " UNION ALL ".join(f"SELECT '{k}' AS Metric, CAST({v} AS DOUBLE) AS Value FROM m" for k, v in items)
+    return base(fx) + ctes + " " + SIGCOLS(["Value"], inner, ["Metric"])
+
+
+def _pl(fx: str) -> str:
+    feats = FIXTURE_FEATURES[fx]
+    order = ", ".join(f"CAST({f} AS DOUBLE) ASC NULLS FIRST" for f in feats)
+    casts = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in feats)
+    k = f"""k1 AS (SELECT * FROM (SELECT id, {casts}, row_number() OVER (PARTITION BY id ORDER BY {order}) AS rn
+  FROM r1 WHERE id IS NOT NULL) WHERE rn = 1),
+k2 AS (SELECT * FROM (SELECT id, {casts}, row_number() OVER (PARTITION BY id ORDER BY {order}) AS rn
+  FROM r2 WHERE id IS NOT NULL) WHERE rn = 1),"""
+    pl = " UNION ALL ".join(f"SELECT k1.id, '{f}' AS feature, k1.{f} AS v1, k2.{f} AS v2 FROM k1 JOIN k2 "
+                            f"ON k1.id = k2.id WHERE k1.{f} IS NOT NULL AND k2.{f} IS NOT NULL" for f in feats)
+    return f",\n{k}\nPL AS ({pl})"
+
+
+def paired_stats(fx: str) -> str:
+    ctes = _pl(fx) + """,
+pm AS (SELECT feature, count(*) AS n, avg(v2 - v1) AS mean_d, avg(abs(v2 - v1)) AS mae,
+  sqrt(avg((v2 - v1) * (v2 - v1))) AS rmse,
+  avg(CASE WHEN v1 <> 0 THEN abs((v2 - v1) / v1) END) * 100 AS mape, stddev_samp(v2 - v1) AS sd_d,
+  var_samp(v1) AS s1, var_samp(v2) AS s2, covar_samp(v1, v2) AS c12,
+  covar_pop(v1, v2) AS cv, var_pop(v1) AS vx, var_pop(v2) AS vy,
+  quantile_cont(v2 - v1, 0.5) AS median_d FROM PL GROUP BY feature HAVING count(*) >= 10),
+rr AS (SELECT feature, v1, v2,
+  rank() OVER (PARTITION BY feature ORDER BY v1) + (count(*) OVER (PARTITION BY feature, v1) - 1) / 2.0 AS r1,
+  rank() OVER (PARTITION BY feature ORDER BY v2) + (count(*) OVER (PARTITION BY feature, v2) - 1) / 2.0 AS r2
+  FROM PL),
+sp AS (SELECT feature, CASE WHEN var_pop(r1) > 0 AND var_pop(r2) > 0
+  THEN covar_pop(r1, r2) / sqrt(var_pop(r1) * var_pop(r2)) END AS spearman FROM rr GROUP BY feature),
+wz AS (SELECT feature, v2 - v1 AS d,
+  rank() OVER (PARTITION BY feature ORDER BY abs(v2 - v1))
+  + (count(*) OVER (PARTITION BY feature, abs(v2 - v1)) - 1) / 2.0 AS r FROM PL WHERE v2 - v1 <> 0),
+wx AS (SELECT feature, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0))
+  AS w_stat FROM wz GROUP BY feature),
+core AS (SELECT pm.*, sp.spearman, wx.w_stat,
+  CASE WHEN n >= 3 AND s1 + s2 <> 0 THEN 2 * c12 / (s1 + s2) END AS icc,
+  CASE WHEN vx > 0 AND vy > 0 THEN cv / sqrt(vx * vy) END AS pearson,
+  CASE WHEN sd_d > 0 THEN -mean_d / (sd_d / sqrt(n)) END AS t_stat
+  FROM pm LEFT JOIN sp ON pm.feature = sp.feature LEFT JOIN wx ON pm.feature = wx.feature)"""
+    inner = """SELECT feature AS Feature, n AS N_Paired, round_even(mean_d, 6) AS Mean_Diff,
+  round_even(median_d, 6) AS Median_Diff, round_even(mae, 6) AS MAE, round_even(rmse, 6) AS RMSE,
+  round_even(mape, 4) AS MAPE_pct, round_even(t_stat, 4) AS Paired_t_stat, round_even(w_stat, 4) AS Wilcoxon_stat,
+  round_even(pearson, 6) AS Pearson_r, round_even(spearman, 6) AS Spearman_r, round_even(icc, 6) AS ICC,
+  round_even(mean_d, 6) AS BlandAltman_MeanDiff, round_even(sd_d, 6) AS BlandAltman_SD,
+  round_even(mean_d + 1.96 * sd_d, 6) AS BlandAltman_LoA_Upper, round_even(mean_d - 1.96 * sd_d, 6) AS BlandAltman_LoA_Lower,
+  CASE WHEN icc >= 0.95 AND mape < 5 THEN 'Excellent' WHEN icc >= 0.90 AND mape < 10 THEN 'Good'
+       WHEN icc >= 0.75 AND mape < 20 THEN 'Moderate' WHEN icc >= 0.50 THEN 'Fair' ELSE 'Poor' END AS Agreement
+  FROM core"""
+    num = ["Mean_Diff", "Median_Diff", "MAE", "RMSE", "MAPE_pct", "Paired_t_stat", "Wilcoxon_stat", "Pearson_r",
+           "Spearman_r", "ICC", "BlandAltman_MeanDiff", "BlandAltman_SD", "BlandAltman_LoA_Upper",
+           "BlandAltman_LoA_Lower"]
+    return base(fx) + ctes + " " + SIGCOLS(num, inner, ["Feature", "N_Paired", "Agreement"])
