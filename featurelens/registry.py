@@ -50,7 +50,7 @@ def register(name: str, fx: str, op, oracle=None, on_prepared: bool = False):
 def _register_all():
     from oracle import sql as O
 
-    from .operators import compare, distribution, outliers, paired, profile
+    from .operators import compare, correlation, distribution, outliers, paired, profile
 
     for fx in ("f2", "f3", "f9"):
         register(f"missingness_{fx}", fx, profile.missingness, O.missingness, on_prepared=True)
@@ -75,6 +75,14 @@ def _register_all():
         register(f"paired_report_{fx}", fx, paired.paired_report)
         register(f"paired_summary_{fx}", fx, paired.paired_summary)
     register("bland_altman_density_f5", "f5", paired.bland_altman_density)
+    for fx in ("f2", "f3", "f1"):
+        register(f"pearson_matrix_{fx}", fx, correlation.pearson_matrix, O.pearson_matrix)
+        register(f"spearman_matrix_{fx}", fx, correlation.spearman_matrix, O.spearman_matrix)
+    for fx in ("f2", "f3"):
+        register(f"kendall_matrix_{fx}", fx, correlation.kendall_matrix, O.kendall_matrix)
+    register("kendall_matrix_f7", "f7", correlation.kendall_matrix)
+    register("high_correlation_pairs_f7", "f7", correlation.high_correlation_pairs)
+    register("high_correlation_pairs_f2", "f2", correlation.high_correlation_pairs, O.high_correlation_pairs)
     for fx in ("f1", "f2", "f7", "f8", "f9"):
         register(f"comparison_stats_{fx}", fx, compare.comparison_stats, O.comparison_stats)
         register(f"similarity_stats_{fx}", fx, compare.similarity_stats, O.similarity_stats)

@@ -385,3 +385,75 @@ core AS (SELECT pm.*, sp.spearman, wx.w_stat,
            "Spearman_r", "ICC", "BlandAltman_MeanDiff", "BlandAltman_SD", "BlandAltman_LoA_Upper",
            "BlandAltman_LoA_Lower"]
     return base(fx) + ctes + " " + SIGCOLS(num, inner, ["Feature", "N_Paired", "Agreement"])
+
+
+# -------------------------------------------------------------- correlation
+def _pair_list(fx: str):
+    f = FIXTURE_FEATURES[fx]
+    return [(f[i], f[j]) for i in range(len(f)) for j in range(i, len(f))]
+
+
+def _corr_expr(x: str, y: str) -> str:
+    return (f"CASE WHEN count(*) >= 2 AND var_pop({x}) > 0 AND var_pop({y}) > 0 "
+            f"THEN greatest(-1.0, least(1.0, covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})))) END")
+
+
+def _named(fx: str) -> str:
+    n1, n2 = FIXTURE_NAMES[fx]
+    return f"CASE WHEN ds = 1 THEN '{n1}' ELSE '{n2}' END"
+
+
+def pearson_matrix(fx: str) -> str:
+    parts = []
+    for d in (1, 2):
+        for a, b in _pair_list(fx):
+            parts.append(f"SELECT {d} AS ds, '{a}' AS Feature_1, '{b}' AS Feature_2, "
+                         f"{_corr_expr(a, b)} AS Correlation FROM d{d} WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+    inner = (f"SELECT {_named(fx)} AS Dataset, 'Pearson' AS Method, Feature_1, Feature_2, Correlation "
+             f"FROM ({' UNION ALL '.join(parts)})")
+    return base(fx) + " " + SIGCOLS(["Correlation"], inner, ["Dataset", "Method", "Feature_1", "Feature_2"])
+
+
+def _pair_rows(fx: str) -> str:
+    parts = []
+    for d in (1, 2):
+        for a, b in _pair_list(fx):
+            parts.append(f"SELECT {d} AS ds, '{a}' AS fa, '{b}' AS fb, CAST({a} AS DOUBLE) AS x, "
+                         f"CAST({b} AS DOUBLE) AS y FROM d{d} WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+    return f",\npr AS ({' UNION ALL '.join(parts)})"
+
+
+def spearman_matrix(fx: str) -> str:
+    ctes = _pair_rows(fx) + """,
+rr AS (SELECT ds, fa, fb,
+  rank() OVER (PARTITION BY ds, fa, fb ORDER BY x) + (count(*) OVER (PARTITION BY ds, fa, fb, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY ds, fa, fb ORDER BY y) + (count(*) OVER (PARTITION BY ds, fa, fb, y) - 1) / 2.0 AS ry
+  FROM pr)"""
+    inner = (f"SELECT {_named(fx)} AS Dataset, 'Spearman' AS Method, fa AS Feature_1, fb AS Feature_2, "
+             f"{_corr_expr('rx', 'ry')} AS Correlation FROM rr GROUP BY ds, fa, fb")
+    return base(fx) + ctes + " " + SIGCOLS(["Correlation"], inner, ["Dataset", "Method", "Feature_1", "Feature_2"])
+
+
+def kendall_matrix(fx: str) -> str:
+    ctes = _pair_rows(fx) + """,
+pn AS (SELECT *, row_number() OVER (PARTITION BY ds, fa, fb ORDER BY x, y) AS rid FROM pr),
+s AS (SELECT a.ds, a.fa, a.fb, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS cd,
+  count(*) FILTER (WHERE a.x = b.x) AS tx, count(*) FILTER (WHERE a.y = b.y) AS ty, count(*) AS n0
+  FROM pn a JOIN pn b ON a.ds = b.ds AND a.fa = b.fa AND a.fb = b.fb AND a.rid < b.rid GROUP BY 1, 2, 3)"""
+    inner = (f"SELECT {_named(fx)} AS Dataset, 'Kendall' AS Method, fa AS Feature_1, fb AS Feature_2, "
+             "CASE WHEN (n0 - tx) * (n0 - ty) > 0 THEN cd / sqrt(CAST((n0 - tx) AS DOUBLE) * (n0 - ty)) END "
+             "AS Correlation FROM s")
+    return base(fx) + ctes + " " + SIGCOLS(["Correlation"], inner, ["Dataset", "Method", "Feature_1", "Feature_2"])
+
+
+def high_correlation_pairs(fx: str) -> str:
+    """C5 over the three matrices of the fixture."""
+    mats = []
+    for builder in (pearson_matrix, spearman_matrix, kendall_matrix):
+        mats.append(builder(fx))
+    # each matrix statement is self-contained; wrap them as subqueries
+    parts = [f"SELECT * FROM ({m})" for m in mats]
+    return ("SELECT Dataset, Method, '> ' || CAST(t AS VARCHAR) AS Threshold, Feature_2 AS Feature_1, "
+            "Feature_1 AS Feature_2, Correlation FROM (" + " UNION ALL ".join(parts) + ") m, "
+            "(SELECT unnest([0.9, 0.95, 0.99]) AS t) th "
+            "WHERE Feature_1 <> Feature_2 AND Correlation IS NOT NULL AND abs(Correlation) > t")
