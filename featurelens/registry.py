@@ -10,10 +10,11 @@ and by property tests.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.columns import sig
-from .plans.tables import Tables
+from .plans.tables import Tables, ds_name
 from .sources.fixtures import FIXTURES
 from .sources.loader import prepare
 
@@ -50,7 +51,7 @@ def register(name: str, fx: str, op, oracle=None, on_prepared: bool = False):
 def _register_all():
     from oracle import sql as O
 
-    from .operators import compare, correlation, distribution, outliers, paired, profile
+    from .operators import compare, correlation, distribution, outliers, paired, profile, quality, redundancy
 
     for fx in ("f2", "f3", "f9"):
         register(f"missingness_{fx}", fx, profile.missingness, O.missingness, on_prepared=True)
@@ -83,6 +84,16 @@ def _register_all():
     register("kendall_matrix_f7", "f7", correlation.kendall_matrix)
     register("high_correlation_pairs_f7", "f7", correlation.high_correlation_pairs)
     register("high_correlation_pairs_f2", "f2", correlation.high_correlation_pairs, O.high_correlation_pairs)
+    for fx in ("f1", "f2", "f9"):
+        register(f"redundancy_flags_{fx}", fx, redundancy.redundancy_flags, O.redundancy_flags)
+    register("vif_f3", "f3", lambda t: redundancy.vif(t).select(
+        ds_name(t.spec).alias("Dataset"), F.col("feature").alias("Feature"), F.col("vif").alias("VIF")), O.vif_two)
+    for fx in ("f1", "f7", "f9"):
+        register(f"redundancy_report_{fx}", fx, redundancy.redundancy_report)
+    for fx in ("f1", "f2", "f8", "f9"):
+        register(f"quality_score_{fx}", fx, quality.quality_score, O.quality_score)
+    for fx in ("f1", "f4", "f9"):
+        register(f"conclusions_{fx}", fx, quality.conclusions)
     for fx in ("f1", "f2", "f7", "f8", "f9"):
         register(f"comparison_stats_{fx}", fx, compare.comparison_stats, O.comparison_stats)
         register(f"similarity_stats_{fx}", fx, compare.similarity_stats, O.similarity_stats)

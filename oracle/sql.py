@@ -457,3 +457,76 @@ def high_correlation_pairs(fx: str) -> str:
             "Feature_1 AS Feature_2, Correlation FROM (" + " UNION ALL ".join(parts) + ") m, "
             "(SELECT unnest([0.9, 0.95, 0.99]) AS t) th "
             "WHERE Feature_1 <> Feature_2 AND Correlation IS NOT NULL AND abs(Correlation) > t")
+
+
+# ------------------------------------------------------- redundancy, quality
+def _flags_sql(fx: str, d: str) -> str:
+    parts = []
+    for f in FIXTURE_FEATURES[fx]:
+        modal = f"(SELECT max(k) FROM (SELECT count(*) AS k FROM {d} WHERE {f} IS NOT NULL GROUP BY {f}))"
+        const = f"(count(DISTINCT {f}) <= 1)"
+        near = (f"((NOT {const}) AND (coalesce(var_samp(CAST({f} AS DOUBLE)) < 0.0001, false) "
+                f"OR coalesce({modal} / count({f}) >= 0.99, false)))")
+        parts.append(f"SELECT '{f}' AS feature, {const} AS is_constant, {near} AS is_near_constant FROM {d}")
+    return " UNION ALL ".join(parts)
+
+
+def redundancy_flags(fx: str) -> str:
+    n1, n2 = FIXTURE_NAMES[fx]
+    parts = []
+    for d, name in (("d1", n1), ("d2", n2)):
+        parts.append(f"SELECT feature AS Feature, '{name}' AS Dataset, is_constant AS Is_Constant, "
+                     f"is_near_constant AS Is_Near_Constant, CASE WHEN is_constant THEN 'Remove (Constant)' "
+                     f"WHEN is_near_constant THEN 'Review for Removal (Near Constant)' ELSE 'Check VIF' END "
+                     f"AS Recommendation FROM ({_flags_sql(fx, d)})")
+    return base(fx) + " " + " UNION ALL ".join(parts)
+
+
+def vif_two(fx: str) -> str:
+    """Uncentred two-column VIF: G11 G22 / (G11 G22 - G12^2), median-imputed."""
+    a, b = FIXTURE_FEATURES[fx]
+    n1, n2 = FIXTURE_NAMES[fx]
+    parts = []
+    for d, name in (("d1", n1), ("d2", n2)):
+        imp = (f"SELECT coalesce(CAST({a} AS DOUBLE), (SELECT quantile_cont({a}, 0.5) FROM {d})) AS x, "
+               f"coalesce(CAST({b} AS DOUBLE), (SELECT quantile_cont({b}, 0.5) FROM {d})) AS y FROM {d}")
+        g = f"(SELECT sum(x * x) AS gxx, sum(y * y) AS gyy, sum(x * y) AS gxy FROM ({imp}))"
+        parts.append(f"SELECT '{name}' AS Dataset, '{a}' AS Feature, gxx * gyy / (gxx * gyy - gxy * gxy) AS VIF FROM {g}")
+        parts.append(f"SELECT '{name}' AS Dataset, '{b}' AS Feature, gxx * gyy / (gxx * gyy - gxy * gxy) AS VIF FROM {g}")
+    return base(fx) + " " + SIGCOLS(["VIF"], " UNION ALL ".join(parts), ["Dataset", "Feature"])
+
+
+def _fmt1(x: str) -> str:
+    return f"printf('%.1f', round_even({x} * 10, 0) / 10)"
+
+
+def quality_score(fx: str) -> str:
+    n1, n2 = FIXTURE_NAMES[fx]
+    feats = ", ".join(f"'{f}'" for f in FIXTURE_FEATURES[fx])
+    q = f"""WITH feats AS (SELECT unnest([{feats}]) AS feature),
+miss AS (SELECT Feature AS feature, Missing_Percent AS miss_pct FROM ({missingness(fx)}) WHERE Dataset = '{n2}'),
+iqr AS (SELECT Feature_or_Method AS feature, Pct_Outliers AS iqr_pct FROM ({univariate_outliers(fx)})
+  WHERE Dataset = '{n2}' AND Method = 'IQR'),
+pl AS (SELECT Feature AS feature, Pct_Outside_Range AS implaus_pct FROM ({plausibility(fx)})),
+sim AS (SELECT Feature AS feature, Similarity_Score AS sim_score FROM ({similarity_stats(fx)})),
+fl AS (SELECT * FROM ({base(fx)} {_flags_sql(fx, 'd2')})),
+j AS (SELECT feats.feature, miss_pct AS m, iqr_pct AS o, implaus_pct AS p, sim_score AS s, is_constant, is_near_constant
+  FROM feats LEFT JOIN miss ON feats.feature = miss.feature LEFT JOIN iqr ON feats.feature = iqr.feature
+  LEFT JOIN pl ON feats.feature = pl.feature LEFT JOIN sim ON feats.feature = sim.feature
+  LEFT JOIN fl ON feats.feature = fl.feature),
+sc AS (SELECT feature, CAST(100
+  - CASE WHEN m > 5.0 THEN least(30, floor((m - 5.0) * 1.5)) ELSE 0 END
+  - CASE WHEN o > 5.0 THEN least(20, floor((o - 5.0) * 2)) ELSE 0 END
+  - CASE WHEN p > 1.0 THEN least(20, floor(p * 2)) ELSE 0 END
+  - CASE WHEN s < 70.0 THEN least(30, floor((70.0 - s) * 0.5)) ELSE 0 END
+  - CASE WHEN is_constant THEN 50 WHEN is_near_constant THEN 30 ELSE 0 END AS INTEGER) AS sc,
+  concat_ws(' | ',
+    CASE WHEN m > 5.0 THEN 'Missingness (' || {_fmt1('m')} || '%)' END,
+    CASE WHEN o > 5.0 THEN 'Outliers (' || {_fmt1('o')} || '%)' END,
+    CASE WHEN p > 1.0 THEN 'Implausible Values (' || {_fmt1('p')} || '%)' END,
+    CASE WHEN s < 70.0 THEN 'Low Similarity (' || {_fmt1('s')} || '/100)' END,
+    CASE WHEN is_constant THEN 'Constant' WHEN is_near_constant THEN 'Near-Constant' END) AS iss FROM j)
+SELECT feature AS Feature, greatest(sc, 0) AS Quality_Score,
+  CASE WHEN sc >= 90 THEN 'Excellent' WHEN sc >= 80 THEN 'Good' WHEN sc >= 70 THEN 'Fair' WHEN sc >= 60 THEN 'Poor'
+  ELSE 'Very Poor' END AS Category, CASE WHEN iss = '' THEN 'None' ELSE iss END AS Primary_Issues FROM sc"""
+    return q
