@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import corr_from_parts, corr_parts
 from ..functions.special import kolmogorov_sf_udf, norm_sf_udf
+from ..plans.shape import numpy_bin
 from ..plans.tables import QGRID, Tables
 
 
@@ -26,22 +27,56 @@ def _by_ds(df: DataFrame, cols: list) -> DataFrame:
     return df.groupBy("feature").agg(*aggs)
 
 
-def sample_stats(t: Tables) -> DataFrame:
-    """(feature, n1, n2, mean1, mean2, var1, var2, median1, median2) with the n>=k guard."""
+def feature_stats(t: Tables, with_grid: bool = False) -> DataFrame:
+    """One aggregate per feature with both datasets side by side.
+
+    (feature, n1, n2, mean1, mean2, var_samp1, var_samp2, lo, hi, median1,
+    median2[, grid1, grid2]) where grid = the 100 quantiles 0.01..0.99.  On
+    bounded inputs the exact percentiles ride in the same aggregate;
+    otherwise they come from the two-level rank path.
+    """
+    v = F.col("value")
+    x1, x2 = F.when(F.col("ds") == 1, v), F.when(F.col("ds") == 2, v)
+    aggs = [F.count(x1).alias("n1"), F.count(x2).alias("n2"), F.avg(x1).alias("mean1"), F.avg(x2).alias("mean2"),
+            F.var_samp(x1).alias("var_samp1"), F.var_samp(x2).alias("var_samp2"),
+            F.min(v).alias("lo"), F.max(v).alias("hi")]
+    probs = [0.5] + (QGRID if with_grid else [])
+    if t.small:
+        arr = F.array(*[F.lit(float(q)) for q in probs])
+        aggs += [F.percentile(x1, arr).alias("_q1"), F.percentile(x2, arr).alias("_q2")]
+        a = t.long.groupBy("feature").agg(*aggs)
+        out = a.select("*", F.col("_q1")[0].alias("median1"), F.col("_q2")[0].alias("median2"))
+        if with_grid:
+            out = out.withColumn("grid1", F.slice("_q1", 2, len(QGRID))).withColumn("grid2", F.slice("_q2", 2, len(QGRID)))
+        return out.drop("_q1", "_q2")
+    a = t.long.groupBy("feature").agg(*aggs)
+    q = t.quantiles(probs)
+    qa = q.groupBy("feature").agg(
+        *[F.max(F.when((F.col("ds") == d) & (F.abs(F.col("q") - 0.5) < 1e-12), F.col("quantile"))).alias(f"median{d}")
+          for d in (1, 2)],
+        *[F.transform(F.array_sort(F.collect_list(F.when(F.col("ds") == d, F.struct("q", "quantile")))),
+                      lambda s: s["quantile"]).alias(f"grid{d}") for d in (1, 2)])
+    if not with_grid:
+        qa = qa.drop("grid1", "grid2")
+    return a.join(F.broadcast(qa), "feature", "left")
+
+
+def sample_stats(t: Tables, with_grid: bool = False) -> DataFrame:
+    """``feature_stats`` with the n >= k guard of the comparison reports."""
     k = t.spec.thresholds.min_compare_n
-    m = _by_ds(t.moments, ["n", "mean", "var_samp"])
-    med = _by_ds(t.percentiles.select("ds", "feature", F.col("p50").alias("median")), ["median"])
-    return (m.join(med, "feature")
-            .where((F.col("n1") >= k) & (F.col("n2") >= k)))
+    return feature_stats(t, with_grid).where((F.col("n1") >= k) & (F.col("n2") >= k))
 
 
-def cohens_d(t: Tables) -> DataFrame:
-    """Pooled *sample* variance; 0 when the pooled variance is not positive."""
-    s = sample_stats(t)
+def _cohen(s: DataFrame) -> DataFrame:
     pooled = ((F.col("n1") - 1) * F.col("var_samp1") + (F.col("n2") - 1) * F.col("var_samp2")) / (
         F.col("n1") + F.col("n2") - 2)
     d = F.when(pooled > 0, (F.col("mean1") - F.col("mean2")) / F.sqrt(pooled)).otherwise(F.lit(0.0))
-    return s.select("feature", d.alias("cohen_d"))
+    return s.withColumn("cohen_d", d)
+
+
+def cohens_d(t: Tables) -> DataFrame:
+    """Pooled *sample* variance; 0 when the pooled variance is not positive."""
+    return _cohen(sample_stats(t)).select("feature", "cohen_d")
 
 
 def ks_mw(t: Tables) -> DataFrame:
@@ -55,52 +90,73 @@ def ks_mw(t: Tables) -> DataFrame:
     return r.groupBy("feature").agg(
         F.max(F.abs(f1 - f2)).alias("ks"),
         F.sum(F.col("n1") * avg_rank).alias("r1"),
-        F.sum(n.cast("double") * n * n - n).alias("tie"),
-        F.first("tot_n1").alias("N1"), F.first("tot_n2").alias("N2"))
+        F.sum(n.cast("double") * n * n - n).alias("tie"))
 
 
-def hist_metrics(t: Tables) -> DataFrame:
+def hist_metrics(t: Tables, stats: DataFrame) -> DataFrame:
     """T8 overlap coefficient and T9 Jensen-Shannon divergence per feature.
 
     Bins as numpy: densities c / width / n, areas density * (hi-lo)/bins;
-    JSD adds 1e-10 to each density, renormalises, natural log.
+    JSD adds 1e-10 to each density, renormalises, natural log.  The
+    per-feature bin list is bounded by the bin count, so the final step is
+    array algebra on one row per feature.
     """
     eps = 1e-10
-    h = t.hist
-    d1 = F.col("c1") / F.col("width") / F.col("N1")
-    d2 = F.col("c2") / F.col("width") / F.col("N2")
-    pre = h.select("feature", (d1 * F.col("step")).alias("a1"), (d2 * F.col("step")).alias("a2"),
-                   (d1 + eps).alias("e1"), (d2 + eps).alias("e2"))
-    tot = pre.groupBy("feature").agg(F.sum("e1").alias("s1"), F.sum("e2").alias("s2"))
-    j = pre.join(tot, "feature")
-    p, q = F.col("e1") / F.col("s1"), F.col("e2") / F.col("s2")
-    m = 0.5 * (p + q)
-    return j.groupBy("feature").agg(
-        F.sum(F.least("a1", "a2")).alias("overlap"),
-        (0.5 * F.sum(p * F.log(p / m)) + 0.5 * F.sum(q * F.log(q / m))).alias("jsd"))
-
-
-def quantile_correlation(t: Tables) -> DataFrame:
+    bins = t.spec.thresholds.histogram_bins
+    rng = stats.select("feature", "lo", "hi", F.col("n1").alias("N1"), F.col("n2").alias("N2")) \
+               .where(F.col("lo") < F.col("hi"))
+    counts = (t.long.join(F.broadcast(rng.select("feature", "lo", "hi")), "feature")
+              .groupBy("feature", numpy_bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+              .agg(F.count_if(F.col("ds") == 1).alias("c1"), F.count_if(F.col("ds") == 2).alias("c2")))
+    per = counts.groupBy("feature").agg(F.map_from_entries(F.collect_list(
+        F.struct("bin", F.struct("c1", "c2")))).alias("_m"))
+    g = rng.join(F.broadcast(per), "feature", "left")
+    step = (F.col("hi") - F.col("lo")) / bins
+    grid = F.sequence(F.lit(0), F.lit(bins - 1))
+
+    def cell(b):
+        e = F.element_at(F.col("_m"), b)
+        c1 = F.coalesce(e["c1"], F.lit(0)).cast("double")
+        c2 = F.coalesce(e["c2"], F.lit(0)).cast("double")
+        left = b * step + F.col("lo")
+        right = F.when(b == bins - 1, F.col("hi")).otherwise((b + 1) * step + F.col("lo"))
+        w = right - left
+        d1, d2 = c1 / w / F.col("N1"), c2 / w / F.col("N2")
+        return F.struct((d1 * step).alias("a1"), (d2 * step).alias("a2"), (d1 + eps).alias("e1"), (d2 + eps).alias("e2"))
+
+    cells = g.select("feature", F.transform(grid, cell).alias("_c"))
+    s1 = F.aggregate(F.col("_c"), F.lit(0.0), lambda acc, x: acc + x["e1"])
+    s2 = F.aggregate(F.col("_c"), F.lit(0.0), lambda acc, x: acc + x["e2"])
+    tot = cells.select("feature", "_c", s1.alias("s1"), s2.alias("s2"))
+
+    def jterm(acc, x):
+        p = x["e1"] / F.col("s1")
+        q = x["e2"] / F.col("s2")
+        m = 0.5 * (p + q)
+        return acc + 0.5 * p * F.log(p / m) + 0.5 * q * F.log(q / m)
+
+    ov = F.aggregate(F.col("_c"), F.lit(0.0), lambda acc, x: acc + F.least(x["a1"], x["a2"]))
+    js = F.aggregate(F.col("_c"), F.lit(0.0), jterm)
+    return tot.select("feature", ov.alias("overlap"), js.alias("jsd"))
+
+
+def quantile_correlation(t: Tables, stats: DataFrame | None = None) -> DataFrame:
     """Pearson r between the 100 quantiles (0.01..0.99) of each side.
 
     A constant side gives NULL (the reference adds unseeded noise there).
     """
-    q = t.quantiles(QGRID)
-    w = q.groupBy("feature", "q").agg(
-        F.max(F.when(F.col("ds") == 1, F.col("quantile"))).alias("x"),
-        F.max(F.when(F.col("ds") == 2, F.col("quantile"))).alias("y"))
-    r = w.groupBy("feature").agg(*corr_parts(F.col("x"), F.col("y"), "qc"))
+    st = stats if stats is not None else feature_stats(t, with_grid=True)
+    z = st.select("feature", F.explode(F.arrays_zip(F.col("grid1").alias("x"), F.col("grid2").alias("y"))).alias("z"))
+    r = z.groupBy("feature").agg(*corr_parts(F.col("z.x"), F.col("z.y"), "qc"))
     return r.select("feature", corr_from_parts("qc").alias("qcorr"))
 
 
-def _core(t: Tables) -> DataFrame:
-    s = sample_stats(t)
-    feats = s.select("feature", "n1", "n2", "mean1", "mean2", "median1", "median2")
-    rng = t.vc.groupBy("feature").agg((F.min("value") == F.max("value")).alias("flat"))
-    out = (feats.join(cohens_d(t), "feature").join(ks_mw(t).drop("N1", "N2"), "feature")
-           .join(rng, "feature").join(hist_metrics(t), "feature", "left"))
-    return (out.withColumn("overlap", F.when(F.col("flat"), 1.0).otherwise(F.coalesce("overlap", F.lit(0.0))))
-               .withColumn("jsd", F.when(F.col("flat"), 0.0).otherwise(F.col("jsd")))
+def _core(t: Tables, with_grid: bool = False) -> DataFrame:
+    s = _cohen(sample_stats(t, with_grid)).persist()
+    out = s.join(F.broadcast(ks_mw(t)), "feature").join(F.broadcast(hist_metrics(t, s)), "feature", "left")
+    flat = F.col("lo") == F.col("hi")
+    return (out.withColumn("overlap", F.when(flat, 1.0).otherwise(F.coalesce("overlap", F.lit(0.0))))
+               .withColumn("jsd", F.when(flat, 0.0).otherwise(F.col("jsd")))
                .withColumn("u1", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0))
 
 
@@ -158,7 +214,8 @@ def similarity_score(jsd, overlap, ks):
 
 def similarity_stats(t: Tables) -> DataFrame:
     """T14 without the KS p-value (SQL-checkable)."""
-    c = _core(t).join(quantile_correlation(t), "feature", "left")
+    c = _core(t, with_grid=True)
+    c = c.join(F.broadcast(quantile_correlation(t, c)), "feature", "left")
     return c.select(
         F.col("feature").alias("Feature"),
         F.col("ks").alias("KS_Statistic"),
@@ -170,7 +227,8 @@ def similarity_stats(t: Tables) -> DataFrame:
 
 def similarity_report(t: Tables) -> DataFrame:
     """7 columns, sorted by score descending (feature breaks ties)."""
-    c = _p_values(_core(t)).join(quantile_correlation(t), "feature", "left")
+    c = _core(t, with_grid=True)
+    c = _p_values(c).join(F.broadcast(quantile_correlation(t, c)), "feature", "left")
     return c.select(
         F.col("feature").alias("Feature"),
         F.col("ks").alias("KS_Statistic"), F.col("ks_p").alias("KS_pvalue"),

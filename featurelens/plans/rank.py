@@ -50,14 +50,16 @@ def max_group_rows(df: DataFrame, keys: list) -> int:
 
 
 def cumulate(df: DataFrame, keys: list, value: str, weights: list,
-             bucket_rows: int = 2_000_000) -> DataFrame:
+             bucket_rows: int = 2_000_000, max_rows: int | None = None) -> DataFrame:
     """Running sums ``cum_<w>`` (inclusive) and totals ``tot_<w>`` per ``keys``.
 
     ``(keys, value)`` must be unique in ``df``.  Extra bookkeeping column
     ``_b`` (bucket) is returned and can be used by ``quantiles``.
+    ``max_rows``: a known upper bound of the group size (skips one job).
     """
     spark = df.sparkSession
-    max_rows = max_group_rows(df, keys)
+    if max_rows is None or max_rows > bucket_rows:
+        max_rows = max_group_rows(df, keys)
     n_buckets = 1
     while n_buckets < MAX_BUCKETS and n_buckets * bucket_rows < max_rows:
         n_buckets *= 2
@@ -157,7 +159,7 @@ def group_quantiles(df: DataFrame, keys: list, value: str, weights: list, probs:
     the exact ``percentile`` aggregate holds a bounded buffer per group and
     runs as one aggregate; otherwise the two-level rank path is used.
     """
-    if max_rows is None:
+    if max_rows is None or max_rows > bucket_rows:
         max_rows = max_group_rows(df, keys)
     parts = []
     if max_rows <= bucket_rows:
@@ -171,7 +173,7 @@ def group_quantiles(df: DataFrame, keys: list, value: str, weights: list, probs:
                          .select(*keys, "w", F.element_at(arr, F.col("_k") + 1).alias("q"), "quantile"))
     else:
         if rk is None:
-            rk = cumulate(df, keys, value, weights, bucket_rows)
+            rk = cumulate(df, keys, value, weights, bucket_rows, max_rows)
         for i, w in enumerate(weights):
             parts.append(quantiles(rk, keys, value, w, probs).withColumn("w", F.lit(i)))
     out = parts[0]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..sources.loader import Prepared
 from ..spec import RunSpec
 from . import shape
-from .rank import group_quantiles, max_group_rows
+from .rank import cumulate, group_quantiles, max_group_rows
 
 PCTS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 # numpy.linspace(0.01, 0.99, 100): probabilities of the quantile-correlation grid
@@ -55,13 +55,25 @@ class Tables:
     def vc(self) -> DataFrame:
         return self._keep(shape.value_counts(self.long))
 
+    @cached_property
+    def row_bound(self) -> int:
+        """Rows of both analysed tables (one job): bounds every per-feature group."""
+        a = self.p.d1.select(F.lit(1).alias("o")).unionByName(self.p.d2.select(F.lit(1).alias("o")))
+        return int(a.count())
+
+    @property
+    def small(self) -> bool:
+        """Every per-feature group fits the bounded single-task path."""
+        return self.row_bound <= self.spec.rank_bucket_rows
+
     @cached_property
     def vc_max_rows(self) -> int:
-        return max_group_rows(self.vc, ["feature"])
+        return self.row_bound if self.small else max_group_rows(self.vc, ["feature"])
 
     @cached_property
     def rk(self) -> DataFrame:
-        return self._keep(shape.ranked(self.vc, self.spec.rank_bucket_rows))
+        return self._keep(cumulate(self.vc, ["feature"], "value", ["n1", "n2"], self.spec.rank_bucket_rows,
+                                   self.vc_max_rows))
 
     @cached_property
     def hist(self) -> DataFrame:
@@ -78,7 +90,16 @@ class Tables:
             F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt")))
 
     def quantiles(self, probs: list) -> DataFrame:
-        """(ds, feature, q, quantile) exact, for both datasets."""
+        """(ds, feature, q, quantile) exact, for both datasets.
+
+        Small inputs (bounded groups): one exact ``percentile`` aggregate over
+        the long rows.  Otherwise value counts + the two-level rank kernel.
+        """
+        if self.small:
+            arr = F.array(*[F.lit(float(q)) for q in probs])
+            a = self.long.groupBy("ds", "feature").agg(F.percentile("value", arr).alias("_p"))
+            return (a.select("ds", "feature", F.posexplode("_p").alias("_k", "quantile"))
+                    .select("ds", "feature", F.element_at(arr, F.col("_k") + 1).alias("q"), "quantile"))
         big = self.vc_max_rows > self.spec.rank_bucket_rows
         q = group_quantiles(self.vc, ["feature"], "value", ["n1", "n2"], probs, self.spec.rank_bucket_rows,
                             self.vc_max_rows, self.rk if big else None)
@@ -87,6 +108,10 @@ class Tables:
     @cached_property
     def percentiles(self) -> DataFrame:
         """(ds, feature, p01..p99) — the seven report percentiles, exact."""
+        if self.small:
+            arr = F.array(*[F.lit(x) for x in PCTS.values()])
+            a = self.long.groupBy("ds", "feature").agg(F.percentile("value", arr).alias("_p"))
+            return self._keep(a.select("ds", "feature", *[F.col("_p")[i].alias(k) for i, k in enumerate(PCTS)]))
         q = self.quantiles(sorted(set(PCTS.values())))
         aggs = [F.max(F.when(F.abs(F.col("q") - x) < 1e-12, F.col("quantile"))).alias(k) for k, x in PCTS.items()]
         return self._keep(q.groupBy("ds", "feature").agg(*aggs))

@@ -76,7 +76,7 @@ def _register_all():
         register(f"paired_report_{fx}", fx, paired.paired_report)
         register(f"paired_summary_{fx}", fx, paired.paired_summary)
     register("bland_altman_density_f5", "f5", paired.bland_altman_density)
-    for fx in ("f2", "f3", "f1"):
+    for fx in ("f2", "f3", "f1", "f7"):
         register(f"pearson_matrix_{fx}", fx, correlation.pearson_matrix, O.pearson_matrix)
         register(f"spearman_matrix_{fx}", fx, correlation.spearman_matrix, O.spearman_matrix)
     for fx in ("f2", "f3"):
