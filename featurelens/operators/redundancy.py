@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..plans.gram import gram, gram_matrix
 from ..plans.tables import Tables, ds_name
-from .profile import column_profile
 
 VIF_CAP = 9999.0
 
@@ -27,17 +26,18 @@ def feature_flags(t: Tables) -> DataFrame:
     constant and (sample variance < 1e-4 or the modal value holds >= 99%).
     """
     th = t.spec.thresholds
-    parts = []
-    for d, df in ((1, t.p.d1), (2, t.p.d2)):
-        prof = column_profile(df, t.p.features, th.near_constant_share)
-        parts.append(prof.select(F.lit(d).alias("ds"), F.col("Feature").alias("feature"),
-                                 "distinct_ge2", "modal_share"))
-    pr = parts[0].unionByName(parts[1])
-    var = t.moments.select("ds", "feature", "var_samp")
-    j = pr.join(var, ["ds", "feature"], "left")
-    const = ~F.col("distinct_ge2")
+    m = t.moments.select("ds", "feature", "n", "min", "max", "var_samp")
+    med = t.percentiles.select("ds", "feature", "p50")
+    # a value holding >= 99% of the non-null rows is the median: count it exactly
+    modal = (t.long.join(F.broadcast(med), ["ds", "feature"]).groupBy("ds", "feature")
+             .agg(F.count_if(F.col("value") == F.col("p50")).alias("k")))
+    grid = t.p.d1.sparkSession.createDataFrame([(d, f) for d in (1, 2) for f in t.p.features],
+                                              "ds int, feature string")
+    j = grid.join(F.broadcast(m), ["ds", "feature"], "left").join(F.broadcast(modal), ["ds", "feature"], "left")
+    const = F.coalesce(F.col("min") == F.col("max"), F.lit(True))
+    share = F.when(F.col("n") > 0, F.col("k") / F.col("n"))
     near = (~const) & (F.coalesce(F.col("var_samp") < th.near_constant_variance, F.lit(False))
-                       | F.coalesce(F.col("modal_share") >= th.near_constant_share, F.lit(False)))
+                       | F.coalesce(share >= th.near_constant_share, F.lit(False)))
     return j.select("ds", "feature", const.alias("is_constant"), near.alias("is_near_constant"))
 
 

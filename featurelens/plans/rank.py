@@ -106,7 +106,7 @@ def cumulate(df: DataFrame, keys: list, value: str, weights: list,
 
 
 def quantiles(rk: DataFrame, keys: list, value: str, weight: str, probs: list,
-              out: str = "quantile") -> DataFrame:
+              out: str = "quantile", single_bucket: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy ``linear`` / SQL ``quantile_cont``).
 
     ``rk`` is a ``cumulate`` output.  For each group with total N and
@@ -118,7 +118,7 @@ def quantiles(rk: DataFrame, keys: list, value: str, weight: str, probs: list,
     """
     cum, tot = f"cum_{weight}", f"tot_{weight}"
     rows = rk.where(F.col(weight) > 0)
-    groups = rows.select(*keys, F.col(tot).alias("_n")).distinct()
+    groups = rows.groupBy(*keys).agg(F.max(tot).alias("_n"))
     probs_arr = F.array(*[F.lit(float(q)) for q in probs])
     tgt = (groups.withColumn("q", F.explode(probs_arr))
            .withColumn("_h", (F.col("_n") - 1) * F.col("q"))
@@ -127,11 +127,14 @@ def quantiles(rk: DataFrame, keys: list, value: str, weight: str, probs: list,
            .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
            .withColumn("_r", F.explode(F.array("_lo", "_hi")))
            .select(*keys, "q", "_t", "_lo", "_hi", "_r"))
-    # place each target rank in its rank bucket (bucket ranges: groups x buckets rows)
-    spans = rows.groupBy(*keys, "_b").agg(F.min(F.col(cum) - F.col(weight)).alias("_s0"),
-                                          F.max(F.col(cum)).alias("_s1"))
-    tgt = tgt.join(spans, [*keys]).where((F.col("_r") >= F.col("_s0")) & (F.col("_r") < F.col("_s1"))) \
-             .drop("_s0", "_s1")
+    if single_bucket:
+        tgt = tgt.withColumn("_b", F.lit(0))
+    else:
+        # place each target rank in its rank bucket (bucket ranges: groups x buckets rows)
+        spans = rows.groupBy(*keys, "_b").agg(F.min(F.col(cum) - F.col(weight)).alias("_s0"),
+                                              F.max(F.col(cum)).alias("_s1"))
+        tgt = tgt.join(spans, [*keys]).where((F.col("_r") >= F.col("_s0")) & (F.col("_r") < F.col("_s1"))) \
+                 .drop("_s0", "_s1")
     # targets: groups x 2|probs| rows, bounded by parameters -> broadcast
     hit = rows.select(*keys, "_b", value, weight, cum).join(F.broadcast(tgt), [*keys, "_b"]) \
               .where((F.col("_r") >= F.col(cum) - F.col(weight)) & (F.col("_r") < F.col(cum)))
@@ -151,18 +154,20 @@ def quantile_columns(qdf: DataFrame, keys: list, probs: dict, value: str = "quan
 
 
 def group_quantiles(df: DataFrame, keys: list, value: str, weights: list, probs: list,
-                    bucket_rows: int, max_rows: int | None = None, rk: DataFrame | None = None) -> DataFrame:
+                    bucket_rows: int, max_rows: int | None = None, rk: DataFrame | None = None,
+                    force_rank: bool = False) -> DataFrame:
     """Exact quantiles of ``value`` weighted by each of ``weights`` per ``keys``.
 
     Returns ``keys, w, q, quantile`` (``w`` = index of the weight column).
-    When every group has at most ``bucket_rows`` distinct values (checked),
-    the exact ``percentile`` aggregate holds a bounded buffer per group and
-    runs as one aggregate; otherwise the two-level rank path is used.
+    For one or two probabilities on groups of at most ``bucket_rows``
+    distinct values (checked) the exact ``percentile`` aggregate (bounded
+    buffer) is one stage; otherwise the rank path is used (two-level when
+    groups are large).
     """
     if max_rows is None or max_rows > bucket_rows:
         max_rows = max_group_rows(df, keys)
     parts = []
-    if max_rows <= bucket_rows:
+    if max_rows <= bucket_rows and not force_rank and len(probs) <= 2:
         arr = F.array(*[F.lit(float(q)) for q in probs])
         aggs = [F.percentile(F.col(value), arr, F.col(w)).alias(f"_p{i}") for i, w in enumerate(weights)]
         tots = [F.sum(w).alias(f"_t{i}") for i, w in enumerate(weights)]
@@ -175,7 +180,8 @@ def group_quantiles(df: DataFrame, keys: list, value: str, weights: list, probs:
         if rk is None:
             rk = cumulate(df, keys, value, weights, bucket_rows, max_rows)
         for i, w in enumerate(weights):
-            parts.append(quantiles(rk, keys, value, w, probs).withColumn("w", F.lit(i)))
+            parts.append(quantiles(rk, keys, value, w, probs, single_bucket=max_rows <= bucket_rows)
+                         .withColumn("w", F.lit(i)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
