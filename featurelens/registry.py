@@ -51,7 +51,8 @@ def register(name: str, fx: str, op, oracle=None, on_prepared: bool = False):
 def _register_all():
     from oracle import sql as O
 
-    from .operators import compare, correlation, distribution, outliers, paired, profile, quality, redundancy
+    from .operators import (compare, correlation, distribution, normality, outliers, paired, profile, quality,
+                            redundancy)
 
     for fx in ("f2", "f3", "f9"):
         register(f"missingness_{fx}", fx, profile.missingness, O.missingness, on_prepared=True)
@@ -94,6 +95,10 @@ def _register_all():
         register(f"quality_score_{fx}", fx, quality.quality_score, O.quality_score)
     for fx in ("f1", "f4", "f9"):
         register(f"conclusions_{fx}", fx, quality.conclusions)
+    for fx in ("f1", "f2", "f8"):
+        register(f"normality_tests_{fx}", fx, normality.normality_tests, O.normality_tests)
+        register(f"normality_report_{fx}", fx, normality.normality_report)
+    register("qq_points_f8", "f8", normality.qq_points)
     for fx in ("f1", "f2", "f7", "f8", "f9"):
         register(f"comparison_stats_{fx}", fx, compare.comparison_stats, O.comparison_stats)
         register(f"similarity_stats_{fx}", fx, compare.similarity_stats, O.similarity_stats)

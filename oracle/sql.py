@@ -530,3 +530,31 @@ SELECT feature AS Feature, greatest(sc, 0) AS Quality_Score,
   CASE WHEN sc >= 90 THEN 'Excellent' WHEN sc >= 80 THEN 'Good' WHEN sc >= 70 THEN 'Fair' WHEN sc >= 60 THEN 'Poor'
   ELSE 'Very Poor' END AS Category, CASE WHEN iss = '' THEN 'None' ELSE iss END AS Primary_Issues FROM sc"""
     return q
+
+
+# ---------------------------------------------------------------- normality
+def normality_tests(fx: str, k: int = 20) -> str:
+    ctes = f""",
+st AS (SELECT ds, feature, count(*) AS n, avg(value) AS mean FROM L GROUP BY ds, feature HAVING count(*) >= {k}),
+cm AS (SELECT L.ds, L.feature, st.n, avg(power(value - st.mean, 2)) AS m2, avg(power(value - st.mean, 3)) AS m3,
+  avg(power(value - st.mean, 4)) AS m4 FROM L JOIN st ON L.ds = st.ds AND L.feature = st.feature
+  GROUP BY L.ds, L.feature, st.n),
+g AS (SELECT ds, feature, CAST(n AS DOUBLE) AS n, CASE WHEN m2 = 0 THEN NULL ELSE m3 / power(m2, 1.5) END AS g1,
+  CASE WHEN m2 = 0 THEN NULL ELSE m4 / (m2 * m2) - 3 END AS g2 FROM cm),
+s1 AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))) AS y,
+  3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta2,
+  (g2 + 3 - 3.0 * (n - 1) / (n + 1)) / sqrt(24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+  6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb1
+  FROM g),
+s2 AS (SELECT *, -1 + sqrt(2 * (beta2 - 1)) AS w2, CASE WHEN y = 0 THEN 1.0 ELSE y END AS yy,
+  6.0 + 8.0 / sb1 * (2.0 / sb1 + sqrt(1 + 4.0 / (sb1 * sb1))) AS a FROM s1),
+s3 AS (SELECT *, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2.0 / (w2 - 1)) AS alpha, 1 + x * sqrt(2 / (a - 4.0)) AS den
+  FROM s2),
+s4 AS (SELECT *, delta * ln(yy / alpha + sqrt((yy / alpha) * (yy / alpha) + 1)) AS z1,
+  ((1 - 2 / (9.0 * a)) - CASE WHEN den = 0 THEN NULL ELSE sign(den) * pow((1 - 2.0 / a) / abs(den), 1 / 3.0) END)
+  / sqrt(2 / (9.0 * a)) AS z2 FROM s3)"""
+    inner = (f"SELECT {_named(fx)} AS Dataset, feature AS Feature, CAST(n AS BIGINT) AS N, g1 AS Skewness, "
+             "g2 AS Kurtosis, z1 * z1 + z2 * z2 AS DAgostino_K2_Stat, exp(-(z1 * z1 + z2 * z2) / 2) AS DAgostino_K2_pvalue, "
+             "(abs(g1) < 2.0 AND abs(g2) < 7.0) AS Practically_Normal FROM s4")
+    return base(fx) + ctes + " " + SIGCOLS(["Skewness", "Kurtosis", "DAgostino_K2_Stat", "DAgostino_K2_pvalue"],
+                                           inner, ["Dataset", "Feature", "N", "Practically_Normal"])

@@ -84,3 +84,33 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 1
     assert "Similarity_Score" in df.columns
+
+
+def test_anderson_darling_matches_brute_force(spark):
+    import math
+
+    from featurelens.operators import normality
+
+    t = _tables(spark, "f1")
+    got = {(r["ds"], r["feature"]): r["ad"] for r in normality.anderson_darling(t).collect()}
+    li = pq.read_table(f"{SF_SMALL}/lineitem.parquet").to_pandas()
+    x = np.sort(li.loc[li.l_linestatus == "F", "l_quantity"].to_numpy())  # many ties
+    n = len(x)
+    z = (x - x.mean()) / x.std(ddof=1)
+    lcdf = np.array([math.log(0.5 * math.erfc(-v / math.sqrt(2))) for v in z])
+    lsf = np.array([math.log(0.5 * math.erfc(v / math.sqrt(2))) for v in z])
+    i = np.arange(1, n + 1)
+    a2 = -n - np.sum((2 * i - 1.0) / n * (lcdf + lsf[::-1]))
+    assert got[(1, "l_quantity")] == pytest.approx(a2, rel=1e-9)
+
+
+def test_shapiro_on_expected_normal_order_statistics():
+    from featurelens.functions.shapiro import shapiro_wilk
+    from featurelens.functions.special import norm_ppf
+
+    n = 200
+    m = np.array([norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    w, p = shapiro_wilk(m)
+    assert w > 0.999 and p > 0.9
+    w2, p2 = shapiro_wilk(np.exp(m))  # log-normal: clearly not normal
+    assert w2 < 0.9 and p2 < 1e-6
