@@ -51,8 +51,8 @@ def register(name: str, fx: str, op, oracle=None, on_prepared: bool = False):
 def _register_all():
     from oracle import sql as O
 
-    from .operators import (compare, correlation, distribution, normality, outliers, paired, profile, quality,
-                            redundancy)
+    from .operators import (batch, compare, correlation, distribution, multivariate, normality, outliers, paired,
+                            profile, quality, redundancy)
 
     for fx in ("f2", "f3", "f9"):
         register(f"missingness_{fx}", fx, profile.missingness, O.missingness, on_prepared=True)
@@ -99,6 +99,14 @@ def _register_all():
         register(f"normality_tests_{fx}", fx, normality.normality_tests, O.normality_tests)
         register(f"normality_report_{fx}", fx, normality.normality_report)
     register("qq_points_f8", "f8", normality.qq_points)
+    for fx in ("f7", "f1"):
+        register(f"multivariate_outliers_{fx}", fx, multivariate.multivariate_outliers)
+        register(f"pca_variance_{fx}", fx, multivariate.pca_variance)
+        register(f"pca_loadings_{fx}", fx, multivariate.pca_loadings)
+    register("outlier_projection_f7", "f7", multivariate.outlier_projection)
+    register("batch_importance_f7", "f7", batch.batch_importance)
+    register("batch_report_f7", "f7", batch.batch_report)
+    register("combined_view_f7", "f7", batch.combined_view)
     for fx in ("f1", "f2", "f7", "f8", "f9"):
         register(f"comparison_stats_{fx}", fx, compare.comparison_stats, O.comparison_stats)
         register(f"similarity_stats_{fx}", fx, compare.similarity_stats, O.similarity_stats)
