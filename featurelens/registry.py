@@ -52,7 +52,7 @@ def _register_all():
     from oracle import sql as O
 
     from .operators import (batch, compare, correlation, distribution, multivariate, normality, outliers, paired,
-                            profile, quality, redundancy)
+                            plotdata, profile, quality, redundancy)
 
     for fx in ("f2", "f3", "f9"):
         register(f"missingness_{fx}", fx, profile.missingness, O.missingness, on_prepared=True)
@@ -107,6 +107,14 @@ def _register_all():
     register("batch_importance_f7", "f7", batch.batch_importance)
     register("batch_report_f7", "f7", batch.batch_report)
     register("combined_view_f7", "f7", batch.combined_view)
+    for fx in ("f1", "f8"):
+        register(f"density_histogram_{fx}", fx, plotdata.density_histogram, O.density_histogram)
+        register(f"kde_curve_{fx}", fx, plotdata.kde_curve, O.kde_curve)
+        register(f"box_summary_{fx}", fx, plotdata.box_summary, O.box_summary)
+        register(f"ecdf_points_{fx}", fx, plotdata.ecdf_points, O.ecdf_points)
+        register(f"two_sample_qq_{fx}", fx, plotdata.two_sample_qq, O.two_sample_qq)
+    register("relationships_f1", "f1", lambda t: plotdata.relationships(
+        t, (("l_quantity", "l_extendedprice"), ("l_discount", "l_tax"))), O.relationships)
     for fx in ("f1", "f2", "f7", "f8", "f9"):
         register(f"comparison_stats_{fx}", fx, compare.comparison_stats, O.comparison_stats)
         register(f"similarity_stats_{fx}", fx, compare.similarity_stats, O.similarity_stats)

@@ -8,6 +8,8 @@ definitions, independent of the Spark plans they check.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from featurelens.sources.fixtures import FIXTURE_FEATURES, FIXTURE_SQL
@@ -558,3 +560,90 @@ s4 AS (SELECT *, delta * ln(yy / alpha + sqrt((yy / alpha) * (yy / alpha) + 1))
              "(abs(g1) < 2.0 AND abs(g2) < 7.0) AS Practically_Normal FROM s4")
     return base(fx) + ctes + " " + SIGCOLS(["Skewness", "Kurtosis", "DAgostino_K2_Stat", "DAgostino_K2_pvalue"],
                                            inner, ["Dataset", "Feature", "N", "Practically_Normal"])
+
+
+# ---------------------------------------------------------------- plot data
+def density_histogram(fx: str, bins: int = 50) -> str:
+    ctes = f""",
+rg AS (SELECT ds, feature, min(value) AS lo, max(value) AS hi, count(*) AS n FROM L GROUP BY ds, feature
+  HAVING min(value) < max(value)),
+c AS (SELECT L.ds, L.feature, {_np_bin('L.value', 'rg.lo', 'rg.hi', bins)} AS bin, count(*) AS cnt
+  FROM L JOIN rg ON L.ds = rg.ds AND L.feature = rg.feature GROUP BY 1, 2, 3),
+g AS (SELECT rg.*, b.b AS bin FROM rg, range({bins}) b(b)),
+e AS (SELECT g.ds, g.feature, g.bin, g.n, coalesce(c.cnt, 0) AS cnt,
+  CAST(g.bin AS DOUBLE) * ((g.hi - g.lo) / {bins}) + g.lo AS le,
+  CASE WHEN g.bin = {bins - 1} THEN g.hi ELSE CAST(g.bin + 1 AS DOUBLE) * ((g.hi - g.lo) / {bins}) + g.lo END AS re
+  FROM g LEFT JOIN c ON g.ds = c.ds AND g.feature = c.feature AND g.bin = c.bin)"""
+    inner = (f"SELECT {_named(fx)} AS Dataset, feature AS Feature, CAST(bin AS INTEGER) AS Bin, le AS Left_Edge, "
+             "re AS Right_Edge, cnt AS Count, cnt / (re - le) / n AS Density FROM e")
+    return base(fx) + ctes + " " + SIGCOLS(["Left_Edge", "Right_Edge", "Density"], inner,
+                                           ["Dataset", "Feature", "Bin", "Count"])
+
+
+def kde_curve(fx: str, grid_points: int = 200, cut: float = 3.0, bins: int = 512) -> str:
+    ctes = f""",
+m AS (SELECT ds, feature, count(*) AS n, min(value) AS lo, max(value) AS hi,
+  pow(CAST(count(*) AS DOUBLE), -0.2) * sqrt(var_samp(value)) AS bw FROM L GROUP BY ds, feature
+  HAVING count(*) > 1 AND var_samp(value) > 0),
+b AS (SELECT L.ds, L.feature, {_np_bin('L.value', 'm.lo', 'm.hi', bins)} AS bin, count(*) AS c
+  FROM L JOIN m ON L.ds = m.ds AND L.feature = m.feature GROUP BY 1, 2, 3),
+bc AS (SELECT b.ds, b.feature, b.c, m.lo + (b.bin + 0.5) * ((m.hi - m.lo) / {bins}) AS centre
+  FROM b JOIN m ON b.ds = m.ds AND b.feature = m.feature),
+gr AS (SELECT m.ds, m.feature, m.n, m.bw, k.k, m.lo - {cut} * m.bw AS g0, m.hi + {cut} * m.bw AS g1
+  FROM m, range({grid_points}) k(k)),
+gx AS (SELECT *, g0 + k * (g1 - g0) / {grid_points - 1} AS x FROM gr)"""
+    n1, n2 = FIXTURE_NAMES[fx]
+    inner = (f"SELECT CASE WHEN gx.ds = 1 THEN '{n1}' ELSE '{n2}' END AS Dataset, gx.feature AS Feature, "
+             "CAST(k AS INTEGER) AS Point, x AS X, "
+             f"sum(c * exp(-0.5 * ((x - centre) / bw) * ((x - centre) / bw))) / (n * bw * {math.sqrt(2 * math.pi)!r}) "
+             "AS Density FROM gx JOIN bc ON gx.ds = bc.ds AND gx.feature = bc.feature "
+             "GROUP BY gx.ds, gx.feature, k, x, n, bw")
+    return base(fx) + ctes + " " + SIGCOLS(["X", "Density"], inner, ["Dataset", "Feature", "Point"])
+
+
+def box_summary(fx: str) -> str:
+    ctes = """,
+p AS (SELECT ds, feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2,
+  quantile_cont(value, 0.75) AS q3 FROM L GROUP BY ds, feature)"""
+    inner = (f"SELECT {_named(fx)} AS Dataset, p.feature AS Feature, q1 AS Q1, q2 AS Median, "
+             "q3 AS Q3, min(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1)) AS Whisker_Low, "
+             "max(value) FILTER (WHERE value <= q3 + 1.5 * (q3 - q1)) AS Whisker_High, "
+             "count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS Outliers "
+             "FROM L JOIN p ON L.ds = p.ds AND L.feature = p.feature GROUP BY p.ds, p.feature, q1, q2, q3")
+    inner = inner.replace(f"SELECT {_named(fx)} AS Dataset", f"SELECT CASE WHEN p.ds = 1 THEN '{FIXTURE_NAMES[fx][0]}' "
+                                                             f"ELSE '{FIXTURE_NAMES[fx][1]}' END AS Dataset")
+    return base(fx) + ctes + " " + SIGCOLS(["Q1", "Median", "Q3", "Whisker_Low", "Whisker_High"], inner,
+                                           ["Dataset", "Feature", "Outliers"])
+
+
+def ecdf_points(fx: str, points: int = 100) -> str:
+    ctes = """,
+ev AS (SELECT ds, feature, value, count(*) AS c FROM L GROUP BY ds, feature, value),
+er AS (SELECT *, CAST(sum(c) OVER (PARTITION BY ds, feature ORDER BY value) AS DOUBLE) AS cum,
+  CAST(sum(c) OVER (PARTITION BY ds, feature) AS DOUBLE) AS tot FROM ev)"""
+    inner = (f"SELECT {_named(fx)} AS Dataset, feature AS Feature, value AS Value, cum / tot AS ECDF FROM er "
+             f"WHERE floor(cum * {points} / tot) > floor((cum - c) * {points} / tot)")
+    return base(fx) + ctes + " " + SIGCOLS(["Value", "ECDF"], inner, ["Dataset", "Feature"])
+
+
+def two_sample_qq(fx: str, k: int = 10) -> str:
+    probs = ", ".join(repr(q) for q in QGRID)
+    ctes = f""",
+qa AS (SELECT feature, count(*) FILTER (WHERE ds = 1) AS n1, count(*) FILTER (WHERE ds = 2) AS n2,
+  quantile_cont(value, [{probs}]) FILTER (WHERE ds = 1) AS a,
+  quantile_cont(value, [{probs}]) FILTER (WHERE ds = 2) AS b FROM L GROUP BY feature),
+qs AS (SELECT feature, unnest(a) AS x, unnest(b) AS y, unnest([{probs}]) AS q FROM qa)"""
+    inner = "SELECT feature AS Feature, q AS Q, x AS Quantile_1, y AS Quantile_2 FROM qs"
+    return base(fx) + ctes + " " + SIGCOLS(["Q", "Quantile_1", "Quantile_2"], inner, ["Feature"])
+
+
+def relationships(fx: str, pairs=(("l_quantity", "l_extendedprice"), ("l_discount", "l_tax"))) -> str:
+    parts = []
+    for d in (1, 2):
+        for x, y in pairs:
+            parts.append(f"SELECT {d} AS ds, '{x}' AS X, '{y}' AS Y, CAST(regr_count({y}, {x}) AS BIGINT) AS N, "
+                         f"regr_slope({y}, {x}) AS Slope, regr_intercept({y}, {x}) AS Intercept, "
+                         f"regr_r2({y}, {x}) AS R2 FROM d{d}")
+    inner = (f"SELECT {_named(fx)} AS Dataset, X, Y, N, Slope, Intercept, R2 FROM ({' UNION ALL '.join(parts)}) "
+             "WHERE N >= 10")
+    return base(fx) + " " + SIGCOLS(["Slope", "Intercept", "R2"], inner, ["Dataset", "X", "Y", "N"])
