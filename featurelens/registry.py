@@ -75,8 +75,8 @@ def _register_all():
         register(f"record_matching_{fx}", fx, paired.record_matching, O.record_matching, on_prepared=True)
         register(f"paired_stats_{fx}", fx, paired.paired_stats, O.paired_stats)
         register(f"paired_report_{fx}", fx, paired.paired_report)
-        register(f"paired_summary_{fx}", fx, paired.paired_summary)
-    register("bland_altman_density_f5", "f5", paired.bland_altman_density)
+        register(f"paired_summary_{fx}", fx, paired.paired_summary, O.paired_summary)
+    register("bland_altman_density_f5", "f5", paired.bland_altman_density, O.bland_altman_density)
     for fx in ("f2", "f3", "f1", "f7"):
         register(f"pearson_matrix_{fx}", fx, correlation.pearson_matrix, O.pearson_matrix)
         register(f"spearman_matrix_{fx}", fx, correlation.spearman_matrix, O.spearman_matrix)
@@ -115,6 +115,16 @@ def _register_all():
         register(f"two_sample_qq_{fx}", fx, plotdata.two_sample_qq, O.two_sample_qq)
     register("relationships_f1", "f1", lambda t: plotdata.relationships(
         t, (("l_quantity", "l_extendedprice"), ("l_discount", "l_tax"))), O.relationships)
+    from .sources import sink
+    register("publication_quality_f1", "f1", lambda t: sink.publication(quality.quality_score(t)),
+             O.publication_quality)
+    register("publication_missingness_top20_f9", "f9",
+             lambda t: sink.top_slice(sink.publication(profile.missingness(t.p)),
+                                      [F.desc("Missing_Percent"), "Dataset", "Feature"], 20),
+             O.publication_missingness_top20)
+    register("plausibility_text_f1", "f1", lambda t: sink.to_text(distribution.plausibility(t)), O.plausibility_text)
+    register("scaled_matrix_f2", "f2", lambda t: multivariate.scaled_matrix(t)[0].select(
+        ds_name(t.spec).alias("Dataset"), "id", *t.p.features), O.scaled_matrix)
     for fx in ("f1", "f2", "f7", "f8", "f9"):
         register(f"comparison_stats_{fx}", fx, compare.comparison_stats, O.comparison_stats)
         register(f"similarity_stats_{fx}", fx, compare.similarity_stats, O.similarity_stats)

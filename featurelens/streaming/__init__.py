@@ -1 +1,8 @@
-"""streaming."""
+"""Streaming.
+
+The analysed workload has no streaming component: both inputs are complete
+tables read once, and every report is a batch aggregate over them.  Nothing is
+built here on purpose (see README, "Design for scale").  The batch operators
+take any DataFrame, so a micro-batch sink (``foreachBatch``) can call
+``featurelens.pipeline.run`` on each complete snapshot if a caller needs it.
+"""

@@ -647,3 +647,59 @@ def relationships(fx: str, pairs=(("l_quantity", "l_extendedprice"), ("l_discoun
     inner = (f"SELECT {_named(fx)} AS Dataset, X, Y, N, Slope, Intercept, R2 FROM ({' UNION ALL '.join(parts)}) "
              "WHERE N >= 10")
     return base(fx) + " " + SIGCOLS(["Slope", "Intercept", "R2"], inner, ["Dataset", "X", "Y", "N"])
+
+
+# -------------------------------------------------------------------- sinks
+def publication_quality(fx: str) -> str:
+    return quality_score(fx)  # no double columns: rounding leaves it unchanged
+
+
+def publication_missingness_top20(fx: str) -> str:
+    inner = missingness(fx)
+    return (f"SELECT Dataset, Feature, Missing_Count, round_even(Missing_Percent, 3) AS Missing_Percent "
+            f"FROM ({inner}) ORDER BY Missing_Percent DESC, Dataset, Feature LIMIT 20")
+
+
+def plausibility_text(fx: str) -> str:
+    inner = plausibility(fx)
+    return (f"SELECT * EXCLUDE (Extreme_ECG_ID_Examples), CASE WHEN len(Extreme_ECG_ID_Examples) > 0 "
+            f"THEN array_to_string(Extreme_ECG_ID_Examples, ', ') ELSE 'None' END AS Extreme_ECG_ID_Examples "
+            f"FROM ({inner})")
+
+
+def scaled_matrix(fx: str) -> str:
+    feats = FIXTURE_FEATURES[fx]
+    n1, n2 = FIXTURE_NAMES[fx]
+    parts = []
+    for d, name in (("d1", n1), ("d2", n2)):
+        imp = ", ".join(f"coalesce(CAST({f} AS DOUBLE), (SELECT quantile_cont({f}, 0.5) FROM {d})) AS {f}"
+                        for f in feats)
+        st = ", ".join(f"avg({f}) AS m_{f}, CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) ELSE 1.0 END AS s_{f}"
+                       for f in feats)
+        z = ", ".join(f"({f} - m_{f}) / s_{f} AS {f}" for f in feats)
+        parts.append(f"SELECT '{name}' AS Dataset, id, {z} FROM (SELECT id, {imp} FROM {d}) i, "
+                     f"(SELECT {st} FROM (SELECT {imp} FROM {d})) s")
+    return base(fx) + " " + SIGCOLS(feats, " UNION ALL ".join(parts), ["Dataset", "id"])
+
+
+def paired_summary(fx: str) -> str:
+    inner = paired_stats(fx)
+    cats = ("Excellent", "Good", "Moderate", "Fair", "Poor")
+    items = [("Features analyzed", "CAST(count(*) AS DOUBLE)"), ("Mean ICC", "avg(ICC)"),
+             ("Median ICC", "quantile_cont(ICC, 0.5)"), ("Mean Pearson r", "avg(Pearson_r)"),
+             ("Mean MAE", "avg(MAE)"), ("Mean MAPE", "avg(MAPE_pct)")] + \
+            [(f"{c} agreement", f"CAST(count(*) FILTER (WHERE Agreement = '{c}') AS DOUBLE)") for c in cats]
+    sel = " UNION ALL ".join(f"SELECT '{k}' AS Metric, {v} AS Value FROM ps" for k, v in items)
+    return f"WITH ps AS ({inner}) " + SIGCOLS(["Value"], sel, ["Metric"])
+
+
+def bland_altman_density(fx: str, bins: int = 50) -> str:
+    ctes = _pl(fx) + """,
+pts AS (SELECT feature, (v1 + v2) / 2 AS m, v2 - v1 AS d FROM PL),
+rg AS (SELECT feature, min(m) AS m0, max(m) AS m1, min(d) AS d0, max(d) AS d1 FROM pts GROUP BY feature)"""
+    def cell(v, lo, hi):
+        return (f"CASE WHEN {hi} > {lo} THEN least({bins - 1}, CAST(floor(({v} - {lo}) / ({hi} - {lo}) * {bins}) "
+                f"AS INTEGER)) ELSE 0 END")
+    return (base(fx) + ctes + f" SELECT pts.feature AS Feature, {cell('m', 'm0', 'm1')} AS Mean_Bin, "
+            f"{cell('d', 'd0', 'd1')} AS Diff_Bin, count(*) AS Points FROM pts JOIN rg ON pts.feature = rg.feature "
+            "GROUP BY 1, 2, 3")
