@@ -80,20 +80,26 @@ def _rank_long(t: Tables, long: DataFrame, keys: list) -> DataFrame:
 
 
 def _pairs_long(t: Tables, wide: DataFrame, pairs: dict) -> DataFrame:
-    """(ds, i, j, _rk, x, y) for the given {ds: [(i, j)]} pairs, both values present."""
+    """(ds, i, j, _rk, x, y) for the given {ds: [(i, j)]} pairs, both values present.
+
+    The wide rows are unpivoted once and joined to themselves on the row key
+    (unique after dedup, so no key is hot); the pair list is a broadcast
+    table of at most p(p+1)/2 rows per dataset.
+    """
     feats = t.p.features
-    parts = []
-    for d, plist in pairs.items():
-        if not plist:
-            continue
-        arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                 F.col(feats[i]).alias("x"), F.col(feats[j]).alias("y")) for i, j in plist])
-        parts.append(wide.where(F.col("ds") == d).select("ds", "_rk", F.explode(arr).alias("s"))
-                     .select("ds", "s.i", "s.j", "_rk", "s.x", "s.y")
-                     .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    if not parts:
+    spark = t.p.d1.sparkSession
+    wanted = [(d, i, j) for d, plist in pairs.items() for i, j in plist]
+    if not wanted:
         return None
-    return reduce(DataFrame.unionByName, parts)
+    idx = spark.createDataFrame(list(enumerate(feats)), "k int, feature string")
+    long = (wide.unpivot(["ds", "_rk"], feats, "feature", "value").where(F.col("value").isNotNull())
+            .join(F.broadcast(idx), "feature").select("ds", "_rk", "k", "value"))
+    a = long.select("ds", "_rk", F.col("k").alias("i"), F.col("value").alias("x"))
+    b = long.select("ds", "_rk", F.col("k").alias("j"), F.col("value").alias("y"))
+    pl = spark.createDataFrame(wanted, "ds int, i int, j int")
+    return (a.join(b, ["ds", "_rk"]).where(F.col("i") <= F.col("j"))
+            .join(F.broadcast(pl), ["ds", "i", "j"])
+            .select("ds", "i", "j", "_rk", "x", "y"))
 
 
 def spearman_matrix(t: Tables) -> DataFrame:
