@@ -93,8 +93,12 @@ def _register_all():
         register(f"redundancy_report_{fx}", fx, redundancy.redundancy_report)
     for fx in ("f1", "f2", "f8", "f9"):
         register(f"quality_score_{fx}", fx, quality.quality_score, O.quality_score)
-    for fx in ("f1", "f4", "f9"):
-        register(f"conclusions_{fx}", fx, quality.conclusions)
+    for fx in ("f1", "f9"):
+        register(f"conclusions_{fx}", fx, quality.conclusions, O.conclusions)
+    register("conclusions_f4", "f4", quality.conclusions)
+    register("redundancy_report_f3", "f3", redundancy.redundancy_report, O.redundancy_report_two)
+    for fx in ("f1", "f8"):
+        register(f"histogram_table_{fx}", fx, compare.histogram_table, O.histogram_table)
     for fx in ("f1", "f2", "f8"):
         register(f"normality_tests_{fx}", fx, normality.normality_tests, O.normality_tests)
         register(f"normality_report_{fx}", fx, normality.normality_report)

@@ -49,7 +49,7 @@ def base(fx: str, dedup: bool = True) -> str:
 
 
 def _np_bin(v: str, lo: str, hi: str, bins: int = 100) -> str:
-    step = f"(({hi}) - ({lo})) / {bins}"
+    step = f"((({hi}) - ({lo})) / {bins})"
     g0 = f"CAST(floor((({v}) - ({lo})) / (({hi}) - ({lo})) * {bins}) AS INTEGER)"
     g = f"(CASE WHEN {g0} >= {bins} THEN {bins - 1} ELSE {g0} END)"
     return (f"(CASE WHEN {v} < CAST({g} AS DOUBLE) * {step} + {lo} THEN {g} - 1 "
@@ -703,3 +703,47 @@ rg AS (SELECT feature, min(m) AS m0, max(m) AS m1, min(d) AS d0, max(d) AS d1 FR
     return (base(fx) + ctes + f" SELECT pts.feature AS Feature, {cell('m', 'm0', 'm1')} AS Mean_Bin, "
             f"{cell('d', 'd0', 'd1')} AS Diff_Bin, count(*) AS Points FROM pts JOIN rg ON pts.feature = rg.feature "
             "GROUP BY 1, 2, 3")
+
+
+def histogram_table(fx: str) -> str:
+    inner = ("SELECT h.feature AS Feature, CAST(h.bin AS INTEGER) AS Bin, CAST(h.c1 AS BIGINT) AS Count_1, "
+             "CAST(h.c2 AS BIGINT) AS Count_2, CAST(h.bin AS DOUBLE) * h.step + g.lo AS Left_Edge "
+             "FROM h JOIN grid g ON h.feature = g.feature AND h.bin = g.bin")
+    return base(fx) + _stats_ctes(k=0) + " " + SIGCOLS(["Left_Edge"], inner, ["Feature", "Bin", "Count_1", "Count_2"])
+
+
+def redundancy_report_two(fx: str) -> str:
+    n1, n2 = FIXTURE_NAMES[fx]
+    a, b = FIXTURE_FEATURES[fx]
+    fl = (f"SELECT '{n1}' AS Dataset, * FROM ({_flags_sql(fx, 'd1')}) UNION ALL "
+          f"SELECT '{n2}' AS Dataset, * FROM ({_flags_sql(fx, 'd2')})")
+    v = vif_two(fx)
+    inner = (f"SELECT f.feature AS Feature, CASE WHEN f.is_constant THEN NULL ELSE v.VIF END AS VIF, "
+             "CASE WHEN f.is_constant THEN NULL ELSE false END AS VIF_Is_Infinite, f.Dataset, "
+             "f.is_constant AS Is_Constant, f.is_near_constant AS Is_Near_Constant, "
+             "CASE WHEN f.is_constant THEN 'Remove (Constant)' WHEN f.is_near_constant THEN "
+             "'Review for Removal (Near Constant)' WHEN v.VIF > 10.0 THEN 'Review for Removal (High VIF)' "
+             f"ELSE 'Keep' END AS Recommendation FROM ({base(fx)} {fl}) f LEFT JOIN ({v}) v "
+             "ON f.feature = v.Feature AND f.Dataset = v.Dataset")
+    return SIGCOLS(["VIF"], inner, ["Feature", "VIF_Is_Infinite", "Dataset", "Is_Constant", "Is_Near_Constant",
+                                    "Recommendation"])
+
+
+def conclusions(fx: str) -> str:
+    n1, n2 = FIXTURE_NAMES[fx]
+    miss = f"(SELECT * FROM ({missingness(fx)}) WHERE Dataset = '{n2}' AND Missing_Percent > 10.0)"
+    pl = f"(SELECT * FROM ({plausibility(fx)}) WHERE Pct_Outside_Range > 5.0)"
+    sim = f"(SELECT * FROM ({similarity_stats(fx)}) WHERE Similarity_Score < 60.0)"
+    qs = f"({quality_score(fx)})"
+    parts = [
+        f"SELECT 'high_missing' AS Section, 0 AS Rank, 'count' AS Item, CAST(count(*) AS DOUBLE) AS Value FROM {miss}",
+        f"SELECT * FROM (SELECT 'high_missing' AS Section, CAST(row_number() OVER (ORDER BY Missing_Percent DESC, "
+        f"Feature) AS INTEGER) AS Rank, Feature AS Item, Missing_Percent AS Value FROM {miss}) WHERE Rank <= 5",
+        f"SELECT 'high_implausible', 0, 'count', CAST(count(*) AS DOUBLE) FROM {pl}",
+        f"SELECT * FROM (SELECT 'high_implausible', CAST(row_number() OVER (ORDER BY Pct_Outside_Range DESC, Feature) "
+        f"AS INTEGER) AS r, Feature, Pct_Outside_Range FROM {pl}) WHERE r <= 5",
+        f"SELECT 'severe_shift', 0, 'count', CAST(count(*) AS DOUBLE) FROM {sim}",
+        f"SELECT 'quality_category', 0, Category, CAST(count(*) AS DOUBLE) FROM {qs} GROUP BY Category",
+    ]
+    inner = " UNION ALL ".join(parts)
+    return SIGCOLS(["Value"], inner, ["Section", "Rank", "Item"])
