@@ -240,15 +240,22 @@ def _grow(x: np.ndarray, rng: np.random.RandomState, max_depth: int) -> list:
 
 
 def _path_lengths(x: np.ndarray, nodes: list) -> np.ndarray:
-    out = np.zeros(len(x))
-    for r in range(len(x)):
-        k, depth = 0, 0
-        while nodes[k][0] >= 0:
-            f, thr, li, ri, _ = nodes[k]
-            k = li if x[r, f] < thr else ri
-            depth += 1
-        out[r] = depth + _c([nodes[k][4]])[0]
-    return out
+    """Path length of every row of ``x`` through one tree, vectorised level by level."""
+    arr = np.asarray(nodes, dtype=float)
+    feat, thr = arr[:, 0].astype(int), arr[:, 1]
+    left, right, size = arr[:, 2].astype(int), arr[:, 3].astype(int), arr[:, 4]
+    node = np.zeros(len(x), dtype=int)
+    depth = np.zeros(len(x))
+    active = feat[node] >= 0
+    rows = np.arange(len(x))
+    while active.any():
+        r = rows[active]
+        nd = node[r]
+        go_left = x[r, feat[nd]] < thr[nd]
+        node[r] = np.where(go_left, left[nd], right[nd])
+        depth[r] += 1
+        active = feat[node] >= 0
+    return depth + _c(size[node])
 
 
 def isolation_forest_flags(t: Tables, x: DataFrame | None = None, trees: int = 100,
