@@ -90,7 +90,17 @@ class Tables:
             F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt")))
 
     def quantiles(self, probs: list) -> DataFrame:
-        """(ds, feature, q, quantile) exact, for both datasets, from the rank table."""
+        """(ds, feature, q, quantile) exact, for both datasets.
+
+        Bounded inputs (row count <= ``rank_bucket_rows``, so every group's
+        buffer is bounded): one exact ``percentile`` aggregate over the long
+        rows.  Otherwise the value counts + two-level rank kernel.
+        """
+        if self.small:
+            arr = F.array(*[F.lit(float(q)) for q in probs])
+            a = self.long.groupBy("ds", "feature").agg(F.percentile("value", arr).alias("_p"))
+            return (a.select("ds", "feature", F.posexplode("_p").alias("_k", "quantile"))
+                    .select("ds", "feature", F.element_at(arr, F.col("_k") + 1).alias("q"), "quantile"))
         q = group_quantiles(self.vc, ["feature"], "value", ["n1", "n2"], probs, self.spec.rank_bucket_rows,
                             self.vc_max_rows, self.rk, force_rank=True)
         return q.select("feature", (F.col("w") + 1).alias("ds"), "q", "quantile")
@@ -98,6 +108,10 @@ class Tables:
     @cached_property
     def percentiles(self) -> DataFrame:
         """(ds, feature, p01..p99) — the seven report percentiles, exact."""
+        if self.small:
+            arr = F.array(*[F.lit(x) for x in PCTS.values()])
+            a = self.long.groupBy("ds", "feature").agg(F.percentile("value", arr).alias("_p"))
+            return self._keep(a.select("ds", "feature", *[F.col("_p")[i].alias(k) for i, k in enumerate(PCTS)]))
         q = self.quantiles(sorted(set(PCTS.values())))
         aggs = [F.max(F.when(F.abs(F.col("q") - x) < 1e-12, F.col("quantile"))).alias(k) for k, x in PCTS.items()]
         return self._keep(q.groupBy("ds", "feature").agg(*aggs))
