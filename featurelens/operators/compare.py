@@ -40,24 +40,16 @@ def feature_stats(t: Tables, with_grid: bool = False) -> DataFrame:
     aggs = [F.count(x1).alias("n1"), F.count(x2).alias("n2"), F.avg(x1).alias("mean1"), F.avg(x2).alias("mean2"),
             F.var_samp(x1).alias("var_samp1"), F.var_samp(x2).alias("var_samp2"),
             F.min(v).alias("lo"), F.max(v).alias("hi")]
-    probs = [0.5] + (QGRID if with_grid else [])
-    if t.small:
-        arr = F.array(*[F.lit(float(q)) for q in probs])
-        aggs += [F.percentile(x1, arr).alias("_q1"), F.percentile(x2, arr).alias("_q2")]
-        a = t.long.groupBy("feature").agg(*aggs)
-        out = a.select("*", F.col("_q1")[0].alias("median1"), F.col("_q2")[0].alias("median2"))
-        if with_grid:
-            out = out.withColumn("grid1", F.slice("_q1", 2, len(QGRID))).withColumn("grid2", F.slice("_q2", 2, len(QGRID)))
-        return out.drop("_q1", "_q2")
     a = t.long.groupBy("feature").agg(*aggs)
-    q = t.quantiles(probs)
-    qa = q.groupBy("feature").agg(
-        *[F.max(F.when((F.col("ds") == d) & (F.abs(F.col("q") - 0.5) < 1e-12), F.col("quantile"))).alias(f"median{d}")
-          for d in (1, 2)],
-        *[F.transform(F.array_sort(F.collect_list(F.when(F.col("ds") == d, F.struct("q", "quantile")))),
-                      lambda s: s["quantile"]).alias(f"grid{d}") for d in (1, 2)])
-    if not with_grid:
-        qa = qa.drop("grid1", "grid2")
+    q = t.quantiles([0.5] + (QGRID if with_grid else []))
+    med = [F.max(F.when((F.col("ds") == d) & (F.abs(F.col("q") - 0.5) < 1e-12), F.col("quantile"))).alias(f"median{d}")
+           for d in (1, 2)]
+    grid = []
+    if with_grid:
+        in_grid = F.exists(F.array(*[F.lit(x) for x in QGRID]), lambda g: F.abs(g - F.col("q")) < 1e-12)
+        grid = [F.transform(F.array_sort(F.collect_list(F.when((F.col("ds") == d) & in_grid, F.struct("q", "quantile")))),
+                            lambda s: s["quantile"]).alias(f"grid{d}") for d in (1, 2)]
+    qa = q.groupBy("feature").agg(*med, *grid)
     return a.join(F.broadcast(qa), "feature", "left")
 
 

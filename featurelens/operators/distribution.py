@@ -33,7 +33,7 @@ def mad(t: Tables) -> DataFrame:
     dev = (d1.unionByName(d2).join(F.broadcast(med), ["ds", "feature"])
            .select("ds", "feature", F.abs(F.col("value") - F.col("_med")).alias("dev"), "n")
            .groupBy("ds", "feature", "dev").agg(F.sum("n").alias("n")))
-    q = group_quantiles(dev, ["ds", "feature"], "dev", ["n"], [0.5], t.spec.rank_bucket_rows)
+    q = group_quantiles(dev, ["ds", "feature"], "dev", ["n"], [0.5], t.spec.rank_bucket_rows, t.group_bound)
     return q.select("ds", "feature", F.col("quantile").alias("mad"))
 
 

@@ -31,10 +31,13 @@ def ds_name(spec: RunSpec, ds_col: str = "ds"):
 
 class Tables:
     def __init__(self, p: Prepared, persist: bool = True):
-        self.p = p
         self.spec: RunSpec = p.spec
         self._persist = persist
         self._held: list = []
+        # the deduplicated inputs feed every report: read and deduplicate once
+        if persist:
+            p.d1, p.d2 = self._keep(p.d1), self._keep(p.d2)
+        self.p = p
 
     def _keep(self, df: DataFrame) -> DataFrame:
         if self._persist:
@@ -61,6 +64,11 @@ class Tables:
         a = self.p.d1.select(F.lit(1).alias("o")).unionByName(self.p.d2.select(F.lit(1).alias("o")))
         return int(a.count())
 
+    @property
+    def group_bound(self):
+        """A proven upper bound of any per-feature group size, or None (then measured)."""
+        return self.row_bound if self.small else None
+
     @property
     def small(self) -> bool:
         """Every per-feature group fits the bounded single-task path."""
@@ -89,14 +97,18 @@ class Tables:
             F.min(v).alias("min"), F.max(v).alias("max"),
             F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt")))
 
-    def quantiles(self, probs: list) -> DataFrame:
-        """(ds, feature, q, quantile) exact, for both datasets.
-
-        Bounded inputs (row count <= ``rank_bucket_rows``, so every group's
-        buffer is bounded): one exact ``percentile`` aggregate over the long
-        rows.  Otherwise the value counts + two-level rank kernel.
-        """
+    @cached_property
+    def standard_probs(self) -> list:
+        """Every probability the reports use: the seven percentiles, the 100-point
+        grid and the plausibility bounds — computed together in one pass."""
+        th = self.spec.thresholds
+        extra = [th.plausibility_lower_pct / 100.0, th.plausibility_upper_pct / 100.0]
+        return sorted(set(list(PCTS.values()) + QGRID + extra))
+
+    def _raw_quantiles(self, probs: list) -> DataFrame:
         if self.small:
+            # bounded inputs (row count <= rank_bucket_rows): every group's exact
+            # percentile buffer is bounded; one aggregate over the long rows
             arr = F.array(*[F.lit(float(q)) for q in probs])
             a = self.long.groupBy("ds", "feature").agg(F.percentile("value", arr).alias("_p"))
             return (a.select("ds", "feature", F.posexplode("_p").alias("_k", "quantile"))
@@ -105,13 +117,28 @@ class Tables:
                             self.vc_max_rows, self.rk, force_rank=True)
         return q.select("feature", (F.col("w") + 1).alias("ds"), "q", "quantile")
 
+    @cached_property
+    def quantile_table(self) -> DataFrame:
+        """(ds, feature, q, quantile) for ``standard_probs`` — persisted, shared by all reports."""
+        return self._keep(self._raw_quantiles(self.standard_probs))
+
+    def quantiles(self, probs: list) -> DataFrame:
+        """(ds, feature, q, quantile) exact, for both datasets.
+
+        Probabilities among ``standard_probs`` are read from the shared table;
+        others are computed (bounded inputs: one exact ``percentile``
+        aggregate; otherwise value counts + the two-level rank kernel).
+        """
+        std = self.standard_probs
+        if all(any(abs(q - s) < 1e-12 for s in std) for q in probs):
+            want = F.array(*[F.lit(float(q)) for q in probs])
+            qt = self.quantile_table
+            return qt.where(F.exists(want, lambda w: F.abs(w - F.col("q")) < 1e-12))
+        return self._raw_quantiles(probs)
+
     @cached_property
     def percentiles(self) -> DataFrame:
         """(ds, feature, p01..p99) — the seven report percentiles, exact."""
-        if self.small:
-            arr = F.array(*[F.lit(x) for x in PCTS.values()])
-            a = self.long.groupBy("ds", "feature").agg(F.percentile("value", arr).alias("_p"))
-            return self._keep(a.select("ds", "feature", *[F.col("_p")[i].alias(k) for i, k in enumerate(PCTS)]))
         q = self.quantiles(sorted(set(PCTS.values())))
         aggs = [F.max(F.when(F.abs(F.col("q") - x) < 1e-12, F.col("quantile"))).alias(k) for k, x in PCTS.items()]
         return self._keep(q.groupBy("ds", "feature").agg(*aggs))
