@@ -99,11 +99,12 @@ class Tables:
 
     @cached_property
     def standard_probs(self) -> list:
-        """Every probability the reports use: the seven percentiles, the 100-point
-        grid and the plausibility bounds — computed together in one pass."""
+        """The probabilities most reports use — the seven percentiles and the
+        plausibility bounds — computed together in one pass (the 100-point grid
+        of the similarity report is a separate pass: it is needed only there)."""
         th = self.spec.thresholds
         extra = [th.plausibility_lower_pct / 100.0, th.plausibility_upper_pct / 100.0]
-        return sorted(set(list(PCTS.values()) + QGRID + extra))
+        return sorted(set(list(PCTS.values()) + extra))
 
     def _raw_quantiles(self, probs: list) -> DataFrame:
         if self.small:
