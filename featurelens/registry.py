@@ -20,6 +20,7 @@ from .sources.loader import prepare
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+OPS: dict = {}  # name -> (fixture, operator, takes Prepared instead of Tables)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -44,6 +45,7 @@ def _make(fx: str, op, on_prepared: bool = False):
 
 def register(name: str, fx: str, op, oracle=None, on_prepared: bool = False):
     QUERIES[name] = _make(fx, op, on_prepared)
+    OPS[name] = (fx, op, on_prepared)
     if oracle is not None:
         ORACLES[name] = lambda: oracle(fx)
 
