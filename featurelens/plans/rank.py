@@ -73,7 +73,15 @@ def cumulate(df: DataFrame, keys: list, value: str, weights: list,
                      .withColumn(f"tot_{w}", F.sum(w).over(w_all))
         return out
 
-    stats = (df.groupBy(*keys)
+    # Only groups larger than ``bucket_rows`` are split (at most rows / bucket_rows
+    # of them, each with n_buckets - 1 split points): the collected table is
+    # bounded by the data size over a parameter, never by the number of groups.
+    # Rows of small groups find no split points and all land in one bucket.
+    cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    big = cnt.where(F.col("_rows") > bucket_rows).select(*keys)
+    n_groups = cnt.count()
+    stats = (df.join(F.broadcast(big), keys)
+             .groupBy(*keys)
              .agg(F.percentile_approx(F.col(value), _GRID, 10000).alias("_grid"))
              .collect())
     step = MAX_BUCKETS // n_buckets
@@ -82,10 +90,11 @@ def cumulate(df: DataFrame, keys: list, value: str, weights: list,
                   for r in stats]
     split_schema = T.StructType(key_fields + [T.StructField("_splits", T.ArrayType(T.DoubleType()))])
     splits = spark.createDataFrame(split_rows, split_schema)
-    n_side = len(split_rows) * n_buckets
+    n_side = len(split_rows) * n_buckets + n_groups
 
-    b = df.join(_maybe_broadcast(splits, len(split_rows)), keys) \
-        .withColumn("_b", _bucket_expr(F.col(value).cast("double"), F.col("_splits"), 0, n_buckets)) \
+    b = df.join(_maybe_broadcast(splits, len(split_rows)), keys, "left") \
+        .withColumn("_b", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
+            _bucket_expr(F.col(value).cast("double"), F.col("_splits"), 0, n_buckets))) \
         .drop("_splits")
     totals = b.groupBy(*keys, "_b").agg(*[F.sum(w).alias(f"_bt_{w}") for w in weights])
     w_prev = Window.partitionBy(*keys).orderBy("_b")

@@ -16,10 +16,11 @@ def _vc(spark):
             .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def test_bucketed_equals_single(spark):
+@pytest.mark.parametrize("bucket_rows", [37, 60])  # 60: one group split, the small one kept whole
+def test_bucketed_equals_single(spark, bucket_rows):
     vc = _vc(spark)
     one = cumulate(vc, ["feature"], "value", ["n"], bucket_rows=10**9)
-    many = cumulate(vc, ["feature"], "value", ["n"], bucket_rows=37)
+    many = cumulate(vc, ["feature"], "value", ["n"], bucket_rows=bucket_rows)
     a = sorted(tuple(r) for r in one.select("feature", "value", "cum_n", "tot_n").collect())
     b = sorted(tuple(r) for r in many.select("feature", "value", "cum_n", "tot_n").collect())
     assert a == b
