@@ -97,7 +97,8 @@ def _register_all():
         register(f"quality_score_{fx}", fx, quality.quality_score, O.quality_score)
     for fx in ("f1", "f9"):
         register(f"conclusions_{fx}", fx, quality.conclusions, O.conclusions)
-    register("conclusions_f4", "f4", quality.conclusions)
+    register("conclusions_f4", "f4", quality.conclusions, O.conclusions_paired)
+    register("mahalanobis_summary_f8", "f8", multivariate.mahalanobis_summary, O.mahalanobis_single)
     register("redundancy_report_f3", "f3", redundancy.redundancy_report, O.redundancy_report_two)
     for fx in ("f1", "f8"):
         register(f"histogram_table_{fx}", fx, compare.histogram_table, O.histogram_table)

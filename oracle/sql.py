@@ -747,3 +747,37 @@ def conclusions(fx: str) -> str:
     ]
     inner = " UNION ALL ".join(parts)
     return SIGCOLS(["Value"], inner, ["Section", "Rank", "Item"])
+
+
+def conclusions_paired(fx: str) -> str:
+    """K6 for a paired fixture: the unpaired sections plus the paired summary and weak-agreement list."""
+    ps = paired_stats(fx)
+    summ = paired_summary(fx)
+    extra = [
+        f"SELECT 'paired_summary' AS Section, 0 AS Rank, Metric AS Item, Value FROM ({summ})",
+        f"SELECT * FROM (SELECT 'weak_agreement' AS Section, CAST(row_number() OVER (ORDER BY ICC DESC NULLS LAST, "
+        f"Feature) AS INTEGER) AS Rank, Feature AS Item, ICC AS Value FROM ({ps}) "
+        f"WHERE Agreement IN ('Fair', 'Poor')) WHERE Rank <= 10",
+    ]
+    base_sql = conclusions(fx)
+    return f"SELECT * FROM ({base_sql}) UNION ALL BY NAME " + " UNION ALL BY NAME ".join(
+        f"SELECT * FROM ({e})" for e in extra)
+
+
+def mahalanobis_single(fx: str) -> str:
+    """O4 for a one-feature fixture: md = |z| sqrt((n-1)/n) on median-imputed, population-scaled values."""
+    from featurelens.functions.special import chi2_ppf
+
+    (f,) = FIXTURE_FEATURES[fx]
+    thr = math.sqrt(chi2_ppf(1 - 0.001, 1))
+    n1, n2 = FIXTURE_NAMES[fx]
+    parts = []
+    for d, name in (("d1", n1), ("d2", n2)):
+        imp = f"coalesce(CAST({f} AS DOUBLE), (SELECT quantile_cont({f}, 0.5) FROM {d}))"
+        parts.append(
+            f"SELECT '{name}' AS Dataset, 'Multivariate' AS Analysis_Type, 'All' AS Feature_or_Method, "
+            f"'Mahalanobis' AS Method, round_even(count(*) FILTER (WHERE abs(x - m) / s * sqrt((n - 1.0) / n) > {thr!r}) "
+            f"/ count(*) * 100, 2) AS Pct_Outliers FROM (SELECT {imp} AS x FROM {d}) i, "
+            f"(SELECT avg({imp}) AS m, stddev_pop({imp}) AS s, count(*) AS n FROM {d}) st HAVING count(*) >= 50")
+    return base(fx) + " " + SIGCOLS(["Pct_Outliers"], " UNION ALL ".join(parts),
+                                    ["Dataset", "Analysis_Type", "Feature_or_Method", "Method"])
