@@ -110,6 +110,7 @@ def _register_all():
         register(f"multivariate_outliers_{fx}", fx, multivariate.multivariate_outliers)
         register(f"pca_variance_{fx}", fx, multivariate.pca_variance)
         register(f"pca_loadings_{fx}", fx, multivariate.pca_loadings)
+    register("pca_variance_f3", "f3", multivariate.pca_variance, O.pca_variance_two)
     register("outlier_projection_f7", "f7", multivariate.outlier_projection)
     register("batch_importance_f7", "f7", batch.batch_importance)
     register("batch_report_f7", "f7", batch.batch_report)

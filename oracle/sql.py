@@ -781,3 +781,22 @@ def mahalanobis_single(fx: str) -> str:
             f"(SELECT avg({imp}) AS m, stddev_pop({imp}) AS s, count(*) AS n FROM {d}) st HAVING count(*) >= 50")
     return base(fx) + " " + SIGCOLS(["Pct_Outliers"], " UNION ALL ".join(parts),
                                     ["Dataset", "Analysis_Type", "Feature_or_Method", "Method"])
+
+
+def pca_variance_two(fx: str) -> str:
+    """M3 for two features: eigenvalues of the sample covariance of population-scaled data,
+    n/(n-1) (1 +- |r|), in closed form."""
+    a, b = FIXTURE_FEATURES[fx]
+    n1, n2 = FIXTURE_NAMES[fx]
+    parts = []
+    for d, name in (("d1", n1), ("d2", n2)):
+        x = f"coalesce(CAST({a} AS DOUBLE), (SELECT quantile_cont({a}, 0.5) FROM {d}))"
+        y = f"coalesce(CAST({b} AS DOUBLE), (SELECT quantile_cont({b}, 0.5) FROM {d}))"
+        st = (f"SELECT CAST(count(*) AS DOUBLE) AS n, abs(covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y}))) AS r "
+              f"FROM {d}")
+        for k, sign in ((1, "+"), (2, "-")):
+            parts.append(f"SELECT '{name}' AS Dataset, {k} AS Component, n / (n - 1) * (1 {sign} r) AS Explained_Variance, "
+                         f"(1 {sign} r) / 2 AS Explained_Variance_Ratio, "
+                         f"{'(1 + r) / 2' if k == 1 else '1.0'} AS Cumulative_Ratio FROM ({st})")
+    return base(fx) + " " + SIGCOLS(["Explained_Variance", "Explained_Variance_Ratio", "Cumulative_Ratio"],
+                                    " UNION ALL ".join(parts), ["Dataset", "Component"])
