@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import corr_from_parts, corr_parts
-from ..functions.special import norm_sf_udf, t_sf2_udf
+from ..functions.special import norm_sf_udf, t_sf2_udf, wilcoxon_exact_p_udf
 from ..plans.rank import cumulate, group_quantiles
 from ..plans.tables import Tables
 from ..sources.loader import Prepared
@@ -161,7 +161,9 @@ def paired_report(t: Tables) -> DataFrame:
     c = (c.withColumn("t_p", t_sf2_udf(F.col("t_stat"), n - 1))
           .withColumn("pear_p", F.when(F.abs(r_p) >= 1, F.lit(0.0)).otherwise(t_sf2_udf(t_p, n - 2)))
           .withColumn("spear_p", F.when(F.abs(r_s) >= 1, F.lit(0.0)).otherwise(t_sf2_udf(t_s, n - 2)))
-          .withColumn("w_p", F.when(se > 0, F.least(F.lit(1.0), 2.0 * norm_sf_udf(F.abs(z))))))
+          .withColumn("w_p", F.when((F.col("w_n") <= 50) & (F.col("w_tie") == 0) & (F.col("w_n") == F.col("n")),
+                                    wilcoxon_exact_p_udf(F.col("w_stat"), F.col("w_n")))
+                      .when(se > 0, F.least(F.lit(1.0), 2.0 * norm_sf_udf(F.abs(z))))))
     s = paired_stats(t).drop("Agreement")
     extra = c.select(F.col("feature").alias("Feature"), F.col("t_p").alias("Paired_t_pvalue"),
                      F.col("w_p").alias("Wilcoxon_pvalue"), F.col("pear_p").alias("Pearson_pvalue"),

@@ -38,3 +38,11 @@ def test_betainc_symmetry():
     for a, b, x in [(2.0, 3.0, 0.3), (0.5, 0.5, 0.7), (10.0, 0.5, 0.9)]:
         assert S.betainc(a, b, x) + S.betainc(b, a, 1 - x) == pytest.approx(1.0, rel=1e-12)
     assert math.isnan(S.t_sf2(float("nan"), 3))
+
+
+def test_wilcoxon_exact():
+    # n = 10: P(W+ <= 8) = 25 / 1024 (the tabulated two-sided 5% critical value is 8)
+    assert S.wilcoxon_exact_p(8, 10) == pytest.approx(2 * 25 / 1024)
+    assert S.wilcoxon_exact_p(27.5, 10) == 1.0
+    # symmetric distribution: P(W+ <= n(n+1)/4) >= 1/2
+    assert S.wilcoxon_exact_p(10.5, 6) == 1.0
