@@ -243,5 +243,7 @@ def wilcoxon_exact_p(w: float, n: int) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def wilcoxon_exact_p_udf(w: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([wilcoxon_exact_p(a, b) if pd.notna(a) and pd.notna(b) and b > 0 else np.nan
+    # Spark evaluates the UDF for every row before the caller's CASE, so the
+    # size guard lives here too
+    return pd.Series([wilcoxon_exact_p(a, b) if pd.notna(a) and pd.notna(b) and 0 < b <= 50 else np.nan
                       for a, b in zip(w.astype(float), n.astype(float))])
