@@ -9,10 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, url_filter, warc
+from . import bpe, chat, exact_dedup, mixing, url_filter, warc
 from .common import table
 
 
+def vocabulary() -> tuple[str, str]:
+    """Path of the public vocabulary that the registered query uses, and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = vocabulary()
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    ids = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                     F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "ids")
+    return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -46,7 +61,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op5_warc, op7_exact_dedup, op9_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filters, op5_warc, op7_exact_dedup, op9_mixing, op10_chat_formatting)}
 
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
