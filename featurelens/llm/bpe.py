@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES = 250_000
-MAX_WORDS = 200_000
+MAX_STATES = 400_000
+MAX_WORDS = 300_000
 LONG_WORD = 48
 LONG_TEXT = 1 << 20
 OUT_BYTES = 4 << 20
@@ -184,7 +185,7 @@ class Words(dict):
         data = word.encode()
         whole = self.transducer.ranks.get(data)
         ids = [whole] if whole is not None else self.transducer.encode(data)
-        packed = np.array(ids, np.int32).tobytes()
+        packed = array("i", ids).tobytes()
         if len(data) <= LONG_WORD:
             if len(self) >= MAX_WORDS:
                 self.clear()
