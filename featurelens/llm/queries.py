@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, substring_dedup, url_filter, warc
+from . import bpe, chat, exact_dedup, mixing, ngram_join, substring_dedup, url_filter, warc
 from .common import stored, table
 
 
@@ -34,6 +34,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -68,7 +72,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filters, op5_warc, op7_exact_dedup, op8_substring_dedup, op9_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filters, op4_ngram_jaccard_join, op5_warc, op7_exact_dedup, op8_substring_dedup, op9_mixing, op10_chat_formatting)}
 
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -108,16 +108,19 @@ def words(texts: pa.Array, fold: bool = False) -> Words:
     return Words(doc, start, end, hashes, np.bincount(doc, minlength=len(offset) - 1).astype(np.int64), data, offset)
 
 
+def sequences(w: Words, first: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` words from each of ``first`` (indices of words) on."""
+    power, inverse = WORD_POWERS.upto(len(w.hash))
+    total = np.zeros(len(w.hash) + 1, U)
+    np.cumsum(w.hash * power, out=total[1:])
+    return mix((total[first + k] - total[first]) * inverse[first]) if len(first) else np.zeros(0, U)
+
+
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """First words (indices) and hashes of all windows of ``k`` words within a text."""
     n = len(w.hash)
-    if n < k:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    power, inverse = WORD_POWERS.upto(n)
-    total = np.zeros(n + 1, U)
-    np.cumsum(w.hash * power, out=total[1:])
-    first = np.flatnonzero(w.doc[:n - k + 1] == w.doc[k - 1:])
-    return first, mix((total[first + k] - total[first]) * inverse[first])
+    first = np.flatnonzero(w.doc[:n - k + 1] == w.doc[k - 1:]) if n >= k else np.zeros(0, np.int64)
+    return first, sequences(w, first, k)
 
 
 def parts(table: pa.Table, column: str, most: int = PIECE) -> Iterator[pa.RecordBatch]:
