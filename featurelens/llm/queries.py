@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, ngram_join, substring_dedup, url_filter, warc
+from . import bpe, chat, exact_dedup, mixing, ngram_join, quality, substring_dedup, url_filter, warc
 from .common import stored, table
 
 
+#: A document of at least this score counts as good.
+KEEP = 0.7
+
+
 def vocabulary() -> tuple[str, str]:
     """Path of the public vocabulary that the registered query uses, and its pattern."""
     import public_tokenizers
@@ -43,6 +47,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -72,7 +84,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filters, op4_ngram_jaccard_join, op5_warc, op7_exact_dedup, op8_substring_dedup, op9_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filters, op4_ngram_jaccard_join, op5_warc, op6_quality_classifier, op7_exact_dedup, op8_substring_dedup, op9_mixing, op10_chat_formatting)}
 
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
