@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, ngram_join, quality, substring_dedup, url_filter, warc
+from . import ann, bpe, chat, exact_dedup, mixing, ngram_join, quality, substring_dedup, url_filter, warc
 from .common import stored, table
 
 
@@ -38,6 +38,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -84,7 +89,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filters, op4_ngram_jaccard_join, op5_warc, op6_quality_classifier, op7_exact_dedup, op8_substring_dedup, op9_mixing, op10_chat_formatting)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline.py``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filters, op3_nearest_neighbours, op4_ngram_jaccard_join, op5_warc, op6_quality_classifier, op7_exact_dedup, op8_substring_dedup, op9_mixing, op10_chat_formatting, pipeline)}
 
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
