@@ -121,10 +121,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(enough(common, F.col("__n"), F.col("__m"), percent)).select("a", "b")
 
 
-def possible(percent: int, *sides: str) -> Column:
-    """Whether two entries of a shingle can link: by size, shared shingles, and the shingle's place."""
-    x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "shared", "at")} for s in sides)
-    most = F.least(x["at"], y["at"]) + 1 + F.least(x["shared"] - x["at"] - 1, y["shared"] - y["at"] - 1)
+def possible(percent: int, first: bool = False) -> Column:
+    """Whether two entries of a shingle, ``x`` and ``y``, can link: by size, shared shingles, and the
+    shingle's place.  ``first``: it is the first that both prefixes hold."""
+    x, y = ({c: F.col(f"{s}.{c}") for c in ("n", "shared", "at")} for s in "xy")
+    before = F.lit(0) if first else F.least(x["at"], y["at"])
+    most = before + 1 + F.least(x["shared"] - x["at"] - 1, y["shared"] - y["at"] - 1)
     sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
     return sizes & enough(most, x["n"], y["n"], percent)
 
@@ -143,7 +145,7 @@ def links(rows: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
     heads = entries.groupBy("shingle").agg(F.max(F.struct("weight", "grp_key", "hub", "n", "shared", "at")).alias("h"))
     heads = heads.select("shingle", "h.*")
     star = entries.alias("x").join(heads.alias("y"), "shingle").where(
-        (F.col("x.grp_key") != F.col("y.grp_key")) & possible(percent, "x", "y"))
+        (F.col("x.grp_key") != F.col("y.grp_key")) & possible(percent))
     star = star.select(F.col("x.grp_key").alias("grp_key"), F.col("y.hub").alias("b")).unionByName(
         groups.select("grp_key", F.col("hub").alias("b"))).distinct()
     first = star.join(members.select(F.col("node").alias("a"), "grp_key"), "grp_key").where("a != b").select("a", "b")
@@ -152,11 +154,15 @@ def links(rows: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
     found = components(first)
     placed = stored(members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     units = placed.select("grp_key", "comp").distinct()
-    open_entries = entries.drop("weight", "hub").join(units, "grp_key")
-    unsettled = open_entries.groupBy("shingle").agg(F.min("comp").alias("__low"), F.max("comp").alias("__high"))
-    open_entries = stored(open_entries.join(unsettled.where("__low != __high").select("shingle"), "shingle"), "open")
+    unsettled = entries.select("grp_key", "shingle").join(units, "grp_key").groupBy("shingle").agg(
+        F.min("comp").alias("__low"), F.max("comp").alias("__high")).where("__low != __high").select("shingle")
+    open_entries = groups.select("grp_key", "n", "shared", "prefix").join(units, "grp_key").select(
+        "*", F.posexplode("prefix").alias("at", "shingle"))
+    open_entries = stored(open_entries.join(unsettled, "shingle"), "open")
+    # A pair is met once, under the first shingle that both prefixes hold; nothing before it is common.
+    met_first = F.array_intersect("x.prefix", "y.prefix")[0] == F.col("x.shingle")
     pairs = open_entries.alias("x").join(open_entries.alias("y"), (F.col("x.shingle") == F.col("y.shingle"))
-                                         & (F.col("x.comp") < F.col("y.comp")) & possible(percent, "x", "y"))
+                                         & (F.col("x.comp") < F.col("y.comp")) & possible(percent, first=True) & met_first)
     pairs = pairs.select(F.col("x.grp_key").alias("g"), F.col("x.comp").alias("c"), F.col("y.grp_key").alias("h"),
                          F.col("y.comp").alias("d")).distinct()
     one = placed.select(F.col("node").alias("a"), F.col("grp_key").alias("g"), F.col("comp").alias("c"))
