@@ -40,7 +40,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``lang``, ``source``, ``n_tokens`` and ``ids`` of each document of the mix."""
     path, pattern = vocabulary()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text")
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
     return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

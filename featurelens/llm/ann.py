@@ -151,9 +151,9 @@ def packets(cells: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> pa.Recor
     row, cell = cells
     order = np.argsort(cell, kind="stable")
     row, cell = row[order], cell[order]
-    edge = np.flatnonzero(np.diff(cell, prepend=-1)) if len(cell) else np.zeros(0, int)
+    edge = np.flatnonzero(np.diff(cell, prepend=-1)).tolist()
     out = [{"cell": int(cell[a]), "ids": ids[row[a:b]].tobytes(), "vectors": vectors[row[a:b]].tobytes()}
-           for a, b in zip(edge, np.append(edge[1:], len(cell)), strict=True)]
+           for a, b in zip(edge, [*edge[1:], len(cell)][:len(edge)], strict=True)]
     return pa.RecordBatch.from_pylist(out, PACKET_ARROW)
 
 

@@ -16,8 +16,8 @@ bytes into text through ``Utf8Stream``, a state machine that holds back an unfin
 
 * Nulls: a null text has no tokens; null ids decode to an empty text.
 * Empty texts have no tokens.  Repeated rows are encoded each; very long texts are split and encoded
-  match by match.  An empty table gives an empty result.  Input columns are kept; one named like the
-  result column is replaced.
+  match by match.  An empty table gives an empty result.  Input columns are kept, but the one read, whose
+  place the result takes; one named like a result column is replaced.
 * Ids outside the vocabulary raise ``KeyError``; bytes that are no UTF-8 decode to U+FFFD.
 """
 
@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES = 400_000
-MAX_WORDS = 300_000
+MAX_STATES = 300_000
+MAX_WORDS = 80_000
 LONG_WORD = 48
 LONG_TEXT = 1 << 20
 OUT_BYTES = 4 << 20
@@ -176,20 +176,24 @@ class Transducer:
 
 
 class Words(dict):
-    """Match -> its ids as 4-byte integers."""
+    """Match -> its ids as 4-byte integers.  When full, the words since the last time become the older
+    generation, from which those met again return."""
 
     def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, word: str) -> bytes:
-        data = word.encode()
-        whole = self.transducer.ranks.get(data)
-        ids = [whole] if whole is not None else self.transducer.encode(data)
-        packed = array("i", ids).tobytes()
-        if len(data) <= LONG_WORD:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[word] = packed
+        packed = self.older.get(word)
+        if packed is None:
+            data = word.encode()
+            whole = self.transducer.ranks.get(data)
+            packed = array("i", [whole] if whole is not None else self.transducer.encode(data)).tobytes()
+            if len(data) > LONG_WORD:
+                return packed
+        if len(self) >= MAX_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = packed
         return packed
 
 
@@ -243,7 +247,7 @@ class Decoder:
         self.tokens = {r: t for t, r in read_ranks(vocabulary).items()}
 
     def decode(self, ids: Iterable[int], step: int = 65536) -> str:
-        ids, stream = list(ids), Utf8Stream()
+        ids, stream = ids if isinstance(ids, list) else list(ids), Utf8Stream()
         parts = [stream.feed(b"".join(map(self.tokens.__getitem__, ids[i:i + step]))) for i in range(0, len(ids), step)]
         return "".join([*parts, stream.finish()])
 
@@ -259,11 +263,12 @@ def decoder(vocabulary: bytes) -> Decoder:
     return Decoder(vocabulary)
 
 
-def replacing(df: DataFrame, column: str, out: str, data_type: T.DataType) -> tuple[DataFrame, T.StructType]:
-    """The columns kept, the one read last, and the schema with the new one in its place."""
-    kept = [F.col(c) for c in df.columns if c != out]
+def replacing(df: DataFrame, column: str, *new: T.StructField) -> tuple[DataFrame, T.StructType]:
+    """The columns kept with the one to read last, and the schema with the new ones in its place."""
+    names = [f.name for f in new]
+    kept = [F.col(c) for c in df.columns if c != column and c not in names]
     rows = df.select(*kept, F.col(column).alias("__in"))
-    return rows, T.StructType([*rows.schema.fields[:-1], T.StructField(out, data_type)])
+    return rows, T.StructType([*rows.schema.fields[:-1], *new])
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -274,24 +279,32 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
-def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with ``out``, the token ids (array of int).  The vocabulary file, at most a few MB whatever
-    the input, is read once by the driver and broadcast."""
+def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", out: str = "ids",
+           decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``out``, the token ids (array of int), and, if a name is given, ``decoded``, the text decoded
+    from them in the same pass.  The vocabulary file, at most a few MB whatever the input, is read once by the
+    driver and broadcast."""
     with open(vocabulary_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    rows, schema = replacing(docs, text_col, out, T.ArrayType(T.IntegerType(), False))
+    new = [T.StructField(out, T.ArrayType(T.IntegerType(), False))]
+    new += [T.StructField(decoded, T.StringType())] if decoded else []
+    rows, schema = replacing(docs, text_col, *new)
+    names = schema.names
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(shared.value, pattern)
+        kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         for b in batches:
             for part in pieces(b):
                 packed = [e.packed(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
                 offsets = np.zeros(len(packed) + 1, np.int32)
                 np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(packed), np.int32))
-                kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-                ids = pa.ListArray.from_arrays(pa.array(offsets), values, type=kind)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*part.schema.names[:-1], out])
+                found = [pa.ListArray.from_arrays(pa.array(offsets), values, type=kind)]
+                if decoded:
+                    d = decoder(shared.value)
+                    found.append(pa.array([d.decode(np.frombuffer(p, np.int32).tolist()) for p in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], names=names)
 
     return rows.mapInArrow(encoded, schema)
 
@@ -300,7 +313,7 @@ def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", out: str =
     """``df`` with ``out``, the text that the ids stand for."""
     with open(vocabulary_path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    rows, schema = replacing(df, ids_col, out, T.StringType())
+    rows, schema = replacing(df, ids_col, T.StructField(out, T.StringType()))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = decoder(shared.value)

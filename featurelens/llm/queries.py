@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, exact_dedup, mixing, ngram_join, quality, substring_dedup, url_filter, warc
-from .common import stored, table
+from .common import table
 
 
 #: A document of at least this score counts as good.
@@ -26,11 +26,10 @@ def vocabulary() -> tuple[str, str]:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    # The ids are written first: encoding and decoding in one stage would keep two Python workers a core.
-    ids = stored(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), "ids")
-    ids = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                     F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "ids")
-    return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, decoded="decoded")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,11 @@ def runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, int)
 
 
+def slices(at: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Begin and end of each run."""
+    return list(zip(at.tolist(), [*at[1:].tolist(), n], strict=True)) if len(at) else []
+
+
 def documents_of(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, the number of documents of each and the first of them (``doc`` ascends)."""
     order = np.argsort(keys, kind="stable")
@@ -59,7 +64,7 @@ def packets(grp: int, keys: np.ndarray, times: np.ndarray) -> Iterator[dict]:
     low = keys.astype(np.uint32)
     bucket = (keys >> U(32)).astype(np.int64)
     at = runs(bucket)
-    for a, b in zip(at, np.append(at[1:], len(keys)), strict=True):
+    for a, b in slices(at, len(keys)):
         many = np.flatnonzero(times[a:b] > 1)
         yield {"bucket": int(bucket[a]), "grp": grp, "keys": low[a:b].tobytes(), "many": many.astype(np.uint32).tobytes(),
                "times": times[a:b][many].astype(np.uint32).tobytes()}

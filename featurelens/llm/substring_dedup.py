@@ -71,7 +71,7 @@ def send(docs: pa.Table, shared: pa.Table, grp: int, buckets: int, k: int) -> pa
     at = sh.runs(bucket)
     rows = [{"bucket": int(bucket[a]), "grp": grp, "hashes": keys[a:b].tobytes(),
              "firsts": smallest[a:b].astype(np.int64).tobytes(), "several": np.packbits(times[a:b] > 1).tobytes()}
-            for a, b in zip(at, np.append(at[1:], len(keys)), strict=True)]
+            for a, b in sh.slices(at, len(keys))]
     return pa.Table.from_pylist(rows, SENT_ARROW)
 
 
