@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import fold_ascii, or_empty, stored
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
+SALTS = 32
 
 
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
@@ -60,10 +61,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Per document: ``id_col``, ``keep_id`` (largest id of its group), ``group_size``, ``kept``, ``text_sha256``."""
     rows = stored(recipes(docs, id_col, text_col), "recipes")
     groups = rows.groupBy("recipe", "by_text").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
-    # A group may hold a third of all rows: the join's hot side is split by adaptive execution.
-    joined = rows.join(groups, ["recipe", "by_text"])
-    return joined.select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"),
-                         F.col("__size").alias("group_size"), F.col("__id").eqNullSafe(F.col("__keep")).alias("kept"),
+    # A group may hold a third of all rows: its rows are dealt to SALTS join keys, and groups of one need no join.
+    salted = groups.where("__size > 1").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64("__id", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(salted, ["recipe", "by_text", "__salt"], "left")
+    alone = F.col("__size").isNull()
+    keep = F.when(alone, F.col("__id")).otherwise(F.col("__keep"))
+    return joined.select(F.col("__id").alias(id_col), keep.alias("keep_id"),
+                         F.coalesce("__size", F.lit(1)).alias("group_size"), F.col("__id").eqNullSafe(keep).alias("kept"),
                          F.col("sha256").alias("text_sha256"))
 
 
