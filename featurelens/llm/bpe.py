@@ -24,6 +24,7 @@ bytes into text through ``Utf8Stream``, a state machine that holds back an unfin
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -35,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES = 300_000
-MAX_WORDS = 80_000
+MAX_STATES = 400_000
+MAX_WORDS = 150_000
 LONG_WORD = 48
 LONG_TEXT = 1 << 20
 OUT_BYTES = 4 << 20
@@ -166,6 +167,7 @@ class Transducer:
         ids: list[int] = []
         if len(self.states) > MAX_STATES:
             self.reset()
+            gc.collect()
         state = self.start
         for byte in word:
             emitted, state = state[byte]
@@ -244,11 +246,26 @@ class Utf8Stream:
 
 class Decoder:
     def __init__(self, vocabulary: bytes):
-        self.tokens = {r: t for t, r in read_ranks(vocabulary).items()}
-
-    def decode(self, ids: Iterable[int], step: int = 65536) -> str:
-        ids, stream = ids if isinstance(ids, list) else list(ids), Utf8Stream()
-        parts = [stream.feed(b"".join(map(self.tokens.__getitem__, ids[i:i + step]))) for i in range(0, len(ids), step)]
+        ranks = read_ranks(vocabulary)
+        self.length = np.full(max(ranks.values()) + 1, -1, np.int64)
+        self.begin = np.zeros(len(self.length), np.int64)
+        tokens, at = sorted(ranks, key=ranks.get), 0
+        for t in tokens:
+            self.length[ranks[t]], self.begin[ranks[t]] = len(t), at
+            at += len(t)
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or (self.length[ids] < 0).any()):
+            raise KeyError("an id outside the vocabulary")
+        length = self.length[ids]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.data[np.repeat(self.begin[ids] - ends + length, length) + np.arange(total)].tobytes()
+
+    def decode(self, ids: Iterable[int] | np.ndarray, step: int = 65536) -> str:
+        ids, stream = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), np.int64), Utf8Stream()
+        parts = [stream.feed(self.bytes_of(ids[i:i + step])) for i in range(0, len(ids), step)]
         return "".join([*parts, stream.finish()])
 
 
@@ -296,14 +313,16 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         for b in batches:
             for part in pieces(b):
+                gc.disable()  # the collector would walk all states again and again
                 packed = [e.packed(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
+                gc.enable()
                 offsets = np.zeros(len(packed) + 1, np.int32)
                 np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(packed), np.int32))
                 found = [pa.ListArray.from_arrays(pa.array(offsets), values, type=kind)]
                 if decoded:
                     d = decoder(shared.value)
-                    found.append(pa.array([d.decode(np.frombuffer(p, np.int32).tolist()) for p in packed], pa.string()))
+                    found.append(pa.array([d.decode(np.frombuffer(p, np.int32)) for p in packed], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], names=names)
 
     return rows.mapInArrow(encoded, schema)
@@ -320,7 +339,7 @@ def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", out: str =
         for b in batches:
             for part in pieces(b):
                 ids = part.column(part.num_columns - 1)
-                texts = [d.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in ids]
+                texts = [d.decode(x.values.to_numpy() if x.is_valid else ()) for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())],
                                                  names=[*part.schema.names[:-1], out])
 
