@@ -13,7 +13,8 @@ when 100 * intersection >= ``PERCENT`` * union.  All steps are exact (sets are o
 
 A component needs no more links than connect it.  So the pairs are taken in two rounds: first each group
 with the group of most copies under each of its prefix shingles (and within its group, with the node of
-most copies); then, between the components found, all pairs left.  A pair is skipped only if
+most copies); then, between the components found, all pairs of nodes that a bound from the counts of their
+shingles by hash class allows.  A pair is skipped only if that bound rules the link out, or if
 its documents are in one component already.  A large group of near copies thus costs a verification each,
 and copies of a text are never compared.
 
@@ -40,10 +41,12 @@ from .components import components
 from .words import U, mix, parts, sequences, windows, words
 
 SHINGLE, PERCENT = 4, 85
-ROWS = "id long, n long, node binary, grp_key binary, shared long, prefix array<long>, body array<long>"
+#: Shingles are counted by so many classes of their hash, for a bound of what two sets can share.
+CLASSES = 32
+ROWS = "id long, n long, node binary, grp_key binary, shared long, prefix array<long>, body array<long>, classes array<int>"
 LONGS = pa.list_(pa.int64())
 ROWS_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("grp_key", pa.binary()),
-                        ("shared", pa.int64()), ("prefix", LONGS), ("body", LONGS)])
+                        ("shared", pa.int64()), ("prefix", LONGS), ("body", LONGS), ("classes", pa.list_(pa.int32()))])
 OTHER = U(0x5851F42D4C957F2D)
 
 
@@ -103,6 +106,7 @@ def described(docs: pa.Table, shared: pa.Table, buckets: int, k: int, percent: i
                     mine, at = h[a:b].view(np.int64), level[a:b]
                     r["prefix"] = mine[np.argsort(at, kind="stable")[alone[d]:length]]
                     r["body"] = mine[at > 0]
+                    r["classes"] = np.bincount(r["body"] & (CLASSES - 1), minlength=CLASSES)
                     r["grp_key"] = hashlib.blake2b(n.to_bytes(8) + r["prefix"].tobytes(), digest_size=16).digest()
             out.append(r)
     return pa.Table.from_pylist(out, ROWS_ARROW)
@@ -133,9 +137,9 @@ def possible(percent: int, first: bool = False) -> Column:
 
 def links(rows: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
     """Links (``a``, ``b``) between nodes that connect the components of the whole join."""
-    nodes = rows.where("prefix is not null").select("node", "grp_key", "n", "shared", "prefix", "body")
+    nodes = rows.where("prefix is not null").drop("id")
     nodes = stored(nodes.dropDuplicates(["node"]).join(copies, "node"), "nodes")
-    members = nodes.select("node", "grp_key", "n", "shared", "copies")
+    members = nodes.select("node", "grp_key")
     groups = nodes.groupBy("grp_key").agg(
         F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("prefix").alias("prefix"),
         F.sum("copies").alias("weight"), F.max_by("node", F.struct("copies", "node")).alias("hub"))
@@ -152,22 +156,18 @@ def links(rows: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
     first = stored(verified(first, nodes, percent), "links")
     # Second round: what lies between the components found.
     found = components(first)
-    placed = stored(members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    units = placed.select("grp_key", "comp").distinct()
-    unsettled = entries.select("grp_key", "shingle").join(units, "grp_key").groupBy("shingle").agg(
-        F.min("comp").alias("__low"), F.max("comp").alias("__high")).where("__low != __high").select("shingle")
-    open_entries = groups.select("grp_key", "n", "shared", "prefix").join(units, "grp_key").select(
-        "*", F.posexplode("prefix").alias("at", "shingle"))
-    open_entries = stored(open_entries.join(unsettled, "shingle"), "open")
-    # A pair is met once, under the first shingle that both prefixes hold; nothing before it is common.
-    met_first = F.array_intersect("x.prefix", "y.prefix")[0] == F.col("x.shingle")
-    pairs = open_entries.alias("x").join(open_entries.alias("y"), (F.col("x.shingle") == F.col("y.shingle"))
-                                         & (F.col("x.comp") < F.col("y.comp")) & possible(percent, first=True) & met_first)
-    pairs = pairs.select(F.col("x.grp_key").alias("g"), F.col("x.comp").alias("c"), F.col("y.grp_key").alias("h"),
-                         F.col("y.comp").alias("d")).distinct()
-    one = placed.select(F.col("node").alias("a"), F.col("grp_key").alias("g"), F.col("comp").alias("c"))
-    two = placed.select(F.col("node").alias("b"), F.col("grp_key").alias("h"), F.col("comp").alias("d"))
-    second = verified(pairs.join(one, ["g", "c"]).join(two, ["h", "d"]).select("a", "b"), nodes, percent)
+    placed = nodes.drop("body", "copies", "grp_key").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    held = placed.select("node", F.explode("prefix").alias("shingle"), "comp").groupBy("shingle").agg(
+        F.min("comp").alias("__low"), F.max("comp").alias("__high"))
+    unsettled = held.where("__low != __high").select("shingle")
+    opened = placed.select("node", "comp", "n", "shared", "classes", F.posexplode("prefix").alias("at", "shingle"))
+    opened = stored(opened.join(unsettled, "shingle"), "open")
+    # A pair that links does so under the first shingle that both prefixes hold; nothing before it is common.
+    both = sum(F.least(F.col("x.classes")[i], F.col("y.classes")[i]) for i in range(CLASSES))
+    pairs = opened.alias("x").join(opened.alias("y"), (F.col("x.shingle") == F.col("y.shingle"))
+                                   & (F.col("x.comp") < F.col("y.comp")) & possible(percent, first=True)
+                                   & enough(both, F.col("x.n"), F.col("y.n"), percent))
+    second = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, percent)
     return found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(second)
 
 
