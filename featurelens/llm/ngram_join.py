@@ -12,8 +12,8 @@ when 100 * intersection >= ``PERCENT`` * union.  All steps are exact (sets are o
    the shingle's place in both prefixes; members of the pairs left are verified on their whole sets.
 
 A component needs no more links than connect it.  So the pairs are taken in two rounds: first each group
-with the group of most copies under each of its prefix shingles (and within its group, with the node of
-most copies); then, between the components found, all pairs of nodes that a bound from the counts of their
+with a hub under each of its prefix shingles and within its group: the node whose shingles most documents
+hold on average, which in a cluster of near copies is its centre; then, between the components found, all pairs of nodes that a bound from the counts of their
 shingles by hash class allows.  A pair is skipped only if that bound rules the link out, or if
 its documents are in one component already.  A large group of near copies thus costs a verification each,
 and copies of a text are never compared.
@@ -43,10 +43,10 @@ from .words import U, mix, parts, sequences, windows, words
 SHINGLE, PERCENT = 4, 85
 #: Shingles are counted by so many classes of their hash, for a bound of what two sets can share.
 CLASSES = 32
-ROWS = "id long, n long, node binary, grp_key binary, shared long, prefix array<long>, body array<long>, classes array<int>"
+ROWS = "id long, n long, node binary, grp_key binary, shared long, prefix array<long>, body array<long>, classes array<int>, score long"
 LONGS = pa.list_(pa.int64())
 ROWS_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("grp_key", pa.binary()),
-                        ("shared", pa.int64()), ("prefix", LONGS), ("body", LONGS), ("classes", pa.list_(pa.int32()))])
+                        ("shared", pa.int64()), ("prefix", LONGS), ("body", LONGS), ("classes", pa.list_(pa.int32())), ("score", pa.int64())])
 OTHER = U(0x5851F42D4C957F2D)
 
 
@@ -106,6 +106,7 @@ def described(docs: pa.Table, shared: pa.Table, buckets: int, k: int, percent: i
                     mine, at = h[a:b].view(np.int64), level[a:b]
                     r["prefix"] = mine[np.argsort(at, kind="stable")[alone[d]:length]]
                     r["body"] = mine[at > 0]
+                    r["score"] = int(at.astype(np.int64).sum() * 1000 // n)
                     r["classes"] = np.bincount(r["body"] & (CLASSES - 1), minlength=CLASSES)
                     r["grp_key"] = hashlib.blake2b(n.to_bytes(8) + r["prefix"].tobytes(), digest_size=16).digest()
             out.append(r)
@@ -135,18 +136,18 @@ def possible(percent: int, first: bool = False) -> Column:
     return sizes & enough(most, x["n"], y["n"], percent)
 
 
-def links(rows: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+def links(rows: DataFrame, percent: int) -> DataFrame:
     """Links (``a``, ``b``) between nodes that connect the components of the whole join."""
     nodes = rows.where("prefix is not null").drop("id")
-    nodes = stored(nodes.dropDuplicates(["node"]).join(copies, "node"), "nodes")
+    nodes = stored(nodes.dropDuplicates(["node"]), "nodes")
     members = nodes.select("node", "grp_key")
     groups = nodes.groupBy("grp_key").agg(
         F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("prefix").alias("prefix"),
-        F.sum("copies").alias("weight"), F.max_by("node", F.struct("copies", "node")).alias("hub"))
-    entries = stored(groups.select("grp_key", "n", "shared", "weight", "hub", F.posexplode("prefix").alias("at", "shingle")),
+        F.max("score").alias("score"), F.max_by("node", F.struct("score", "node")).alias("hub"))
+    entries = stored(groups.select("grp_key", "n", "shared", "score", "hub", F.posexplode("prefix").alias("at", "shingle")),
                      "entries")
-    # First round: each member with the hub of its group, and of the heaviest group under each shingle.
-    heads = entries.groupBy("shingle").agg(F.max(F.struct("weight", "grp_key", "hub", "n", "shared", "at")).alias("h"))
+    # First round: each member with the hub of its group, and with the highest hub under each shingle.
+    heads = entries.groupBy("shingle").agg(F.max(F.struct("score", "grp_key", "hub", "n", "shared", "at")).alias("h"))
     heads = heads.select("shingle", "h.*")
     star = entries.alias("x").join(heads.alias("y"), "shingle").where(
         (F.col("x.grp_key") != F.col("y.grp_key")) & possible(percent))
@@ -156,7 +157,7 @@ def links(rows: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
     first = stored(verified(first, nodes, percent), "links")
     # Second round: what lies between the components found.
     found = components(first)
-    placed = nodes.drop("body", "copies", "grp_key").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = nodes.drop("body", "score", "grp_key").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     held = placed.select("node", F.explode("prefix").alias("shingle"), "comp").groupBy("shingle").agg(
         F.min("comp").alias("__low"), F.max("comp").alias("__high"))
     unsettled = held.where("__low != __high").select("shingle")
@@ -182,8 +183,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return described(left, right, buckets, k, percent)
 
     rows = stored(texts.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(rows_of, ROWS), "sets")
-    copies = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    found = components(links(rows, copies.select("node", "copies"), percent))
+    copies = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+    found = components(links(rows, percent))
     comps = copies.join(found, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = comps.join(least, "comp").select("node", "component_id")
