@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES = 400_000
-MAX_WORDS = 150_000
+MAX_STATES = 200_000
+MAX_WORDS = 80_000
 LONG_WORD = 48
 LONG_TEXT = 1 << 20
 OUT_BYTES = 4 << 20
