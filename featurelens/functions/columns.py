@@ -20,16 +20,6 @@ def sig(c: Column, digits: int = 10) -> Column:
             .otherwise(F.round(x / mag * scale) / scale * mag))
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """a / b, NULL when b is 0 or NULL (no ANSI divide-by-zero error)."""
-    return F.when(b.isNull() | (b == 0), F.lit(None).cast("double")).otherwise(a / b)
-
-
-def round_half_even_py(x: Column, d: int) -> Column:
-    """Python/numpy ``round`` is half-to-even; Spark ``bround`` is the same rule."""
-    return F.bround(x, d)
-
-
 def corr_parts(x: Column, y: Column, prefix: str) -> list:
     """Aggregates for an ANSI-safe Pearson r (``corr`` raises on a constant side)."""
     return [F.covar_pop(x, y).alias(f"{prefix}_cov"), F.var_pop(x).alias(f"{prefix}_vx"),

@@ -4,7 +4,7 @@ Pooled median imputation and scaling (P11, P13), a seeded hash split of 70/30
 inside each label (P19), Spark ML random forest (100 trees, depth 10 — the
 reference's documented fallback; ``GBTClassifier`` on request), hold-out
 accuracy (M6), normalised feature importances (M7) and the combined 2-D PCA
-view on a bounded hash sample per dataset (P17, M9).
+view (M9).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables, ds_name
@@ -28,7 +28,7 @@ def _split(x: DataFrame, seed: int, test: float = 0.3) -> tuple:
 
 def batch_model(t: Tables, model: str = "rf"):
     """Fit the classifier; returns (fitted pipeline, test predictions)."""
-    feats = t.p.features
+    feats = t.matrix_features
     x, _ = scaled_matrix(t, pooled=True)
     train, test = _split(x, t.spec.seed)
     va = VectorAssembler(inputCols=feats, outputCol="features")
@@ -46,7 +46,7 @@ def batch_effect(t: Tables, model: str = "rf") -> tuple:
     fit, pred = batch_model(t, model)
     acc = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label").evaluate(pred)
     imp = fit.stages[-1].featureImportances.toArray()
-    rows = sorted(zip(t.p.features, map(float, imp)), key=lambda r: (-r[1], r[0]))
+    rows = sorted(zip(t.matrix_features, map(float, imp)), key=lambda r: (-r[1], r[0]))
     importance = spark.createDataFrame(rows, "Feature string, Importance double")
     report = spark.createDataFrame([("Classifier accuracy", float(acc))] +
                                    [(f"Top feature {i + 1}: {f}", v) for i, (f, v) in enumerate(rows[:10])],
@@ -65,12 +65,10 @@ def batch_report(t: Tables) -> DataFrame:
 
 
 def combined_view(t: Tables) -> DataFrame:
-    """M9: PCA-2 of the pooled scaled matrix on at most ``view_sample`` rows per dataset (hash order)."""
+    """M9: PCA-2 of the pooled scaled matrix, fitted on all rows of both datasets; each row once."""
     x, _ = scaled_matrix(t, pooled=True)
-    w = Window.partitionBy("ds").orderBy(F.xxhash64(F.col("_rk.h1"), F.col("_rk.h2"), F.lit(t.spec.seed)))
-    smp = x.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= t.spec.view_sample).drop("_rn")
-    pooled = smp.withColumn("ds", F.lit(1))
+    x = t.hold(x)
+    pooled = x.withColumn("ds", F.lit(1))
     fit = pca_fit(t, pooled, components=2)
-    sc = pca_scores(t, smp.withColumn("_d", F.col("ds")).withColumn("ds", F.lit(1)), fit, 2)
-    return sc.join(smp.select("_rk", F.col("ds").alias("_ds")), "_rk").select(
-        ds_name(t.spec, "_ds").alias("Dataset"), "id", "PC1", "PC2")
+    sc = pca_scores(t, x.withColumn("_ds", F.col("ds")).withColumn("ds", F.lit(1)), fit, 2, ["_ds"])
+    return sc.select(ds_name(t.spec, "_ds").alias("Dataset"), "id", "PC1", "PC2")

@@ -66,11 +66,6 @@ def _cohen(s: DataFrame) -> DataFrame:
     return s.withColumn("cohen_d", d)
 
 
-def cohens_d(t: Tables) -> DataFrame:
-    """Pooled *sample* variance; 0 when the pooled variance is not positive."""
-    return _cohen(sample_stats(t)).select("feature", "cohen_d")
-
-
 def ks_mw(t: Tables) -> DataFrame:
     """T3 KS statistic, T5 Mann-Whitney U1 (average ranks) and the tie term sum(t^3-t)."""
     r = t.rk
@@ -173,10 +168,10 @@ def comparison_stats(t: Tables) -> DataFrame:
 
 
 def _p_values(c: DataFrame) -> DataFrame:
-    """T4 (asymptotic Kolmogorov) and T6 (normal approximation, tie + 1/2 continuity)."""
+    """T4 (finite-n Kolmogorov law at n1 n2 / (n1 + n2)) and T6 (normal approximation, tie + 1/2 continuity)."""
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     en = n1 * n2 / (n1 + n2)
-    ks_p = kolmogorov_sf_udf(F.sqrt(F.round(en)) * F.col("ks"))
+    ks_p = kolmogorov_sf_udf(F.col("ks"), F.round(en))
     n = n1 + n2
     u = F.greatest(F.col("u1"), n1 * n2 - F.col("u1"))
     s = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))

@@ -74,7 +74,7 @@ def _null_features(t: Tables) -> dict:
 def _rank_long(t: Tables, long: DataFrame, keys: list) -> DataFrame:
     """Attach the average rank of ``value`` within ``keys`` to every long row."""
     vc = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
-    rk = cumulate(vc, keys, "value", ["c"], t.spec.rank_bucket_rows, t.group_bound)
+    rk = cumulate(vc, keys, "value", ["c"], t.spec.rank_buckets)
     rk = rk.select(*keys, "value", (F.col("cum_c") - F.col("c") + (F.col("c") + 1) / 2.0).alias("rank"))
     return long.join(rk, [*keys, "value"])
 
@@ -140,7 +140,7 @@ def kendall_matrix(t: Tables, pairs: list | None = None) -> DataFrame:
     keys = ["ds", "i", "j"]
     # dense 0-based rank of y within each pair (distinct y values ranked by the kernel)
     yv = pl.select(*keys, F.col("y").alias("value")).distinct().withColumn("one", F.lit(1))
-    yr = cumulate(yv, keys, "value", ["one"], t.spec.rank_bucket_rows, t.group_bound)
+    yr = cumulate(yv, keys, "value", ["one"], t.spec.rank_buckets)
     yr = yr.select(*keys, F.col("value").alias("y"), (F.col("cum_one") - 1).alias("ry"),
                    F.col("tot_one").alias("ny"))
     rows = pl.join(yr, [*keys, "y"])
@@ -151,7 +151,7 @@ def kendall_matrix(t: Tables, pairs: list | None = None) -> DataFrame:
     lkeys = [*keys, "k", "prefix"]
     xc = lv.groupBy(*lkeys, F.col("x").alias("value")).agg(F.count_if(F.col("bit") == 1).alias("ones"),
                                                            F.count_if(F.col("bit") == 0).alias("zeros"))
-    xr = cumulate(xc, lkeys, "value", ["ones"], t.spec.rank_bucket_rows, t.group_bound)
+    xr = cumulate(xc, lkeys, "value", ["ones"], t.spec.rank_buckets)
     disc = xr.groupBy(*keys).agg(F.sum(F.col("zeros") * (F.col("cum_ones") - F.col("ones"))).alias("D"))
     # tie terms: pairs tied in x, in y, in both
     tx = pl.groupBy(*keys, "x").count().groupBy(*keys).agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("n1"))

@@ -23,17 +23,13 @@ def mad(t: Tables) -> DataFrame:
     (ds, feature, |value - median|) before the weighted median.
     """
     med = t.percentiles.select("ds", "feature", F.col("p50").alias("_med"))
-    if t.small:
-        dev = F.abs(F.col("value") - F.col("_med"))
-        return (t.long.join(F.broadcast(med), ["ds", "feature"]).groupBy("ds", "feature")
-                .agg(F.percentile(dev, 0.5).alias("mad")))
     vc = t.vc
     d1 = vc.where(F.col("n1") > 0).select("feature", "value", F.col("n1").alias("n"), F.lit(1).alias("ds"))
     d2 = vc.where(F.col("n2") > 0).select("feature", "value", F.col("n2").alias("n"), F.lit(2).alias("ds"))
     dev = (d1.unionByName(d2).join(F.broadcast(med), ["ds", "feature"])
            .select("ds", "feature", F.abs(F.col("value") - F.col("_med")).alias("dev"), "n")
            .groupBy("ds", "feature", "dev").agg(F.sum("n").alias("n")))
-    q = group_quantiles(dev, ["ds", "feature"], "dev", ["n"], [0.5], t.spec.rank_bucket_rows, t.group_bound)
+    q = group_quantiles(dev, ["ds", "feature"], "dev", ["n"], [0.5], t.spec.rank_buckets)
     return q.select("ds", "feature", F.col("quantile").alias("mad"))
 
 

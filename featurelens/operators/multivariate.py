@@ -14,11 +14,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_ppf
 from ..plans.gram import gram, gram_matrix
+from ..plans.rank import group_quantiles
 from ..plans.tables import Tables, ds_name
 
 
@@ -30,13 +31,9 @@ def _medians(t: Tables, pooled: bool) -> dict:
         for r in t.percentiles.select("ds", "feature", "p50").collect():
             out[r["ds"]][r["feature"]] = r["p50"]
         return out
-    q = t.long.groupBy("feature").agg(F.percentile("value", 0.5).alias("m")) if t.small else \
-        t.vc.select("feature", "value", (F.col("n1") + F.col("n2")).alias("n"))
-    if not t.small:
-        from ..plans.rank import group_quantiles
-        q = group_quantiles(q, ["feature"], "value", ["n"], [0.5], t.spec.rank_bucket_rows).withColumnRenamed(
-            "quantile", "m")
-    med = {r["feature"]: r["m"] for r in q.collect()}
+    counts = t.vc.select("feature", "value", (F.col("n1") + F.col("n2")).alias("n"))
+    q = group_quantiles(counts, ["feature"], "value", ["n"], [0.5], t.spec.rank_buckets)
+    med = {r["feature"]: r["quantile"] for r in q.collect()}
     return {1: med, 2: med}
 
 
@@ -59,7 +56,7 @@ def scaled_matrix(t: Tables, pooled: bool = False) -> tuple:
     matrix).  Zero SD scales by 1, like ``StandardScaler``.  Returns the
     frame and {ds: (means, sds)} of the imputed columns.
     """
-    feats = t.p.features
+    feats = t.matrix_features
     med = _medians(t, pooled)
     k = _keyed(t)
     imp = k.select("ds", "id", "_rk", *[
@@ -109,7 +106,7 @@ def _cov(x: DataFrame, feats: list) -> dict:
 
 def mahalanobis_flags(t: Tables, x: DataFrame | None = None) -> DataFrame:
     """(ds, _rk, md, is_outlier): distance with the pseudo-inverse of the sample covariance."""
-    feats = t.p.features
+    feats = t.matrix_features
     if x is None:
         x, _ = scaled_matrix(t)
     cv = _cov(x, feats)
@@ -137,7 +134,7 @@ def mahalanobis_flags(t: Tables, x: DataFrame | None = None) -> DataFrame:
 # ------------------------------------------------------------------------ PCA
 def pca_fit(t: Tables, x: DataFrame | None = None, components: int = 10) -> dict:
     """{ds: (components k x p, explained variance, ratio, mean)} — sklearn conventions (ddof=1, sign flip)."""
-    feats = t.p.features
+    feats = t.matrix_features
     if x is None:
         x, _ = scaled_matrix(t)
     cv = _cov(x, feats)
@@ -165,7 +162,7 @@ def pca_loadings(t: Tables) -> DataFrame:
     rows = []
     for d, (comp, ev, ratio, mu) in fit.items():
         for k in range(comp.shape[0]):
-            for i, f in enumerate(t.p.features):
+            for i, f in enumerate(t.matrix_features):
                 rows.append((d, f, f"PC{k + 1}", float(comp[k, i] * np.sqrt(ev[k]))))
     df = t.p.d1.sparkSession.createDataFrame(rows, "ds int, Feature string, Component string, Loading double")
     return df.select(ds_name(t.spec).alias("Dataset"), "Feature", "Component", "Loading")
@@ -184,9 +181,9 @@ def pca_variance(t: Tables) -> DataFrame:
                      "Cumulative_Ratio")
 
 
-def pca_scores(t: Tables, x: DataFrame, fit: dict, k: int = 2) -> DataFrame:
+def pca_scores(t: Tables, x: DataFrame, fit: dict, k: int = 2, carry: list = ()) -> DataFrame:
     """M1: (ds, id, _rk, PC1..PCk) as JVM column algebra (dot products with broadcast constants)."""
-    feats = t.p.features
+    feats = t.matrix_features
     cols = []
     for c in range(k):
         e = None
@@ -196,7 +193,7 @@ def pca_scores(t: Tables, x: DataFrame, fit: dict, k: int = 2) -> DataFrame:
             dot = reduce(lambda a, b: a + b, [(F.col(f) - float(mu[i])) * float(comp[c, i]) for i, f in enumerate(feats)])
             e = F.when(F.col("ds") == d, dot) if e is None else e.when(F.col("ds") == d, dot)
         cols.append((e if e is not None else F.lit(None).cast("double")).alias(f"PC{c + 1}"))
-    return x.select("ds", "id", "_rk", *cols)
+    return x.select("ds", "id", "_rk", *carry, *cols)
 
 
 # ----------------------------------------------------------- Isolation Forest
@@ -262,35 +259,24 @@ def isolation_forest_flags(t: Tables, x: DataFrame | None = None, trees: int = 1
                            sample: int = 256) -> DataFrame:
     """(ds, h1, h2, score, is_outlier) per row.
 
-    Each tree is grown on the ``sample`` rows of its dataset with the
-    smallest hash of (row key, tree, seed): a bounded pool is drawn by a
-    hash threshold, exploded to trees, cut to ``sample`` per tree by a
-    window group limit, and every tree is grown in its own ``applyInPandas``
-    group.  Rows are flagged above the exact (1 - contamination) quantile of
+    Each tree is grown on ``sample`` rows of its dataset drawn by a hash of
+    (row key, tree, seed), in its own ``applyInPandas`` group.  Rows are flagged above the exact (1 - contamination) quantile of
     the anomaly score.
     """
-    feats = t.p.features
+    feats = t.matrix_features
     seed = t.spec.seed
     if x is None:
         x, _ = scaled_matrix(t)
     n = _rows(t)
     flat = x.select("ds", F.col("_rk.h1").alias("h1"), F.col("_rk.h2").alias("h2"), *feats)
-    # Tree samples.  A dataset of at most trees x sample rows gives every row to
-    # every tree (<= trees^2 x sample rows); a larger one draws a hash pool of
-    # about 1.5 x trees x sample rows and deals it to the trees, so the work is
-    # bounded by the parameters, not by the table.
-    parts = []
+    # Tree samples: a row is offered to a tree where their common hash falls below a share that gives each
+    # tree twice its sample on average; the window keeps ``sample`` of them.  One rule at all sizes.
+    share = F.lit(None).cast("double")
     for d, nd in n.items():
-        side = flat.where(F.col("ds") == d)
-        if nd <= sample * trees:
-            parts.append(side.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")))
-        else:
-            frac = 1.5 * trees * sample / nd
-            u = F.pmod(F.xxhash64("h1", "h2", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0
-            parts.append(side.where(u < frac)
-                         .withColumn("tree", F.pmod(F.xxhash64("h1", "h2", F.lit(seed + 1)), F.lit(trees)).cast("int")))
-    per = reduce(DataFrame.unionByName, parts).withColumn("_o", F.xxhash64("h1", "h2", "tree", F.lit(seed)))
-    from pyspark.sql import Window
+        share = F.when(F.col("ds") == d, F.lit(2.0 * sample / max(1, nd))).otherwise(share)
+    offered = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda k: F.pmod(
+        F.xxhash64("h1", "h2", k, F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0 < share)
+    per = flat.select("*", F.explode(offered).alias("tree")).withColumn("_o", F.xxhash64("h1", "h2", "tree", F.lit(seed)))
     w = Window.partitionBy("ds", "tree").orderBy("_o")
     per = per.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample).drop("_o", "_rn")
     max_depth = int(np.ceil(np.log2(max(sample, 2))))
@@ -325,9 +311,11 @@ def isolation_forest_flags(t: Tables, x: DataFrame | None = None, trees: int = 1
             if out:
                 yield pd.concat(out)
 
-    sc = flat.mapInPandas(score, "ds int, h1 long, h2 int, score double")
+    sc = t.hold(flat.mapInPandas(score, "ds int, h1 long, h2 int, score double"))
     c = t.spec.thresholds.outlier_contamination
-    thr = sc.groupBy("ds").agg(F.percentile_approx("score", 1 - c, 100000).alias("_thr"))
+    counts = sc.groupBy("ds", "score").agg(F.count(F.lit(1)).alias("n"))
+    thr = group_quantiles(counts, ["ds"], "score", ["n"], [1 - c], t.spec.rank_buckets)
+    thr = thr.select("ds", F.col("quantile").alias("_thr"))  # one row per dataset
     return sc.join(F.broadcast(thr), "ds").withColumn("is_outlier", F.col("score") > F.col("_thr")).drop("_thr")
 
 
@@ -337,7 +325,7 @@ def multivariate_outliers(t: Tables, methods: tuple = ("Isolation Forest", "Maha
     k = t.spec.thresholds.min_multivariate_rows
     n = _rows(t)
     x, _ = scaled_matrix(t)
-    x = x.persist()
+    x = t.hold(x)
     parts = []
     if "Isolation Forest" in methods:
         parts.append(isolation_forest_flags(t, x).groupBy("ds").agg(F.count_if("is_outlier").alias("k"))
@@ -356,7 +344,7 @@ def multivariate_outliers(t: Tables, methods: tuple = ("Isolation Forest", "Maha
 def outlier_projection(t: Tables) -> DataFrame:
     """Per-row PCA-2 coordinates with the Mahalanobis and Isolation Forest flags."""
     x, _ = scaled_matrix(t)
-    x = x.persist()
+    x = t.hold(x)
     fit = pca_fit(t, x, components=2)
     sc = pca_scores(t, x, fit, 2).select("ds", "id", F.col("_rk.h1").alias("h1"), F.col("_rk.h2").alias("h2"),
                                          "PC1", "PC2")

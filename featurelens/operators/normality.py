@@ -7,24 +7,30 @@
   and a tie block of c values starting after rank a contributes the closed
   sums (a+c)^2 - a^2 and c(2n+1) - [(a+c)(a+c+1) - a(a+1)]; so A^2 is one
   aggregate over the rank table with ln Phi from a vectorised pandas UDF.
-* N1 Shapiro-Wilk on a deterministic hash sample of at most 5000 values per
-  group (window group-limit, then ``applyInPandas`` on bounded groups).
+* N1 Shapiro-Wilk over all values: sums over the rank table, chunked by rank.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.shapiro import shapiro_wilk
+from ..functions.shapiro import chunk_sums, royston
 from ..functions.special import log_norm_cdf_udf, norm_ppf_udf
 from ..plans.rank import cumulate, quantiles
 from ..plans.tables import Tables, ds_name
 
 # Fixed value: Stephens' 5% critical constant for the normal case (estimated mean and variance).
 AD_CRIT_5PCT = 0.787
+#: Ranks of one value that are summed together.
+RANK_CHUNK = 65_536
+
+
+def _doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
 
 def k2(t: Tables) -> DataFrame:
@@ -81,25 +87,42 @@ def anderson_darling(t: Tables) -> DataFrame:
     return agg.select("ds", "feature", (-nn - F.col("_s") / nn).alias("ad"), crit.alias("ad_crit"))
 
 
-def _sw_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    w, p = shapiro_wilk(pdf["value"].to_numpy())
-    return pd.DataFrame({"ds": [int(pdf["ds"].iloc[0])], "feature": [pdf["feature"].iloc[0]],
-                         "sw": [w], "sw_p": [p]})
+@F.pandas_udf(_doubles("one", "two"))
+def _order_sums(first: pd.Series, stop: pd.Series, n: pd.Series) -> pd.DataFrame:
+    one, two = chunk_sums(first.to_numpy(np.int64), stop.to_numpy(np.int64), n.to_numpy(np.float64))
+    return pd.DataFrame({"one": one, "two": two})
+
+
+@F.pandas_udf(_doubles("sw", "sw_p"))
+def _royston(n: pd.Series, dot: pd.Series, mm: pd.Series, outer: pd.Series, inner: pd.Series, ss: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([royston(*r) for r in zip(n, dot, mm, outer, inner, ss, strict=True)], columns=["sw", "sw_p"])
 
 
 def shapiro(t: Tables) -> DataFrame:
-    """(ds, feature, sw, sw_p) on at most ``normality_sample`` values per group.
+    """(ds, feature, sw, sw_p) over all values.
 
-    The sample is the values with the smallest hash of (key, value, seed) —
-    deterministic, and a per-partition group limit keeps every task bounded.
+    Each distinct value stands at an interval of ranks; intervals are cut into chunks of ``RANK_CHUNK`` ranks,
+    so that a value that very many rows share is spread over tasks.
     """
     k = t.spec.thresholds.min_normality_n
-    cap = t.spec.normality_sample
-    w = Window.partitionBy("ds", "feature").orderBy(F.xxhash64("id", "value", F.lit(t.spec.seed)), "value")
-    smp = t.long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).select("ds", "feature", "value")
-    ok = t.moments.where(F.col("n") >= k).select("ds", "feature")
-    smp = smp.join(F.broadcast(ok), ["ds", "feature"])
-    return smp.groupBy("ds", "feature").applyInPandas(_sw_group, "ds int, feature string, sw double, sw_p double")
+    sides = [t.rk.where(F.col(f"n{d}") > 0).select(F.lit(d).alias("ds"), "feature", "value",
+                                                   (F.col(f"cum_n{d}") - F.col(f"n{d}")).alias("lo"),
+                                                   F.col(f"cum_n{d}").alias("hi")) for d in (1, 2)]
+    base = t.moments.where(F.col("n") >= k).select("ds", "feature", "n", "mean", "var_pop")
+    rows = sides[0].unionByName(sides[1]).join(base, ["ds", "feature"])
+    rows = rows.withColumn("first", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(RANK_CHUNK).cast("long"))))
+    rows = rows.withColumn("stop", F.least(F.col("first") + RANK_CHUNK, F.col("hi")))
+    rows = rows.withColumn("s", _order_sums("first", "stop", F.col("n").cast("double")))
+
+    def at(rank):  # the value at a 0-based rank
+        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("value")))
+
+    n = F.col("n")
+    g = rows.groupBy("ds", "feature").agg(
+        F.first("n").cast("double").alias("n"), F.sum((F.col("value") - F.col("mean")) * F.col("s.one")).alias("dot"),
+        F.sum("s.two").alias("mm"), (at(n - 1) - at(F.lit(0))).alias("outer"), (at(n - 2) - at(F.lit(1))).alias("inner"),
+        (F.first("n") * F.first("var_pop")).alias("ss"))
+    return g.withColumn("r", _royston("n", "dot", "mm", "outer", "inner", "ss")).select("ds", "feature", "r.sw", "r.sw_p")
 
 
 def normality_tests(t: Tables) -> DataFrame:
@@ -131,7 +154,7 @@ def normality_report(t: Tables) -> DataFrame:
         F.col("ad").alias("Anderson_Darling_Stat"), ad_ok.alias("AD_Is_Gaussian_5pct"),
         F.col("k2").alias("DAgostino_K2_Stat"), F.col("k2_p").alias("DAgostino_K2_pvalue"),
         practical.alias("Practically_Normal"), formal.alias("Formal_Consensus"),
-        F.when(F.col("n") > t.spec.normality_sample, practical).otherwise(formal).alias("Approx_Gaussian"))
+        (practical if t.spec.normality_rule == "practical" else formal).alias("Approx_Gaussian"))
 
 
 def qq_points(t: Tables, points: int = 100) -> DataFrame:
@@ -146,7 +169,7 @@ def qq_points(t: Tables, points: int = 100) -> DataFrame:
     j = q.join(F.broadcast(n), ["ds", "feature"])
     nn = F.col("n").cast("double")
     i = F.col("q") * (nn - 1) + 1                       # 1-based (fractional) rank
-    u = (F.when(i <= 1, 1 - F.pow(F.lit(0.5), 1 / nn))
+    u = (F.when(i <= 1, -F.expm1(F.log(F.lit(0.5)) / nn))
          .when(i >= nn, F.pow(F.lit(0.5), 1 / nn))
          .otherwise((i - 0.3175) / (nn + 0.365)))
     return j.select(ds_name(t.spec).alias("Dataset"), F.col("feature").alias("Feature"),

@@ -65,7 +65,7 @@ def _moments(pl: DataFrame) -> DataFrame:
 
 def _median_diff(t: Tables, pl: DataFrame) -> DataFrame:
     dv = pl.groupBy("feature", (F.col("v2") - F.col("v1")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    q = group_quantiles(dv, ["feature"], "d", ["n"], [0.5], t.spec.rank_bucket_rows, t.group_bound)
+    q = group_quantiles(dv, ["feature"], "d", ["n"], [0.5], t.spec.rank_buckets)
     return q.select("feature", F.col("quantile").alias("median_d"))
 
 
@@ -75,7 +75,7 @@ def _wilcoxon(t: Tables, pl: DataFrame) -> DataFrame:
     a = (pl.where(d != 0).groupBy("feature", F.abs(d).alias("a"))
          .agg(F.count_if(d > 0).alias("np"), F.count_if(d < 0).alias("nn")))
     a = a.withColumn("t", F.col("np") + F.col("nn"))
-    rk = cumulate(a, ["feature"], "a", ["t"], t.spec.rank_bucket_rows, t.group_bound)
+    rk = cumulate(a, ["feature"], "a", ["t"], t.spec.rank_buckets)
     avg_rank = F.col("cum_t") - F.col("t") + (F.col("t") + 1) / 2.0
     return rk.groupBy("feature").agg(
         F.sum(F.col("np") * avg_rank).alias("r_plus"), F.sum(F.col("nn") * avg_rank).alias("r_minus"),
@@ -86,7 +86,7 @@ def _wilcoxon(t: Tables, pl: DataFrame) -> DataFrame:
 def _avg_ranks(t: Tables, pl: DataFrame, col: str) -> DataFrame:
     """(feature, <col>, r_<col>) average rank of each value within the paired rows."""
     vc = pl.groupBy("feature", col).agg(F.count(F.lit(1)).alias("c"))
-    rk = cumulate(vc, ["feature"], col, ["c"], t.spec.rank_bucket_rows, t.group_bound)
+    rk = cumulate(vc, ["feature"], col, ["c"], t.spec.rank_buckets)
     return rk.select("feature", col, (F.col("cum_c") - F.col("c") + (F.col("c") + 1) / 2.0).alias(f"r_{col}"))
 
 
@@ -122,9 +122,9 @@ def _core(t: Tables) -> DataFrame:
                .withColumn("w_stat", F.when(F.col("w_n") > 0, F.least("r_plus", "r_minus"))))
 
 
-def paired_stats(t: Tables) -> DataFrame:
-    """V13 without p-values (SQL-checkable); rounding as the reference."""
-    c = _core(t)
+def paired_stats(t: Tables, core: DataFrame | None = None) -> DataFrame:
+    """V13 without p-values (SQL-checkable); rounding as the reference.  ``core``: where it is built already."""
+    c = _core(t) if core is None else core
     r6 = lambda x: F.bround(x, 6)
     loa = 1.96 * F.col("sd_d")
     return c.select(
@@ -146,10 +146,10 @@ def paired_report(t: Tables) -> DataFrame:
     """The 21-column paired validation report, sorted by ICC descending.
 
     p-values: Student t for the paired t-test, Pearson and Spearman (df n-1,
-    n-2, n-2); Wilcoxon by the tie-corrected normal approximation without
-    continuity correction (the exact small-n path is not reproduced).
+    n-2, n-2); Wilcoxon by ``RunSpec.wilcoxon_method``: "normal" (tie-corrected, without
+    continuity correction) or "exact" (for untied differences; its work grows with n^3).
     """
-    c = _core(t)
+    c = t.hold(_core(t))
     n = F.col("n").cast("double")
     r_p = F.col("pearson")
     r_s = F.col("spearman")
@@ -161,10 +161,9 @@ def paired_report(t: Tables) -> DataFrame:
     c = (c.withColumn("t_p", t_sf2_udf(F.col("t_stat"), n - 1))
           .withColumn("pear_p", F.when(F.abs(r_p) >= 1, F.lit(0.0)).otherwise(t_sf2_udf(t_p, n - 2)))
           .withColumn("spear_p", F.when(F.abs(r_s) >= 1, F.lit(0.0)).otherwise(t_sf2_udf(t_s, n - 2)))
-          .withColumn("w_p", F.when((F.col("w_n") <= 50) & (F.col("w_tie") == 0) & (F.col("w_n") == F.col("n")),
-                                    wilcoxon_exact_p_udf(F.col("w_stat"), F.col("w_n")))
-                      .when(se > 0, F.least(F.lit(1.0), 2.0 * norm_sf_udf(F.abs(z))))))
-    s = paired_stats(t).drop("Agreement")
+          .withColumn("w_p", wilcoxon_exact_p_udf(F.col("w_stat"), F.col("w_n")) if t.spec.wilcoxon_method == "exact" else
+                      F.when(se > 0, F.least(F.lit(1.0), 2.0 * norm_sf_udf(F.abs(z))))))
+    s = paired_stats(t, c).drop("Agreement")
     extra = c.select(F.col("feature").alias("Feature"), F.col("t_p").alias("Paired_t_pvalue"),
                      F.col("w_p").alias("Wilcoxon_pvalue"), F.col("pear_p").alias("Pearson_pvalue"),
                      F.col("spear_p").alias("Spearman_pvalue"),

@@ -193,8 +193,3 @@ def missingness_patterns(p: Prepared) -> DataFrame:
         parts.append(df.groupBy(pat.alias("Pattern")).count().select(
             F.lit(name).alias("Dataset"), "Pattern", F.col("count").alias("Rows")))
     return reduce(DataFrame.unionByName, parts)
-
-
-def record_profile(t: Tables) -> DataFrame:
-    """Convenience: the missingness report of a Tables' pair."""
-    return missingness(t.p)

@@ -18,8 +18,17 @@ from . import compare, distribution, outliers, paired, profile, redundancy
 
 
 def _fmt1(x):
-    """``f"{x:.1f}"`` on a value pre-rounded half-even at one decimal."""
-    return F.format_string("%.1f", F.bround(x * 10, 0) / 10)
+    """``f"{x:.1f}"`` for 0 <= x <= 100: the exact binary value rounded to tenths, half to even.
+
+    x * 2^52 is a whole number for x >= 1 and x * 2^59 for 1 > x >= 2^-6; below that all round to 0.0."""
+
+    def tenths(bits: int):
+        ten = (x.cast("double") * float(2 ** bits)).cast("bigint") * 10
+        whole, left, half = F.shiftright(ten, bits), ten.bitwiseAND(F.lit(2 ** bits - 1)), F.lit(2 ** (bits - 1))
+        return whole + ((left > half) | ((left == half) & (whole % 2 == 1))).cast("bigint")
+
+    rounded = F.when(x >= 1, tenths(52)).otherwise(tenths(59))
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
 
 
 def quality_inputs(t: Tables) -> DataFrame:
@@ -67,7 +76,8 @@ def quality_score(t: Tables) -> DataFrame:
     r = q.select("feature", score.alias("_s"), issues.alias("_i"))
     return r.select(F.col("feature").alias("Feature"), F.greatest(F.col("_s"), F.lit(0)).alias("Quality_Score"),
                     cat.alias("Category"),
-                    F.when(F.col("_i") == "", F.lit("None")).otherwise(F.col("_i")).alias("Primary_Issues"))
+                    F.when(F.col("_i") == "", F.lit("None")).otherwise(F.col("_i")).alias("Primary_Issues")
+                    ).orderBy(F.desc("Quality_Score"), "Feature")
 
 
 def _ranked(df: DataFrame, section: str, order, item: str, value: str, limit: int | None) -> DataFrame:

@@ -7,145 +7,69 @@ sum of every weight in ascending value order within ``keys`` and the group
 totals.
 
 A plain ``Window.partitionBy(keys).orderBy(value)`` would put a whole feature
-into one task.  Here each group is first cut into at most 256 buckets at
-approximate-percentile split points (collected once, so recomputation after an
-executor loss sees the same points); the running sum is taken inside
-``(keys, bucket)`` and shifted by the exact total of the lower buckets.  The
-result is exact whatever the split points are; they only balance the work.
-Buckets hold about ``bucket_rows`` distinct values, so task size is bounded by
-a parameter, not by the table.
+into one task.  Here the rows are range-partitioned by ``(keys, value)``, as a
+global sort would, so that a task holds a range of values whatever the sizes of
+the groups; the running sum is taken inside ``(keys, range)`` and shifted by the
+exact total of the lower ranges.  The result is exact whatever the ranges are;
+they only balance the work.  There is one path at all sizes: the number of
+ranges follows ``spark.sql.shuffle.partitions`` and adaptive coalescing (or
+``buckets``), and nothing is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_BUCKETS = 256
-# split-point grid evaluated once per group (then thinned to the bucket count)
-_GRID = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-# small side tables (groups x buckets, groups x targets) are broadcast only
-# below this many rows; above it they are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+from .store import written
 
 
-def _bucket_expr(v: Column, splits: Column, lo: int, hi: int) -> Column:
-    """Balanced comparison tree: bucket in [lo, hi) with O(log B) evaluations."""
-    if hi - lo == 1:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(v < F.element_at(splits, mid), _bucket_expr(v, splits, lo, mid)) \
-        .otherwise(_bucket_expr(v, splits, mid, hi))
-
-
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def max_group_rows(df: DataFrame, keys: list) -> int:
-    """Rows of the largest group (one small aggregate job)."""
-    r = df.groupBy(*keys).count().agg(F.max("count")).collect()[0][0]
-    return int(r or 0)
-
-
-def cumulate(df: DataFrame, keys: list, value: str, weights: list,
-             bucket_rows: int = 2_000_000, max_rows: int | None = None) -> DataFrame:
+def cumulate(df: DataFrame, keys: list, value: str, weights: list, buckets: int | None = None) -> DataFrame:
     """Running sums ``cum_<w>`` (inclusive) and totals ``tot_<w>`` per ``keys``.
 
     ``(keys, value)`` must be unique in ``df``.  Extra bookkeeping column
-    ``_b`` (bucket) is returned and can be used by ``quantiles``.
-    ``max_rows``: a known upper bound of the group size (skips one job).
+    ``_b`` (range) is returned and is used by ``quantiles``.  The ranges are
+    read twice, for rows and for totals, and the boundaries come from sampling,
+    so they are written to the shared folder first: both see the same ones.
     """
-    spark = df.sparkSession
-    if max_rows is None or max_rows > bucket_rows:
-        max_rows = max_group_rows(df, keys)
-    n_buckets = 1
-    while n_buckets < MAX_BUCKETS and n_buckets * bucket_rows < max_rows:
-        n_buckets *= 2
-
-    if n_buckets == 1:
-        w_run = Window.partitionBy(*keys).orderBy(value)
-        w_all = Window.partitionBy(*keys)
-        out = df.withColumn("_b", F.lit(0))
-        for w in weights:
-            out = out.withColumn(f"cum_{w}", F.sum(w).over(w_run)) \
-                     .withColumn(f"tot_{w}", F.sum(w).over(w_all))
-        return out
-
-    # Only groups larger than ``bucket_rows`` are split (at most rows / bucket_rows
-    # of them, each with n_buckets - 1 split points): the collected table is
-    # bounded by the data size over a parameter, never by the number of groups.
-    # Rows of small groups find no split points and all land in one bucket.
-    cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    big = cnt.where(F.col("_rows") > bucket_rows).select(*keys)
-    n_groups = cnt.count()
-    stats = (df.join(F.broadcast(big), keys)
-             .groupBy(*keys)
-             .agg(F.percentile_approx(F.col(value), _GRID, 10000).alias("_grid"))
-             .collect())
-    step = MAX_BUCKETS // n_buckets
-    key_fields = [f for f in df.schema.fields if f.name in keys]
-    split_rows = [tuple(r[k] for k in keys) + ([float(x) for x in r["_grid"][step - 1::step]][: n_buckets - 1],)
-                  for r in stats]
-    split_schema = T.StructType(key_fields + [T.StructField("_splits", T.ArrayType(T.DoubleType()))])
-    splits = spark.createDataFrame(split_rows, split_schema)
-    n_side = len(split_rows) * n_buckets + n_groups
-
-    b = df.join(_maybe_broadcast(splits, len(split_rows)), keys, "left") \
-        .withColumn("_b", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
-            _bucket_expr(F.col(value).cast("double"), F.col("_splits"), 0, n_buckets))) \
-        .drop("_splits")
+    order = [*keys, value]
+    ranged = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
+    b = written(ranged.withColumn("_b", F.spark_partition_id()), "ranges")
     totals = b.groupBy(*keys, "_b").agg(*[F.sum(w).alias(f"_bt_{w}") for w in weights])
-    w_prev = Window.partitionBy(*keys).orderBy("_b")
-    w_all = Window.partitionBy(*keys)
-    for w in weights:
-        totals = totals.withColumn(f"_off_{w}", F.sum(f"_bt_{w}").over(w_prev) - F.col(f"_bt_{w}")) \
-                       .withColumn(f"tot_{w}", F.sum(f"_bt_{w}").over(w_all))
-    totals = totals.drop(*[f"_bt_{w}" for w in weights])
+    w_prev, w_all = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys)
+    offsets = totals.select(*keys, "_b", *[
+        (F.sum(f"_bt_{w}").over(w_prev) - F.col(f"_bt_{w}")).alias(f"_off_{w}") for w in weights], *[
+        F.sum(f"_bt_{w}").over(w_all).alias(f"tot_{w}") for w in weights])
     w_run = Window.partitionBy(*keys, "_b").orderBy(value)
-    out = b
-    for w in weights:
-        out = out.withColumn(f"_run_{w}", F.sum(w).over(w_run))
-    out = out.join(_maybe_broadcast(totals, n_side), [*keys, "_b"])
-    for w in weights:
-        out = out.withColumn(f"cum_{w}", F.col(f"_run_{w}") + F.col(f"_off_{w}")) \
-                 .drop(f"_run_{w}", f"_off_{w}")
-    return out
+    run = b.select("*", *[F.sum(w).over(w_run).alias(f"_run_{w}") for w in weights])
+    out = run.join(offsets, [*keys, "_b"])
+    return out.select(*df.columns, "_b", *[(F.col(f"_run_{w}") + F.col(f"_off_{w}")).alias(f"cum_{w}") for w in weights],
+                      *[f"tot_{w}" for w in weights])
 
 
 def quantiles(rk: DataFrame, keys: list, value: str, weight: str, probs: list,
-              out: str = "quantile", single_bucket: bool = False) -> DataFrame:
+              out: str = "quantile") -> DataFrame:
     """Exact linear-interpolation quantiles (numpy ``linear`` / SQL ``quantile_cont``).
 
     ``rk`` is a ``cumulate`` output.  For each group with total N and
     probability q the needed 0-based ranks are floor((N-1)q) and the next one.
-    Targets (groups x 2·len(probs) rows, bounded by parameters) are matched to
-    the rank intervals [cum-w, cum) by an equi-join on the group key plus a
-    range condition; each value row meets only the targets of its group.
+    A target rank lies in one range of its group, found from the ranges'
+    bounds (groups x ranges rows); a value row then meets only its range's targets.
     Returns ``keys, q, <out>``.
     """
     cum, tot = f"cum_{weight}", f"tot_{weight}"
     rows = rk.where(F.col(weight) > 0)
-    groups = rows.groupBy(*keys).agg(F.max(tot).alias("_n"))
-    probs_arr = F.array(*[F.lit(float(q)) for q in probs])
-    tgt = (groups.withColumn("q", F.explode(probs_arr))
-           .withColumn("_h", (F.col("_n") - 1) * F.col("q"))
-           .withColumn("_lo", F.floor("_h").cast("long"))
-           .withColumn("_t", F.col("_h") - F.col("_lo"))
+    spans = rows.groupBy(*keys, "_b").agg(F.min(F.col(cum) - F.col(weight)).alias("_s0"),
+                                          F.max(F.col(cum)).alias("_s1"), F.max(tot).alias("_n"))
+    h = (F.col("_n") - 1) * F.col("q")
+    tgt = (spans.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
+           .withColumn("_lo", F.floor(h).cast("long"))
+           .withColumn("_t", h - F.col("_lo"))
            .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
            .withColumn("_r", F.explode(F.array("_lo", "_hi")))
-           .select(*keys, "q", "_t", "_lo", "_hi", "_r"))
-    if single_bucket:
-        tgt = tgt.withColumn("_b", F.lit(0))
-    else:
-        # place each target rank in its rank bucket (bucket ranges: groups x buckets rows)
-        spans = rows.groupBy(*keys, "_b").agg(F.min(F.col(cum) - F.col(weight)).alias("_s0"),
-                                              F.max(F.col(cum)).alias("_s1"))
-        tgt = tgt.join(spans, [*keys]).where((F.col("_r") >= F.col("_s0")) & (F.col("_r") < F.col("_s1"))) \
-                 .drop("_s0", "_s1")
-    # targets: groups x 2|probs| rows, bounded by parameters -> broadcast
-    hit = rows.select(*keys, "_b", value, weight, cum).join(F.broadcast(tgt), [*keys, "_b"]) \
+           .where((F.col("_r") >= F.col("_s0")) & (F.col("_r") < F.col("_s1")))
+           .select(*keys, "_b", "q", "_t", "_lo", "_hi", "_r"))
+    hit = rows.select(*keys, "_b", value, weight, cum).join(tgt, [*keys, "_b"]) \
               .where((F.col("_r") >= F.col(cum) - F.col(weight)) & (F.col("_r") < F.col(cum)))
     agg = hit.groupBy(*keys, "q", "_t").agg(
         F.max(F.when(F.col("_r") == F.col("_lo"), F.col(value))).alias("_va"),
@@ -155,43 +79,16 @@ def quantiles(rk: DataFrame, keys: list, value: str, weight: str, probs: list,
     return agg.select(*keys, "q", lerp.alias(out))
 
 
-def quantile_columns(qdf: DataFrame, keys: list, probs: dict, value: str = "quantile") -> DataFrame:
-    """Pivot selected quantiles into named columns: ``probs`` maps name -> q."""
-    aggs = [F.max(F.when(F.abs(F.col("q") - float(q)) < 1e-12, F.col(value))).alias(name)
-            for name, q in probs.items()]
-    return qdf.groupBy(*keys).agg(*aggs)
-
-
-def group_quantiles(df: DataFrame, keys: list, value: str, weights: list, probs: list,
-                    bucket_rows: int, max_rows: int | None = None, rk: DataFrame | None = None,
-                    force_rank: bool = False) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: list, value: str, weights: list, probs: list, buckets: int | None = None,
+                    rk: DataFrame | None = None) -> DataFrame:
     """Exact quantiles of ``value`` weighted by each of ``weights`` per ``keys``.
 
     Returns ``keys, w, q, quantile`` (``w`` = index of the weight column).
-    For one or two probabilities on groups of at most ``bucket_rows``
-    distinct values (checked) the exact ``percentile`` aggregate (bounded
-    buffer) is one stage; otherwise the rank path is used (two-level when
-    groups are large).
     """
-    if max_rows is None or max_rows > bucket_rows:
-        max_rows = max_group_rows(df, keys)
-    parts = []
-    if max_rows <= bucket_rows and not force_rank and len(probs) <= 2:
-        arr = F.array(*[F.lit(float(q)) for q in probs])
-        aggs = [F.percentile(F.col(value), arr, F.col(w)).alias(f"_p{i}") for i, w in enumerate(weights)]
-        tots = [F.sum(w).alias(f"_t{i}") for i, w in enumerate(weights)]
-        a = df.groupBy(*keys).agg(*aggs, *tots)
-        for i, _ in enumerate(weights):
-            parts.append(a.where(F.col(f"_t{i}") > 0)
-                         .select(*keys, F.lit(i).alias("w"), F.posexplode(F.col(f"_p{i}")).alias("_k", "quantile"))
-                         .select(*keys, "w", F.element_at(arr, F.col("_k") + 1).alias("q"), "quantile"))
-    else:
-        if rk is None:
-            rk = cumulate(df, keys, value, weights, bucket_rows, max_rows)
-        for i, w in enumerate(weights):
-            parts.append(quantiles(rk, keys, value, w, probs, single_bucket=max_rows <= bucket_rows)
-                         .withColumn("w", F.lit(i)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if rk is None:
+        rk = cumulate(df, keys, value, weights, buckets)
+    out = None
+    for i, w in enumerate(weights):
+        part = quantiles(rk, keys, value, w, probs).withColumn("w", F.lit(i))
+        out = part if out is None else out.unionByName(part)
     return out

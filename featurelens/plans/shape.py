@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.loader import Prepared
-from .rank import cumulate
 
 
 def unpivot(df: DataFrame, id_col: str, features: list, ds: int | None = None) -> DataFrame:
@@ -38,11 +37,6 @@ def value_counts(long: DataFrame) -> DataFrame:
         F.count_if(F.col("ds") == 2).alias("n2"))
 
 
-def ranked(vc: DataFrame, bucket_rows: int) -> DataFrame:
-    """``RK``: VC with cum_n1, cum_n2, tot_n1, tot_n2 per feature."""
-    return cumulate(vc, ["feature"], "value", ["n1", "n2"], bucket_rows)
-
-
 def numpy_bin(v, lo, hi, bins: int):
     """0-based bin of ``v`` in ``bins`` equal bins over [lo, hi], the last bin closed.
 

@@ -2,8 +2,8 @@
 
 Reports are built as plans over these; the expensive ones (value counts and
 ranks) are persisted so the reports that share them run them once.  Lost
-cached blocks are rebuilt from lineage; the rank split points are collected
-once, so a rebuild gives the same result.
+cached blocks are rebuilt from lineage with the same range boundaries, so a
+rebuild gives the same result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..sources.loader import Prepared
 from ..spec import RunSpec
 from . import shape
-from .rank import cumulate, group_quantiles, max_group_rows
+from .rank import cumulate, group_quantiles
 
 PCTS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 # numpy.linspace(0.01, 0.99, 100): probabilities of the quantile-correlation grid
@@ -45,6 +45,12 @@ class Tables:
             self._held.append(df)
         return df
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Persist always: for tables whose readers must see one and the same computation."""
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self._held.append(df)
+        return df
+
     def release(self):
         for df in self._held:
             df.unpersist()
@@ -58,30 +64,9 @@ class Tables:
     def vc(self) -> DataFrame:
         return self._keep(shape.value_counts(self.long))
 
-    @cached_property
-    def row_bound(self) -> int:
-        """Rows of both analysed tables (one job): bounds every per-feature group."""
-        a = self.p.d1.select(F.lit(1).alias("o")).unionByName(self.p.d2.select(F.lit(1).alias("o")))
-        return int(a.count())
-
-    @property
-    def group_bound(self):
-        """A proven upper bound of any per-feature group size, or None (then measured)."""
-        return self.row_bound if self.small else None
-
-    @property
-    def small(self) -> bool:
-        """Every per-feature group fits the bounded single-task path."""
-        return self.row_bound <= self.spec.rank_bucket_rows
-
-    @cached_property
-    def vc_max_rows(self) -> int:
-        return self.row_bound if self.small else max_group_rows(self.vc, ["feature"])
-
     @cached_property
     def rk(self) -> DataFrame:
-        return self._keep(cumulate(self.vc, ["feature"], "value", ["n1", "n2"], self.spec.rank_bucket_rows,
-                                   self.vc_max_rows))
+        return self._keep(cumulate(self.vc, ["feature"], "value", ["n1", "n2"], self.spec.rank_buckets))
 
     @cached_property
     def hist(self) -> DataFrame:
@@ -97,6 +82,18 @@ class Tables:
             F.min(v).alias("min"), F.max(v).alias("max"),
             F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt")))
 
+    @cached_property
+    def matrix_features(self) -> list:
+        """Features with a value in both datasets.  A column that is all null in one has no median to impute and
+        no place in a matrix; the matrix operators leave it out (``dropped_features``)."""
+        found = self.moments.where("n > 0").groupBy("feature").count().where("count = 2").select("feature").collect()
+        present = {r["feature"] for r in found}
+        return [f for f in self.p.features if f in present]
+
+    @property
+    def dropped_features(self) -> list:
+        return [f for f in self.p.features if f not in set(self.matrix_features)]
+
     @cached_property
     def standard_probs(self) -> list:
         """The probabilities most reports use — the seven percentiles and the
@@ -107,15 +104,7 @@ class Tables:
         return sorted(set(list(PCTS.values()) + extra))
 
     def _raw_quantiles(self, probs: list) -> DataFrame:
-        if self.small:
-            # bounded inputs (row count <= rank_bucket_rows): every group's exact
-            # percentile buffer is bounded; one aggregate over the long rows
-            arr = F.array(*[F.lit(float(q)) for q in probs])
-            a = self.long.groupBy("ds", "feature").agg(F.percentile("value", arr).alias("_p"))
-            return (a.select("ds", "feature", F.posexplode("_p").alias("_k", "quantile"))
-                    .select("ds", "feature", F.element_at(arr, F.col("_k") + 1).alias("q"), "quantile"))
-        q = group_quantiles(self.vc, ["feature"], "value", ["n1", "n2"], probs, self.spec.rank_bucket_rows,
-                            self.vc_max_rows, self.rk, force_rank=True)
+        q = group_quantiles(self.vc, ["feature"], "value", ["n1", "n2"], probs, rk=self.rk)
         return q.select("feature", (F.col("w") + 1).alias("ds"), "q", "quantile")
 
     @cached_property
@@ -127,8 +116,7 @@ class Tables:
         """(ds, feature, q, quantile) exact, for both datasets.
 
         Probabilities among ``standard_probs`` are read from the shared table;
-        others are computed (bounded inputs: one exact ``percentile``
-        aggregate; otherwise value counts + the two-level rank kernel).
+        others are computed from the shared rank table.
         """
         std = self.standard_probs
         if all(any(abs(q - s) < 1e-12 for s in std) for q in probs):

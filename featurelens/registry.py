@@ -115,6 +115,11 @@ def _register_all():
     register("batch_importance_f7", "f7", batch.batch_importance)
     register("batch_report_f7", "f7", batch.batch_report)
     register("combined_view_f7", "f7", batch.combined_view)
+    register("combined_view_counts_f6", "f6", lambda t: batch.combined_view(t).groupBy("Dataset").agg(
+        F.count("PC1").alias("Rows")), O.row_counts)
+    register("multivariate_outliers_f9", "f9", multivariate.multivariate_outliers)
+    register("pca_variance_f9", "f9", multivariate.pca_variance)
+    register("batch_report_f9", "f9", batch.batch_report)
     for fx in ("f1", "f8"):
         register(f"density_histogram_{fx}", fx, plotdata.density_histogram, O.density_histogram)
         register(f"kde_curve_{fx}", fx, plotdata.kde_curve, O.kde_curve)

@@ -1,17 +1,16 @@
 """Session helpers.
 
 Library code never creates a session; these are for tests, the bench and
-local runs.  ``checkpoint_dir`` honours ``spark.checkpoint.dir`` from the
-session and sets a local one only when the setting is absent (tests).
+local runs.
+
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
+from .plans.store import shared_folder
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     spark = (SparkSession.builder
@@ -28,15 +27,5 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
              .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    shared_folder(spark)
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temp folder only when unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="featurelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d

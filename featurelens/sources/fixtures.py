@@ -29,7 +29,7 @@ def f1(spark, sf_dir):
     cols = [F.col("l_orderkey").alias("id")] + [F.col(c) for c in LINE_FEATURES]
     d1 = li.where(F.col("l_linestatus") == "F").select(*cols)
     d2 = li.where(F.col("l_linestatus") == "O").select(*cols)
-    return d1, d2, RunSpec(id_col="id", dataset1_name="F", dataset2_name="O", mode=COMPARISON)
+    return d1, d2, RunSpec(id_col="id", rank_buckets=7, dataset1_name="F", dataset2_name="O", mode=COMPARISON)
 
 
 def f2(spark, sf_dir):
@@ -40,7 +40,7 @@ def f2(spark, sf_dir):
     cols = [F.col("doc_id").alias("id"), "n_chars", "quality", "toxic"]
     d1 = j.where(F.col("lang") == "en").select(*cols)
     d2 = j.where(F.col("lang") != "en").select(*cols)
-    return d1, d2, RunSpec(id_col="id", dataset1_name="en", dataset2_name="other", mode=COMPARISON)
+    return d1, d2, RunSpec(id_col="id", rank_buckets=7, dataset1_name="en", dataset2_name="other", mode=COMPARISON)
 
 
 def f3(spark, sf_dir):
@@ -49,7 +49,7 @@ def f3(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier")
     d1 = c.select(*[F.col(x).alias(x[2:]) for x in c.columns])
     d2 = s.select(*[F.col(x).alias(x[2:]) for x in s.columns])
-    return d1, d2, RunSpec(id_col="id", id_aliases=("custkey", "suppkey"), dataset1_name="customer",
+    return d1, d2, RunSpec(id_col="id", rank_buckets=7, id_aliases=("custkey", "suppkey"), dataset1_name="customer",
                            dataset2_name="supplier", mode=COMPARISON)
 
 
@@ -59,7 +59,7 @@ def f4(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
     d2 = li.groupBy(F.col("l_orderkey").alias("id")).agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("amount"))
-    return o, d2, RunSpec(id_col="id", dataset1_name="orders", dataset2_name="lines", mode=VALIDATION)
+    return o, d2, RunSpec(id_col="id", rank_buckets=7, dataset1_name="orders", dataset2_name="lines", mode=VALIDATION)
 
 
 def f5(spark, sf_dir):
@@ -68,7 +68,7 @@ def f5(spark, sf_dir):
     key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
     d1 = li.select(key, F.col("l_extendedprice").alias("price"))
     d2 = li.select(key, F.round(F.col("l_extendedprice"), -3).alias("price"))
-    return d1, d2, RunSpec(id_col="id", dataset1_name="exact", dataset2_name="rounded", mode=VALIDATION)
+    return d1, d2, RunSpec(id_col="id", rank_buckets=7, dataset1_name="exact", dataset2_name="rounded", mode=VALIDATION)
 
 
 def f6(spark, sf_dir):
@@ -76,7 +76,7 @@ def f6(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     d1 = d.select(F.col("doc_id").alias("id"), F.col("n_chars"))
     d2 = d.select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n_chars"))
-    return d1, d2, RunSpec(id_col="id", dataset1_name="stored", dataset2_name="measured", mode=VALIDATION)
+    return d1, d2, RunSpec(id_col="id", rank_buckets=7, dataset1_name="stored", dataset2_name="measured", mode=VALIDATION)
 
 
 def f7(spark, sf_dir):
@@ -86,7 +86,7 @@ def f7(spark, sf_dir):
                                             for i, f in enumerate(EMB_FEATURES)]
     d1 = e.where(F.col("label") < 5).select(*cols)
     d2 = e.where(F.col("label") >= 5).select(*cols)
-    return d1, d2, RunSpec(id_col="id", dataset1_name="low", dataset2_name="high", mode=COMPARISON)
+    return d1, d2, RunSpec(id_col="id", rank_buckets=7, dataset1_name="low", dataset2_name="high", mode=COMPARISON)
 
 
 def f8(spark, sf_dir):
@@ -95,7 +95,7 @@ def f8(spark, sf_dir):
     cols = [F.col("event_id").alias("id"), F.col("value")]
     d1 = ev.where(F.col("event_type") == "view").select(*cols)
     d2 = ev.where(F.col("event_type") == "purchase").select(*cols)
-    return d1, d2, RunSpec(id_col="id", dataset1_name="view", dataset2_name="purchase", mode=COMPARISON)
+    return d1, d2, RunSpec(id_col="id", rank_buckets=7, dataset1_name="view", dataset2_name="purchase", mode=COMPARISON)
 
 
 def _degenerate(df: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def f9(spark, sf_dir):
     base = _degenerate(li.select("l_linestatus", *cols))
     d1 = base.where(F.col("l_linestatus") == "F").drop("l_linestatus")
     d2 = base.where(F.col("l_linestatus") == "O").drop("l_linestatus")
-    return d1, d2, RunSpec(id_col="id", dataset1_name="F", dataset2_name="O", mode=COMPARISON)
+    return d1, d2, RunSpec(id_col="id", rank_buckets=7, dataset1_name="F", dataset2_name="O", mode=COMPARISON)
 
 
 FIXTURES = {"f1": f1, "f2": f2, "f3": f3, "f4": f4, "f5": f5, "f6": f6, "f7": f7, "f8": f8, "f9": f9}

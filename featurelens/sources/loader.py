@@ -99,10 +99,6 @@ class Prepared:
     def named(self):
         return [(self.spec.dataset1_name, self.d1), (self.spec.dataset2_name, self.d2)]
 
-    def features_double(self, df: DataFrame) -> DataFrame:
-        """Key plus every feature as double (the matrix view)."""
-        return df.select(F.col(self.id_col), *[F.col(f).cast("double").alias(f) for f in self.features])
-
 
 def prepare(d1: DataFrame, d2: DataFrame, spec: RunSpec, dedup: bool = True) -> Prepared:
     d1 = rename_aliases(d1, spec)
@@ -110,6 +106,8 @@ def prepare(d1: DataFrame, d2: DataFrame, spec: RunSpec, dedup: bool = True) ->
     id_col = spec.id_col if spec.id_col in d1.columns else resolve_id(d1, spec)
     if id_col != spec.id_col:
         spec = spec.with_(id_col=id_col)
+    if id_col not in d2.columns:  # the second table's own key takes the first one's name
+        d2 = d2.withColumnRenamed(resolve_id(d2, spec), id_col)
     shared = sorted(set(d1.columns) & set(d2.columns))
     cols = [id_col] + [c for c in shared if c != id_col]
     types1 = dict((f.name, f.dataType) for f in d1.schema.fields)

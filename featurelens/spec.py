@@ -55,9 +55,11 @@ class RunSpec:
     ``id_col`` when ``id_col`` itself is absent.
     ``mode``: ``extraction_validation`` (paired; bounds from D1, target D2) or
     ``cross_dataset_comparison`` (unpaired; bounds from D2, target D1).
-    ``rank_bucket_rows``: target number of distinct values per rank bucket in
-    the two-level rank (see ``plans.rank``); bounds the size of every window
-    partition independently of table size.
+    ``rank_buckets``: number of value ranges of the rank kernel (``plans.rank``);
+    None leaves it to ``spark.sql.shuffle.partitions`` and adaptive coalescing.
+    ``normality_rule``: "formal" (all three tests) or "practical" (skewness and
+    kurtosis) decides ``Approx_Gaussian``; both verdicts are reported besides.
+    ``wilcoxon_method``: "normal" or "exact".
     """
 
     id_col: str = "id"
@@ -68,10 +70,10 @@ class RunSpec:
     thresholds: Thresholds = field(default_factory=Thresholds)
     extremes_n: int = 20
     example_ids: int = 5
-    normality_sample: int = 5000
-    view_sample: int = 10000
+    normality_rule: str = "practical"
+    wilcoxon_method: str = "normal"
     seed: int = 42
-    rank_bucket_rows: int = 2_000_000
+    rank_buckets: int | None = None
     relationship_pairs: tuple = ()
 
     @property

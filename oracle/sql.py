@@ -499,7 +499,7 @@ def vif_two(fx: str) -> str:
 
 
 def _fmt1(x: str) -> str:
-    return f"printf('%.1f', round_even({x} * 10, 0) / 10)"
+    return f"printf('%.1f', {x})"
 
 
 def quality_score(fx: str) -> str:
@@ -800,3 +800,8 @@ def pca_variance_two(fx: str) -> str:
                          f"{'(1 + r) / 2' if k == 1 else '1.0'} AS Cumulative_Ratio FROM ({st})")
     return base(fx) + " " + SIGCOLS(["Explained_Variance", "Explained_Variance_Ratio", "Cumulative_Ratio"],
                                     " UNION ALL ".join(parts), ["Dataset", "Component"])
+
+
+def row_counts(fx: str) -> str:
+    n1, n2 = FIXTURE_NAMES[fx]
+    return base(fx) + f" SELECT '{n1}' AS Dataset, count(*) AS \"Rows\" FROM d1 UNION ALL SELECT '{n2}', count(*) FROM d2"
