@@ -15,6 +15,10 @@ from featurelens.llm.common import stored, table
 from featurelens.llm.queries import KEEP, vocabulary
 
 
+#: The encoder's caches share the Python workers' memory with what earlier stages left there.
+CACHES = {"max_states": 200_000, "max_words": 80_000}
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones outside the test fold, accepts."""
     labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
@@ -40,7 +44,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``lang``, ``source``, ``n_tokens`` and ``ids`` of each document of the mix."""
     path, pattern = vocabulary()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, **CACHES)
     return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -8,7 +8,7 @@ that is a token compatible with the last one, a path may close it.  For each pre
 ``Transducer`` determinises this while it reads: a state is a set of configurations, made when first
 reached and kept; tokens on which all live paths agree are emitted.  Paths differ only within the token
 begun, so the lookahead is bounded by the longest token.  States and remembered words are dropped
-together when ``MAX_STATES`` or ``MAX_WORDS`` is reached, so memory is bounded.
+together when ``max_states`` or ``max_words`` is reached, so memory is bounded.
 
 A text is split by the pattern first and each match encoded separately; a match that is itself in the
 vocabulary is that token, as in the usual library.  ``decode`` turns ids into bytes and
@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES = 200_000
-MAX_WORDS = 80_000
+MAX_STATES = 400_000
+MAX_WORDS = 150_000
 LONG_WORD = 48
 LONG_TEXT = 1 << 20
 OUT_BYTES = 4 << 20
@@ -86,7 +86,8 @@ class State(dict):
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], max_states: int | None = None):
+        self.max_states = max_states or MAX_STATES
         if any(b not in ranks for b in ONE):
             raise ValueError("the vocabulary lacks a single byte")
         self.ranks = ranks
@@ -165,7 +166,7 @@ class Transducer:
 
     def encode(self, word: bytes) -> list[int]:
         ids: list[int] = []
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.max_states:
             self.reset()
             gc.collect()
         state = self.start
@@ -181,8 +182,8 @@ class Words(dict):
     """Match -> its ids as 4-byte integers.  When full, the words since the last time become the older
     generation, from which those met again return."""
 
-    def __init__(self, transducer: Transducer):
-        self.transducer, self.older = transducer, {}
+    def __init__(self, transducer: Transducer, max_words: int | None = None):
+        self.transducer, self.older, self.max_words = transducer, {}, max_words or MAX_WORDS
 
     def __missing__(self, word: str) -> bytes:
         packed = self.older.get(word)
@@ -192,7 +193,7 @@ class Words(dict):
             packed = array("i", [whole] if whole is not None else self.transducer.encode(data)).tobytes()
             if len(data) > LONG_WORD:
                 return packed
-        if len(self) >= MAX_WORDS:
+        if len(self) >= self.max_words:
             self.older = dict(self)
             self.clear()
         self[word] = packed
@@ -200,10 +201,10 @@ class Words(dict):
 
 
 class Encoder:
-    def __init__(self, vocabulary: bytes, pattern: str):
+    def __init__(self, vocabulary: bytes, pattern: str, max_states: int | None = None, max_words: int | None = None):
         import regex
 
-        self.words = Words(Transducer(read_ranks(vocabulary)))
+        self.words = Words(Transducer(read_ranks(vocabulary), max_states), max_words)
         self.pattern = regex.compile(pattern)
 
     def packed(self, text: str) -> bytes:
@@ -270,9 +271,9 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: bytes, pattern: str) -> Encoder:
+def encoder(vocabulary: bytes, pattern: str, max_states: int | None, max_words: int | None) -> Encoder:
     """One for the tasks that a Python worker runs."""
-    return Encoder(vocabulary, pattern)
+    return Encoder(vocabulary, pattern, max_states, max_words)
 
 
 @lru_cache(maxsize=2)
@@ -297,10 +298,11 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", out: str = "ids",
-           decoded: str | None = None) -> DataFrame:
+           decoded: str | None = None, max_states: int | None = None, max_words: int | None = None) -> DataFrame:
     """``docs`` with ``out``, the token ids (array of int), and, if a name is given, ``decoded``, the text decoded
     from them in the same pass.  The vocabulary file, at most a few MB whatever the input, is read once by the
-    driver and broadcast."""
+    driver and broadcast.  ``max_states`` and ``max_words`` bound the caches of a Python worker (about 1 KB a
+    state): smaller ones take more time and less memory and give the same ids."""
     with open(vocabulary_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     new = [T.StructField(out, T.ArrayType(T.IntegerType(), False))]
@@ -309,7 +311,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     names = schema.names
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(shared.value, pattern)
+        e = encoder(shared.value, pattern, max_states, max_words)
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         for b in batches:
             for part in pieces(b):
