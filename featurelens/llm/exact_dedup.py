@@ -13,7 +13,8 @@ Equality is of texts after lower-casing A-Z only; null counts as empty.
 * Nulls: a null text equals an empty one; a null id is the smallest, so it stays only where all ids
   of its group are null.
 * Ties and repeated rows: of rows that share the largest id all are marked kept by ``dedup``;
-  ``keep_one`` leaves one of them.
+  ``keep_one`` leaves one of them.  It decides by row, not by id: one row of each text stays, also
+  where texts share an id or have none.
 * An empty table gives an empty result.  Columns of the input never clash with internal names:
   only the two named columns are read, and internal columns start with ``__``.
 """
@@ -73,7 +74,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``dedup`` drops; one row stays of each id that does."""
-    kept = dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    named = F.col(id_col).eqNullSafe(F.col("__keep"))
-    return docs.join(kept, named, "left_semi").dropDuplicates([id_col])
+    """``docs`` with one row of each text, one whose id is the group's ``keep_id``.  Rows meet their group by
+    the SHA-256 of the normalised text and the id."""
+    kept = dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__kept"))
+    keyed = docs.withColumn("__key", F.sha2(fold_ascii(or_empty(F.col(text_col))), 256))
+    named = (F.col("__key") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__keep"))
+    return keyed.join(kept.distinct(), named, "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

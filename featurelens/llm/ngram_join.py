@@ -24,6 +24,8 @@ and copies of a text are never compared.
   sequence is the one shingle.
 * Repeated rows are copies and keep their rows.  An empty table gives an empty result.  Texts are
   read whole; only the two named columns are read.
+* ``keep_one`` decides by row, not by id: one row of each component stays, also where components share
+  their smallest id or have none, and every row without words.
 """
 
 from __future__ import annotations
@@ -36,16 +38,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared_hashes as sh
-from .common import shuffle_partitions, stored
+from .common import WORD, or_empty, shuffle_partitions, stored
 from .components import components
 from .words import U, mix, parts, sequences, windows, words
 
 SHINGLE, PERCENT = 4, 85
 #: Shingles are counted by so many classes of their hash, for a bound of what two sets can share.
 CLASSES = 32
-ROWS = "id long, n long, node binary, grp_key binary, shared long, prefix array<long>, body array<long>, classes array<int>, score long"
+ROWS = "id long, key binary, n long, node binary, grp_key binary, shared long, prefix array<long>, body array<long>, classes array<int>, score long"
 LONGS = pa.list_(pa.int64())
-ROWS_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("grp_key", pa.binary()),
+ROWS_ARROW = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("node", pa.binary()), ("grp_key", pa.binary()),
                         ("shared", pa.int64()), ("prefix", LONGS), ("body", LONGS), ("classes", pa.list_(pa.int32())), ("score", pa.int64())])
 OTHER = U(0x5851F42D4C957F2D)
 
@@ -82,7 +84,7 @@ def running(values: np.ndarray, kind: type) -> np.ndarray:
 def described(docs: pa.Table, shared: pa.Table, buckets: int, k: int, percent: int) -> pa.Table:
     """A row per document: size, node (128 bits of its set), and for those whose prefix has shingles
     of other documents these (``prefix``, rarest first) and all such shingles (``body``).  Of equal sets in
-    one group of documents the first alone has them."""
+    one group of documents the first alone has them.  ``key`` is passed on if the documents have it."""
     known, levels = sh.answered(shared)
     out, met = [], set()
     for batch in parts(docs, "text"):
@@ -94,10 +96,11 @@ def described(docs: pa.Table, shared: pa.Table, buckets: int, k: int, percent: i
         alone = running(level == 0, np.int64)
         alone = (alone[edge[1:]] - alone[edge[:-1]]).tolist()
         edge = edge.tolist()
-        for d, doc_id in enumerate(batch.column("id").to_pylist()):
+        keys = batch.column("key").to_pylist() if "key" in batch.schema.names else [None] * batch.num_rows
+        for d, (doc_id, key) in enumerate(zip(batch.column("id").to_pylist(), keys, strict=True)):
             a, b = edge[d], edge[d + 1]
             n = b - a
-            r = {"id": doc_id, "n": n, "shared": n - alone[d]}
+            r = {"id": doc_id, "key": key, "n": n, "shared": n - alone[d]}
             if n:
                 r["node"] = node = ids[d].tobytes()
                 length = n - -(-percent * n // 100) + 1
@@ -138,7 +141,7 @@ def possible(percent: int, first: bool = False) -> Column:
 
 def links(rows: DataFrame, percent: int) -> DataFrame:
     """Links (``a``, ``b``) between nodes that connect the components of the whole join."""
-    nodes = rows.where("prefix is not null").drop("id")
+    nodes = rows.where("prefix is not null").drop("id", "key")
     nodes = stored(nodes.dropDuplicates(["node"]), "nodes")
     members = nodes.select("node", "grp_key")
     groups = nodes.groupBy("grp_key").agg(
@@ -172,29 +175,44 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(second)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
-                    percent: int = PERCENT) -> DataFrame:
-    """Per row: ``id_col``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+def placed(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, *key: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A row per document (``ROWS``); ``node`` and ``comp`` of those with words; and of each ``comp`` its smallest
+    id, nulls last, with the smallest ``key`` (of the text) that it has there (``least``)."""
     buckets = shuffle_partitions(docs.sparkSession)
-    texts = sh.grouped(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col)
+    given = docs.select(F.col(id_col).cast("long").alias(id_col), text_col, *(c.alias("key") for c in key))
+    texts = sh.grouped(given, id_col, text_col, *("key" for _ in key))
     shared = sh.count(texts, lambda batch: shingles(batch, k))
 
     def rows_of(left: pa.Table, right: pa.Table) -> pa.Table:
         return described(left, right, buckets, k, percent)
 
     rows = stored(texts.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(rows_of, ROWS), "sets")
-    copies = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")
+    copies = rows.where("n > 0").groupBy("node").agg(first)
     found = components(links(rows, percent))
     comps = copies.join(found, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
-    least = comps.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = comps.join(least, "comp").select("node", "component_id")
+    return rows, comps.select("node", "comp"), comps.groupBy("comp").agg(F.min("least").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
+                    percent: int = PERCENT) -> DataFrame:
+    """Per row: ``id_col``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+    rows, comps, least = placed(docs, id_col, text_col, k, percent)
+    named = comps.join(least, "comp").select("node", F.col("least.id").alias("component_id"))
     out = rows.select("id", "n", "node").join(named, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.coalesce("component_id", "id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; documents without words stay."""
-    kept = near_duplicates(docs, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
+             percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component, one of the smallest id; all rows without words stay.  Rows meet
+    their component by the SHA-256 of the text and the id."""
+    key = F.unhex(F.sha2(or_empty(F.col(text_col)), 256))
+    _, _, least = placed(docs, id_col, text_col, k, percent, key)
+    kept = least.select(F.col("least.id").alias("__id"), F.col("least.key").alias("__kept"))
+    worded = or_empty(F.col(text_col)).rlike(WORD)
+    keyed = docs.where(worded).withColumn("__key", key)
+    named = (F.col("__key") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    one = keyed.join(kept, named, "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    return one.union(docs.where(~worded))

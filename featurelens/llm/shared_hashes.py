@@ -26,11 +26,11 @@ ANSWER = "grp int, bucket int, keys binary, level binary"
 U = np.uint64
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``grp``, ``id``, ``text``, shuffled by ``grp``; all rows of an id are in one group."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """``grp``, ``id``, ``text`` and the columns ``more``, shuffled by ``grp``; all rows of an id are in one group."""
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2 * n)).cast("int").alias("grp"),
-                       F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+                       F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more)
     return rows.repartition(n, "grp")
 
 

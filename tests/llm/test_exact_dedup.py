@@ -54,3 +54,16 @@ def test_void_identifiers_fall_back_to_texts(rows, monkeypatch):
 def test_any_text_is_cut_whole(rows, text):
     got = rows.frame([(text,)], "t string").select(exact_dedup.chunks(F.col("t")).alias("c")).first()["c"]
     assert "".join(got) == text
+
+
+def test_one_row_of_each_text_stays_whatever_its_id(rows):
+    data = DATA + [(None, "A"), (None, "B"), (None, "b"), (5, "A"), (5, "B"), (9, "A"), (9, "a"), (12, "B"), (12, "c"), (None, "C")]
+    data += [(None, f"clean {i}") for i in range(60)]
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    last = {}
+    for i, t in data:
+        t = (t or "").translate(fold)
+        last[t] = max((j for j in (i, last.get(t)) if j is not None), default=None)
+    kept = exact_dedup.keep_one(rows.frame(data, "doc_id long, text string"))
+    got = [((r["text"] or "").translate(fold), r["doc_id"]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted(last.items(), key=str)

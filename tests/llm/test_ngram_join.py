@@ -77,3 +77,21 @@ def test_long_text_and_parameters(rows):
     texts = {1: long, 2: long + " end", 3: "a b c", 4: "a b d"}
     assert found(rows, texts) == brute(texts)
     assert found(rows, texts, k=1, percent=50) == brute(texts, 1, 50)
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(rows):
+    base = [" ".join(f"{c}{j}" for j in range(60)) for c in "abcdef"]
+    data = [(None, base[0]), (None, base[1]), (None, base[1] + " x"), (5, base[2]), (5, base[3]), (9, base[2] + " x"), (7, base[3] + " x"),
+            (3, base[4]), (4, base[4]), (4, base[5]), (2, base[5] + " x"), (3, base[4]), (None, ""), (None, " "), (5, None), (5, None)]
+    data += [(None, " ".join(f"n{i}w{j}" for j in range(20))) for i in range(40)]
+    comps = brute({n: t for n, (_, t) in enumerate(data)})
+    want = {}
+    for n, (i, _) in enumerate(data):
+        want.setdefault(comps[n][1], []).append(i)
+    want = {c: min((i for i in ids if i is not None), default=None) for c, ids in want.items()}
+    kept = ngram_join.keep_one(rows.frame(data, "doc_id long, text string")).collect()
+    of = {(i, t): comps[n][1] for n, (i, t) in enumerate(data) if comps[n][0]}
+    got = [(of[r["doc_id"], r["text"]], r["doc_id"]) for r in kept if (r["doc_id"], r["text"]) in of]
+    assert sorted(got) == sorted((c, i) for c, i in want.items() if comps[c][0])
+    bare = [(r["doc_id"], r["text"]) for r in kept if (r["doc_id"], r["text"]) not in of]
+    assert sorted(bare, key=str) == sorted([(None, ""), (None, " "), (5, None), (5, None)], key=str)
