@@ -17,6 +17,8 @@ from featurelens.llm.queries import KEEP, vocabulary
 
 #: The encoder's caches share the Python workers' memory with what earlier stages left there.
 CACHES = {"max_states": 200_000, "max_words": 80_000}
+#: Near duplicates: shingles of five words, similarity of 0.8 or more (op4's query has its own 4 and 85).
+NEAR = {"k": 5, "percent": 80}
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest id."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, **NEAR)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

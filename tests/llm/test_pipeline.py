@@ -88,3 +88,21 @@ def test_tokens_are_those_of_the_texts(stages):
 def test_run_equals_the_stages(spark, stages):
     run = sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, SF).collect())
     assert run == sorted((r["doc_id"], r["n_tokens"]) for r in stages["tokens"][1].collect())
+
+
+def test_near_stage_links_from_five_words_and_80_percent(spark, stages):
+    docs, result = stages["near_dedup"]
+    comps = brute({i: r["text"] for i, r in by_id(docs).items()}, 5, 80)
+    assert set(by_id(result)) == {c for _, c in comps.values()}
+    base, long = [f"a{i}" for i in range(400)], [f"b{i}" for i in range(500)]
+    changed = [f"x{i}" if i % 45 == 22 else w for i, w in enumerate(long)]
+    assert sum(a != b for a, b in zip(long, changed, strict=True)) == 11
+    apart = [f"y{i}" if i % 40 == 20 else w for i, w in enumerate(long)]
+    texts = {1: base, 2: base + [f"e{i}" for i in range(80)], 3: long, 4: changed,
+             5: [f"c{i}" for i in range(400)], 6: [f"c{i}" for i in range(400)] + [f"e{i}" for i in range(110)]}
+    texts = {i: " ".join(w) for i, w in texts.items()} | {7: " ".join("z" + w for w in apart), 8: " ".join("z" + w for w in long)}
+    made = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = set(by_id(corpus_pipeline.without_near_copies(spark, made, SF)))
+    assert kept == {c for _, c in brute(texts, 5, 80).values()} != {c for _, c in brute(texts).values()}
+    assert {1, 3, 5, 6} <= kept and not {2, 4} & kept
