@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: grouped prefix join, and the components that its links make.
+"""N-gram Jaccard join: prefix join in two rounds, and the components that its links make.
 
 A document's set has its distinct shingles of ``SHINGLE`` words (A-Z lower-cased); two documents link
 when 100 * intersection >= ``PERCENT`` * union.  All steps are exact (sets are of 64-bit hashes):
@@ -6,16 +6,17 @@ when 100 * intersection >= ``PERCENT`` * union.  All steps are exact (sets are o
 1. Shingles are ordered by the number of documents that hold them (``shared_hashes``), rarest first.
    Linked sets of n shingles share one of their first n - ceil(0.85 n) + 1.  Shingles that one document
    alone holds match nothing, so a document whose prefix has only such is done.
-2. Documents with equal sets are one node; nodes with the same prefix and size are one group, and only
-   groups enter the index of prefix shingles.
-3. Group pairs that share a prefix shingle are filtered by size, by the number of shared shingles and by
-   the shingle's place in both prefixes; members of the pairs left are verified on their whole sets.
+2. Documents with equal sets are one node; nodes with the same prefix and size are one group.  The first
+   round indexes groups by prefix shingle, the second nodes.
+3. Pairs that share a prefix shingle are filtered by size, by the number of shared shingles and by the
+   shingle's place in both prefixes; the nodes of the pairs left are verified on their whole sets.
 
 A component needs no more links than connect it.  So the pairs are taken in two rounds: first each group
 with a hub under each of its prefix shingles and within its group: the node whose shingles most documents
-hold on average, which in a cluster of near copies is its centre; then, between the components found, all pairs of nodes that a bound from the counts of their
-shingles by hash class allows.  A pair is skipped only if that bound rules the link out, or if
-its documents are in one component already.  A large group of near copies thus costs a verification each,
+hold on average, which in a cluster of near copies is its centre; then, between the components found, all
+pairs of nodes (not of groups) that a bound from the counts of their shingles by hash class allows.  Only
+the second round is exhaustive.  A pair is skipped only if that bound rules the link out, or if its documents
+are in one component already; the result is components, without links or their number.  A large group of near copies thus costs a verification each,
 and copies of a text are never compared.
 
 * Nulls: a null text has no words; a null id takes part as a text but is not reported as anyone's
