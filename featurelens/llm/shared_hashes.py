@@ -1,6 +1,7 @@
 """Which hashes occur in several documents: counting in Spark, without a row per hash.
 
-Documents are dealt by their id to groups (``grouped``).  Each group sends its distinct hashes, cut to 32
+Documents are dealt by id and text to groups (``grouped``), so that a null or repeated id does not fill one
+task; only rows equal in both stay together.  Each group sends its distinct hashes, cut to 32
 bits and packed, to one bucket task each (``count``); a bucket adds up in how many documents each
 hash occurs and answers the groups that sent a hash found in two documents or more.  A hash that a third of
 all documents hold is sent once by each group, not once by each document.  Cutting can only make
@@ -27,9 +28,9 @@ U = np.uint64
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """``grp``, ``id``, ``text`` and the columns ``more``, shuffled by ``grp``; all rows of an id are in one group."""
+    """``grp``, ``id``, ``text`` and the columns ``more``, shuffled by ``grp``; rows equal in id and text are in one group."""
     n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2 * n)).cast("int").alias("grp"),
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(2 * n)).cast("int").alias("grp"),
                        F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more)
     return rows.repartition(n, "grp")
 
@@ -103,7 +104,7 @@ def answers(table: pa.Table) -> pa.Table:
 def count(docs: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]],
           by_id: bool = False) -> DataFrame:
     """``docs`` as ``grouped`` gives them; ``hashes``: hash and row of a batch's occurrences, by row.
-    ``by_id``: rows that share an id are one document.
+    ``by_id``: rows of a group that share an id are one document.
     Result: per group and bucket the cut keys that two documents or more hold, and their ``level``."""
     from .words import parts
 

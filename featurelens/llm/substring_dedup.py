@@ -6,7 +6,9 @@ the smallest document id that holds each.  A window is repeated in a document if
 holds it, too; overlapping repeated windows merge into maximal removal intervals, and the words outside
 them stay.  Windows are judged on the input, not on what is left.
 
-The texts are shuffled once, by id; all three passes read that shuffle.  A window that very many
+The texts are shuffled once, by id and text; all three passes read that shuffle.  Rows of one id may be in
+several groups: the first count may then take a window of that id alone for repeated, which the second,
+by smallest ids, undoes.  A window that very many
 documents hold is sent once by each group of documents.
 
 * Nulls: a null text has no words; a row whose id is null has no order among the others, so none of its

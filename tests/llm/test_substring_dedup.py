@@ -64,3 +64,13 @@ def test_query_against_brute_force(spark):
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in
                  QUERIES["op8_substring_dedup"](spark, sf).collect())
     assert got == sorted((i, n, m, hashlib.sha256(t.encode()).hexdigest()) for i, n, m, t in brute(data, 50))
+
+
+def test_rows_of_one_id_are_dealt_to_many_groups(rows):
+    r = random.Random(4)
+    passages = [[f"p{r.randrange(40)}" for _ in range(9)] for _ in range(5)]
+    data = [(r.choice([None, 7, 7, i]), " ".join([f"own{i}", *r.choice(passages), f"w{i}", *r.choice(passages)])) for i in range(90)]
+    grouped = substring_dedup.sh.grouped(rows.frame(data, "doc_id long, text string"), "doc_id", "text")
+    groups = {(g["id"], g["grp"]) for g in grouped.collect()}
+    assert all(sum(i == hot for i, _ in groups) > 3 for hot in (None, 7))
+    assert found(rows, data, 5) == brute(data, 5)
