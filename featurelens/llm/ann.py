@@ -36,6 +36,8 @@ from .common import stored
 SAMPLE, TREES, LEAVES, LEAST_LEAF, BLOCK = 20_000, 12, 64, 8, 16_384
 SEARCH = 1.1
 SEED = 41
+#: What two ways to compute a cosine may differ by.
+ROUNDING = 1e-12
 PACKET = "cell long, ids binary, vectors binary"
 PACKET_ARROW = pa.schema([("cell", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())])
 FOUND = "query long, point long, score double"
@@ -163,7 +165,7 @@ def unpacked(table: pa.Table, kind: np.dtype, size: int) -> tuple[np.ndarray, np
 
 
 def best(rows: pa.Table, queries: pa.Table, kind: np.dtype, size: int, k: int) -> pa.Table:
-    """Each query's ``k`` nearest rows of a cell, scored in double precision."""
+    """Each query's ``k`` nearest rows of a cell, scored in double precision; ties go to smaller ids."""
     if not rows.num_rows or not queries.num_rows:
         return pa.Table.from_pylist([], FOUND_ARROW)
     ids, x = unpacked(rows, kind, size)
@@ -172,11 +174,13 @@ def best(rows: pa.Table, queries: pa.Table, kind: np.dtype, size: int, k: int) -
     norm = np.sqrt((x * x).sum(axis=1))
     for i in range(0, len(q), 256):
         near = units(q[i:i + 256]) @ ux.T
-        top = np.argpartition(-near, min(k, len(ids)) - 1, axis=1)[:, :k]
-        for j, at in enumerate(top):
+        place = len(ids) - min(k, len(ids))
+        for j, last in enumerate(np.partition(near, place, axis=1)[:, place]):
+            at = np.flatnonzero(near[j] >= last - ROUNDING)
             v = q[i + j].astype(np.float64)
             exact = (x[at] * v).sum(axis=1) / (norm[at] * np.sqrt((v * v).sum()))
-            out.append((np.full(len(at), asked[i + j]), ids[at], exact))
+            first = np.lexsort((ids[at], -exact))[:k]
+            out.append((np.full(len(first), asked[i + j]), ids[at[first]], exact[first]))
     return pa.table({n: pa.array(np.concatenate([o[c] for o in out])) for c, n in enumerate(FOUND_ARROW.names)})
 
 

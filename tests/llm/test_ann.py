@@ -56,3 +56,13 @@ def test_blocks_of_a_large_leaf_hold_every_row():
     assert cells.shape == (600, 3) and len(np.unique(cells)) > 3 * 4 * 4
     everywhere = set(forest.visit(ann.units(x[:1])[0], search=10.0))
     assert everywhere == set(range(sum(int(b.sum()) for b in forest.blocks)))
+
+
+def test_equal_cosines_of_different_vectors_go_to_smaller_ids():
+    ids = np.random.default_rng(2).permutation(60).astype(np.int64)
+    x = np.array([[1.0, 2.0, 0.5]]) * 2.0 ** (np.arange(60) % 30 - 15)[:, None] + np.array([[0.0, 0.0, 0.0]])
+    x[ids == 4] = [3.0, -1.0, 0.0]
+    cell = ann.packets((np.arange(60), np.zeros(60, np.int64)), ids, x)
+    asked = ann.packets((np.arange(1), np.zeros(1, np.int64)), np.array([99]), np.array([[1.0, 1.0, 1.0]]))
+    got = ann.best(ann.pa.Table.from_batches([cell]), ann.pa.Table.from_batches([asked]), np.dtype(np.float64), 3, 6)
+    assert got["point"].to_pylist() == [0, 1, 2, 3, 5, 6]
