@@ -125,7 +125,8 @@ def _one_sided(d: float, n: int) -> float:
     return float(d * np.exp(log - np.log(p)).sum())
 
 
-#: Largest n whose tail is summed term by term (its cost is n); beyond it the expansion's error is below 1e-9.
+#: Largest n whose tail is summed term by term (its cost is n); beyond it the asymptotic formula's
+#: relative error is 1.1e-9 at sqrt(n) d = 2.5 and grows to 4.2e-5 at 12 (both at n = 1,000,000).
 FINITE_SUM = 1_000_000
 
 
