@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, mixing, ngram_join, quality, substring_dedup, url_filter, warc
-from .common import table
+from . import (ann, bpe, chat, conversation_repair, exact_dedup, fingerprint, mixing, ngram_join, quality, runs, substring_dedup,
+               url_filter, warc)
+from .common import WORD, or_empty, table
 
 
 #: A document of at least this score counts as good.
@@ -88,6 +89,68 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fingerprint.compare_edited(docs, fingerprint.rarity(docs), fingerprint.tail_replaced)
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                        fingerprint.encoded(F.col("fingerprint")).alias("fingerprint"),
+                        fingerprint.encoded(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def periodic(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, a tenth of the texts made periodic from a word on (a null id's crc is 0)."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    listed = F.regexp_extract_all(or_empty(F.col("text")), F.lit(WORD), F.lit(0))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, listed).alias("ws"))
+    n, g = F.size("ws"), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("n", n).withColumn("a", F.when(n > 0, g % n))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    made = F.transform("ws", lambda word, i: F.when(i < F.col("a"), word).otherwise(
+        F.element_at("ws", (F.col("a") + (i - F.col("a")) % F.col("p") + 1).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(periodic(table(spark, sf_dir, "documents")))
+    longest = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda best, r: F.when(
+        best.isNull() | (r["length"] > best["length"]), r).otherwise(best))  # of equal lengths the first in order
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"),
+                                                              r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"),
+        F.col("top.length").alias("length"), F.col("top.period").alias("period"),
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows of conversations dropped, emptied, stripped of stops, repeated or given to the user, each a twentieth, by a checksum."""
+    def spaced(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    what = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")) % 20
+    marked = rows.select("conv_id", "turn", spaced("role").alias("role"), spaced("text").alias("text"), what.alias("what"))
+    text = F.when(F.col("what") == 1, "").when(F.col("what") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("what") == 4, "user").otherwise(F.col("role"))
+    times = F.sequence(F.lit(1), F.when(F.col("what") == 3, 2).otherwise(1))
+    return marked.where("what != 0").select("conv_id", "turn", role.alias("role"), text.alias("text"),
+                                            F.explode(times).alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(damaged(rows))
+    lines = F.array_join(F.transform("repaired", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "\n")
+    found = found.select(F.col("conv_id").alias("id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                         F.sha2(lines, 256).alias("repaired_sha256"))
+    every = rows.select("conv_id").distinct()
+    whole = every.join(found, every["conv_id"].eqNullSafe(found["id"]), "left").drop("id")
+    return whole.select("conv_id", *[F.coalesce(n, F.lit(0).cast("long")).alias(n)
+                                     for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                        F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline.py``."""
     import corpus_pipeline
@@ -95,7 +158,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filters, op3_nearest_neighbours, op4_ngram_jaccard_join, op5_warc, op6_quality_classifier, op7_exact_dedup, op8_substring_dedup, op9_mixing, op10_chat_formatting, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filters, op3_nearest_neighbours, op4_ngram_jaccard_join, op5_warc, op6_quality_classifier, op7_exact_dedup, op8_substring_dedup, op9_mixing, op10_chat_formatting,
+                                op11_document_fingerprints, op12_periodic_runs, op13_conversation_repair, pipeline)}
 
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
