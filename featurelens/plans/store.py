@@ -1,8 +1,9 @@
 """Written tables in the folder that driver and executors share.
 
 A written table cuts the lineage: all its readers see one and the same computation, and a lost executor
-does not repeat it.  The folder is ``spark.checkpoint.dir`` of the session; only where that is unset
-(tests on one machine) a temporary one is made.
+does not repeat it.  The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset and the master is local
+(tests on one machine) a temporary one is made; elsewhere each machine would write to its own disk, so it is an error.
+A session's tables lie in one folder of its own, which ``remove_written`` deletes when its results are no longer needed.
 """
 
 from __future__ import annotations
@@ -17,12 +18,29 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="featurelens-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
+def session_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Deletes all tables that this application wrote; results that read them can no longer be computed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
