@@ -5,8 +5,8 @@ of neighbours encodes to that pair (merges never look further than the pair they
 encodings of all prefixes of a text are the paths of a transducer whose configuration is (bytes of the
 token begun, last whole token, tokens not yet emitted): a byte extends the token begun, and where
 that is a token compatible with the last one, a path may close it.  For each prefix one path ends closed.
-``Transducer`` determinises this while it reads: a state is a set of configurations, made when first
-reached and kept; tokens on which all live paths agree are emitted.  Paths differ only within the token
+``Transducer`` determinises this while it reads: a state is a set of configurations, numbered when first
+reached and kept as one row of integers; tokens on which all live paths agree are emitted.  Paths differ only within the token
 begun, so the lookahead is bounded by the longest token.  States and remembered words are dropped
 together when ``max_states`` or ``max_words`` is reached, so memory is bounded.
 
@@ -24,11 +24,9 @@ bytes into text through ``Utf8Stream``, a state machine that holds back an unfin
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,42 +48,11 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line)}
 
 
-class Node(dict):
-    """A token begun: byte -> the node it leads to, or None where no token begins so; made when asked for."""
-
-    __slots__ = ("text", "rank", "more", "after", "owner")
-    __hash__, __eq__ = object.__hash__, object.__eq__
-
-    def __init__(self, owner: Transducer, text: bytes):
-        self.owner, self.text, self.rank = owner, text, owner.ranks.get(text)
-        self.more = text in owner.longer
-        self.after: dict[Node, bool] = {}  # last token -> whether this one can follow it
-
-    def __missing__(self, byte: int):
-        text = self.text + ONE[byte]
-        known = text in self.owner.longer or text in self.owner.ranks
-        self[byte] = found = Node(self.owner, text) if known else None
-        return found
-
-    def follows(self, last: Node) -> bool:
-        found = self.after[last] = self.owner.fits(last.text, self.text)
-        return found
-
-
-class State(dict):
-    """Byte -> (tokens emitted, next state); missing transitions are determinised when asked for."""
-
-    __slots__ = ("configs", "owner")
-
-    def __init__(self, owner: Transducer, configs: tuple):
-        self.owner, self.configs = owner, configs
-
-    def __missing__(self, byte: int):
-        self[byte] = found = self.owner.step(self, byte)
-        return found
-
-
 class Transducer:
+    """States are numbers; all else is flat.  A state's configurations are one row of integers, for each path: the token
+    begun, the last whole token (numbers of ``texts``), how many tokens wait, and these.  Transitions are entries of
+    one table, (state, byte) -> next state, or its complement if tokens are emitted, which a second table holds."""
+
     def __init__(self, ranks: dict[bytes, int], max_states: int | None = None):
         self.max_states = max_states or MAX_STATES
         if any(b not in ranks for b in ONE):
@@ -95,15 +62,34 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple, State] = {}
+        self.texts: list[bytes] = [b""]  # tokens begun that were met, by number
+        self.rank: list[int | None] = [None]
+        self.more: list[bool] = [True]
+        self.child: dict[int, int] = {}  # (number, byte) -> number, or -1 where no token begins so
+        self.compatible: dict[int, bool] = {}  # (last token, token) -> whether one can follow the other
         self.histories: dict[bytes, tuple] = {}
-        self.root = Node(self, b"")
-        self.start = self.state(((self.root, self.root, ()),))
+        self.known: dict[tuple[int, ...], int] = {}  # configurations -> state
+        self.configs: list[tuple[int, ...]] = []
+        self.next: dict[int, int] = {}
+        self.emitted: dict[int, tuple[int, ...]] = {}
+        self.start = self.state((0, 0, 0))
+
+    def state(self, row: tuple[int, ...]) -> int:
+        found = self.known.setdefault(row, len(self.configs))
+        if found == len(self.configs):
+            self.configs.append(row)
+        return found
 
-    def state(self, configs: tuple) -> State:
-        found = self.states.get(configs)
-        if found is None:
-            found = self.states[configs] = State(self, configs)
+    def grown(self, begun: int, byte: int) -> int:
+        """The number of the token begun that ``byte`` leads to, -1 if there is none."""
+        text = self.texts[begun] + ONE[byte]
+        found = -1
+        if text in self.longer or text in self.ranks:
+            found = len(self.texts)
+            self.texts.append(text)
+            self.rank.append(self.ranks.get(text))
+            self.more.append(text in self.longer)
+        self.child[begun << 8 | byte] = found
         return found
 
     def history(self, token: bytes) -> tuple[bool, list[tuple[float, bytes, bytes]]]:
@@ -142,39 +128,65 @@ class Transducer:
             else:
                 j += 1
 
-    def step(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
-        """The paths that ``byte`` leaves alive, the closed one first, less the tokens they agree on."""
+    def follows(self, last: int, token: int) -> bool:
+        key = last << 32 | token
+        found = self.compatible.get(key)
+        if found is None:
+            found = self.compatible[key] = self.fits(self.texts[last], self.texts[token])
+        return found
+
+    def step(self, state: int, byte: int) -> int:
+        """Determinises one transition: the paths that ``byte`` leaves alive, the closed one first, less the tokens they
+        agree on."""
+        row, at = self.configs[state], 0
         closed, paths = None, []
-        for begun, last, out in state.configs:
-            node = begun[byte]
-            if node is not None:
-                if node.rank is not None and (node.after[last] if last in node.after else node.follows(last)):
-                    closed = (self.root, node, (*out, node.rank))
-                if node.more:
+        while at < len(row):
+            begun, last, upto = row[at], row[at + 1], at + 3 + row[at + 2]
+            out = row[at + 3:upto]
+            at = upto
+            node = self.child.get(begun << 8 | byte)
+            if node is None:
+                node = self.grown(begun, byte)
+            if node >= 0:
+                rank = self.rank[node]
+                if rank is not None and self.follows(last, node):
+                    closed = node, (*out, rank)
+                if self.more[node]:
                     paths.append((node, last, out))
-        if not paths:
-            return closed[2], self.state(((self.root, closed[1], ()),))
-        first, n = closed[2], 0
-        for token in first:
-            if any(len(p[2]) <= n or p[2][n] != token for p in paths):
-                break
-            n += 1
+        last, first = closed
+        n = 0
+        if paths:
+            for token in first:
+                if any(len(p[2]) <= n or p[2][n] != token for p in paths):
+                    break
+                n += 1
+        else:
+            n = len(first)
+        made = [0, last, len(first) - n, *first[n:]]
+        for begun, before, out in paths:
+            made += (begun, before, len(out) - n, *out[n:])
+        found, key = self.state(tuple(made)), state << 8 | byte
         if n:
-            cut = [(begun, last, out[n:]) for begun, last, out in paths]
-            return first[:n], self.state(((self.root, closed[1], first[n:]), *cut))
-        return (), self.state((closed, *paths))
+            self.emitted[key] = first[:n]
+            found = ~found
+        self.next[key] = found
+        return found
 
     def encode(self, word: bytes) -> list[int]:
         ids: list[int] = []
-        if len(self.states) > self.max_states:
+        if len(self.configs) > self.max_states:
             self.reset()
-            gc.collect()
-        state = self.start
+        state, known = self.start, self.next.get
         for byte in word:
-            emitted, state = state[byte]
-            if emitted:
-                ids += emitted
-        ids += state.configs[0][2]
+            key = state << 8 | byte
+            state = known(key)
+            if state is None:
+                state = self.step(key >> 8, byte)
+            if state < 0:
+                ids += self.emitted[key]
+                state = ~state
+        closed = self.configs[state]
+        ids += closed[3:3 + closed[2]]
         return ids
 
 
@@ -270,17 +282,6 @@ class Decoder:
         return "".join([*parts, stream.finish()])
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: bytes, pattern: str, max_states: int | None, max_words: int | None) -> Encoder:
-    """One for the tasks that a Python worker runs."""
-    return Encoder(vocabulary, pattern, max_states, max_words)
-
-
-@lru_cache(maxsize=2)
-def decoder(vocabulary: bytes) -> Decoder:
-    return Decoder(vocabulary)
-
-
 def replacing(df: DataFrame, column: str, *new: T.StructField) -> tuple[DataFrame, T.StructType]:
     """The columns kept with the one to read last, and the schema with the new ones in its place."""
     names = [f.name for f in new]
@@ -301,8 +302,8 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
            decoded: str | None = None, max_states: int | None = None, max_words: int | None = None) -> DataFrame:
     """``docs`` with ``out``, the token ids (array of int), and, if a name is given, ``decoded``, the text decoded
     from them in the same pass.  The vocabulary file, at most a few MB whatever the input, is read once by the
-    driver and broadcast.  ``max_states`` and ``max_words`` bound the caches of a Python worker (about 1 KB a
-    state): smaller ones take more time and less memory and give the same ids."""
+    driver and broadcast.  ``max_states`` and ``max_words`` bound the caches of a task: smaller ones take more time and
+    less memory and give the same ids.  A task makes its own transducer and frees it at its end."""
     with open(vocabulary_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     new = [T.StructField(out, T.ArrayType(T.IntegerType(), False))]
@@ -311,19 +312,17 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     names = schema.names
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(shared.value, pattern, max_states, max_words)
+        e = Encoder(shared.value, pattern, max_states, max_words)  # a task's own: it ends with the task
+        d = Decoder(shared.value) if decoded else None
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         for b in batches:
             for part in pieces(b):
-                gc.disable()  # the collector would walk all states again and again
                 packed = [e.packed(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
-                gc.enable()
                 offsets = np.zeros(len(packed) + 1, np.int32)
                 np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(packed), np.int32))
                 found = [pa.ListArray.from_arrays(pa.array(offsets), values, type=kind)]
-                if decoded:
-                    d = decoder(shared.value)
+                if d:
                     found.append(pa.array([d.decode(np.frombuffer(p, np.int32)) for p in packed], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], names=names)
 
@@ -337,7 +336,7 @@ def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", out: str =
     rows, schema = replacing(df, ids_col, T.StructField(out, T.StringType()))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = decoder(shared.value)
+        d = Decoder(shared.value)
         for b in batches:
             for part in pieces(b):
                 ids = part.column(part.num_columns - 1)

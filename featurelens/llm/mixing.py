@@ -15,7 +15,7 @@ so that no task holds a source.
 * Nulls: a null text has size 0; a null source is a source of its own, the last in order.
   A document of size 0 takes 0 words.  A null id is hashed as 'null'.
 * Ties and repeated rows: rows that agree in id hash alike and are ordered by id and size;
-  rows equal in both are interchangeable.
+  rows equal in both are interchangeable; ``mixed`` orders those by a hash of all columns.
 * A source whose documents are all empty has target 0.  An empty table gives an empty result.
 * Only the named columns are read; internal columns start with ``__``.
 """
@@ -58,11 +58,14 @@ def water_fill(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: i
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """Per document: ``id_col``, ``size``, ``source_size``, ``target`` (its source's), ``repeats``, ``taken``."""
+        weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
+        carry: str | None = None) -> DataFrame:
+    """Per document: ``id_col``, ``size``, ``source_size``, ``target`` (its source's), ``repeats``, ``taken``, and the column
+    ``carry`` if one is named, which then orders rows equal in id and size."""
+    more = [F.col(carry).alias("__row")] if carry else []
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     sized = stored(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"),
-                               words(F.col(text_col)).alias("__size"), key.alias("__key"))
+                               words(F.col(text_col)).alias("__size"), key.alias("__key"), *more)
                    .withColumn("__bucket", F.substring("__key", 1, 3)), "sizes")
     buckets = sized.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__bsize"))
     totals = buckets.groupBy("__source").agg(F.sum("__bsize").alias("__total"))
@@ -78,19 +81,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .when(F.col("__below") >= F.col("__extra"), "out").otherwise("edge").alias("__place"))
     placed = sized.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     # Only the one bucket of a source in which the remainder ends is ordered document by document.
-    inside = Window.partitionBy("__s", "__b").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__s", "__b").orderBy(
+        "__key", "__id", "__size", *["__row"][:len(more)]).rowsBetween(Window.unboundedPreceding, 0)
     edge = placed.where("__place = 'edge'").withColumn("__more", (
         F.col("__below") + F.sum("__size").over(inside) <= F.col("__extra")).cast("long"))
     rest = placed.where("__place != 'edge'").withColumn("__more", (F.col("__place") == "in").cast("long"))
     both = edge.unionByName(rest).withColumn("__repeats", F.col("__whole") + F.col("__more"))
     return both.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__total").alias("source_size"),
                        F.col("__target").alias("target"), F.col("__repeats").alias("repeats"),
-                       (F.col("__size") * F.col("__repeats")).alias("taken"))
+                       (F.col("__size") * F.col("__repeats")).alias("taken"),
+                       *[F.col("__row").alias(carry) for _ in more])
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with each row repeated as often as ``mix`` takes it (rows that share an id alike)."""
-    taken = mix(docs, id_col, **how).groupBy(F.col(id_col).alias("__id")).agg(F.max("repeats").alias("__n"))
-    joined = docs.join(taken.where("__n > 0"), F.col(id_col).eqNullSafe(F.col("__id")))
+    """``docs`` with each row repeated as often as ``mix`` takes it.  Rows are told apart by id and a hash of all columns;
+    equal rows are interchangeable, so one of them stands for all, as often as they are taken together."""
+    keyed = docs.withColumn("__hash", F.xxhash64(*docs.columns))
+    taken = mix(keyed, id_col, carry="__hash", **how).groupBy(F.col(id_col).alias("__id"), F.col("__hash").alias("__same")).agg(
+        F.sum("repeats").alias("__n"))
+    one = keyed.dropDuplicates([id_col, "__hash"])
+    joined = one.join(taken.where("__n > 0"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__same")))
     repeated = joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
-    return repeated.drop("__id", "__n", "__i")
+    return repeated.select(*docs.columns)

@@ -170,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = [known.where(F.col("__label") == c).orderBy("__key", "__id").limit(per_class) for c in (0, 1)]
     sample = F.broadcast(sample[0].unionByName(sample[1]))  # 2 * per_class rows at most
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(sample, "__id")
-    rows = rows.dropDuplicates(["__id"]).select("__key", "__label", "__text")
+    # of several texts of one id the smallest, so that the model does not depend on how rows are dealt
+    rows = rows.groupBy("__id", "__key", "__label").agg(F.min("__text").alias("__text")).select("__key", "__label", "__text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 2):

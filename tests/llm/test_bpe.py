@@ -32,7 +32,7 @@ def test_caches_are_bounded(monkeypatch):
     e = bpe.Encoder(DATA, PATTERN)
     text = " ".join(f"word{i * 7919}ation" for i in range(300))
     assert e.encode(text) == LIBRARY.encode_ordinary(text)
-    assert len(e.words) <= 20 and len(e.words.transducer.states) < 150
+    assert len(e.words) <= 20 and len(e.words.transducer.configs) < 150
 
 
 def test_long_text_and_one_long_word():

@@ -56,3 +56,27 @@ def test_edge_rows(rows):
 def test_one_source_keeps_its_size(rows):
     frame = rows.frame([(i, "w " * (i + 1), "only") for i in range(50)], "doc_id long, text string, source string")
     assert all(x["taken"] == x["size"] for x in mixing.mix(frame).collect())
+
+
+def test_rows_that_share_an_id_are_taken_row_by_row(rows):
+    r = random.Random(8)
+    data = [(None if i % 3 == 0 else i % 50, " ".join(f"w{i}" for _ in range(r.choice([1, 4, 40]))), s, i % 2)
+            for s, n in (("a", 300), ("b", 90), ("c", 30)) for i in range(n)]
+    data += [(None, "same words here", "b", 0)] * 40
+    frame = rows.frame(data, "doc_id long, text string, source string, extra int")
+    decided, again = mixing.mix(frame, carry="text").collect(), mixing.mixed(frame).collect()
+    target = pour({s: sum(len(d[1].split()) for d in data if d[2] == s) for s in "abc"}, mixing.WEIGHTS, mixing.MAX_EPOCHS)
+    for s in "abc":
+        words = sum(len(x["text"].split()) for x in again if x["source"] == s)
+        assert 0 <= target[s] - words <= 40 + 1e-6
+        assert words == sum(x["taken"] for x in decided if x["target"] == decided_target(decided, data, s))
+    assert {tuple(x) for x in again} <= {tuple(d) for d in data}
+    assert sorted(map(str, again)) == sorted(map(str, mixing.mixed(frame.repartition(7)).collect()))
+
+
+def decided_target(decided, data, source):
+    """The target that ``mix`` names for a source's texts."""
+    texts = {d[1] for d in data if d[2] == source}
+    found = {x["target"] for x in decided if x["text"] in texts and not any(
+        x["text"] == d[1] and d[2] != source for d in data)}
+    return found.pop() if found else None

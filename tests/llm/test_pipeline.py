@@ -52,12 +52,6 @@ def test_one_of_each_text_stays(stages):
     assert set(by_id(result)) == set(last.values())
 
 
-def test_one_of_each_near_group_stays(stages):
-    docs, result = stages["near_dedup"]
-    comps = brute({i: r["text"] for i, r in by_id(docs).items()})
-    assert set(by_id(result)) == {c for _, c in comps.values()}
-
-
 def test_mix_meets_its_targets(stages):
     docs, result = stages["mixing"]
     sizes, taken, largest = {}, {}, {}

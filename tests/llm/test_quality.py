@@ -58,3 +58,46 @@ def test_labels_of_the_fold_are_not_read(spark):
     b = quality.fit(docs, flipped.where(~fold))
     assert np.array_equal(a.weights, b.weights) and (a.slope, a.level) == (b.slope, b.level)
     assert KEEP == 0.7
+
+
+def test_model_does_not_depend_on_how_rows_are_dealt(rows):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    data = [(i // 3, " ".join(rng.choice(vocabulary[(i // 3 % 2) * 20:][:40], 12))) for i in range(240)]
+    docs, labels = rows.frame(data, "doc_id long, text string"), rows.frame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    models = [quality.fit(docs.repartition(n), labels) for n in (1, 3, 5, 7)]
+    assert all(np.array_equal(m.weights, models[0].weights) and (m.slope, m.level) == (models[0].slope, models[0].level)
+               for m in models)
+
+
+def test_fit_by_its_conditions():
+    """Log-count ratios, the dual's optimality conditions and the blend, by plain computation."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 40, 9) + (10 if i % 2 else 0)) for i in range(60)]
+    label = np.array([i % 2 for i in range(60)])
+    model = quality.fit_sets(sets, label, {0: 30, 1: 30})
+    learn = [i for i in range(60) if i % 5 != 4]
+    size = len(model.weights)
+    count = {c: np.full(size, float(quality.SMOOTH)) for c in (0, 1)}
+    for i in learn:
+        for g in sets[i]:
+            count[label[i]][g] += 1
+    ratio = np.log((count[1] / count[1].sum()) / (count[0] / count[0].sum()))
+    rows = [(sets[i], np.array([ratio[g] / len(sets[i]) ** 0.5 for g in sets[i]])) for i in learn]
+    y = np.array([1.0 if label[i] else -1.0 for i in learn])
+    w = quality.descend(rows, y, size, np.full(len(rows), quality.COST))
+    # hinge loss plus half the squared norm: near the least value that subgradient steps reach from there
+    def value(v):
+        return 0.5 * v @ v + quality.COST * sum(max(0, 1 - t * (v[s] @ x + v[-1])) for t, (s, x) in zip(y, rows, strict=True))
+    best, v = value(w), w.copy()
+    for k in range(1, 2000):
+        g = v.copy()
+        for t, (s, x) in zip(y, rows, strict=True):
+            if t * (v[s] @ x + v[-1]) < 1:
+                g[s] -= quality.COST * t * x
+                g[-1] -= quality.COST * t
+        v = v - g / (k + 10)
+        best = min(best, value(v))
+    assert value(w) <= best * 1.01 + 1e-9
+    blend = (1 - quality.BLEND) * np.abs(w[:-1]).mean() + quality.BLEND * w[:-1]
+    assert np.allclose(model.weights, blend * ratio)
