@@ -1,5 +1,5 @@
 """Multivariate: imputed/scaled matrices (P10-P13), Mahalanobis (O4),
-Isolation Forest (O5), PCA (M1-M3, O8, M9) and the record-level outlier
+Isolation Forest (O5; O6 is in ``lof``), PCA (M1-M3, O8, M9) and the record-level outlier
 summary rows (O7).
 
 The data passes are Spark jobs (one Gram scan, one scoring scan); the p x p
@@ -320,8 +320,10 @@ def isolation_forest_flags(t: Tables, x: DataFrame | None = None, trees: int = 1
 
 
 # ----------------------------------------------------------------- summaries
-def multivariate_outliers(t: Tables, methods: tuple = ("Isolation Forest", "Mahalanobis")) -> DataFrame:
+def multivariate_outliers(t: Tables, methods: tuple = ("Isolation Forest", "LOF", "Mahalanobis")) -> DataFrame:
     """O7 (record-level rows): share of rows flagged per method, % of all rows, 2 dp."""
+    from .lof import lof_counts
+
     k = t.spec.thresholds.min_multivariate_rows
     n = _rows(t)
     x, _ = scaled_matrix(t)
@@ -330,6 +332,8 @@ def multivariate_outliers(t: Tables, methods: tuple = ("Isolation Forest", "Maha
     if "Isolation Forest" in methods:
         parts.append(isolation_forest_flags(t, x).groupBy("ds").agg(F.count_if("is_outlier").alias("k"))
                      .withColumn("Method", F.lit("Isolation Forest")))
+    if "LOF" in methods:
+        parts.append(lof_counts(t, x).withColumn("Method", F.lit("LOF")))
     if "Mahalanobis" in methods:
         parts.append(mahalanobis_flags(t, x).groupBy("ds").agg(F.count_if("is_outlier").alias("k"))
                      .withColumn("Method", F.lit("Mahalanobis")))
@@ -342,7 +346,9 @@ def multivariate_outliers(t: Tables, methods: tuple = ("Isolation Forest", "Maha
 
 
 def outlier_projection(t: Tables) -> DataFrame:
-    """Per-row PCA-2 coordinates with the Mahalanobis and Isolation Forest flags."""
+    """Per-row PCA-2 coordinates with the Mahalanobis, Isolation Forest and LOF flags."""
+    from .lof import lof_rows
+
     x, _ = scaled_matrix(t)
     x = t.hold(x)
     fit = pca_fit(t, x, components=2)
@@ -350,9 +356,10 @@ def outlier_projection(t: Tables) -> DataFrame:
                                          "PC1", "PC2")
     mh = mahalanobis_flags(t, x).select("ds", "h1", "h2", F.col("is_outlier").alias("Mahalanobis_Outlier"))
     iso = isolation_forest_flags(t, x).select("ds", "h1", "h2", F.col("is_outlier").alias("IsolationForest_Outlier"))
-    j = sc.join(mh, ["ds", "h1", "h2"]).join(iso, ["ds", "h1", "h2"])
+    lof = lof_rows(t, x).select("ds", "h1", "h2", F.col("is_outlier").alias("LOF_Outlier"))
+    j = sc.join(mh, ["ds", "h1", "h2"]).join(iso, ["ds", "h1", "h2"]).join(lof, ["ds", "h1", "h2"], "left")
     return j.select(ds_name(t.spec).alias("Dataset"), "id", "PC1", "PC2", "Mahalanobis_Outlier",
-                    "IsolationForest_Outlier")
+                    "IsolationForest_Outlier", F.coalesce("LOF_Outlier", F.lit(False)).alias("LOF_Outlier"))
 
 
 def mahalanobis_summary(t: Tables) -> DataFrame:

@@ -53,7 +53,7 @@ def register(name: str, fx: str, op, oracle=None, on_prepared: bool = False):
 def _register_all():
     from oracle import sql as O
 
-    from .operators import (batch, compare, correlation, distribution, multivariate, normality, outliers, paired,
+    from .operators import (batch, compare, correlation, distribution, lof, multivariate, normality, outliers, paired,
                             plotdata, profile, quality, redundancy)
 
     for fx in ("f2", "f3", "f9"):
@@ -99,6 +99,10 @@ def _register_all():
         register(f"conclusions_{fx}", fx, quality.conclusions, O.conclusions)
     register("conclusions_f4", "f4", quality.conclusions, O.conclusions_paired)
     register("mahalanobis_summary_f8", "f8", multivariate.mahalanobis_summary, O.mahalanobis_single)
+    for fx in ("f3", "f7", "f8"):
+        register(f"lof_scores_{fx}", fx, lof.lof_scores, O.lof_scores)
+    for fx in ("f3", "f8"):
+        register(f"lof_summary_{fx}", fx, lambda t: multivariate.multivariate_outliers(t, ("LOF",)), O.lof_summary)
     register("redundancy_report_f3", "f3", redundancy.redundancy_report, O.redundancy_report_two)
     for fx in ("f1", "f8"):
         register(f"histogram_table_{fx}", fx, compare.histogram_table, O.histogram_table)

@@ -805,3 +805,55 @@ def pca_variance_two(fx: str) -> str:
 def row_counts(fx: str) -> str:
     n1, n2 = FIXTURE_NAMES[fx]
     return base(fx) + f" SELECT '{n1}' AS Dataset, count(*) AS \"Rows\" FROM d1 UNION ALL SELECT '{n2}', count(*) FROM d2"
+
+
+def _scaled(fx: str) -> str:
+    """Median-imputed features scaled by the population SD, with ``ds`` and a row number, as CTE ``sx``."""
+    feats = FIXTURE_FEATURES[fx]
+    parts = []
+    for k, d in ((1, "d1"), (2, "d2")):
+        med = ", ".join(f"quantile_cont({f}, 0.5) AS m_{f}" for f in feats)
+        imp = ", ".join(f"coalesce(CAST({f} AS DOUBLE), m_{f}) AS {f}" for f in feats)
+        st = ", ".join(f"avg({f}) AS a_{f}, CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) ELSE 1.0 END AS s_{f}"
+                       for f in feats)
+        z = ", ".join(f"({f} - a_{f}) / s_{f} AS {f}" for f in feats)
+        i = f"SELECT id, {imp} FROM {d}, (SELECT {med} FROM {d})"
+        parts.append(f"SELECT {k} AS ds, id, {z} FROM ({i}) i, (SELECT {st} FROM ({i}))")
+    return f",\nsx AS ({' UNION ALL '.join(parts)})"
+
+
+def _lof(fx: str, k: int = 20) -> str:
+    """Local Outlier Factor by all pairs of distinct vectors (weights = rows), neighbourhoods with ties: CTE ``lf``."""
+    feats = FIXTURE_FEATURES[fx]
+    cols = ", ".join(feats)
+    gap = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in feats)
+    return _scaled(fx) + f""",
+pt AS (SELECT ds, {cols}, count(*) AS w, row_number() OVER () AS p FROM sx
+  WHERE ds IN (SELECT ds FROM sx GROUP BY ds HAVING count(*) >= 50) GROUP BY ds, {cols}),
+pq AS (SELECT a.ds, a.p, b.p AS o, sqrt({gap}) AS d, b.w - (a.p = b.p)::INT AS w FROM pt a JOIN pt b ON a.ds = b.ds
+  WHERE a.p <> b.p OR b.w > 1),
+cu AS (SELECT p, d, sum(w) OVER (PARTITION BY p ORDER BY d) AS c FROM pq),
+kd AS (SELECT p, min(d) AS kd FROM cu WHERE c >= {k} GROUP BY p),
+nb AS (SELECT pq.*, kd.kd FROM pq JOIN kd ON pq.p = kd.p WHERE d <= kd * (1 + 1e-9)),
+ld AS (SELECT nb.p, any_value(nb.kd) AS kd, sum(nb.w) AS n, 1 / (sum(nb.w * greatest(nb.d, kd.kd)) / sum(nb.w) + 1e-10) AS lrd
+  FROM nb JOIN kd ON nb.o = kd.p GROUP BY nb.p),
+lp AS (SELECT nb.p, any_value(ld.kd) AS kd, any_value(ld.n) AS n,
+  sum(nb.w * lo.lrd) / sum(nb.w) / any_value(ld.lrd) AS lof
+  FROM nb JOIN ld ON nb.p = ld.p JOIN ld lo ON nb.o = lo.p GROUP BY nb.p),
+lf AS (SELECT sx.ds, sx.id, lp.kd, lp.n, lp.lof FROM sx JOIN pt ON sx.ds = pt.ds
+  AND {' AND '.join(f'sx.{f} = pt.{f}' for f in feats)} JOIN lp ON pt.p = lp.p),
+lt AS (SELECT ds, quantile_cont(lof, 0.99) AS thr FROM lf GROUP BY ds)"""
+
+
+def lof_scores(fx: str) -> str:
+    inner = (f"SELECT {_named(fx).replace('ds =', 'lf.ds =')} AS Dataset, id, CAST(n AS BIGINT) AS Neighbours, kd AS K_Distance, "
+             "lof AS LOF, lof > thr * (1 + 1e-9) AS Is_Outlier FROM lf JOIN lt ON lf.ds = lt.ds")
+    return base(fx) + _lof(fx) + " " + SIGCOLS(["K_Distance", "LOF"], inner, ["Dataset", "id", "Neighbours", "Is_Outlier"])
+
+
+def lof_summary(fx: str) -> str:
+    inner = (f"SELECT {_named(fx).replace('ds =', 'lf.ds =')} AS Dataset, 'Multivariate' AS Analysis_Type, "
+             "'All' AS Feature_or_Method, 'LOF' AS Method, round_even(count(*) FILTER (WHERE lof > thr * (1 + 1e-9)) / count(*) "
+             "* 100, 2) AS Pct_Outliers FROM lf JOIN lt ON lf.ds = lt.ds GROUP BY lf.ds")
+    return base(fx) + _lof(fx) + " " + SIGCOLS(["Pct_Outliers"], inner,
+                                               ["Dataset", "Analysis_Type", "Feature_or_Method", "Method"])
