@@ -1,29 +1,28 @@
 """Correlation matrices (C1-C6): Pearson, Spearman, Kendall tau-b, high pairs.
 
 * Pearson: pairwise-complete Gram pass (``plans.gram``), p^2 output.
-* Spearman: values replaced by their average rank per (dataset, feature)
-  (two-level rank kernel, joined back on value), then the Pearson Gram pass.
-  Pairs touching a column with missing values are re-ranked on their
-  pairwise-complete rows, as ``DataFrame.corr`` does.
-* Kendall tau-b: exact, without an n^2 self-join.  Discordant pairs are
-  counted by bit levels of the y-rank: at level k, rows sharing the rank
-  prefix above bit k split into a "1" half (larger y) and a "0" half; a
-  discordant pair is a 1-row with strictly smaller x than a 0-row, counted
-  once at the highest differing bit.  Each level is a running count ordered
-  by x, computed by the same two-level rank kernel.
+* Spearman: pairs are ranked on their complete rows, as ``DataFrame.corr`` does.  Columns are grouped by which rows they miss
+  (``null_classes``); one pass over value counts, with a weight for each class, gives a value's rank
+  among the rows where that class is present, for all classes at once: the global count of lower rows less the missing ones among
+  them.  So a row has as many ranks a column as there are classes (one without nulls), and the Gram pass takes for each pair of
+  classes the ranks that each has under the other.
+* Kendall tau-b: exact, from inversions inside bounded buckets and between them (``plans.inversions``).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.gram import gram, pearson_from_gram
+from ..plans.gram import GRAM_SCHEMA, gram, pearson_from_gram
+from ..plans.inversions import ROWS, pair_counts
 from ..plans.rank import cumulate
 from ..plans.tables import Tables, ds_name
 
+GRAM_NAMES = ["ds", "i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
+
 
 def _wide(t: Tables, key: bool = False) -> DataFrame:
     p = t.p
@@ -62,110 +61,90 @@ def pearson_matrix(t: Tables) -> DataFrame:
     return _name_pairs(t, pearson_from_gram(g), "Pearson")
 
 
-def _null_features(t: Tables) -> dict:
-    """{ds: set of features with at least one NULL} (bounded collect)."""
-    out = {}
-    for d, df in ((1, t.p.d1), (2, t.p.d2)):
-        r = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in t.p.features]).first()
-        out[d] = {f for f in t.p.features if r[f] > 0}
-    return out
-
-
-def _rank_long(t: Tables, long: DataFrame, keys: list) -> DataFrame:
-    """Attach the average rank of ``value`` within ``keys`` to every long row."""
-    vc = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
-    rk = cumulate(vc, keys, "value", ["c"], t.spec.rank_buckets)
-    rk = rk.select(*keys, "value", (F.col("cum_c") - F.col("c") + (F.col("c") + 1) / 2.0).alias("rank"))
-    return long.join(rk, [*keys, "value"])
-
+def null_classes(t: Tables) -> list[list[int]]:
+    """Columns grouped by the rows that they miss, in both datasets: equal counts and two 64-bit checksums of the rows' keys."""
+    feats, marks = t.p.features, []
+    for df in (t.p.d1, t.p.d2):
+        allc = [F.col(c) for c in t.p.columns]
+        keys = [F.xxhash64(*allc), F.xxhash64(F.lit(1), *allc)]
+        aggs = [F.count_if(F.col(f).isNull()) for f in feats]
+        aggs += [F.bit_xor(F.when(F.col(f).isNull(), k)) for k in keys for f in feats]
+        r = list(df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first())
+        marks.append([tuple(r[i::len(feats)]) for i in range(len(feats))])
+    found: dict = {}
+    for i, mark in enumerate(zip(*marks, strict=True)):
+        found.setdefault(mark, []).append(i)
+    return list(found.values())
+
+
+def class_ranks(t: Tables, classes: list[list[int]]) -> DataFrame:
+    """(ds, ranks): per row p x k ranks, of each column's value among the rows where each class is present; NaN where there are none."""
+    feats, k = t.p.features, len(classes)
+    wide = _wide(t, key=True)
+    there = [F.col(feats[c[0]]).isNotNull().alias(f"_p{b}") for b, c in enumerate(classes)]
+    marked = wide.select("*", *there)
+    weights = [f"w{b}" for b in range(k)]
+    held = ["ds", "_rk", *[f"_p{b}" for b in range(k)]]
+    long = marked.unpivot(held, feats, "feature", "value").where(F.col("value").isNotNull())
+    vc = long.groupBy("ds", "feature", "value").agg(*[F.count_if(F.col(f"_p{b}")).alias(w) for b, w in enumerate(weights)])
+    rk = cumulate(vc, ["ds", "feature"], "value", weights, t.spec.rank_buckets)
+    rank = F.array(*[F.col(f"cum_{w}") - F.col(w) + (F.col(w) + 1) / 2.0 for w in weights])
+    ranked = long.join(rk.select("ds", "feature", "value", rank.alias("r")), ["ds", "feature", "value"])
+    rows = ranked.groupBy("ds", "_rk").pivot("feature", feats).agg(F.first("r"))
+    none = F.array_repeat(F.lit(float("nan")), k)
+    return rows.select("ds", F.flatten(F.array(*[F.coalesce(F.col(f), none) for f in feats])).alias("ranks"))
+
+
+def class_gram(ranks: DataFrame, p: int, classes: list[list[int]]) -> DataFrame:
+    """The moments of ``plans.gram`` for all pairs of columns, each ranked under the other's class."""
+    k = len(classes)
+    sides = [(a, b, np.array(classes[a]), np.array(classes[b])) for a in range(k) for b in range(a, k)]
+
+    def part(batches):
+        total: dict = {}
+        for batch in batches:
+            ds = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy().reshape(-1, p, k)
+            for d in np.unique(ds).tolist():
+                mine = x[ds == d]
+                for a, b, left, right in sides:
+                    u, v = mine[:, left, b], mine[:, right, a]
+                    mu, mv = (~np.isnan(u)).astype(float), (~np.isnan(v)).astype(float)
+                    u, v = np.where(mu > 0, u, 0), np.where(mv > 0, v, 0)
+                    sums = np.stack([mu.T @ mv, u.T @ mv, mu.T @ v, (u * u).T @ mv, mu.T @ (v * v), u.T @ v])
+                    total[d, a, b] = total.get((d, a, b), 0) + sums
+        out = []
+        for (d, a, b), sums in total.items():
+            for x, i in enumerate(classes[a]):
+                for y, j in enumerate(classes[b]):
+                    n, sx, sy, sxx, syy, sxy = sums[:, x, y].tolist()
+                    if a != b or i <= j:
+                        out.append((d, i, j, n, sx, sy, sxx, syy, sxy) if i <= j else (d, j, i, n, sy, sx, syy, sxx, sxy))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if m < 3 else pa.float64())
+                                              for m, c in enumerate(zip(*out, strict=True))], names=GRAM_NAMES)
+
+    parts = ranks.mapInArrow(part, GRAM_SCHEMA)
+    return parts.groupBy("ds", "i", "j").agg(*[F.sum(c).alias(c) for c in GRAM_NAMES[3:]])
 
-def _pairs_long(t: Tables, wide: DataFrame, pairs: dict) -> DataFrame:
-    """(ds, i, j, _rk, x, y) for the given {ds: [(i, j)]} pairs, both values present.
 
-    The wide rows are unpivoted once and joined to themselves on the row key
-    (unique after dedup, so no key is hot); the pair list is a broadcast
-    table of at most p(p+1)/2 rows per dataset.
-    """
-    feats = t.p.features
-    spark = t.p.d1.sparkSession
-    wanted = [(d, i, j) for d, plist in pairs.items() for i, j in plist]
-    if not wanted:
-        return None
-    idx = spark.createDataFrame(list(enumerate(feats)), "k int, feature string")
-    long = (wide.unpivot(["ds", "_rk"], feats, "feature", "value").where(F.col("value").isNotNull())
-            .join(F.broadcast(idx), "feature").select("ds", "_rk", "k", "value"))
-    a = long.select("ds", "_rk", F.col("k").alias("i"), F.col("value").alias("x"))
-    b = long.select("ds", "_rk", F.col("k").alias("j"), F.col("value").alias("y"))
-    pl = spark.createDataFrame(wanted, "ds int, i int, j int")
-    return (a.join(b, ["ds", "_rk"]).where(F.col("i") <= F.col("j"))
-            .join(F.broadcast(pl), ["ds", "i", "j"])
-            .select("ds", "i", "j", "_rk", "x", "y"))
+def spearman_matrix(t: Tables) -> DataFrame:
+    """Spearman rho per pair on its complete rows."""
+    classes = null_classes(t)
+    return _name_pairs(t, pearson_from_gram(class_gram(class_ranks(t, classes), len(t.p.features), classes)), "Spearman")
 
 
-def spearman_matrix(t: Tables) -> DataFrame:
-    """Spearman rho per pair; complete pairs via ranked columns + Gram."""
+def kendall_matrix(t: Tables, pairs: list | None = None, rows: int = ROWS) -> DataFrame:
+    """C4: exact Kendall tau-b for every pair (or the given (i, j) list, i <= j), pairwise complete."""
     feats = t.p.features
     p = len(feats)
-    wide = _wide(t, key=True).persist()
-    long = wide.unpivot(["ds", "_rk"], feats, "feature", "value").where(F.col("value").isNotNull())
-    lr = _rank_long(t, long, ["ds", "feature"])
-    ranks = lr.groupBy("ds", "_rk").pivot("feature", feats).agg(F.first("rank"))
-    g = gram(ranks, feats, shift=None, pairwise=True)
-    r_all = pearson_from_gram(g)
-    nulls = _null_features(t)
-    redo = {d: [(i, j) for i in range(p) for j in range(i, p) if feats[i] in nulls[d] or feats[j] in nulls[d]]
-            for d in (1, 2)}
-    pl = _pairs_long(t, wide, redo)
-    if pl is not None:
-        rx = _rank_long(t, pl.withColumnRenamed("x", "value"), ["ds", "i", "j"]).withColumnRenamed("rank", "rx") \
-            .withColumnRenamed("value", "x")
-        ry = _rank_long(t, rx.withColumnRenamed("y", "value"), ["ds", "i", "j"]).withColumnRenamed("rank", "ry")
-        v = ry.groupBy("ds", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.covar_pop("rx", "ry").alias("c"),
-                                           F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
-        r_pair = v.select("ds", "i", "j", "n", F.when((F.col("vx") > 0) & (F.col("vy") > 0) & (F.col("n") >= 2),
-                                                      F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).alias("r"))
-        spark = t.p.d1.sparkSession
-        redo_df = spark.createDataFrame([(d, i, j) for d, l in redo.items() for i, j in l], "ds int, i int, j int")
-        r_all = r_all.join(F.broadcast(redo_df), ["ds", "i", "j"], "left_anti").unionByName(r_pair)
-    return _name_pairs(t, r_all, "Spearman")
-
-
-def kendall_matrix(t: Tables, pairs: list | None = None) -> DataFrame:
-    """C4: exact Kendall tau-b for every pair (or the given (i, j) list), pairwise complete."""
-    feats = t.p.features
-    p = len(feats)
-    plist = pairs if pairs is not None else [(i, j) for i in range(p) for j in range(i, p)]
-    wide = _wide(t, key=True)
-    pl = _pairs_long(t, wide, {1: plist, 2: plist}).persist()
-    keys = ["ds", "i", "j"]
-    # dense 0-based rank of y within each pair (distinct y values ranked by the kernel)
-    yv = pl.select(*keys, F.col("y").alias("value")).distinct().withColumn("one", F.lit(1))
-    yr = cumulate(yv, keys, "value", ["one"], t.spec.rank_buckets)
-    yr = yr.select(*keys, F.col("value").alias("y"), (F.col("cum_one") - 1).alias("ry"),
-                   F.col("tot_one").alias("ny"))
-    rows = pl.join(yr, [*keys, "y"])
-    bits = F.greatest(F.lit(1), F.ceil(F.log2(F.col("ny").cast("double")))).cast("int")
-    lv = rows.withColumn("k", F.explode(F.sequence(F.lit(0), bits - 1)))
-    lv = lv.withColumn("prefix", F.expr("shiftright(ry, k + 1)")) \
-           .withColumn("bit", F.expr("shiftright(ry, k) & 1"))
-    lkeys = [*keys, "k", "prefix"]
-    xc = lv.groupBy(*lkeys, F.col("x").alias("value")).agg(F.count_if(F.col("bit") == 1).alias("ones"),
-                                                           F.count_if(F.col("bit") == 0).alias("zeros"))
-    xr = cumulate(xc, lkeys, "value", ["ones"], t.spec.rank_buckets)
-    disc = xr.groupBy(*keys).agg(F.sum(F.col("zeros") * (F.col("cum_ones") - F.col("ones"))).alias("D"))
-    # tie terms: pairs tied in x, in y, in both
-    tx = pl.groupBy(*keys, "x").count().groupBy(*keys).agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("n1"))
-    ty = pl.groupBy(*keys, "y").count().groupBy(*keys).agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("n2"))
-    txy = pl.groupBy(*keys, "x", "y").count().groupBy(*keys).agg(
-        F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("n3"))
-    nn = pl.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    j = nn.join(tx, keys).join(ty, keys).join(txy, keys).join(disc, keys, "left")
+    wanted = list(pairs) if pairs is not None else [(i, j) for i in range(p) for j in range(i, p)]
+    c = pair_counts(_wide(t, key=True), feats, wanted, rows)
     n0 = F.col("n") * (F.col("n") - 1) / 2
-    dd = F.coalesce(F.col("D"), F.lit(0))
-    conc = n0 - dd - F.col("n1") - F.col("n2") + F.col("n3")
-    den = (n0 - F.col("n1")) * (n0 - F.col("n2"))
-    tau = F.when((F.col("n") >= 2) & (den > 0), (conc - dd) / F.sqrt(den))
-    return _name_pairs(t, j.select("ds", "i", "j", tau.alias("r")), "Kendall")
+    conc = n0 - F.col("disc") - F.col("ti") - F.col("tj") + F.col("tij")
+    den = F.sqrt(n0 - F.col("ti")) * F.sqrt(n0 - F.col("tj"))
+    tau = F.when((F.col("n") >= 2) & (n0 > F.col("ti")) & (n0 > F.col("tj")), (conc - F.col("disc")) / den)
+    return _name_pairs(t, c.select("ds", "i", "j", tau.alias("r")), "Kendall")
 
 
 def correlation_matrices(t: Tables, kendall: bool = True) -> DataFrame:

@@ -2,9 +2,11 @@
 
 VIF without intercept (uncentred R^2) on median-imputed columns equals
 G_ii * (G^-1)_ii for the uncentred Gram matrix G = X'X, so the data pass is
-one Gram scan; the p x p algebra runs on the driver (p^2 numbers).  A column
-lying in the span of the others (rank test on the scaled Gram matrix) has an
-infinite VIF, reported as 9999 with ``VIF_Is_Infinite``.
+one Gram scan; the p x p algebra runs on the driver (p^2 numbers, O(p^3)).  One pivoted Cholesky
+factorisation of the scaled matrix finds a largest set of independent columns; each column left over is a
+combination of them, and these combinations span the null space.  Columns that take part in one lie in the span of the
+others: an infinite VIF, reported as 9999 with ``VIF_Is_Infinite``.  The others' VIFs are the diagonal of the inverse of the
+independent block, which a left-over column without them does not change.
 """
 
 from __future__ import annotations
@@ -41,27 +43,41 @@ def feature_flags(t: Tables) -> DataFrame:
     return j.select("ds", "feature", const.alias("is_constant"), near.alias("is_near_constant"))
 
 
-def _vif_numpy(g: np.ndarray) -> tuple:
-    """(vif, infinite) for every column of the uncentred Gram matrix ``g``."""
-    p = g.shape[0]
+def pivoted_cholesky(s: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """(L, order): ``s[order][:, order]`` is L L' up to residuals of at most ``tol``; L has a column per pivot."""
+    rest, order = s.astype(float).copy(), np.arange(len(s))
+    columns = []
+    for k in range(len(s)):
+        left = order[k:]
+        best = k + int(np.argmax(np.diag(rest)[left]))
+        order[[k, best]] = order[[best, k]]
+        pivot = rest[order[k], order[k]]
+        if pivot <= tol:
+            break
+        column = rest[:, order[k]] / np.sqrt(pivot)
+        column[order[:k]] = 0.0
+        columns.append(column)
+        rest -= np.outer(column, column)
+    found = np.array(columns).T.reshape(len(s), -1)
+    return found[order], order
+
+
+def vif_of_gram(g: np.ndarray, tol: float = 1e-10, part: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(vif, infinite) for every column of the uncentred Gram matrix ``g``.  ``tol``: share of a column's square that the others must
+    leave for it to count as independent; ``part``: least weight in a combination of unit columns."""
     d = np.sqrt(np.clip(np.diag(g), 1e-300, None))
-    s = g / np.outer(d, d)                       # scaled: unit diagonal
-    tol = 1e-10
-    full = np.linalg.matrix_rank(s, tol=tol)
-    vif = np.empty(p)
-    inf = np.zeros(p, dtype=bool)
-    for i in range(p):
-        rest = [k for k in range(p) if k != i]
-        sr = s[np.ix_(rest, rest)]
-        if np.linalg.matrix_rank(sr, tol=tol) == full:
-            inf[i] = True
-            vif[i] = np.inf
-            continue
-        b = s[rest, i]
-        r2 = float(b @ np.linalg.pinv(sr, rcond=1e-12) @ b)   # uncentred R^2 (s_ii = 1)
-        vif[i] = 1.0 / (1.0 - r2) if r2 < 1.0 else np.inf
-        inf[i] = not np.isfinite(vif[i])
-    return vif, inf
+    low, order = pivoted_cholesky(g / np.outer(d, d), tol)
+    r = low.shape[1]
+    free, bound = order[:r], order[r:]
+    inverse = np.linalg.inv(low[:r])  # lower triangular
+    infinite = np.zeros(len(g), bool)
+    infinite[bound] = True
+    if len(bound):
+        weights = inverse.T @ low[r:].T  # of the independent columns in each one left over
+        infinite[free] = (np.abs(weights) > part).any(axis=1)
+    vif = np.full(len(g), np.inf)
+    vif[free] = (inverse * inverse).sum(axis=0)
+    return np.where(infinite, np.inf, vif), infinite
 
 
 def vif(t: Tables) -> DataFrame:
@@ -78,7 +94,7 @@ def vif(t: Tables) -> DataFrame:
                             *[F.coalesce(F.col(f).cast("double"), F.lit(med.get((d, f)))).alias(f) for f in cols])
         rows = gram(imputed, cols, shift=None, pairwise=False).collect()
         g = gram_matrix(rows, len(cols))[d]
-        v, inf = _vif_numpy(g)
+        v, inf = vif_of_gram(g)
         out += [(d, f, float(x) if np.isfinite(x) else None, bool(b)) for f, x, b in zip(cols, v, inf)]
     return spark.createDataFrame(out, "ds int, feature string, vif double, vif_is_infinite boolean")
 

@@ -82,17 +82,19 @@ def _register_all():
     for fx in ("f2", "f3", "f1", "f7"):
         register(f"pearson_matrix_{fx}", fx, correlation.pearson_matrix, O.pearson_matrix)
         register(f"spearman_matrix_{fx}", fx, correlation.spearman_matrix, O.spearman_matrix)
-    for fx in ("f2", "f3"):
+    for fx in ("f2", "f3", "f7"):
         register(f"kendall_matrix_{fx}", fx, correlation.kendall_matrix, O.kendall_matrix)
-    register("kendall_matrix_f7", "f7", correlation.kendall_matrix)
     register("high_correlation_pairs_f7", "f7", correlation.high_correlation_pairs)
     register("high_correlation_pairs_f2", "f2", correlation.high_correlation_pairs, O.high_correlation_pairs)
+    register("high_correlation_pairs_f10", "f10", lambda t: correlation.high_correlation_pairs(
+        t, correlation.pearson_matrix(t).unionByName(correlation.spearman_matrix(t))),
+        lambda fx: O.high_correlation_pairs(fx, (O.pearson_matrix, O.spearman_matrix)))
     for fx in ("f1", "f2", "f9"):
         register(f"redundancy_flags_{fx}", fx, redundancy.redundancy_flags, O.redundancy_flags)
     register("vif_f3", "f3", lambda t: redundancy.vif(t).select(
         ds_name(t.spec).alias("Dataset"), F.col("feature").alias("Feature"), F.col("vif").alias("VIF")), O.vif_two)
-    for fx in ("f1", "f7", "f9"):
-        register(f"redundancy_report_{fx}", fx, redundancy.redundancy_report)
+    for fx in ("f1", "f7", "f9", "f10"):
+        register(f"redundancy_report_{fx}", fx, redundancy.redundancy_report, O.redundancy_report)
     for fx in ("f1", "f2", "f8", "f9"):
         register(f"quality_score_{fx}", fx, quality.quality_score, O.quality_score)
     for fx in ("f1", "f9"):

@@ -1,4 +1,4 @@
-"""Feature-table pairs derived from the test tables (FIXTURES.md F1-F9).
+"""Feature-table pairs derived from the test tables (FIXTURES.md F1-F10).
 
 Each fixture returns ``(d1, d2, spec)`` — two wide tables and the run
 parameters — built with DataFrame operations over the parquet tables, so the
@@ -114,10 +114,27 @@ def f9(spark, sf_dir):
     return d1, d2, RunSpec(id_col="id", rank_buckets=7, dataset1_name="F", dataset2_name="O", mode=COMPARISON)
 
 
-FIXTURES = {"f1": f1, "f2": f2, "f3": f3, "f4": f4, "f5": f5, "f6": f6, "f7": f7, "f8": f8, "f9": f9}
+def f10(spark, sf_dir):
+    """Collinear columns: quantity, three noisy copies (r above 0.9, 0.95 and 0.99), and the sum of two of them."""
+    li = _t(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("double")
+    near, mid = q + 60.0 * F.col("l_discount").cast("double"), q + 120.0 * F.col("l_tax").cast("double")
+    cols = [F.col("l_orderkey").alias("id"), q.alias("qty"), near.alias("qty_near"), mid.alias("qty_mid"),
+            (q + 2.5 * F.col("l_linenumber")).alias("qty_far"), (near + mid).alias("blend")]
+    d1 = li.where(F.col("l_linestatus") == "F").select(*cols)
+    d2 = li.where(F.col("l_linestatus") == "O").select(*cols)
+    return d1, d2, RunSpec(id_col="id", rank_buckets=7, dataset1_name="F", dataset2_name="O", mode=COMPARISON)
+
+
+FIXTURES = {"f1": f1, "f2": f2, "f3": f3, "f4": f4, "f5": f5, "f6": f6, "f7": f7, "f8": f8, "f9": f9, "f10": f10}
 
 _LINE = ", ".join(LINE_FEATURES)
 _EMB = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {f}" for i, f in enumerate(EMB_FEATURES))
+_COPIES = ("CAST(l_quantity AS DOUBLE) AS qty, CAST(l_quantity AS DOUBLE) + 60.0::DOUBLE * CAST(l_discount AS DOUBLE) AS qty_near, "
+           "CAST(l_quantity AS DOUBLE) + 120.0::DOUBLE * CAST(l_tax AS DOUBLE) AS qty_mid, "
+           "CAST(l_quantity AS DOUBLE) + 2.5::DOUBLE * l_linenumber AS qty_far, "
+           "(CAST(l_quantity AS DOUBLE) + 60.0::DOUBLE * CAST(l_discount AS DOUBLE)) + "
+           "(CAST(l_quantity AS DOUBLE) + 120.0::DOUBLE * CAST(l_tax AS DOUBLE)) AS blend")
 _NEAR = "CASE WHEN l_quantity >= 49 AND l_discount >= 0.09 THEN l_quantity ELSE 0.0 END"
 
 # DuckDB definitions of the same pairs: (d1 select, d2 select)
@@ -147,6 +164,7 @@ FIXTURE_SQL = {
            f"SELECT l_orderkey AS id, {_LINE}, 1.0::DOUBLE AS k_const, NULL::DOUBLE AS k_null, "
            f"({_NEAR})::DOUBLE AS k_near FROM lineitem WHERE l_linestatus = 'O'"),
 }
+FIXTURE_SQL["f10"] = tuple(f"SELECT l_orderkey AS id, {_COPIES} FROM lineitem WHERE l_linestatus = '{s}'" for s in "FO")
 
 # numeric features of each fixture after the overlap projection (sorted)
 FIXTURE_FEATURES = {
@@ -159,4 +177,5 @@ FIXTURE_FEATURES = {
     "f7": EMB_FEATURES,
     "f8": ["value"],
     "f9": sorted(LINE_FEATURES + ["k_const", "k_null", "k_near"]),
+    "f10": sorted(["qty", "qty_near", "qty_mid", "qty_far", "blend"]),
 }

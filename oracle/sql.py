@@ -130,7 +130,7 @@ qc AS (SELECT feature, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN co
 # ----------------------------------------------------------------- profiles
 FIXTURE_NAMES = {"f1": ("F", "O"), "f2": ("en", "other"), "f3": ("customer", "supplier"),
                  "f4": ("orders", "lines"), "f5": ("exact", "rounded"), "f6": ("stored", "measured"),
-                 "f7": ("low", "high"), "f8": ("view", "purchase"), "f9": ("F", "O")}
+                 "f7": ("low", "high"), "f8": ("view", "purchase"), "f9": ("F", "O"), "f10": ("F", "O")}
 FIXTURE_STRINGS = {"f3": {"name"}}
 FIXTURE_PAIRED = {"f4", "f5", "f6"}
 
@@ -425,7 +425,21 @@ def _pair_rows(fx: str) -> str:
     return f",\npr AS ({' UNION ALL '.join(parts)})"
 
 
+#: Fixtures with missing values: their pairs are ranked one by one, the others' columns once.
+WITH_NULLS = {"f2", "f9"}
+
+
 def spearman_matrix(fx: str) -> str:
+    order = ["Dataset", "Method", "Feature_1", "Feature_2"]
+    if fx not in WITH_NULLS:
+        feats, parts = FIXTURE_FEATURES[fx], []
+        for d in (1, 2):
+            ranks = ", ".join(f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS {f}" for f in feats)
+            items = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': {_corr_expr(a, b)}}}" for a, b in _pair_list(fx))
+            parts.append(f"SELECT {d} AS ds, unnest([{items}], recursive := true) FROM (SELECT {ranks} FROM d{d})")
+        inner = (f"SELECT {_named(fx)} AS Dataset, 'Spearman' AS Method, a AS Feature_1, b AS Feature_2, r AS Correlation "
+                 f"FROM ({' UNION ALL '.join(parts)})")
+        return base(fx) + " " + SIGCOLS(["Correlation"], inner, order)
     ctes = _pair_rows(fx) + """,
 rr AS (SELECT ds, fa, fb,
   rank() OVER (PARTITION BY ds, fa, fb ORDER BY x) + (count(*) OVER (PARTITION BY ds, fa, fb, x) - 1) / 2.0 AS rx,
@@ -433,10 +447,24 @@ rr AS (SELECT ds, fa, fb,
   FROM pr)"""
     inner = (f"SELECT {_named(fx)} AS Dataset, 'Spearman' AS Method, fa AS Feature_1, fb AS Feature_2, "
              f"{_corr_expr('rx', 'ry')} AS Correlation FROM rr GROUP BY ds, fa, fb")
-    return base(fx) + ctes + " " + SIGCOLS(["Correlation"], inner, ["Dataset", "Method", "Feature_1", "Feature_2"])
+    return base(fx) + ctes + " " + SIGCOLS(["Correlation"], inner, order)
 
 
 def kendall_matrix(fx: str) -> str:
+    order = ["Dataset", "Method", "Feature_1", "Feature_2"]
+    if fx not in WITH_NULLS:  # one self-join of the rows for all pairs of columns
+        feats, parts = FIXTURE_FEATURES[fx], []
+        for d in (1, 2):
+            ties = {f: f"sum(CAST(a.{f} <> b.{f} AS BIGINT))" for f in feats}
+            items = ", ".join(
+                f"{{'a': '{x}', 'b': '{y}', 's': CAST(sum(sign(a.{x} - b.{x}) * sign(a.{y} - b.{y})) AS DOUBLE), "
+                f"'x': CAST({ties[x]} AS DOUBLE), 'y': CAST({ties[y]} AS DOUBLE)}}" for x, y in _pair_list(fx))
+            parts.append(f"SELECT {d} AS ds, unnest([{items}], recursive := true) FROM n{d} a JOIN n{d} b ON a.rid < b.rid")
+        cols = ", ".join(feats)
+        rows = ", ".join(f"n{d} AS (SELECT {cols}, row_number() OVER () AS rid FROM d{d})" for d in (1, 2))
+        inner = (f"SELECT {_named(fx)} AS Dataset, 'Kendall' AS Method, a AS Feature_1, b AS Feature_2, "
+                 f"CASE WHEN x * y > 0 THEN s / sqrt(x * y) END AS Correlation FROM ({' UNION ALL '.join(parts)})")
+        return base(fx) + f", {rows} " + SIGCOLS(["Correlation"], inner, order)
     ctes = _pair_rows(fx) + """,
 pn AS (SELECT *, row_number() OVER (PARTITION BY ds, fa, fb ORDER BY x, y) AS rid FROM pr),
 s AS (SELECT a.ds, a.fa, a.fb, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS cd,
@@ -445,19 +473,19 @@ s AS (SELECT a.ds, a.fa, a.fb, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS cd,
     inner = (f"SELECT {_named(fx)} AS Dataset, 'Kendall' AS Method, fa AS Feature_1, fb AS Feature_2, "
              "CASE WHEN (n0 - tx) * (n0 - ty) > 0 THEN cd / sqrt(CAST((n0 - tx) AS DOUBLE) * (n0 - ty)) END "
              "AS Correlation FROM s")
-    return base(fx) + ctes + " " + SIGCOLS(["Correlation"], inner, ["Dataset", "Method", "Feature_1", "Feature_2"])
+    return base(fx) + ctes + " " + SIGCOLS(["Correlation"], inner, order)
 
 
-def high_correlation_pairs(fx: str) -> str:
-    """C5 over the three matrices of the fixture."""
+def high_correlation_pairs(fx: str, builders: tuple = (pearson_matrix, spearman_matrix, kendall_matrix)) -> str:
+    """C5 over the matrices of the fixture."""
     mats = []
-    for builder in (pearson_matrix, spearman_matrix, kendall_matrix):
+    for builder in builders:
         mats.append(builder(fx))
     # each matrix statement is self-contained; wrap them as subqueries
     parts = [f"SELECT * FROM ({m})" for m in mats]
     return ("SELECT Dataset, Method, '> ' || CAST(t AS VARCHAR) AS Threshold, Feature_2 AS Feature_1, "
             "Feature_1 AS Feature_2, Correlation FROM (" + " UNION ALL ".join(parts) + ") m, "
-            "(SELECT unnest([0.9, 0.95, 0.99]) AS t) th "
+            "(SELECT unnest([0.9, 0.95, 0.99]::DOUBLE[]) AS t) th "
             "WHERE Feature_1 <> Feature_2 AND Correlation IS NOT NULL AND abs(Correlation) > t")
 
 
@@ -857,3 +885,45 @@ def lof_summary(fx: str) -> str:
              "* 100, 2) AS Pct_Outliers FROM lf JOIN lt ON lf.ds = lt.ds GROUP BY lf.ds")
     return base(fx) + _lof(fx) + " " + SIGCOLS(["Pct_Outliers"], inner,
                                                ["Dataset", "Analysis_Type", "Feature_or_Method", "Method"])
+
+
+#: Columns with a finite VIF, and an independent set that holds them (elsewhere all columns that are not constant).
+INDEPENDENT = {"f9": ["k_near", "l_discount", "l_extendedprice", "l_quantity", "l_tax"],
+               "f10": ["qty", "qty_far", "qty_mid", "qty_near"]}
+INFINITE = {"f10": ["blend", "qty_mid", "qty_near"]}
+
+
+def _vif(fx: str) -> str:
+    """Uncentred VIFs by sweeping the Gram matrix of the median-imputed independent columns: (ds, feature, vif)."""
+    feats = INDEPENDENT.get(fx, FIXTURE_FEATURES[fx])
+    p, parts = len(feats), []
+    for k in (1, 2):
+        med = ", ".join(f"quantile_cont({f}, 0.5) AS m_{f}" for f in feats)
+        imp = ", ".join(f"coalesce(CAST({f} AS DOUBLE), m_{f}) AS {f}" for f in feats)
+        gram = ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in feats) + "]" for a in feats)
+        parts.append(f"SELECT {k} AS ds, 1 AS k, [{gram}] AS m FROM (SELECT {imp} FROM d{k}, (SELECT {med} FROM d{k}))")
+    names = ", ".join(f"'{f}'" for f in feats)
+    return f""",
+g0 AS ({' UNION ALL '.join(parts)}),
+sw AS (SELECT * FROM g0 UNION ALL
+  SELECT ds, k + 1, list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {p + 1}), lambda j:
+    CASE WHEN i = k AND j = k THEN -1 / m[k][k] WHEN i = k OR j = k THEN m[i][j] / m[k][k]
+    ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END)) FROM sw WHERE k <= {p}),
+vf AS (SELECT sw.ds, unnest([{names}]) AS feature, unnest(list_transform(range(1, {p + 1}), lambda i: -sw.m[i][i] * g0.m[i][i])) AS vif
+  FROM sw JOIN g0 ON sw.ds = g0.ds WHERE sw.k = {p + 1})"""
+
+
+def redundancy_report(fx: str) -> str:
+    """R4 with VIFs of all columns: infinite ones are known by construction of the fixture."""
+    inf = ", ".join(f"'{f}'" for f in INFINITE.get(fx, [""]))
+    flags = f"SELECT 1 AS ds, * FROM ({_flags_sql(fx, 'd1')}) UNION ALL SELECT 2 AS ds, * FROM ({_flags_sql(fx, 'd2')})"
+    inner = (f"SELECT f.feature AS Feature, CASE WHEN is_constant THEN NULL WHEN f.feature IN ({inf}) THEN 9999.0 ELSE v.vif END AS VIF, "
+             f"CASE WHEN NOT is_constant THEN f.feature IN ({inf}) END AS VIF_Is_Infinite, "
+             f"{_named(fx).replace('ds =', 'f.ds =')} AS Dataset, is_constant AS Is_Constant, is_near_constant AS Is_Near_Constant "
+             f"FROM ({flags}) f LEFT JOIN vf v ON f.ds = v.ds AND f.feature = v.feature")
+    rec = ("CASE WHEN Is_Constant THEN 'Remove (Constant)' WHEN Is_Near_Constant THEN 'Review for Removal (Near Constant)' "
+           "WHEN VIF > 10.0 THEN 'Review for Removal (High VIF)' ELSE 'Keep' END AS Recommendation")
+    # the sweep is recursive, so the whole statement is
+    return base(fx).replace("WITH ", "WITH RECURSIVE ", 1) + _vif(fx) + " " + SIGCOLS(
+        ["VIF"], f"SELECT *, {rec} FROM ({inner})",
+        ["Feature", "VIF_Is_Infinite", "Dataset", "Is_Constant", "Is_Near_Constant", "Recommendation"])
