@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import corr_from_parts, corr_parts
 from ..functions.special import kolmogorov_sf_udf, norm_sf_udf
-from ..plans.shape import numpy_bin
+from ..plans.rank import local
 from ..plans.tables import QGRID, Tables
 
 
@@ -28,29 +28,21 @@ def _by_ds(df: DataFrame, cols: list) -> DataFrame:
 
 
 def feature_stats(t: Tables, with_grid: bool = False) -> DataFrame:
-    """One aggregate per feature with both datasets side by side.
+    """One row per feature with both datasets side by side, from the shared moments and quantiles.
 
     (feature, n1, n2, mean1, mean2, var_samp1, var_samp2, lo, hi, median1,
-    median2[, grid1, grid2]) where grid = the 100 quantiles 0.01..0.99.  On
-    bounded inputs the exact percentiles ride in the same aggregate;
-    otherwise they come from the two-level rank path.
+    median2[, grid1, grid2]) where grid = the 100 quantiles 0.01..0.99.
     """
-    v = F.col("value")
-    x1, x2 = F.when(F.col("ds") == 1, v), F.when(F.col("ds") == 2, v)
-    aggs = [F.count(x1).alias("n1"), F.count(x2).alias("n2"), F.avg(x1).alias("mean1"), F.avg(x2).alias("mean2"),
-            F.var_samp(x1).alias("var_samp1"), F.var_samp(x2).alias("var_samp2"),
-            F.min(v).alias("lo"), F.max(v).alias("hi")]
-    a = t.long.groupBy("feature").agg(*aggs)
-    q = t.quantiles([0.5] + (QGRID if with_grid else []))
-    med = [F.max(F.when((F.col("ds") == d) & (F.abs(F.col("q") - 0.5) < 1e-12), F.col("quantile"))).alias(f"median{d}")
-           for d in (1, 2)]
-    grid = []
-    if with_grid:
-        in_grid = F.exists(F.array(*[F.lit(x) for x in QGRID]), lambda g: F.abs(g - F.col("q")) < 1e-12)
-        grid = [F.transform(F.array_sort(F.collect_list(F.when((F.col("ds") == d) & in_grid, F.struct("q", "quantile")))),
-                            lambda s: s["quantile"]).alias(f"grid{d}") for d in (1, 2)]
-    qa = q.groupBy("feature").agg(*med, *grid)
-    return a.join(F.broadcast(qa), "feature", "left")
+    m = _by_ds(t.moments.join(F.broadcast(t.percentiles.select("ds", "feature", F.col("p50").alias("median"))), ["ds", "feature"]),
+               ["n", "mean", "var_samp", "min", "max", "median"])
+    a = m.select("feature", *[F.coalesce(f"n{d}", F.lit(0)).alias(f"n{d}") for d in (1, 2)], "mean1", "mean2", "var_samp1",
+                 "var_samp2", F.least("min1", "min2").alias("lo"), F.greatest("max1", "max2").alias("hi"), "median1", "median2")
+    if not with_grid:
+        return a
+    at = F.struct("q", "quantile")
+    grid = [F.transform(F.array_sort(F.collect_list(F.when(F.col("ds") == d, at))), lambda s: s["quantile"]).alias(f"grid{d}")
+            for d in (1, 2)]
+    return a.join(F.broadcast(t.quantiles(QGRID).groupBy("feature").agg(*grid)), "feature", "left")
 
 
 def sample_stats(t: Tables, with_grid: bool = False) -> DataFrame:
@@ -66,21 +58,7 @@ def _cohen(s: DataFrame) -> DataFrame:
     return s.withColumn("cohen_d", d)
 
 
-def ks_mw(t: Tables) -> DataFrame:
-    """T3 KS statistic, T5 Mann-Whitney U1 (average ranks) and the tie term sum(t^3-t)."""
-    r = t.rk
-    n = F.col("n1") + F.col("n2")
-    below = F.col("cum_n1") + F.col("cum_n2") - n
-    avg_rank = below + (n + 1) / 2.0
-    f1 = F.col("cum_n1") / F.col("tot_n1")
-    f2 = F.col("cum_n2") / F.col("tot_n2")
-    return r.groupBy("feature").agg(
-        F.max(F.abs(f1 - f2)).alias("ks"),
-        F.sum(F.col("n1") * avg_rank).alias("r1"),
-        F.sum(n.cast("double") * n * n - n).alias("tie"))
-
-
-def hist_metrics(t: Tables, stats: DataFrame) -> DataFrame:
+def hist_metrics(t: Tables) -> DataFrame:
     """T8 overlap coefficient and T9 Jensen-Shannon divergence per feature.
 
     Bins as numpy: densities c / width / n, areas density * (hi-lo)/bins;
@@ -88,30 +66,11 @@ def hist_metrics(t: Tables, stats: DataFrame) -> DataFrame:
     per-feature bin list is bounded by the bin count, so the final step is
     array algebra on one row per feature.
     """
-    eps = 1e-10
-    bins = t.spec.thresholds.histogram_bins
-    rng = stats.select("feature", "lo", "hi", F.col("n1").alias("N1"), F.col("n2").alias("N2")) \
-               .where(F.col("lo") < F.col("hi"))
-    counts = (t.long.join(F.broadcast(rng.select("feature", "lo", "hi")), "feature")
-              .groupBy("feature", numpy_bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-              .agg(F.count_if(F.col("ds") == 1).alias("c1"), F.count_if(F.col("ds") == 2).alias("c2")))
-    per = counts.groupBy("feature").agg(F.map_from_entries(F.collect_list(
-        F.struct("bin", F.struct("c1", "c2")))).alias("_m"))
-    g = rng.join(F.broadcast(per), "feature", "left")
-    step = (F.col("hi") - F.col("lo")) / bins
-    grid = F.sequence(F.lit(0), F.lit(bins - 1))
-
-    def cell(b):
-        e = F.element_at(F.col("_m"), b)
-        c1 = F.coalesce(e["c1"], F.lit(0)).cast("double")
-        c2 = F.coalesce(e["c2"], F.lit(0)).cast("double")
-        left = b * step + F.col("lo")
-        right = F.when(b == bins - 1, F.col("hi")).otherwise((b + 1) * step + F.col("lo"))
-        w = right - left
-        d1, d2 = c1 / w / F.col("N1"), c2 / w / F.col("N2")
-        return F.struct((d1 * step).alias("a1"), (d2 * step).alias("a2"), (d1 + eps).alias("e1"), (d2 + eps).alias("e2"))
-
-    cells = g.select("feature", F.transform(grid, cell).alias("_c"))
+    eps, n1, n2 = 1e-10, F.col("N1"), F.col("N2")
+    d1, d2 = F.col("c1") / F.col("width") / n1, F.col("c2") / F.col("width") / n2
+    cell = F.struct("bin", (d1 * F.col("step")).alias("a1"), (d2 * F.col("step")).alias("a2"), (d1 + eps).alias("e1"),
+                    (d2 + eps).alias("e2"))
+    cells = t.hist.groupBy("feature").agg(F.array_sort(F.collect_list(cell)).alias("_c"))
     s1 = F.aggregate(F.col("_c"), F.lit(0.0), lambda acc, x: acc + x["e1"])
     s2 = F.aggregate(F.col("_c"), F.lit(0.0), lambda acc, x: acc + x["e2"])
     tot = cells.select("feature", "_c", s1.alias("s1"), s2.alias("s2"))
@@ -139,8 +98,9 @@ def quantile_correlation(t: Tables, stats: DataFrame | None = None) -> DataFrame
 
 
 def _core(t: Tables, with_grid: bool = False) -> DataFrame:
-    s = _cohen(sample_stats(t, with_grid)).persist()
-    out = s.join(F.broadcast(ks_mw(t)), "feature").join(F.broadcast(hist_metrics(t, s)), "feature", "left")
+    # one row per feature each
+    s = local(_cohen(sample_stats(t, with_grid)))
+    out = s.join(F.broadcast(t.ks_mw), "feature").join(F.broadcast(hist_metrics(t)), "feature", "left")
     flat = F.col("lo") == F.col("hi")
     return (out.withColumn("overlap", F.when(flat, 1.0).otherwise(F.coalesce("overlap", F.lit(0.0))))
                .withColumn("jsd", F.when(flat, 0.0).otherwise(F.col("jsd")))

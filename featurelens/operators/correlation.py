@@ -82,12 +82,12 @@ def class_ranks(t: Tables, classes: list[list[int]]) -> DataFrame:
     feats, k = t.p.features, len(classes)
     wide = _wide(t, key=True)
     there = [F.col(feats[c[0]]).isNotNull().alias(f"_p{b}") for b, c in enumerate(classes)]
-    marked = wide.select("*", *there)
+    marked = t.hold(wide.select("*", *there))
     weights = [f"w{b}" for b in range(k)]
     held = ["ds", "_rk", *[f"_p{b}" for b in range(k)]]
     long = marked.unpivot(held, feats, "feature", "value").where(F.col("value").isNotNull())
     vc = long.groupBy("ds", "feature", "value").agg(*[F.count_if(F.col(f"_p{b}")).alias(w) for b, w in enumerate(weights)])
-    rk = cumulate(vc, ["ds", "feature"], "value", weights, t.spec.rank_buckets)
+    rk = cumulate(t.hold(vc), ["ds", "feature"], "value", weights, t.spec.rank_buckets)
     rank = F.array(*[F.col(f"cum_{w}") - F.col(w) + (F.col(w) + 1) / 2.0 for w in weights])
     ranked = long.join(rk.select("ds", "feature", "value", rank.alias("r")), ["ds", "feature", "value"])
     rows = ranked.groupBy("ds", "_rk").pivot("feature", feats).agg(F.first("r"))

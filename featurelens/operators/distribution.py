@@ -11,33 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.rank import group_quantiles
 from ..plans.shape import unpivot
 from ..plans.tables import PCTS, Tables, ds_name
 
 
-def mad(t: Tables) -> DataFrame:
-    """Unscaled median absolute deviation per (ds, feature), exact.
-
-    Deviations are formed on the value counts (not rows) and merged per
-    (ds, feature, |value - median|) before the weighted median.
-    """
-    med = t.percentiles.select("ds", "feature", F.col("p50").alias("_med"))
-    vc = t.vc
-    d1 = vc.where(F.col("n1") > 0).select("feature", "value", F.col("n1").alias("n"), F.lit(1).alias("ds"))
-    d2 = vc.where(F.col("n2") > 0).select("feature", "value", F.col("n2").alias("n"), F.lit(2).alias("ds"))
-    dev = (d1.unionByName(d2).join(F.broadcast(med), ["ds", "feature"])
-           .select("ds", "feature", F.abs(F.col("value") - F.col("_med")).alias("dev"), "n")
-           .groupBy("ds", "feature", "dev").agg(F.sum("n").alias("n")))
-    q = group_quantiles(dev, ["ds", "feature"], "dev", ["n"], [0.5], t.spec.rank_buckets)
-    return q.select("ds", "feature", F.col("quantile").alias("mad"))
-
-
 def distribution_stats(t: Tables) -> DataFrame:
     """18 statistics per dataset and feature (population moments, numpy percentiles)."""
     m = t.moments
     p = t.percentiles
-    out = m.join(p, ["ds", "feature"]).join(mad(t), ["ds", "feature"], "left")
+    out = m.join(p, ["ds", "feature"]).join(t.mad, ["ds", "feature"], "left")
     return out.select(
         ds_name(t.spec).alias("Dataset"), F.col("feature").alias("Feature"),
         F.col("mean").alias("Mean"), F.col("p50").alias("Median"), F.col("sd_pop").alias("SD"),

@@ -50,6 +50,7 @@ def lof_points(t: Tables, x: DataFrame | None = None, k: int = NEIGHBOURS, cell:
 
 def _flagged(t: Tables, points: DataFrame) -> DataFrame:
     """Points with ``is_outlier``: above the linear (1 - contamination) quantile over all rows (to nine digits)."""
+    points = t.hold(points)
     counts = points.groupBy("ds", "lof").agg(F.sum("w").alias("n"))
     thr = group_quantiles(counts, ["ds"], "lof", ["n"], [1 - t.spec.thresholds.outlier_contamination], t.spec.rank_buckets)
     return points.join(F.broadcast(thr.select("ds", F.col("quantile").alias("_thr"))), "ds").withColumn(

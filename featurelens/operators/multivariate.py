@@ -31,7 +31,7 @@ def _medians(t: Tables, pooled: bool) -> dict:
         for r in t.percentiles.select("ds", "feature", "p50").collect():
             out[r["ds"]][r["feature"]] = r["p50"]
         return out
-    counts = t.vc.select("feature", "value", (F.col("n1") + F.col("n2")).alias("n"))
+    counts = t.vc.select("feature", "value", (F.col("n1") + F.col("n2")).alias("n"))  # kept in ``t``
     q = group_quantiles(counts, ["feature"], "value", ["n"], [0.5], t.spec.rank_buckets)
     med = {r["feature"]: r["quantile"] for r in q.collect()}
     return {1: med, 2: med}
@@ -313,7 +313,7 @@ def isolation_forest_flags(t: Tables, x: DataFrame | None = None, trees: int = 1
 
     sc = t.hold(flat.mapInPandas(score, "ds int, h1 long, h2 int, score double"))
     c = t.spec.thresholds.outlier_contamination
-    counts = sc.groupBy("ds", "score").agg(F.count(F.lit(1)).alias("n"))
+    counts = t.hold(sc.groupBy("ds", "score").agg(F.count(F.lit(1)).alias("n")))
     thr = group_quantiles(counts, ["ds"], "score", ["n"], [1 - c], t.spec.rank_buckets)
     thr = thr.select("ds", F.col("quantile").alias("_thr"))  # one row per dataset
     return sc.join(F.broadcast(thr), "ds").withColumn("is_outlier", F.col("score") > F.col("_thr")).drop("_thr")

@@ -9,13 +9,10 @@ dataset (nulls included), as in the reference.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables, ds_name
-from .distribution import mad
 
 
 def dataset_rows(t: Tables) -> DataFrame:
@@ -36,7 +33,7 @@ def univariate_counts(t: Tables) -> DataFrame:
     th = t.spec.thresholds
     st = (t.moments.select("ds", "feature", "mean", "sd_pop")
           .join(t.percentiles.select("ds", "feature", "p25", "p75", "p50"), ["ds", "feature"])
-          .join(mad(t), ["ds", "feature"], "left"))
+          .join(t.mad, ["ds", "feature"], "left"))
     iqr = F.col("p75") - F.col("p25")
     v = F.col("value")
     is_iqr = (v < F.col("p25") - th.outlier_iqr * iqr) | (v > F.col("p75") + th.outlier_iqr * iqr)
@@ -56,13 +53,11 @@ def univariate_outliers(t: Tables) -> DataFrame:
     k = t.spec.thresholds.min_multivariate_rows
     rows = dataset_rows(t).where(F.col("rows") >= k)
     c = feature_grid(t).join(rows, "ds").join(univariate_counts(t), ["ds", "feature"], "left")
-    parts = []
-    for col, method in (("n_iqr", "IQR"), ("n_z", "Z-Score"), ("n_mad", "MAD")):
-        parts.append(c.select(
-            ds_name(t.spec).alias("Dataset"), F.lit("Univariate").alias("Analysis_Type"),
-            F.col("feature").alias("Feature_or_Method"), F.lit(method).alias("Method"),
-            F.bround(F.coalesce(F.col(col), F.lit(0)) / F.col("rows") * 100, 2).alias("Pct_Outliers")))
-    return reduce(DataFrame.unionByName, parts)
+    rule = F.explode(F.array(*[F.struct(F.lit(method).alias("Method"), F.col(col).alias("k"))
+                               for col, method in (("n_iqr", "IQR"), ("n_z", "Z-Score"), ("n_mad", "MAD"))])).alias("r")
+    return c.select("ds", "feature", "rows", rule).select(
+        ds_name(t.spec).alias("Dataset"), F.lit("Univariate").alias("Analysis_Type"), F.col("feature").alias("Feature_or_Method"),
+        "r.Method", F.bround(F.coalesce("r.k", F.lit(0)) / F.col("rows") * 100, 2).alias("Pct_Outliers"))
 
 
 def outlier_summary(t: Tables, multivariate: DataFrame | None = None) -> DataFrame:

@@ -65,7 +65,7 @@ def _moments(pl: DataFrame) -> DataFrame:
 
 def _median_diff(t: Tables, pl: DataFrame) -> DataFrame:
     dv = pl.groupBy("feature", (F.col("v2") - F.col("v1")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    q = group_quantiles(dv, ["feature"], "d", ["n"], [0.5], t.spec.rank_buckets)
+    q = group_quantiles(t.hold(dv), ["feature"], "d", ["n"], [0.5], t.spec.rank_buckets)
     return q.select("feature", F.col("quantile").alias("median_d"))
 
 
@@ -75,7 +75,7 @@ def _wilcoxon(t: Tables, pl: DataFrame) -> DataFrame:
     a = (pl.where(d != 0).groupBy("feature", F.abs(d).alias("a"))
          .agg(F.count_if(d > 0).alias("np"), F.count_if(d < 0).alias("nn")))
     a = a.withColumn("t", F.col("np") + F.col("nn"))
-    rk = cumulate(a, ["feature"], "a", ["t"], t.spec.rank_buckets)
+    rk = cumulate(t.hold(a), ["feature"], "a", ["t"], t.spec.rank_buckets)
     avg_rank = F.col("cum_t") - F.col("t") + (F.col("t") + 1) / 2.0
     return rk.groupBy("feature").agg(
         F.sum(F.col("np") * avg_rank).alias("r_plus"), F.sum(F.col("nn") * avg_rank).alias("r_minus"),
@@ -86,7 +86,7 @@ def _wilcoxon(t: Tables, pl: DataFrame) -> DataFrame:
 def _avg_ranks(t: Tables, pl: DataFrame, col: str) -> DataFrame:
     """(feature, <col>, r_<col>) average rank of each value within the paired rows."""
     vc = pl.groupBy("feature", col).agg(F.count(F.lit(1)).alias("c"))
-    rk = cumulate(vc, ["feature"], col, ["c"], t.spec.rank_buckets)
+    rk = cumulate(t.hold(vc), ["feature"], col, ["c"], t.spec.rank_buckets)
     return rk.select("feature", col, (F.col("cum_c") - F.col("c") + (F.col("c") + 1) / 2.0).alias(f"r_{col}"))
 
 

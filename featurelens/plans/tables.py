@@ -1,8 +1,9 @@
 """Lazily built, persisted shared tables for one prepared pair.
 
 Reports are built as plans over these; the expensive ones (value counts and
-ranks) are persisted so the reports that share them run them once.  Lost
-cached blocks are rebuilt from lineage with the same range boundaries, so a
+ranks) are persisted so the reports that share them run them once.  Tables of a few rows per feature (moments, quantiles, MAD) are
+computed when first asked for and kept as constants, which keeps the plans of reports short.  Lost
+cached blocks are rebuilt from lineage; ranges are a function of the data, so a
 rebuild gives the same result.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..sources.loader import Prepared
 from ..spec import RunSpec
 from . import shape
-from .rank import cumulate, group_quantiles
+from .rank import cumulate, group_quantiles, local, ranged
 
 PCTS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 # numpy.linspace(0.01, 0.99, 100): probabilities of the quantile-correlation grid
@@ -34,6 +35,7 @@ class Tables:
         self.spec: RunSpec = p.spec
         self._persist = persist
         self._held: list = []
+        self._grids: dict = {}
         # the deduplicated inputs feed every report: read and deduplicate once
         if persist:
             p.d1, p.d2 = self._keep(p.d1), self._keep(p.d2)
@@ -64,19 +66,34 @@ class Tables:
     def vc(self) -> DataFrame:
         return self._keep(shape.value_counts(self.long))
 
+    @cached_property
+    def ranged(self) -> DataFrame:
+        """Value counts with their ranges (``plans.rank``)."""
+        return ranged(self.vc, ["feature"], "value", self.spec.rank_buckets)
+
     @cached_property
     def rk(self) -> DataFrame:
-        return self._keep(cumulate(self.vc, ["feature"], "value", ["n1", "n2"], self.spec.rank_buckets))
+        return self._keep(cumulate(self.ranged, ["feature"], "value", ["n1", "n2"]))
+
+    @cached_property
+    def ks_mw(self) -> DataFrame:
+        """(feature, ks, r1, tie): T3 KS statistic, T5 rank sum of the first dataset (average ranks) and the tie term sum(t^3-t)."""
+        n = F.col("n1") + F.col("n2")
+        avg_rank = F.col("cum_n1") + F.col("cum_n2") - n + (n + 1) / 2.0
+        return local(self.rk.groupBy("feature").agg(
+            F.max(F.abs(F.col("cum_n1") / F.col("tot_n1") - F.col("cum_n2") / F.col("tot_n2"))).alias("ks"),
+            F.sum(F.col("n1") * avg_rank).alias("r1"),
+            F.sum(n.cast("double") * n * n - n).alias("tie")))
 
     @cached_property
     def hist(self) -> DataFrame:
-        return self._keep(shape.histogram(self.vc, self.spec.thresholds.histogram_bins))
+        return local(shape.histogram(self.vc, self.spec.thresholds.histogram_bins))
 
     @cached_property
     def moments(self) -> DataFrame:
         """(ds, feature, n, mean, var_pop, var_samp, sd_pop, min, max, skew, kurt)."""
         v = F.col("value")
-        return self._keep(self.long.groupBy("ds", "feature").agg(
+        return local(self.long.groupBy("ds", "feature").agg(
             F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var_pop"),
             F.var_samp(v).alias("var_samp"), F.stddev_pop(v).alias("sd_pop"),
             F.min(v).alias("min"), F.max(v).alias("max"),
@@ -103,34 +120,48 @@ class Tables:
         extra = [th.plausibility_lower_pct / 100.0, th.plausibility_upper_pct / 100.0]
         return sorted(set(list(PCTS.values()) + extra))
 
-    def _raw_quantiles(self, probs: list) -> DataFrame:
-        q = group_quantiles(self.vc, ["feature"], "value", ["n1", "n2"], probs, rk=self.rk)
+    def _raw_quantiles(self, probs: list, rk: DataFrame | None = None) -> DataFrame:
+        q = group_quantiles(self.ranged, ["feature"], "value", ["n1", "n2"], probs, rk=rk)
         return q.select("feature", (F.col("w") + 1).alias("ds"), "q", "quantile")
 
     @cached_property
     def quantile_table(self) -> DataFrame:
-        """(ds, feature, q, quantile) for ``standard_probs`` — persisted, shared by all reports."""
-        return self._keep(self._raw_quantiles(self.standard_probs))
+        """(ds, feature, q, quantile) for ``standard_probs`` — shared by all reports."""
+        return local(self._raw_quantiles(self.standard_probs))
 
     def quantiles(self, probs: list) -> DataFrame:
         """(ds, feature, q, quantile) exact, for both datasets.
 
         Probabilities among ``standard_probs`` are read from the shared table;
-        others are computed from the shared rank table.
+        others, which are many, are computed from the shared rank table.
         """
         std = self.standard_probs
         if all(any(abs(q - s) < 1e-12 for s in std) for q in probs):
             want = F.array(*[F.lit(float(q)) for q in probs])
             qt = self.quantile_table
             return qt.where(F.exists(want, lambda w: F.abs(w - F.col("q")) < 1e-12))
-        return self._raw_quantiles(probs)
+        key = tuple(probs)
+        if key not in self._grids:
+            self._grids[key] = local(self._raw_quantiles(probs, self.rk))
+        return self._grids[key]
 
     @cached_property
     def percentiles(self) -> DataFrame:
         """(ds, feature, p01..p99) — the seven report percentiles, exact."""
         q = self.quantiles(sorted(set(PCTS.values())))
         aggs = [F.max(F.when(F.abs(F.col("q") - x) < 1e-12, F.col("quantile"))).alias(k) for k, x in PCTS.items()]
-        return self._keep(q.groupBy("ds", "feature").agg(*aggs))
+        return local(q.groupBy("ds", "feature").agg(*aggs))
+
+    @cached_property
+    def mad(self) -> DataFrame:
+        """(ds, feature, mad), the unscaled median absolute deviation, exact: of the value counts' deviations from the median."""
+        med = self.percentiles.select("ds", "feature", F.col("p50").alias("_med"))
+        sides = F.explode(F.array(*[F.struct(F.lit(d).alias("ds"), F.col(f"n{d}").alias("n")) for d in (1, 2)])).alias("_x")
+        vc = self.vc.select("feature", "value", sides).select("feature", "value", "_x.*").where(F.col("n") > 0)
+        dev = vc.join(F.broadcast(med), ["ds", "feature"]).select(
+            "ds", "feature", F.abs(F.col("value") - F.col("_med")).alias("dev"), "n")
+        q = group_quantiles(dev, ["ds", "feature"], "dev", ["n"], [0.5], self.spec.rank_buckets)
+        return local(q.select("ds", "feature", F.col("quantile").alias("mad")))
 
     @cached_property
     def paired(self) -> DataFrame:

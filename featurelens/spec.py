@@ -55,8 +55,8 @@ class RunSpec:
     ``id_col`` when ``id_col`` itself is absent.
     ``mode``: ``extraction_validation`` (paired; bounds from D1, target D2) or
     ``cross_dataset_comparison`` (unpaired; bounds from D2, target D1).
-    ``rank_buckets``: number of value ranges of the rank kernel (``plans.rank``);
-    None leaves it to ``spark.sql.shuffle.partitions`` and adaptive coalescing.
+    ``rank_buckets``: number of value ranges of a group in the rank kernel (``plans.rank``);
+    None leaves it to ``spark.sql.shuffle.partitions``.
     ``normality_rule``: "formal" (all three tests) or "practical" (skewness and
     kurtosis) decides ``Approx_Gaussian``; both verdicts are reported besides.
     ``wilcoxon_method``: "normal" or "exact".
