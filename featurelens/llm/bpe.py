@@ -24,6 +24,7 @@ bytes into text through ``Utf8Stream``, a state machine that holds back an unfin
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -49,8 +50,8 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    """States are numbers; all else is flat.  A state's configurations are one row of integers, for each path: the token
-    begun, the last whole token (numbers of ``texts``), how many tokens wait, and these.  Transitions are entries of
+    """States are numbers; all else is flat.  A state's configurations are one row, for each path, the closed one first: the token
+    begun, the last whole token (numbers of ``texts``) and the tokens that wait.  Transitions are entries of
     one table, (state, byte) -> next state, or its complement if tokens are emitted, which a second table holds."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int | None = None):
@@ -68,13 +69,13 @@ class Transducer:
         self.child: dict[int, int] = {}  # (number, byte) -> number, or -1 where no token begins so
         self.compatible: dict[int, bool] = {}  # (last token, token) -> whether one can follow the other
         self.histories: dict[bytes, tuple] = {}
-        self.known: dict[tuple[int, ...], int] = {}  # configurations -> state
-        self.configs: list[tuple[int, ...]] = []
+        self.known: dict[tuple, int] = {}  # configurations -> state
+        self.configs: list[tuple] = []
         self.next: dict[int, int] = {}
         self.emitted: dict[int, tuple[int, ...]] = {}
-        self.start = self.state((0, 0, 0))
+        self.start = self.state((0, 0, ()))
 
-    def state(self, row: tuple[int, ...]) -> int:
+    def state(self, row: tuple) -> int:
         found = self.known.setdefault(row, len(self.configs))
         if found == len(self.configs):
             self.configs.append(row)
@@ -128,44 +129,44 @@ class Transducer:
             else:
                 j += 1
 
-    def follows(self, last: int, token: int) -> bool:
-        key = last << 32 | token
-        found = self.compatible.get(key)
-        if found is None:
-            found = self.compatible[key] = self.fits(self.texts[last], self.texts[token])
-        return found
-
     def step(self, state: int, byte: int) -> int:
         """Determinises one transition: the paths that ``byte`` leaves alive, the closed one first, less the tokens they
         agree on."""
-        row, at = self.configs[state], 0
-        closed, paths = None, []
-        while at < len(row):
-            begun, last, upto = row[at], row[at + 1], at + 3 + row[at + 2]
-            out = row[at + 3:upto]
-            at = upto
-            node = self.child.get(begun << 8 | byte)
+        child, ranks, more, compatible = self.child, self.rank, self.more, self.compatible
+        row = iter(self.configs[state])
+        paths: list = []
+        last, first = 0, ()
+        for begun, before, out in zip(row, row, row):
+            node = child.get(begun << 8 | byte)
             if node is None:
                 node = self.grown(begun, byte)
-            if node >= 0:
-                rank = self.rank[node]
-                if rank is not None and self.follows(last, node):
-                    closed = node, (*out, rank)
-                if self.more[node]:
-                    paths.append((node, last, out))
-        last, first = closed
-        n = 0
+            if node < 0:
+                continue
+            rank = ranks[node]
+            if rank is not None:
+                key = before << 32 | node
+                fits = compatible.get(key)
+                if fits is None:
+                    fits = compatible[key] = self.fits(self.texts[before], self.texts[node])
+                if fits:
+                    last, first = node, (*out, rank)
+            if more[node]:
+                paths += (node, before, out)
         if paths:
+            n, outs = 0, paths[2::3]
             for token in first:
-                if any(len(p[2]) <= n or p[2][n] != token for p in paths):
-                    break
-                n += 1
+                for out in outs:
+                    if len(out) <= n or out[n] != token:
+                        break
+                else:
+                    n += 1
+                    continue
+                break
+            if n:
+                paths[2::3] = [out[n:] for out in outs]
         else:
             n = len(first)
-        made = [0, last, len(first) - n, *first[n:]]
-        for begun, before, out in paths:
-            made += (begun, before, len(out) - n, *out[n:])
-        found, key = self.state(tuple(made)), state << 8 | byte
+        found, key = self.state((0, last, first[n:], *paths)), state << 8 | byte
         if n:
             self.emitted[key] = first[:n]
             found = ~found
@@ -185,8 +186,7 @@ class Transducer:
             if state < 0:
                 ids += self.emitted[key]
                 state = ~state
-        closed = self.configs[state]
-        ids += closed[3:3 + closed[2]]
+        ids += self.configs[state][2]
         return ids
 
 
@@ -317,7 +317,12 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         for b in batches:
             for part in pieces(b):
-                packed = [e.packed(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
+                texts = part.column(part.num_columns - 1).to_pylist()
+                gc.disable()  # the tables hold no cycles, and the collector would walk them again and again
+                try:
+                    packed = [e.packed(t or "") for t in texts]
+                finally:
+                    gc.enable()
                 offsets = np.zeros(len(packed) + 1, np.int32)
                 np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(packed), np.int32))
