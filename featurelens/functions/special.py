@@ -16,17 +16,49 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-_inv_cdf = np.frompyfunc(NormalDist().inv_cdf, 1, 1)
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(40)
 
 
+def erfcx(x: np.ndarray) -> np.ndarray:
+    """exp(x^2) erfc(x) for x >= 0, on whole arrays.
+
+    Below 0.5 by the series of erf; above by the trapezoidal rule for (x / pi) int exp(-t^2) / (x^2 + t^2) dt with steps of 1/2,
+    whose error beyond the pole's term is exp(-4 pi^2) (Chiarella and Reichel, 1968).
+    """
+    x = np.asarray(x, float)
+    out = np.empty(x.shape)
+    small = x < 0.5
+    v = x[small]
+    term, total = v.copy(), v.copy()
+    for k in range(1, 16):
+        term = -term * v * v / k
+        total += term / (2 * k + 1)
+    out[small] = np.exp(v * v) * (1 - 2 / math.sqrt(math.pi) * total)
+    v = x[~small]
+    k = np.arange(1, 14)[:, None] * 0.5
+    square = v * v
+    total = 1 / square + 2 * (np.exp(-k * k) / (k * k + square)).sum(axis=0)
+    near = np.minimum(v, 6.0)  # beyond, the pole adds less than the last digit
+    pole = np.where(v < 6.0, np.exp(near * near) * 2 / np.expm1(4 * math.pi * near), 0.0)
+    out[~small] = 0.5 * v / math.pi * total - pole
+    return out
+
+
 def norm_sf(z) -> np.ndarray:
+    """Upper tail of the standard normal law, to full relative accuracy."""
     z = np.asarray(z, dtype=float)
-    out = np.full(z.shape, np.nan)
-    ok = ~np.isnan(z)
-    out[ok] = 0.5 * _erfc(z[ok] / math.sqrt(2.0)).astype(float)
-    return out
+    x = np.abs(z) / math.sqrt(2.0)
+    with np.errstate(under="ignore"):
+        tail = np.where(np.isinf(x), 0.0, 0.5 * np.exp(-np.minimum(x, 40.0) ** 2) * erfcx(np.nan_to_num(x, posinf=1e9)))
+    tail = np.where(x > 39.0, 0.0, tail)
+    return np.where(np.isnan(z), np.nan, np.where(z >= 0, tail, 1.0 - tail))
+
+
+def log_norm_cdf(z) -> np.ndarray:
+    """log Phi(z), accurate in both tails."""
+    z = np.asarray(z, dtype=float)
+    low = -0.5 * z * z + np.log(0.5 * erfcx(np.abs(z) / math.sqrt(2.0)))
+    return np.where(z < 0, low, np.log1p(-norm_sf(np.maximum(z, 0.0))))
 
 
 def norm_cdf(z) -> np.ndarray:
@@ -40,8 +72,32 @@ def norm_ppf(p: float) -> float:
     return float("-inf") if p <= 0.0 else float("inf")
 
 
+# Coefficients of Wichura's algorithm AS 241 (1988), constant term first.
+_CENTRE = (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+           4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3)
+_CENTRE_DOWN = (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+                2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3)
+_TAIL = (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+         1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4)
+_TAIL_DOWN = (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+              1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9)
+_FAR = (6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+        2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7)
+_FAR_DOWN = (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+             7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15)
+
+
 def norm_ppf_array(p: np.ndarray) -> np.ndarray:
-    return _inv_cdf(p).astype(float)
+    """Standard normal quantiles of 0 < p < 1 on whole arrays."""
+    p = np.asarray(p, float)
+    q = p - 0.5
+
+    def ratio(up, down, r):
+        return np.polynomial.polynomial.polyval(r, up) / np.polynomial.polynomial.polyval(r, down)
+
+    r = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
+    tail = np.where(r <= 5.0, ratio(_TAIL, _TAIL_DOWN, r - 1.6), ratio(_FAR, _FAR_DOWN, r - 5.0))
+    return np.where(np.abs(q) <= 0.425, q * ratio(_CENTRE, _CENTRE_DOWN, 0.180625 - q * q), np.copysign(tail, q))
 
 
 def _cosine_tail(exponent: float, start: float) -> tuple[float, float]:
@@ -178,16 +234,17 @@ def chi2_ppf(q: float, df: float) -> float:
 def wilcoxon_exact_p(w: float, n: int) -> float:
     """Two-sided exact p of the signed-rank statistic min(W+, W-) for n untied, non-zero differences.
 
-    Counts of subsets of {1..n} by rank sum (dynamic programming over n(n+1)/2
+    Shares of subsets of {1..n} by rank sum (dynamic programming over n(n+1)/2
     sums) give P(W+ <= w); p = min(1, 2 P(W+ <= w)).
     """
     n = int(n)
     total = n * (n + 1) // 2
     c = np.zeros(total + 1)
     c[0] = 1.0
-    for k in range(1, n + 1):
+    for k in range(1, n + 1):  # shares of 2^k subsets, so that no count overflows
+        c *= 0.5
         c[k:] += c[:-k].copy()
-    cdf = c[: int(math.floor(w)) + 1].sum() / 2.0 ** n
+    cdf = c[: int(math.floor(w)) + 1].sum()
     return float(min(1.0, 2.0 * cdf))
 
 
@@ -219,12 +276,7 @@ def norm_ppf_udf(p: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def log_norm_cdf_udf(z: pd.Series) -> pd.Series:
-    """log Phi(z), accurate in both tails (beyond erfc's range by its leading asymptotic term)."""
-    v = z.astype(float).to_numpy()
-    cdf = norm_sf(-v)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        far = -0.5 * v * v - np.log(-v) - 0.5 * math.log(2 * math.pi)
-        return pd.Series(np.where(cdf > 0, np.log(np.maximum(cdf, 1e-323)), far))
+    return pd.Series(log_norm_cdf(z.astype(float).to_numpy()))
 
 
 @F.pandas_udf(T.DoubleType())

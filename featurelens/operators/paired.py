@@ -122,9 +122,13 @@ def _core(t: Tables) -> DataFrame:
                .withColumn("w_stat", F.when(F.col("w_n") > 0, F.least("r_plus", "r_minus"))))
 
 
+def _shared_core(t: Tables) -> DataFrame:
+    return t.report("paired_core", lambda: _core(t))
+
+
 def paired_stats(t: Tables, core: DataFrame | None = None) -> DataFrame:
     """V13 without p-values (SQL-checkable); rounding as the reference.  ``core``: where it is built already."""
-    c = _core(t) if core is None else core
+    c = _shared_core(t) if core is None else core
     r6 = lambda x: F.bround(x, 6)
     loa = 1.96 * F.col("sd_d")
     return c.select(
@@ -149,7 +153,7 @@ def paired_report(t: Tables) -> DataFrame:
     n-2, n-2); Wilcoxon by ``RunSpec.wilcoxon_method``: "normal" (tie-corrected, without
     continuity correction) or "exact" (for untied differences; its work grows with n^3).
     """
-    c = t.hold(_core(t))
+    c = _shared_core(t)
     n = F.col("n").cast("double")
     r_p = F.col("pearson")
     r_s = F.col("spearman")
@@ -175,9 +179,9 @@ def paired_report(t: Tables) -> DataFrame:
     return s.join(extra, "Feature").select(*cols).orderBy(F.desc_nulls_last("ICC"), "Feature")
 
 
-def paired_summary(t: Tables) -> DataFrame:
-    """(Metric, Value) over the rounded paired report."""
-    s = paired_stats(t)
+def paired_summary(t: Tables, stats: DataFrame | None = None) -> DataFrame:
+    """(Metric, Value) over the rounded paired report (``stats``, where it is finished already)."""
+    s = paired_stats(t) if stats is None else stats
     a = s.agg(F.count(F.lit(1)).cast("double").alias("Features analyzed"),
               F.avg("ICC").alias("Mean ICC"), F.median("ICC").alias("Median ICC"),
               F.avg("Pearson_r").alias("Mean Pearson r"), F.avg("MAE").alias("Mean MAE"),

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,37 +153,42 @@ def overview(p: Prepared) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def null_pairs(df: DataFrame, cols: list) -> DataFrame:
+    """(i, j, n) for i <= j: rows in which columns i and j are both null.
+
+    Each Arrow batch packs a column's nulls into a bitmap and counts common bits of each pair; a task sends p^2 sums.
+    """
+    p = len(cols)
+    i, j = np.triu_indices(p)
+
+    def counted(batches):
+        total = np.zeros((p, p), np.int64)
+        for batch in batches:
+            bits = np.packbits(np.stack([c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns]), axis=1)
+            for k in range(p):
+                total[k] += np.bitwise_count(bits & bits[k]).sum(axis=1, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])],
+                                         names=["i", "j", "n"])
+
+    return df.select(*cols).mapInArrow(counted, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+
+
 def missingness_correlation(p: Prepared) -> DataFrame:
     """A10: Pearson r of the null indicators of columns that have nulls, per dataset.
 
-    (Dataset, Feature_1, Feature_2, Correlation), upper triangle, one pass.
+    (Dataset, Feature_1, Feature_2, Correlation), upper triangle; a column with nulls only, or none, has no correlation.
     """
-    parts = []
+    parts, names = [], F.array(*[F.lit(c) for c in p.columns])
     for name, df in p.named():
-        # columns with nulls: one bounded (1-row) pre-pass decides the pair list
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in p.columns]).first()
-        miss = [c for c in p.columns if nulls[c] > 0]
-        aggs = []
-        pairs = []
-        for i, a in enumerate(miss):
-            for b in miss[i + 1:]:
-                x = F.col(a).isNull().cast("double")
-                y = F.col(b).isNull().cast("double")
-                k = len(pairs)
-                aggs += [F.covar_pop(x, y).alias(f"c{k}"), F.var_pop(x).alias(f"x{k}"), F.var_pop(y).alias(f"y{k}")]
-                pairs.append((a, b))
-        if not pairs:
-            continue
-        a = df.agg(*aggs)
-        rows = [F.struct(F.lit(x).alias("Feature_1"), F.lit(y).alias("Feature_2"),
-                         F.when((F.col(f"x{k}") > 0) & (F.col(f"y{k}") > 0),
-                                F.col(f"c{k}") / F.sqrt(F.col(f"x{k}") * F.col(f"y{k}"))).alias("Correlation"))
-                for k, (x, y) in enumerate(pairs)]
-        parts.append(a.select(F.lit(name).alias("Dataset"), F.explode(F.array(*rows)).alias("r"))
-                     .select("Dataset", "r.*").where(F.col("Correlation").isNotNull()))
-    if not parts:
-        return p.d1.sparkSession.createDataFrame(
-            [], "Dataset string, Feature_1 string, Feature_2 string, Correlation double")
+        both = null_pairs(df, p.columns)
+        one = both.where("i = j").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).cast("double").alias("rows"))))
+        a, b = one.select("i", F.col("n").alias("na"), "rows"), one.select("j", F.col("n").alias("nb"))
+        n, x, y, k = F.col("rows"), F.col("na"), F.col("nb"), F.col("n")
+        r = (n * k - x * y) / (F.sqrt(x * (n - x)) * F.sqrt(y * (n - y)))
+        parts.append(both.where("i < j").join(F.broadcast(a), "i").join(F.broadcast(b), "j")
+                     .where((x > 0) & (x < n) & (y > 0) & (y < n))
+                     .select(F.lit(name).alias("Dataset"), F.element_at(names, F.col("i") + 1).alias("Feature_1"),
+                             F.element_at(names, F.col("j") + 1).alias("Feature_2"), r.alias("Correlation")))
     return reduce(DataFrame.unionByName, parts)
 
 

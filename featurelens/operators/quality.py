@@ -31,21 +31,36 @@ def _fmt1(x):
     return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
 
 
+def _missingness(t: Tables) -> DataFrame:
+    return t.report("missingness", lambda: profile.missingness(t.p))
+
+
+def _plausibility(t: Tables) -> DataFrame:
+    return t.report("plausibility", lambda: distribution.plausibility(t))
+
+
+def _similarity(t: Tables) -> DataFrame:
+    return t.report("similarity_stats", lambda: compare.similarity_stats(t))
+
+
+def finished_quality(t: Tables) -> DataFrame:
+    return t.report("feature_quality", lambda: quality_score(t))
+
+
 def quality_inputs(t: Tables) -> DataFrame:
-    """(feature, miss_pct, iqr_pct, implaus_pct, sim_score, is_constant, is_near_constant)."""
+    """(feature, miss_pct, iqr_pct, implaus_pct, sim_score, is_constant, is_near_constant), from finished reports."""
     spec = t.spec
     d2 = spec.dataset2_name
     spark = t.p.d1.sparkSession
     feats = spark.createDataFrame([(f,) for f in t.p.features], "feature string")
-    miss = (profile.missingness(t.p).where(F.col("Dataset") == d2)
+    miss = (_missingness(t).where(F.col("Dataset") == d2)
             .select(F.col("Feature").alias("feature"), F.col("Missing_Percent").alias("miss_pct")))
-    iqr = (outliers.univariate_outliers(t).where((F.col("Dataset") == d2) & (F.col("Method") == "IQR"))
+    iqr = (t.report("univariate_outliers", lambda: outliers.univariate_outliers(t))
+           .where((F.col("Dataset") == d2) & (F.col("Method") == "IQR"))
            .select(F.col("Feature_or_Method").alias("feature"), F.col("Pct_Outliers").alias("iqr_pct")))
-    pl = distribution.plausibility(t).select(F.col("Feature").alias("feature"),
-                                             F.col("Pct_Outside_Range").alias("implaus_pct"))
-    sim = compare.similarity_stats(t).select(F.col("Feature").alias("feature"),
-                                            F.col("Similarity_Score").alias("sim_score"))
-    fl = redundancy.feature_flags(t).where(F.col("ds") == 2).drop("ds")
+    pl = _plausibility(t).select(F.col("Feature").alias("feature"), F.col("Pct_Outside_Range").alias("implaus_pct"))
+    sim = _similarity(t).select(F.col("Feature").alias("feature"), F.col("Similarity_Score").alias("sim_score"))
+    fl = t.report("feature_flags", lambda: redundancy.feature_flags(t)).where(F.col("ds") == 2).drop("ds")
     return reduce(lambda a, b: a.join(F.broadcast(b), "feature", "left"), [miss, iqr, pl, sim, fl], feats)
 
 
@@ -103,22 +118,22 @@ def conclusions(t: Tables) -> DataFrame:
     th = t.spec.thresholds
     d2 = t.spec.dataset2_name
     parts = []
-    miss = profile.missingness(t.p).where((F.col("Dataset") == d2)
-                                          & (F.col("Missing_Percent") > th.missingness_pct_critical))
+    miss = _missingness(t).where((F.col("Dataset") == d2)
+                                 & (F.col("Missing_Percent") > th.missingness_pct_critical))
     parts += [_count_row(miss, "high_missing"),
               _ranked(miss, "high_missing", [F.desc("Missing_Percent"), "Feature"], "Feature", "Missing_Percent", 5)]
-    pl = distribution.plausibility(t).where(F.col("Pct_Outside_Range") > th.plausibility_pct_high)
+    pl = _plausibility(t).where(F.col("Pct_Outside_Range") > th.plausibility_pct_high)
     parts += [_count_row(pl, "high_implausible"),
               _ranked(pl, "high_implausible", [F.desc("Pct_Outside_Range"), "Feature"], "Feature",
                       "Pct_Outside_Range", 5)]
-    sim = compare.similarity_stats(t).where(F.col("Similarity_Score") < th.similarity_score_poor)
+    sim = _similarity(t).where(F.col("Similarity_Score") < th.similarity_score_poor)
     parts.append(_count_row(sim, "severe_shift"))
-    qs = quality_score(t)
+    qs = finished_quality(t)
     parts.append(qs.groupBy("Category").agg(F.count(F.lit(1)).cast("double").alias("Value")).select(
         F.lit("quality_category").alias("Section"), F.lit(0).alias("Rank"), F.col("Category").alias("Item"), "Value"))
     if t.spec.is_paired:
-        ps = paired.paired_stats(t)
-        parts.append(paired.paired_summary(t).select(F.lit("paired_summary").alias("Section"), F.lit(0).alias("Rank"),
+        ps = t.report("paired_stats", lambda: paired.paired_stats(t))
+        parts.append(paired.paired_summary(t, ps).select(F.lit("paired_summary").alias("Section"), F.lit(0).alias("Rank"),
                                                      F.col("Metric").alias("Item"), "Value"))
         weak = ps.where(F.col("Agreement").isin("Fair", "Poor"))
         parts.append(_ranked(weak, "weak_agreement", [F.desc_nulls_last("ICC"), "Feature"], "Feature", "ICC", 10))

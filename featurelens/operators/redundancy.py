@@ -43,6 +43,10 @@ def feature_flags(t: Tables) -> DataFrame:
     return j.select("ds", "feature", const.alias("is_constant"), near.alias("is_near_constant"))
 
 
+def _flags(t: Tables) -> DataFrame:
+    return t.report("feature_flags", lambda: feature_flags(t))
+
+
 def pivoted_cholesky(s: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
     """(L, order): ``s[order][:, order]`` is L L' up to residuals of at most ``tol``; L has a column per pivot."""
     rest, order = s.astype(float).copy(), np.arange(len(s))
@@ -82,7 +86,7 @@ def vif_of_gram(g: np.ndarray, tol: float = 1e-10, part: float = 1e-6) -> tuple[
 
 def vif(t: Tables) -> DataFrame:
     """(ds, feature, vif, vif_is_infinite) for the non-constant features."""
-    flags = {(r["ds"], r["feature"]): r["is_constant"] for r in feature_flags(t).collect()}
+    flags = {(r["ds"], r["feature"]): r["is_constant"] for r in _flags(t).collect()}
     med = {(r["ds"], r["feature"]): r["p50"] for r in t.percentiles.select("ds", "feature", "p50").collect()}
     spark = t.p.d1.sparkSession
     out = []
@@ -102,7 +106,7 @@ def vif(t: Tables) -> DataFrame:
 def redundancy_report(t: Tables) -> DataFrame:
     """Feature, VIF, VIF_Is_Infinite, Dataset, Is_Constant, Is_Near_Constant, Recommendation."""
     th = t.spec.thresholds
-    fl = feature_flags(t)
+    fl = _flags(t)
     j = fl.join(vif(t), ["ds", "feature"], "left")
     v = F.when(F.col("is_constant"), F.lit(None).cast("double")) \
          .when(F.col("vif_is_infinite"), F.lit(VIF_CAP)).otherwise(F.col("vif"))

@@ -4,9 +4,10 @@ Stage order follows the reference pipeline: matching, overview,
 missingness, distributions, plausibility, extremes, normality, outliers,
 correlations, redundancy, dimensionality, relationships, batch effect,
 comparisons, similarity, paired validation (paired mode only), quality score,
-conclusions.  Reports are lazy; shared tables (long form, value counts,
-ranks, moments, percentiles) are persisted once in ``Tables`` and reused.
-``write`` sends every report to a sink once.
+conclusions.  Shared tables (long form, value counts, ranks, moments, percentiles) are made once in ``Tables``; the
+per-feature reports that others read (missingness, plausibility, univariate outliers, similarity statistics, constancy flags,
+paired statistics, quality) are finished once and passed on.  ``write`` sends every report to a sink once and frees what the
+run holds.
 """
 
 from __future__ import annotations
@@ -21,22 +22,33 @@ from .sources.sink import write_all
 from .spec import RunSpec
 
 
-def run(d1: DataFrame, d2: DataFrame, spec: RunSpec, heavy: bool = True) -> dict:
+class Reports(dict):
+    """Report name -> DataFrame, with the tables that they share."""
+
+    def __init__(self, tables: Tables):
+        super().__init__()
+        self.tables = tables
+
+    def release(self) -> None:
+        self.tables.release()
+
+
+def run(d1: DataFrame, d2: DataFrame, spec: RunSpec, heavy: bool = True) -> Reports:
     """All reports of one run.  ``heavy=False`` skips Kendall, the forest models and PCA."""
     p = prepare(d1, d2, spec)
     t = Tables(p)
-    r: dict = {}
+    r = Reports(t)
     if spec.is_paired:
         r["record_matching"] = paired.record_matching(p)
     r["overview"] = profile.overview(p)
     r["feature_summary"] = profile.feature_summary(p)
-    r["missingness"] = profile.missingness(p)
+    r["missingness"] = t.report("missingness", lambda: profile.missingness(p))
     r["missingness_correlation"] = profile.missingness_correlation(p)
     r["distribution_statistics"] = distribution.distribution_stats(t)
-    r["plausibility"] = distribution.plausibility(t)
+    r["plausibility"] = t.report("plausibility", lambda: distribution.plausibility(t))
     r["feature_extremes"] = distribution.extremes(t)
     r["normality"] = normality.normality_report(t)
-    uni = outliers.univariate_outliers(t)
+    uni = t.report("univariate_outliers", lambda: outliers.univariate_outliers(t))
     r["outlier_summary"] = multivariate.multivariate_outliers(t).unionByName(uni) if heavy else uni
     mats = correlation.correlation_matrices(t, kendall=heavy)
     r["correlation_matrices"] = mats
@@ -53,12 +65,15 @@ def run(d1: DataFrame, d2: DataFrame, spec: RunSpec, heavy: bool = True) -> dict
     r["similarity"] = compare.similarity_report(t)
     if spec.is_paired:
         r["paired_validation"] = paired.paired_report(t)
-        r["paired_summary"] = paired.paired_summary(t)
-    r["feature_quality"] = quality.quality_score(t)
+        r["paired_summary"] = paired.paired_summary(t, t.report("paired_stats", lambda: paired.paired_stats(t)))
+    r["feature_quality"] = quality.finished_quality(t)
     r["conclusions"] = quality.conclusions(t)
     return r
 
 
 def write(reports: dict, root: str, spec: RunSpec, fmt: str = "parquet") -> list:
     """Write every report once under ``root/<name>/mode=<mode>``."""
-    return write_all(reports, root, spec.mode, fmt)
+    written = write_all(reports, root, spec.mode, fmt)
+    if isinstance(reports, Reports):
+        reports.release()
+    return written

@@ -36,6 +36,7 @@ class Tables:
         self._persist = persist
         self._held: list = []
         self._grids: dict = {}
+        self._reports: dict = {}
         # the deduplicated inputs feed every report: read and deduplicate once
         if persist:
             p.d1, p.d2 = self._keep(p.d1), self._keep(p.d2)
@@ -53,7 +54,14 @@ class Tables:
         self._held.append(df)
         return df
 
+    def report(self, name: str, build) -> DataFrame:
+        """The finished report ``name`` (a few rows per feature): built when first asked for, then shared by the reports that read it."""
+        if name not in self._reports:
+            self._reports[name] = local(build())
+        return self._reports[name]
+
     def release(self):
+        """Frees what the run holds; finished reports stay readable, others are computed anew if read again."""
         for df in self._held:
             df.unpersist()
         self._held.clear()

@@ -78,6 +78,9 @@ def _register_all():
         register(f"paired_stats_{fx}", fx, paired.paired_stats, O.paired_stats)
         register(f"paired_report_{fx}", fx, paired.paired_report)
         register(f"paired_summary_{fx}", fx, paired.paired_summary, O.paired_summary)
+    register("paired_stats_f11", "f11", paired.paired_stats, O.paired_stats)
+    register("paired_summary_f11", "f11", paired.paired_summary, O.paired_summary)
+    register("missingness_correlation_f11", "f11", profile.missingness_correlation, O.missingness_correlation, on_prepared=True)
     register("bland_altman_density_f5", "f5", paired.bland_altman_density, O.bland_altman_density)
     for fx in ("f2", "f3", "f1", "f7"):
         register(f"pearson_matrix_{fx}", fx, correlation.pearson_matrix, O.pearson_matrix)

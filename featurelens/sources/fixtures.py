@@ -1,4 +1,4 @@
-"""Feature-table pairs derived from the test tables (FIXTURES.md F1-F10).
+"""Feature-table pairs derived from the test tables (FIXTURES.md F1-F11).
 
 Each fixture returns ``(d1, d2, spec)`` — two wide tables and the run
 parameters — built with DataFrame operations over the parquet tables, so the
@@ -126,7 +126,24 @@ def f10(spark, sf_dir):
     return d1, d2, RunSpec(id_col="id", dataset1_name="F", dataset2_name="O", mode=COMPARISON)
 
 
-FIXTURES = {"f1": f1, "f2": f2, "f3": f3, "f4": f4, "f5": f5, "f6": f6, "f7": f7, "f8": f8, "f9": f9, "f10": f10}
+def f11(spark, sf_dir):
+    """Paired with missing values on both sides: the quantity of a line against versions of all five agreement classes, and one that
+    few lines have."""
+    li = _t(spark, sf_dir, "lineitem")
+    q, odd = F.col("l_quantity").cast("double"), F.when(F.col("l_linenumber") % 2 == 1, 1.0).otherwise(-1.0)
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
+    here = F.when(F.col("l_linenumber") != 3, q)
+    there = F.col("l_orderkey") % 5 != 0
+    few = F.col("l_orderkey") <= 2
+    d1 = li.select(key, here.alias("close"), here.alias("near"), q.alias("off"), q.alias("far"), here.alias("turned"),
+                   F.when(few, q).alias("rare"))
+    d2 = li.select(key, F.when(there, q + 0.001 * F.col("l_linenumber")).alias("close"), F.when(there, q * (1 + 0.07 * odd)).alias("near"),
+                   (q * (1 + 0.15 * odd)).alias("off"), F.when(there, q * (1 + 0.3 * odd)).alias("far"), (51 - q).alias("turned"),
+                   F.when(few, q + 1).alias("rare"))
+    return d1, d2, RunSpec(id_col="id", dataset1_name="first", dataset2_name="second", mode=VALIDATION)
+
+
+FIXTURES = {"f1": f1, "f2": f2, "f3": f3, "f4": f4, "f5": f5, "f6": f6, "f7": f7, "f8": f8, "f9": f9, "f10": f10, "f11": f11}
 
 _LINE = ", ".join(LINE_FEATURES)
 _EMB = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {f}" for i, f in enumerate(EMB_FEATURES))
@@ -165,6 +182,16 @@ FIXTURE_SQL = {
            f"({_NEAR})::DOUBLE AS k_near FROM lineitem WHERE l_linestatus = 'O'"),
 }
 FIXTURE_SQL["f10"] = tuple(f"SELECT l_orderkey AS id, {_COPIES} FROM lineitem WHERE l_linestatus = '{s}'" for s in "FO")
+_ODD = "CASE WHEN l_linenumber % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
+_Q = "CAST(l_quantity AS DOUBLE)"
+FIXTURE_SQL["f11"] = (
+    f"SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber <> 3 THEN {_Q} END AS close, "
+    f"CASE WHEN l_linenumber <> 3 THEN {_Q} END AS near, {_Q} AS off, {_Q} AS far, "
+    f"CASE WHEN l_linenumber <> 3 THEN {_Q} END AS turned, CASE WHEN l_orderkey <= 2 THEN {_Q} END AS rare FROM lineitem",
+    f"SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey % 5 <> 0 THEN {_Q} + 0.001::DOUBLE * l_linenumber END AS close, "
+    f"CASE WHEN l_orderkey % 5 <> 0 THEN {_Q} * (1 + 0.07::DOUBLE * ({_ODD})) END AS near, "
+    f"{_Q} * (1 + 0.15::DOUBLE * ({_ODD})) AS off, CASE WHEN l_orderkey % 5 <> 0 THEN {_Q} * (1 + 0.3::DOUBLE * ({_ODD})) END AS far, "
+    f"51 - {_Q} AS turned, CASE WHEN l_orderkey <= 2 THEN {_Q} + 1 END AS rare FROM lineitem")
 
 # numeric features of each fixture after the overlap projection (sorted)
 FIXTURE_FEATURES = {
@@ -177,5 +204,6 @@ FIXTURE_FEATURES = {
     "f7": EMB_FEATURES,
     "f8": ["value"],
     "f9": sorted(LINE_FEATURES + ["k_const", "k_null", "k_near"]),
+    "f11": sorted(["close", "near", "off", "far", "turned", "rare"]),
     "f10": sorted(["qty", "qty_near", "qty_mid", "qty_far", "blend"]),
 }

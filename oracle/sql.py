@@ -130,9 +130,9 @@ qc AS (SELECT feature, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN co
 # ----------------------------------------------------------------- profiles
 FIXTURE_NAMES = {"f1": ("F", "O"), "f2": ("en", "other"), "f3": ("customer", "supplier"),
                  "f4": ("orders", "lines"), "f5": ("exact", "rounded"), "f6": ("stored", "measured"),
-                 "f7": ("low", "high"), "f8": ("view", "purchase"), "f9": ("F", "O"), "f10": ("F", "O")}
+                 "f7": ("low", "high"), "f8": ("view", "purchase"), "f9": ("F", "O"), "f10": ("F", "O"), "f11": ("first", "second")}
 FIXTURE_STRINGS = {"f3": {"name"}}
-FIXTURE_PAIRED = {"f4", "f5", "f6"}
+FIXTURE_PAIRED = {"f4", "f5", "f6", "f11"}
 
 
 def _q(c: str) -> str:
@@ -426,7 +426,7 @@ def _pair_rows(fx: str) -> str:
 
 
 #: Fixtures with missing values: their pairs are ranked one by one, the others' columns once.
-WITH_NULLS = {"f2", "f9"}
+WITH_NULLS = {"f2", "f9", "f11"}
 
 
 def spearman_matrix(fx: str) -> str:

@@ -3,6 +3,7 @@
 import math
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from featurelens.functions import special as S
@@ -67,3 +68,26 @@ def test_wilcoxon_exact():
     assert S.wilcoxon_exact_p(27.5, 10) == 1.0
     # symmetric distribution: P(W+ <= n(n+1)/4) >= 1/2
     assert S.wilcoxon_exact_p(10.5, 6) == 1.0
+
+
+def test_normal_functions_on_whole_arrays():
+    z = np.linspace(-37, 37, 4001)
+    assert np.max(np.abs(S.norm_sf(z) / [0.5 * math.erfc(x / math.sqrt(2)) for x in z] - 1)) < 1e-12
+    assert np.max(np.abs(S.erfcx(np.linspace(0, 5, 999)) / [math.exp(x * x) * math.erfc(x) for x in np.linspace(0, 5, 999)] - 1)) < 1e-12
+    low = z[z < 0]
+    assert np.max(np.abs(S.log_norm_cdf(low) / [math.log(0.5 * math.erfc(-x / math.sqrt(2))) for x in low] - 1)) < 1e-12
+    far = -1000.0  # log Phi(z) = -z^2/2 - log(-z sqrt(2 pi)) + log(1 - 1/z^2 + 3/z^4 ...)
+    assert S.log_norm_cdf([far])[0] == pytest.approx(-far * far / 2 - math.log(-far * math.sqrt(2 * math.pi)) - 1 / far ** 2, rel=1e-13)
+    assert S.norm_sf([math.nan, math.inf, -math.inf]).tolist()[1:] == [0.0, 1.0]
+    p = np.concatenate([np.linspace(1e-6, 1 - 1e-6, 3001), 10.0 ** -np.arange(1, 290, 9)])
+    x = S.norm_ppf_array(p)
+    assert np.max(np.abs(S.norm_sf(-x[p < 0.5]) / p[p < 0.5] - 1)) < 1e-12
+    assert np.max(np.abs(x[:3001] - [S.norm_ppf(v) for v in p[:3001]])) < 1e-12
+
+
+def test_wilcoxon_exact_beyond_the_range_of_counts():
+    # far from the mean, for n large, against the normal law with a tolerance of its error
+    n = 1100
+    mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    w = mean - 2 * sd
+    assert S.wilcoxon_exact_p(w, n) == pytest.approx(2 * S.norm_sf([2.0])[0], rel=5e-3)
