@@ -14,8 +14,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.special import chi2_ppf
 from ..plans.gram import gram, gram_matrix
@@ -182,18 +184,43 @@ def pca_variance(t: Tables) -> DataFrame:
 
 
 def pca_scores(t: Tables, x: DataFrame, fit: dict, k: int = 2, carry: list = ()) -> DataFrame:
-    """M1: (ds, id, _rk, PC1..PCk) as JVM column algebra (dot products with broadcast constants)."""
+    """M1: (ds, id, _rk, carried columns, PC1..PCk): one matrix product per Arrow batch; null where a dataset has fewer components."""
     feats = t.matrix_features
-    cols = []
-    for c in range(k):
-        e = None
-        for d, (comp, ev, ratio, mu) in fit.items():
-            if c >= comp.shape[0]:
-                continue
-            dot = reduce(lambda a, b: a + b, [(F.col(f) - float(mu[i])) * float(comp[c, i]) for i, f in enumerate(feats)])
-            e = F.when(F.col("ds") == d, dot) if e is None else e.when(F.col("ds") == d, dot)
-        cols.append((e if e is not None else F.lit(None).cast("double")).alias(f"PC{c + 1}"))
-    return x.select("ds", "id", "_rk", *carry, *cols)
+    rows = x.select("ds", "id", "_rk", *carry, *feats)
+    held = len(rows.columns) - len(feats)
+    schema = T.StructType([*rows.schema.fields[:held], *[T.StructField(f"PC{c + 1}", T.DoubleType()) for c in range(k)]])
+    parts = {d: (mu, comp[:k].T) for d, (comp, _, _, mu) in fit.items()}
+
+    def scored(batches):
+        for batch in batches:
+            ds = batch.column(0).to_numpy()
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[held:]], axis=1)
+            out = np.full((len(ds), k), np.nan)
+            for d, (mu, comp) in parts.items():
+                out[ds == d, :comp.shape[1]] = (values[ds == d] - mu) @ comp
+            yield pa.RecordBatch.from_arrays([*batch.columns[:held], *[pa.array(out[:, c], from_pandas=True) for c in range(k)]],
+                                             names=schema.names)
+
+    return rows.mapInArrow(scored, schema)
+
+
+def pca_identities(t: Tables, components: int = 10) -> DataFrame:
+    """What the scores must keep, by dataset (Dataset, Item, Value): the total of their variances, the sum of all squared covariances
+    (of the scaled features, if there are no more than ``components``), and the largest covariance of two of them, to 9 places."""
+    x, _ = scaled_matrix(t)
+    x = t.hold(x)
+    fit = pca_fit(t, x, components)
+    k = max(comp.shape[0] for comp, *_ in fit.values())
+    names = [f"PC{c + 1}" for c in range(k)]
+    g = gram(pca_scores(t, x, fit, k), names, pairwise=False)
+    cov = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)
+    c = g.select("ds", "i", "j", cov.alias("c"))
+    off = F.when(F.col("i") < F.col("j"), F.col("c"))
+    one = c.groupBy("ds").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("total"),
+                              F.sum(F.when(F.col("i") == F.col("j"), F.col("c") * F.col("c")).otherwise(2 * F.col("c") * F.col("c")))
+                              .alias("squares"), (F.round(F.max(F.abs(off)), 9) + 0.0).alias("across"))
+    items = F.explode(F.array(*[F.struct(F.lit(i).alias("Item"), F.col(i).alias("Value")) for i in ("total", "squares", "across")]))
+    return one.select(ds_name(t.spec).alias("Dataset"), items.alias("r")).select("Dataset", "r.*")
 
 
 # ----------------------------------------------------------- Isolation Forest

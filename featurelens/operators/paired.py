@@ -192,21 +192,31 @@ def paired_summary(t: Tables, stats: DataFrame | None = None) -> DataFrame:
     return a.select(F.explode(arr).alias("r")).select("r.*")
 
 
-def bland_altman_density(t: Tables, bins: int = 50) -> DataFrame:
-    """2-D density of (mean, difference) points per feature on a bins x bins grid."""
-    pl = t.paired
-    m = (F.col("v1") + F.col("v2")) / 2
-    d = F.col("v2") - F.col("v1")
-    pts = pl.select("feature", m.alias("m"), d.alias("d"))
-    rng = pts.groupBy("feature").agg(F.min("m").alias("m0"), F.max("m").alias("m1"),
-                                     F.min("d").alias("d0"), F.max("d").alias("d1"))
+def _grid(pts: DataFrame, bins: int, names: tuple) -> DataFrame:
+    """Counts of (a, b) points per feature on a bins x bins grid over their ranges."""
+    rng = pts.groupBy("feature").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
 
     def cell(v, lo, hi):
         return F.when(hi > lo, F.least(F.lit(bins - 1), F.floor((v - lo) / (hi - lo) * bins).cast("int"))) \
                 .otherwise(F.lit(0))
 
     return (pts.join(F.broadcast(rng), "feature")
-            .groupBy("feature", cell(F.col("m"), F.col("m0"), F.col("m1")).alias("Mean_Bin"),
-                     cell(F.col("d"), F.col("d0"), F.col("d1")).alias("Diff_Bin"))
+            .groupBy("feature", cell(F.col("a"), F.col("a0"), F.col("a1")).alias(names[0]),
+                     cell(F.col("b"), F.col("b0"), F.col("b1")).alias(names[1]))
             .agg(F.count(F.lit(1)).alias("Points"))
             .withColumnRenamed("feature", "Feature"))
+
+
+def bland_altman_density(t: Tables, bins: int = 50) -> DataFrame:
+    """2-D density of (mean, difference) points per feature on a bins x bins grid."""
+    pts = t.paired.select("feature", ((F.col("v1") + F.col("v2")) / 2).alias("a"), (F.col("v2") - F.col("v1")).alias("b"))
+    return _grid(pts, bins, ("Mean_Bin", "Diff_Bin"))
+
+
+def paired_scatter(t: Tables, bins: int = 50) -> DataFrame:
+    """2-D density of (v1, v2) points per feature on a bins x bins grid, with the identity line's range: the least and greatest of
+    both sides."""
+    pts = t.paired.select("feature", F.col("v1").alias("a"), F.col("v2").alias("b"))
+    line = t.paired.groupBy(F.col("feature").alias("Feature")).agg(
+        F.min(F.least("v1", "v2")).alias("Line_Low"), F.max(F.greatest("v1", "v2")).alias("Line_High"))
+    return _grid(pts, bins, ("Bin_1", "Bin_2")).join(F.broadcast(line), "Feature")

@@ -80,6 +80,10 @@ def _register_all():
         register(f"paired_summary_{fx}", fx, paired.paired_summary, O.paired_summary)
     register("paired_stats_f11", "f11", paired.paired_stats, O.paired_stats)
     register("paired_summary_f11", "f11", paired.paired_summary, O.paired_summary)
+    register("paired_scatter_f11", "f11", paired.paired_scatter, O.paired_scatter)
+    register("violin_curve_f3", "f3", lambda t: plotdata.kde_curve(t, cut=0.0), O.violin_curve)
+    for fx in ("f1", "f10"):
+        register(f"pca_identities_{fx}", fx, multivariate.pca_identities, O.pca_identities)
     register("missingness_correlation_f11", "f11", profile.missingness_correlation, O.missingness_correlation, on_prepared=True)
     register("bland_altman_density_f5", "f5", paired.bland_altman_density, O.bland_altman_density)
     for fx in ("f2", "f3", "f1", "f7"):

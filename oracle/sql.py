@@ -927,3 +927,31 @@ def redundancy_report(fx: str) -> str:
     return base(fx).replace("WITH ", "WITH RECURSIVE ", 1) + _vif(fx) + " " + SIGCOLS(
         ["VIF"], f"SELECT *, {rec} FROM ({inner})",
         ["Feature", "VIF_Is_Infinite", "Dataset", "Is_Constant", "Is_Near_Constant", "Recommendation"])
+
+
+def paired_scatter(fx: str, bins: int = 50) -> str:
+    ctes = _pl(fx) + """,
+rg AS (SELECT feature, min(v1) AS a0, max(v1) AS a1, min(v2) AS b0, max(v2) AS b1, min(least(v1, v2)) AS lo,
+  max(greatest(v1, v2)) AS hi FROM PL GROUP BY feature)"""
+
+    def cell(v, lo, hi):
+        return (f"CASE WHEN {hi} > {lo} THEN least({bins - 1}, CAST(floor(({v} - {lo}) / ({hi} - {lo}) * {bins}) "
+                f"AS INTEGER)) ELSE 0 END")
+    inner = (f"SELECT PL.feature AS Feature, {cell('v1', 'a0', 'a1')} AS Bin_1, {cell('v2', 'b0', 'b1')} AS Bin_2, count(*) AS Points, "
+             "any_value(lo) AS Line_Low, any_value(hi) AS Line_High FROM PL JOIN rg ON PL.feature = rg.feature GROUP BY 1, 2, 3")
+    return base(fx) + ctes + " " + SIGCOLS(["Line_Low", "Line_High"], inner, ["Feature", "Bin_1", "Bin_2", "Points"])
+
+
+def violin_curve(fx: str) -> str:
+    return kde_curve(fx, cut=0.0)
+
+
+def pca_identities(fx: str) -> str:
+    """All components of at most ten features: total variance, squared covariances of the scaled features, no covariance of scores."""
+    feats, parts = FIXTURE_FEATURES[fx], []
+    squares = " + ".join(f"power(covar_samp({a}, {b}), 2)" for a in feats for b in feats)
+    total = " + ".join(f"var_samp({f})" for f in feats)
+    for item, value in (("total", total), ("squares", squares), ("across", "0.0::DOUBLE")):
+        parts.append(f"SELECT ds, '{item}' AS Item, {value} AS Value FROM sx GROUP BY ds")
+    inner = f"SELECT {_named(fx)} AS Dataset, Item, Value FROM ({' UNION ALL '.join(parts)})"
+    return base(fx) + _scaled(fx) + " " + SIGCOLS(["Value"], inner, ["Dataset", "Item"])
