@@ -81,7 +81,8 @@ def _register_all():
     register("paired_stats_f11", "f11", paired.paired_stats, O.paired_stats)
     register("paired_summary_f11", "f11", paired.paired_summary, O.paired_summary)
     register("paired_scatter_f11", "f11", paired.paired_scatter, O.paired_scatter)
-    register("violin_curve_f3", "f3", lambda t: plotdata.kde_curve(t, cut=0.0), O.violin_curve)
+    register("violin_curve_f8", "f8", lambda t: plotdata.kde_curve(t, cut=0.0).withColumn("Density", sig(F.col("Density"), 7)),
+             O.violin_curve)  # seven digits: the tails of the kernel magnify the last ones of the variance
     for fx in ("f1", "f10"):
         register(f"pca_identities_{fx}", fx, multivariate.pca_identities, O.pca_identities)
     register("missingness_correlation_f11", "f11", profile.missingness_correlation, O.missingness_correlation, on_prepared=True)

@@ -943,7 +943,7 @@ rg AS (SELECT feature, min(v1) AS a0, max(v1) AS a1, min(v2) AS b0, max(v2) AS b
 
 
 def violin_curve(fx: str) -> str:
-    return kde_curve(fx, cut=0.0)
+    return f"SELECT * REPLACE ({SIG('Density', 7)} AS Density) FROM ({kde_curve(fx, cut=0.0)})"
 
 
 def pca_identities(fx: str) -> str:
