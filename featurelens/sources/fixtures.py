@@ -1,4 +1,4 @@
-"""Feature-table pairs derived from the test tables (FIXTURES.md F1-F11).
+"""Feature-table pairs derived from the test tables (F1-F9 of FIXTURES.md; F10: collinear columns; F11: paired, with nulls).
 
 Each fixture returns ``(d1, d2, spec)`` — two wide tables and the run
 parameters — built with DataFrame operations over the parquet tables, so the
