@@ -9,6 +9,7 @@ definitions, independent of the Spark plans they check.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 
@@ -794,10 +795,8 @@ def conclusions_paired(fx: str) -> str:
 
 def mahalanobis_single(fx: str) -> str:
     """O4 for a one-feature fixture: md = |z| sqrt((n-1)/n) on median-imputed, population-scaled values."""
-    from featurelens.functions.special import chi2_ppf
-
     (f,) = FIXTURE_FEATURES[fx]
-    thr = math.sqrt(chi2_ppf(1 - 0.001, 1))
+    thr = NormalDist().inv_cdf(1 - 0.001 / 2)  # with one degree of freedom, chi-square is a squared normal
     n1, n2 = FIXTURE_NAMES[fx]
     parts = []
     for d, name in (("d1", n1), ("d2", n2)):
