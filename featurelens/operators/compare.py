@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import corr_from_parts, corr_parts
-from ..functions.special import kolmogorov_sf_udf, norm_sf_udf
+from ..functions.special import kolmogorov_sf_udf, ks_two_sample_sf_udf, norm_sf_udf
 from ..plans.rank import local
 from ..plans.tables import QGRID, Tables
 
@@ -127,22 +127,39 @@ def comparison_stats(t: Tables) -> DataFrame:
         similarity_class(F.col("overlap")).alias("Similarity"))
 
 
-def _p_values(c: DataFrame) -> DataFrame:
-    """T4 (finite-n Kolmogorov law at n1 n2 / (n1 + n2)) and T6 (normal approximation, tie + 1/2 continuity)."""
+def _ks_p(c: DataFrame, method: str) -> DataFrame:
+    """T4 by ``RunSpec.ks_method``; the exact law takes work for each feature, so features are dealt to tasks."""
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    en = n1 * n2 / (n1 + n2)
-    ks_p = kolmogorov_sf_udf(F.col("ks"), F.round(en))
+    if method == "exact":
+        return c.repartition("feature").withColumn("ks_p", ks_two_sample_sf_udf(F.col("ks"), n1, n2))
+    if method == "one_sample":
+        return c.withColumn("ks_p", kolmogorov_sf_udf(F.col("ks"), F.round(n1 * n2 / (n1 + n2))))
+    raise ValueError(f"unknown ks_method: {method}")
+
+
+def ks_test(t: Tables, method: str | None = None) -> DataFrame:
+    """The two-sample Kolmogorov-Smirnov statistic and its p-value (``method``: as ``RunSpec.ks_method``, its default)."""
+    c = sample_stats(t).select("feature", "n1", "n2").join(F.broadcast(t.ks_mw), "feature")
+    return _ks_p(c, method or t.spec.ks_method).select(
+        F.col("feature").alias("Feature"), F.col("n1").alias("N1"), F.col("n2").alias("N2"),
+        F.col("ks").alias("KS_Statistic"), F.col("ks_p").alias("KS_pvalue"))
+
+
+def _p_values(c: DataFrame, method: str) -> DataFrame:
+    """T4 (``_ks_p``) and T6 (normal approximation, tie + 1/2 continuity)."""
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    c = _ks_p(c, method)
     n = n1 + n2
     u = F.greatest(F.col("u1"), n1 * n2 - F.col("u1"))
     s = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))
     z = (u - n1 * n2 / 2.0 - 0.5) / s
     mw_p = F.least(F.lit(1.0), 2.0 * norm_sf_udf(z))
-    return c.withColumn("ks_p", ks_p).withColumn("mw_p", mw_p)
+    return c.withColumn("mw_p", mw_p)
 
 
 def comparison_report(t: Tables) -> DataFrame:
     """The full comparison report (10 columns)."""
-    c = _p_values(_core(t))
+    c = _p_values(_core(t), t.spec.ks_method)
     return c.select(
         F.col("feature").alias("Feature"),
         (F.col("mean1") - F.col("mean2")).alias("Mean_Diff"),
@@ -175,7 +192,7 @@ def similarity_stats(t: Tables) -> DataFrame:
 def similarity_report(t: Tables) -> DataFrame:
     """7 columns, sorted by score descending (feature breaks ties)."""
     c = _core(t, with_grid=True)
-    c = _p_values(c).join(F.broadcast(quantile_correlation(t, c)), "feature", "left")
+    c = _p_values(c, t.spec.ks_method).join(F.broadcast(quantile_correlation(t, c)), "feature", "left")
     return c.select(
         F.col("feature").alias("Feature"),
         F.col("ks").alias("KS_Statistic"), F.col("ks_p").alias("KS_pvalue"),

@@ -2,14 +2,19 @@
 
 Moments come from one map-side aggregate over the long table; percentiles,
 median and MAD are exact (``plans.rank``); bounds are joined back as a
-features-sized broadcast table; top/bottom-N use a window with a row-number
-limit, which Spark plans as a per-partition group limit before the shuffle.
+features-sized broadcast table; top/bottom-N come from bounded heaps in
+each task of one scan, merged per feature.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.shape import unpivot
 from ..plans.tables import PCTS, Tables, ds_name
@@ -73,24 +78,50 @@ def plausibility(t: Tables) -> DataFrame:
         F.lit(f"Bounds from {ref}").alias("Note"))
 
 
+def _ends(df: DataFrame, ds: int, id_col: str, features: list, id_type: T.DataType, n: int) -> DataFrame:
+    """The first ``n`` rows of each end of each feature in every Arrow batch and then in every task: (ds, feature, top, value, id)."""
+    wide = df.select(F.col(id_col).cast(id_type).alias("id"), *[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(features)])
+    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("top", T.BooleanType()),
+                           T.StructField("value", T.DoubleType()), T.StructField("id", id_type)])
+
+    def first(rows: pa.Table, top: bool) -> pa.Table:
+        order = [("value", "descending" if top else "ascending"), ("id", "ascending")]
+        return rows.take(pc.select_k_unstable(rows, n, sort_keys=order))  # a bounded heap; rows equal in both keys are the same row
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for i in range(len(features)):
+                values = batch.column(f"v{i}")
+                rows = pa.table({"value": values, "id": batch.column("id")}).filter(values.is_valid())
+                for top in (True, False):
+                    if rows.num_rows:
+                        best = first(rows, top)
+                        held[i, top] = first(pa.concat_tables([held[i, top], best]), top) if (i, top) in held else best
+        for (i, top), rows in held.items():
+            count = rows.num_rows
+            yield from pa.table({"feature": pa.array([features[i]] * count), "top": pa.array([top] * count), "value": rows["value"],
+                                 "id": rows["id"]}).combine_chunks().to_batches()
+
+    return wide.mapInArrow(ends, schema).withColumn("ds", F.lit(ds))
+
+
 def extremes(t: Tables) -> DataFrame:
     """Top-N and bottom-N values per dataset and feature, with their keys.
 
-    Ties keep the smaller key first.  Values are rounded half-even to 4 dp;
-    both lists are arrays in rank order.
+    Ties keep the smaller key first, null keys last.  Values are rounded half-even to 4 dp;
+    both lists are arrays in rank order.  One scan of each wide table keeps bounded heaps for
+    both ends of all features; at most N rows of an end leave a task, and a window merges them.
     """
-    n = t.spec.extremes_n
-    long = t.long
-    top_w = Window.partitionBy("ds", "feature").orderBy(F.col("value").desc(), F.col("id").asc_nulls_last())
-    bot_w = Window.partitionBy("ds", "feature").orderBy(F.col("value").asc(), F.col("id").asc_nulls_last())
-    parts = []
-    for label, w in ((f"Top {n}", top_w), (f"Bottom {n}", bot_w)):
-        r = (long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-             .groupBy("ds", "feature")
-             .agg(F.array_sort(F.collect_list(F.struct("_rn", "value", "id"))).alias("_l")))
-        parts.append(r.select(
-            ds_name(t.spec).alias("Dataset"), F.col("feature").alias("Feature"),
-            F.lit(label).alias("Extreme_Type"),
-            F.transform("_l", lambda s: F.bround(s["value"], 4)).alias("Values"),
-            F.transform("_l", lambda s: s["id"]).alias("ECG_IDs")))
-    return parts[0].unionByName(parts[1])
+    n, p = t.spec.extremes_n, t.p
+    id_type = t.long.schema["id"].dataType
+    both = _ends(p.d1, 1, p.id_col, p.features, id_type, n).unionByName(_ends(p.d2, 2, p.id_col, p.features, id_type, n))
+    w = Window.partitionBy("ds", "feature", "top").orderBy(
+        F.when(F.col("top"), -F.col("value")).otherwise(F.col("value")), F.col("id").asc_nulls_last())
+    r = (both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+         .groupBy("ds", "feature", "top").agg(F.array_sort(F.collect_list(F.struct("_rn", "value", "id"))).alias("_l")))
+    return r.select(
+        ds_name(t.spec).alias("Dataset"), F.col("feature").alias("Feature"),
+        F.when(F.col("top"), f"Top {n}").otherwise(f"Bottom {n}").alias("Extreme_Type"),
+        F.transform("_l", lambda s: F.bround(s["value"], 4)).alias("Values"),
+        F.transform("_l", lambda s: s["id"]).alias("ECG_IDs"))

@@ -69,7 +69,7 @@ def _register_all():
         register(f"distribution_stats_{fx}", fx, distribution.distribution_stats, O.distribution_stats)
     for fx in ("f1", "f4", "f8", "f9"):
         register(f"plausibility_{fx}", fx, distribution.plausibility, O.plausibility)
-    for fx in ("f1", "f2", "f8"):
+    for fx in ("f1", "f2", "f8", "f11"):
         register(f"extremes_{fx}", fx, distribution.extremes, O.extremes)
     for fx in ("f1", "f2", "f8", "f9"):
         register(f"univariate_outliers_{fx}", fx, outliers.univariate_outliers, O.univariate_outliers)
@@ -155,6 +155,7 @@ def _register_all():
     for fx in ("f1", "f2", "f7", "f8", "f9"):
         register(f"comparison_stats_{fx}", fx, compare.comparison_stats, O.comparison_stats)
         register(f"similarity_stats_{fx}", fx, compare.similarity_stats, O.similarity_stats)
+    register("ks_exact_f3", "f3", lambda t: compare.ks_test(t, "exact"), O.ks_exact)
     for fx in ("f1", "f8"):
         register(f"comparison_report_{fx}", fx, compare.comparison_report)
         register(f"similarity_report_{fx}", fx, compare.similarity_report)

@@ -60,6 +60,8 @@ class RunSpec:
     ``normality_rule``: "formal" (all three tests) or "practical" (skewness and
     kurtosis) decides ``Approx_Gaussian``; both verdicts are reported besides.
     ``wilcoxon_method``: "normal" or "exact".
+    ``ks_method``: "one_sample" (Kolmogorov's finite law at n1 n2 / (n1 + n2)) or "exact" (the law of
+    two untied samples; its work is about 2 KS n1 n2 a feature).
     """
 
     id_col: str = "id"
@@ -72,6 +74,7 @@ class RunSpec:
     example_ids: int = 5
     normality_rule: str = "practical"
     wilcoxon_method: str = "normal"
+    ks_method: str = "one_sample"
     seed: int = 42
     rank_buckets: int | None = None
     relationship_pairs: tuple = ()

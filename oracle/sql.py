@@ -128,6 +128,30 @@ qc AS (SELECT feature, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN co
         ["Feature"])
 
 
+def ks_exact(fx: str) -> str:
+    """The law of D by all lattice paths: the share of the paths to (i, j) that have met |i/n1 - j/n2| >= D, a diagonal i + j = s at a
+    time, in a list over j.  Cumulative counts and D are whole numbers over n1 * n2."""
+    laws = """,
+n AS (SELECT feature, count(*) FILTER (WHERE ds = 1) AS n1, count(*) FILTER (WHERE ds = 2) AS n2 FROM L GROUP BY feature),
+vals AS (SELECT feature, value, count(*) FILTER (WHERE ds = 1) AS c1, count(*) FILTER (WHERE ds = 2) AS c2 FROM L GROUP BY feature, value),
+cums AS (SELECT feature, sum(c1) OVER w AS f1, sum(c2) OVER w AS f2 FROM vals WINDOW w AS (PARTITION BY feature ORDER BY value)),
+far AS (SELECT feature, n1, n2, CAST(max(abs(f1 * n2 - f2 * n1)) AS BIGINT) AS h FROM cums JOIN n USING (feature)
+  WHERE n1 >= 10 AND n2 >= 10 GROUP BY feature, n1, n2),
+paths AS (
+  SELECT feature, n1, n2, h, CAST(0 AS BIGINT) AS s, list_transform(range(n2 + 1), lambda j: CASE WHEN j = 0 AND h <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS gone
+  FROM far
+  UNION ALL
+  SELECT feature, n1, n2, h, s + 1, list_transform(range(n2 + 1), lambda j: CASE
+      WHEN s + 1 - j < 0 OR s + 1 - j > n1 THEN 0.0::DOUBLE
+      WHEN abs((s + 1 - j) * n2 - j * n1) >= h THEN 1.0::DOUBLE
+      ELSE ((s + 1 - j) * gone[j + 1] + CASE WHEN j > 0 THEN j * gone[j] ELSE 0.0::DOUBLE END) / (s + 1) END)
+  FROM paths WHERE s < n1 + n2)"""
+    inner = ("SELECT feature AS Feature, n1 AS N1, n2 AS N2, h / (n1 * n2)::DOUBLE AS KS_Statistic, "
+             "gone[n2 + 1] AS KS_pvalue FROM paths WHERE s = n1 + n2")
+    with_paths = (base(fx) + laws).replace("WITH ", "WITH RECURSIVE ", 1)
+    return with_paths + " " + SIGCOLS(["KS_Statistic", "KS_pvalue"], inner, ["Feature", "N1", "N2"])
+
+
 # ----------------------------------------------------------------- profiles
 FIXTURE_NAMES = {"f1": ("F", "O"), "f2": ("en", "other"), "f3": ("customer", "supplier"),
                  "f4": ("orders", "lines"), "f5": ("exact", "rounded"), "f6": ("stored", "measured"),

@@ -91,3 +91,23 @@ def test_wilcoxon_exact_beyond_the_range_of_counts():
     mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     w = mean - 2 * sd
     assert S.wilcoxon_exact_p(w, n) == pytest.approx(2 * S.norm_sf([2.0])[0], rel=5e-3)
+
+
+def test_two_sample_law_by_enumeration():
+    from itertools import combinations
+
+    for n1, n2 in ((1, 1), (1, 5), (3, 3), (4, 6), (5, 8), (8, 8), (7, 4)):
+        far = []
+        for first in combinations(range(n1 + n2), n1):
+            i = j = top = 0
+            for at in range(n1 + n2):
+                i, j = (i + 1, j) if at in first else (i, j + 1)
+                top = max(top, abs(i * n2 - j * n1))
+            far.append(top)
+        for h in sorted(set(far)):
+            want = sum(x >= h for x in far) / len(far)
+            assert S.ks_two_sample_sf(h / n1 / n2, n1, n2) == pytest.approx(want, rel=1e-12)
+    assert S.ks_two_sample_sf(0.0, 4, 5) == 1.0
+    assert S.ks_two_sample_sf(1.0, 300, 400) == pytest.approx(2 / math.comb(700, 300), rel=1e-9)
+    # many values: the limit law
+    assert S.ks_two_sample_sf(0.03, 20_000, 15_000) == pytest.approx(S.kolmogorov_sf(0.03, 20_000 * 15_000 / 35_000), rel=0.02)
