@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: prefix join in two rounds, and the components that its links make.
+"""N-gram Jaccard join: grouped prefix join, its links, and the components that they make.
 
 A document's set has its distinct shingles of ``SHINGLE`` words (A-Z lower-cased); two documents link
 when 100 * intersection >= ``PERCENT`` * union.  All steps are exact (sets are of 64-bit hashes):
@@ -6,18 +6,22 @@ when 100 * intersection >= ``PERCENT`` * union.  All steps are exact (sets are o
 1. Shingles are ordered by the number of documents that hold them (``shared_hashes``), rarest first.
    Linked sets of n shingles share one of their first n - ceil(0.85 n) + 1.  Shingles that one document
    alone holds match nothing, so a document whose prefix has only such is done.
-2. Documents with equal sets are one node; nodes with the same prefix and size are one group.  The first
-   round indexes groups by prefix shingle, the second nodes.
-3. Pairs that share a prefix shingle are filtered by size, by the number of shared shingles and by the
-   shingle's place in both prefixes; the nodes of the pairs left are verified on their whole sets.
-
-A component needs no more links than connect it.  So the pairs are taken in two rounds: first each group
+2. Documents with equal sets are one node; nodes with the same prefix and size are one group, and groups
+   alone are indexed by prefix shingle.
+3. Pairs of groups that share a prefix shingle are filtered by size, by the number of shared shingles, by the
+   shingle's place in both prefixes and by the counts of shingles by hash class (each the highest among the members).
+   The pairs left are expanded to their members, which pass the class bound again, each by its own counts, and are
+   verified on their whole sets.
+
+A component needs no more links than connect it, so ``near_duplicates`` takes two rounds: first each group
 with a hub under each of its prefix shingles and within its group: the node whose shingles most documents
-hold on average, which in a cluster of near copies is its centre; then, between the components found, all
-pairs of nodes (not of groups) that a bound from the counts of their shingles by hash class allows.  Only
-the second round is exhaustive.  A pair is skipped only if that bound rules the link out, or if its documents
-are in one component already; the result is components, without links or their number.  A large group of near copies thus costs a verification each,
-and copies of a text are never compared.
+hold on average, which in a cluster of near copies is its centre; then steps 2 and 3 between the components
+found, with groups divided by component.  The second round is exhaustive: a pair is skipped only if a bound rules
+the link out, or if its documents are in one component already.  A large group of near copies thus costs a
+verification each, and copies of a text are never compared.
+
+``link_counts`` has every link: steps 2 and 3 over all groups, within groups too, and so work as large as its
+result where thousands of different near copies all link.
 
 * Nulls: a null text has no words; a null id takes part as a text but is not reported as anyone's
   component, unless all ids of the component are null.
@@ -140,10 +144,47 @@ def possible(percent: int, first: bool = False) -> Column:
     return sizes & enough(most, x["n"], y["n"], percent)
 
 
+def by_class(x: str, y: str) -> Column:
+    """What two sets can share at most, by their counts in each class."""
+    return sum(F.least(F.col(x)[i], F.col(y)[i]) for i in range(CLASSES))
+
+
+def grouped_pairs(nodes: DataFrame, percent: int, within: bool) -> DataFrame:
+    """Pairs (``a``, ``b``) of ``nodes`` to verify, by groups of ``grp_key`` and ``part``: those of different parts, or,
+    ``within``, all pairs (``part`` is then the same function of ``grp_key`` for all)."""
+    most = [F.max(F.col("classes")[i]) for i in range(CLASSES)]
+    groups = nodes.groupBy("grp_key", "part").agg(
+        F.first("n").alias("n"), F.max("shared").alias("shared"), F.first("prefix").alias("prefix"), F.array(*most).alias("classes"))
+    groups = stored(groups, "groups")
+    opened = groups.select("grp_key", "part", "n", "shared", "classes", F.posexplode("prefix").alias("at", "shingle"))
+    if not within:
+        held = groups.select(F.explode("prefix").alias("shingle"), "part").groupBy("shingle").agg(
+            F.min("part").alias("__low"), F.max("part").alias("__high"))
+        opened = opened.join(held.where("__low != __high").select("shingle"), "shingle")
+    opened = stored(opened, "open")
+    x, y = opened.alias("x"), opened.alias("y")
+    ordered = F.col("x.part") <= F.col("y.part") if within else F.col("x.part") < F.col("y.part")
+    # A pair that links does so under the first shingle that both prefixes hold; nothing before it is common.
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & ordered & possible(percent, first=True)
+                 & enough(by_class("x.classes", "y.classes"), F.col("x.n"), F.col("y.n"), percent))
+    met = met.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("grp_key", "part"))).distinct()
+    left, right = (nodes.select(F.col("grp_key").alias(f"grp_key_{s}"), F.col("part").alias(f"part_{s}"), F.col("node").alias(name),
+                                F.col("n").alias(f"n_{s}"), F.col("classes").alias(f"classes_{s}")) for s, name in (("x", "a"), ("y", "b")))
+    same = (F.col("r.grp_key_y") == F.col("l.grp_key_y")) & (F.col("r.part_y") == F.col("l.part_y"))
+    once = (F.col("l.grp_key_x") != F.col("l.grp_key_y")) | (F.col("l.part_x") != F.col("l.part_y")) | (F.col("a") < F.col("b"))
+    both = met.join(left, ["grp_key_x", "part_x"]).alias("l").join(
+        right.alias("r"), same & once & enough(by_class("classes_x", "classes_y"), F.col("n_x"), F.col("n_y"), percent))
+    return both.select("a", "b")
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """One row of each set whose prefix has shingles of other documents."""
+    return stored(rows.where("prefix is not null").drop("id", "key").dropDuplicates(["node"]), "nodes")
+
+
 def links(rows: DataFrame, percent: int) -> DataFrame:
     """Links (``a``, ``b``) between nodes that connect the components of the whole join."""
-    nodes = rows.where("prefix is not null").drop("id", "key")
-    nodes = stored(nodes.dropDuplicates(["node"]), "nodes")
+    nodes = nodes_of(rows)
     members = nodes.select("node", "grp_key")
     groups = nodes.groupBy("grp_key").agg(
         F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("prefix").alias("prefix"),
@@ -161,24 +202,13 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
     first = stored(verified(first, nodes, percent), "links")
     # Second round: what lies between the components found.
     found = components(first)
-    placed = nodes.drop("body", "score", "grp_key").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    held = placed.select("node", F.explode("prefix").alias("shingle"), "comp").groupBy("shingle").agg(
-        F.min("comp").alias("__low"), F.max("comp").alias("__high"))
-    unsettled = held.where("__low != __high").select("shingle")
-    opened = placed.select("node", "comp", "n", "shared", "classes", F.posexplode("prefix").alias("at", "shingle"))
-    opened = stored(opened.join(unsettled, "shingle"), "open")
-    # A pair that links does so under the first shingle that both prefixes hold; nothing before it is common.
-    both = sum(F.least(F.col("x.classes")[i], F.col("y.classes")[i]) for i in range(CLASSES))
-    pairs = opened.alias("x").join(opened.alias("y"), (F.col("x.shingle") == F.col("y.shingle"))
-                                   & (F.col("x.comp") < F.col("y.comp")) & possible(percent, first=True)
-                                   & enough(both, F.col("x.n"), F.col("y.n"), percent))
-    second = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, percent)
+    parted = nodes.drop("body", "score").join(found, "node", "left").withColumn("part", F.coalesce("comp", "node")).drop("comp")
+    second = verified(grouped_pairs(parted, percent, within=False), nodes, percent)
     return found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(second)
 
 
-def placed(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, *key: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A row per document (``ROWS``); ``node`` and ``comp`` of those with words; and of each ``comp`` its smallest
-    id, nulls last, with the smallest ``key`` (of the text) that it has there (``least``)."""
+def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, *key: Column) -> DataFrame:
+    """A row per document (``ROWS``)."""
     buckets = shuffle_partitions(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias(id_col), text_col, *(c.alias("key") for c in key))
     texts = sh.grouped(given, id_col, text_col, *("key" for _ in key))
@@ -187,22 +217,50 @@ def placed(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, *k
     def rows_of(left: pa.Table, right: pa.Table) -> pa.Table:
         return described(left, right, buckets, k, percent)
 
-    rows = stored(texts.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(rows_of, ROWS), "sets")
+    return stored(texts.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(rows_of, ROWS), "sets")
+
+
+def named(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node`` and ``comp`` of the rows with words, ``found`` having those that are linked; and of each ``comp`` its smallest
+    id, nulls last, with the smallest ``key`` (of the text) that it has there (``least``)."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")
     copies = rows.where("n > 0").groupBy("node").agg(first)
-    found = components(links(rows, percent))
     comps = copies.join(found, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
-    return rows, comps.select("node", "comp"), comps.groupBy("comp").agg(F.min("least").alias("least"))
+    return comps.select("node", "comp"), comps.groupBy("comp").agg(F.min("least").alias("least"))
+
+
+def classed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``id``, ``n``, ``node`` and ``component_id`` of each row."""
+    comps, least = named(rows, found)
+    names = comps.join(least, "comp").select("node", F.col("least.id").alias("__least"))
+    return rows.select("id", "n", "node").join(names, "node", "left").withColumn("component_id", F.coalesce("__least", "id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
                     percent: int = PERCENT) -> DataFrame:
     """Per row: ``id_col``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    rows, comps, least = placed(docs, id_col, text_col, k, percent)
-    named = comps.join(least, "comp").select("node", F.col("least.id").alias("component_id"))
-    out = rows.select("id", "n", "node").join(named, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.coalesce("component_id", "id").alias("component_id"))
+    rows = sets_of(docs, id_col, text_col, k, percent)
+    out = classed(rows, components(links(rows, percent)))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
+                percent: int = PERCENT) -> DataFrame:
+    """As ``near_duplicates``, with ``n_links``: how many other rows each row links with, copies included.
+
+    A link between different sets is verified once, whatever copies its sets have."""
+    rows = sets_of(docs, id_col, text_col, k, percent)
+    nodes = nodes_of(rows)
+    pairs = grouped_pairs(nodes.drop("body", "score").withColumn("part", F.col("grp_key")), percent, within=True)
+    pairs = stored(verified(pairs, nodes, percent), "links")
+    copies = rows.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    degrees = copies.join(others, copies["node"] == others["a"], "left").select(
+        "node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = classed(rows, components(pairs)).join(degrees, "node", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
@@ -210,10 +268,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """``docs`` with one row of each component, one of the smallest id; all rows without words stay.  Rows meet
     their component by the SHA-256 of the text and the id."""
     key = F.unhex(F.sha2(or_empty(F.col(text_col)), 256))
-    _, _, least = placed(docs, id_col, text_col, k, percent, key)
+    rows = sets_of(docs, id_col, text_col, k, percent, key)
+    _, least = named(rows, components(links(rows, percent)))
     kept = least.select(F.col("least.id").alias("__id"), F.col("least.key").alias("__kept"))
     worded = or_empty(F.col(text_col)).rlike(WORD)
     keyed = docs.where(worded).withColumn("__key", key)
-    named = (F.col("__key") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    one = keyed.join(kept, named, "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    chosen = (F.col("__key") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    one = keyed.join(kept, chosen, "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
     return one.union(docs.where(~worded))

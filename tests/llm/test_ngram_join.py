@@ -24,6 +24,23 @@ def brute(texts, k=4, percent=85):
     return {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+def brute_links(texts, k=4, percent=85):
+    """Links of each document by comparing all pairs."""
+    comps = brute(texts, k, percent)
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").translate(fold).encode().split()
+        sets[i] = {tuple(w[j:j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    return {i: (*comps[i], sum(a != i and bool(sets[i]) and 100 * len(sets[a] & sets[i]) >= percent * len(sets[a] | sets[i]) for a in sets))
+            for i in sets}
+
+
+def found_links(rows, texts, **how):
+    frame = rows.frame(list(texts.items()), "doc_id long, text string")
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.link_counts(frame, **how).collect()}
+
+
 def found(rows, texts, **how):
     frame = rows.frame(list(texts.items()), "doc_id long, text string")
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame, **how).collect()}
@@ -46,6 +63,7 @@ def test_against_all_pairs(rows, seed):
             w = w + passage if kind < 0.7 else w
         texts[i] = " ".join(w)
     assert found(rows, texts) == brute(texts)
+    assert found_links(rows, texts) == brute_links(texts)
 
 
 def test_large_group_of_near_copies(rows):
@@ -57,6 +75,7 @@ def test_large_group_of_near_copies(rows):
             w[r.randrange(len(w))] = f"n{r.randrange(9)}"
         texts[i] = " ".join(w)
     assert found(rows, texts) == brute(texts)
+    assert found_links(rows, texts) == brute_links(texts)
 
 
 def test_edge_rows(rows):
@@ -95,3 +114,31 @@ def test_one_row_of_each_component_stays_whatever_its_id(rows):
     assert sorted(got) == sorted((c, i) for c, i in want.items() if comps[c][0])
     bare = [(r["doc_id"], r["text"]) for r in kept if (r["doc_id"], r["text"]) not in of]
     assert sorted(bare, key=str) == sorted([(None, ""), (None, " "), (5, None), (5, None)], key=str)
+
+
+def test_members_of_a_group_may_differ_in_links(rows):
+    # equal prefixes and sizes (rare words first), bodies that differ beyond them
+    common = [f"c{i}" for i in range(400)]
+    texts = {i: " ".join(common) for i in range(40)}
+    for i in range(40, 60):
+        texts[i] = " ".join([f"r{i // 10}x{j}" for j in range(20)] + common[:60 + i % 10])
+    assert found(rows, texts) == brute(texts)
+    assert found_links(rows, texts) == brute_links(texts)
+
+
+def test_links_of_edge_rows(rows):
+    frame = rows.frame([(5, None), (6, ""), (7, "One TWO"), (8, "one two"), (8, "one two"), (9, "two one"), (None, "one two"),
+                        (None, "alone here now then")], "doc_id long, text string")
+    got = [tuple(r) for r in ngram_join.link_counts(frame).collect()]
+    assert sorted(got, key=str) == sorted([(5, 0, 5, 0), (6, 0, 6, 0), (7, 1, 7, 3), (8, 1, 7, 3), (8, 1, 7, 3), (9, 1, 9, 0),
+                                           (None, 1, 7, 3), (None, 1, None, 0)], key=str)
+    assert ngram_join.link_counts(frame.limit(0)).count() == 0
+
+
+def test_query_on_the_given_table(spark):
+    from featurelens.llm.queries import op4_ngram_jaccard_join
+
+    path = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op4_ngram_jaccard_join(spark, path).collect()}
+    assert got == brute(texts)
