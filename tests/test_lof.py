@@ -100,3 +100,13 @@ def test_projection_names_all_three_detectors(spark):
     x, _ = multivariate.scaled_matrix(t)
     flags = lof.lof_rows(t, x).agg(F.count_if("is_outlier").alias("k"), F.count("lof").alias("n")).first()
     assert 0 < flags["k"] < 0.02 * flags["n"]
+
+
+def test_a_column_that_one_value_fills_is_still_cut(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 3))
+    x[:, 0] = np.where(rng.random(4000) < 0.99, 0.0, 12.0)  # the widest column, and its median is its least value
+    sizes = np.bincount(knn.Cells(x, 16).of(x), minlength=16)
+    assert sizes.max() <= 3 * 4000 / 16
+    both = knn.Cells(np.repeat([[0.0, 1.0], [0.0, 2.0]], [9, 1], axis=0), 2)
+    assert np.bincount(both.of(np.array([[0.0, 1.0], [0.0, 2.0]]))).tolist() == [1, 1]
