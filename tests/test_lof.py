@@ -110,3 +110,20 @@ def test_a_column_that_one_value_fills_is_still_cut(spark):
     assert sizes.max() <= 3 * 4000 / 16
     both = knn.Cells(np.repeat([[0.0, 1.0], [0.0, 2.0]], [9, 1], axis=0), 2)
     assert np.bincount(both.of(np.array([[0.0, 1.0], [0.0, 2.0]]))).tolist() == [1, 1]
+
+
+def test_wide_search_measures_few_pairs_and_is_exact(monkeypatch):
+    rng = np.random.default_rng(2)
+    measured = []
+    exact = knn.paired
+    monkeypatch.setattr(knn, "paired", lambda a, b: (measured.append(len(a)), exact(a, b))[1])
+    for shift in (0.0, 1e6):  # far from the origin, matrix products of raw coordinates would cancel
+        measured.clear()
+        x = np.unique(rng.normal(size=(1500, 40)) + shift, axis=0)
+        w = rng.integers(1, 4, len(x))
+        d, weight, near, kd = all_pairs(x, w, 9)
+        row, at, far, weights, reach = knn.within(x, np.full(len(x), np.inf), x, w, 9, True)
+        assert set(zip(row.tolist(), at.tolist(), strict=True)) == set(zip(*(v.tolist() for v in np.nonzero(near)), strict=True))
+        assert far == pytest.approx(d[row, at], rel=1e-12) and (weights == weight[row, at]).all()
+        assert reach == pytest.approx(kd, rel=1e-12)
+        assert sum(measured) < 0.1 * len(x) ** 2
