@@ -127,3 +127,19 @@ def test_wide_search_measures_few_pairs_and_is_exact(monkeypatch):
         assert far == pytest.approx(d[row, at], rel=1e-12) and (weights == weight[row, at]).all()
         assert reach == pytest.approx(kd, rel=1e-12)
         assert sum(measured) < 0.1 * len(x) ** 2
+
+
+def test_forest_paths_in_full_trees():
+    rng = np.random.RandomState(3)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+
+    def walked(row, nodes):
+        at, depth = 0, 0
+        while nodes[at][0] >= 0:
+            at, depth = nodes[at][2 if row[nodes[at][0]] < nodes[at][1] else 3], depth + 1
+        return depth + multivariate._c([nodes[at][4]])[0]
+
+    for some in (x[:1], x[:5], x[:256]):
+        nodes = multivariate._grow(some, rng, 8)
+        got = multivariate._path_lengths(x, multivariate._paths(nodes, 8), 8)
+        assert got.tolist() == [walked(r, nodes) for r in x]
