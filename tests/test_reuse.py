@@ -47,3 +47,16 @@ def test_agreement_classes_and_guards(spark):
     few = {r["feature"]: r["count"] for r in t.paired.groupBy("feature").count().collect()}
     assert ("rare" in got) == (few["rare"] >= t.spec.thresholds.min_compare_n)
     assert few["close"] < few["off"]  # pairs with a missing side are left out
+
+
+def test_running_sums_and_histograms_do_not_count_values_again(spark):
+    import re
+
+    from featurelens.plans import rank, shape
+
+    t = Tables(prepare(*FIXTURES["f1"](spark, SF_SMALL)))
+    for df in (rank.cumulate(t.ranged, ["feature"], "value", ["n1", "n2"]), shape.histogram(t.vc, 10).where("c1 > 0")):
+        plan = df._jdf.queryExecution().withCachedData().toString()
+        assert "InMemoryRelation [feature" in plan
+        assert not re.search(r"^[ :+-]*Union", plan.split("InMemoryRelation [feature")[0], re.M)
+        assert plan.count("InMemoryRelation [feature") == 1
