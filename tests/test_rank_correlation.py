@@ -69,6 +69,18 @@ def test_spearman_by_null_classes(made):
     hold(correlation.spearman_matrix(t).collect(), columns, rho)
 
 
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_spearman_looks_few_ranks_up_and_joins_many(made, monkeypatch, most):
+    t, columns = made
+    monkeypatch.setattr(correlation, "LOOKED_UP", most)
+    ranks = correlation.class_ranks(t, correlation.null_classes(t))
+    plan = ranks._jdf.queryExecution().optimizedPlan().toString()
+    assert ("MapInArrow" in plan.split("InMemoryRelation")[0], "Join" in plan) == ((True, False) if most else (False, True))
+    if not most:  # rows meet the kept counts, values are not counted again
+        assert "MapInArrow" not in ranks._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation")[0]
+    hold(correlation.spearman_matrix(t).collect(), columns, rho)
+
+
 @pytest.mark.parametrize("rows", [100_000, 60, 9])
 def test_kendall_at_all_bucket_sizes(made, rows):
     t, columns = made
